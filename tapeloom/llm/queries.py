@@ -7,14 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, digest, langid, mixing, pii, quality, simhash
 from .common import table
 
 
+def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return langid.predicted(docs, model, spans=True).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op3_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0))
+
+
+def op7_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    ranker = quality.fit_on(docs, labels.where(~held_out))
+    return quality.scored(docs, ranker).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
     return rows.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_chat_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
