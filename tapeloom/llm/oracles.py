@@ -2,6 +2,49 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH captures AS (
+  SELECT page_id, nullif(lower(rtrim(regexp_extract(trim(url), '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1), '.')), '') AS host,
+         DATE '2023-01-01' + CAST((page_id * 7919) % 1095 AS INT) AS fetched
+  FROM pages),
+labels AS (SELECT page_id, host, fetched, string_split(host, '.') AS l FROM captures),
+asked AS (
+  SELECT page_id, host, fetched, i - 1 AS place, CASE WHEN len(l) < 2 THEN host ELSE array_to_string(l[i:], '.') END AS domain
+  FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS i FROM labels WHERE host IS NOT NULL)),
+hashed AS (
+  SELECT domain, CAST('0x' || substr(md5(domain), 1, 2) AS INT) AS v, CAST('0x' || substr(md5(domain), 3, 3) AS INT) % 700 AS d
+  FROM (SELECT DISTINCT domain FROM asked)),
+spans AS (
+  SELECT domain, (['adult', 'gambling', 'malware', 'spam'])[v % 4 + 1] AS category, DATE '2023-01-01' + d AS valid_from,
+         CASE WHEN v % 3 = 0 THEN DATE '2023-01-01' + (d + 90) ELSE DATE '9999-12-31' END AS valid_to
+  FROM hashed WHERE v < 128
+  UNION ALL
+  SELECT domain, (['adult', 'gambling', 'malware', 'spam'])[v % 4 + 1], DATE '2023-01-01' + (d + 200), DATE '9999-12-31'
+  FROM hashed WHERE v < 128 AND v % 9 = 0),
+hits AS (
+  SELECT a.page_id, s.domain, s.category, s.valid_from, row_number() OVER (PARTITION BY a.page_id ORDER BY a.place, s.category) AS k
+  FROM asked a JOIN spans s ON a.domain = s.domain AND a.fetched >= s.valid_from AND a.fetched < s.valid_to)
+SELECT c.page_id, c.host, c.fetched, h.page_id IS NOT NULL AS blocked, h.domain, h.category, h.valid_from
+FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.k = 1
+"""
+
+OP10 = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), true) AS opens,
+         length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?INST\]|SEP\]|/?s>)')) AS chars,
+         length(role) + len(regexp_extract_all(role, '[<\[]\\*(/?INST\]|SEP\]|/?s>)')) AS role_chars
+  FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(chars + CASE WHEN opens THEN 13 + role_chars + 4 ELSE 5 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_temporal_list": OP1, "op10_chat_relational": OP10}

@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, langid, mixing, pii, quality, simhash
+from . import chat, digest, langid, media, mixing, pii, quality, simhash, urlfilter
 from .common import table
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, fetched): pages have no date, so one within 2023 to 2025 stands for it, by page_id."""
+    day = F.date_add(F.lit("2023-01-01").cast("date"), ((F.col("page_id") * 7919) % 1095).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def block_list(pages: DataFrame) -> DataFrame:
+    """(domain, category, day, action): a dated list over the pages' own domains; what is listed when follows from a hash."""
+    names = pages.select(F.explode(urlfilter.domains(urlfilter.host(F.col("url")))).alias("domain")).where("domain is not null").distinct()
+    part = lambda a, n: F.conv(F.substring(F.md5("domain"), a, n), 16, 10).cast("int")
+    dealt = names.select("domain", part(1, 2).alias("v"), (part(3, 3) % 700).alias("d")).where("v < 128")
+    category = F.element_at(F.array(*map(F.lit, ("adult", "gambling", "malware", "spam"))), F.col("v") % 4 + 1)
+    steps = F.array(F.struct(F.lit(0).alias("after"), F.lit("add").alias("action")), F.struct(F.lit(90).alias("after"), F.lit("remove").alias("action")), F.struct(F.lit(200).alias("after"), F.lit("add").alias("action")))
+    used = F.slice(steps, 1, F.when(F.col("v") % 9 == 0, 3).when(F.col("v") % 3 == 0, 2).otherwise(1))
+    rows = dealt.select("domain", category.alias("category"), "d", F.explode(used).alias("s"))
+    return rows.select("domain", "category", F.date_add(F.lit("2023-01-01").cast("date"), F.col("d") + F.col("s.after")).alias("day"), "s.action")
+
+
+def op1_url_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = captures(spark, sf_dir)
+    return urlfilter.filtered(seen, block_list(seen))
+
+
 def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -23,6 +46,10 @@ def op3_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.sampled(table(spark, sf_dir, "documents"))
+
+
 def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
