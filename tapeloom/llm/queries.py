@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, langid, media, mixing, pii, quality, simhash, urlfilter
+from . import chat, digest, langid, media, mixing, pieces, pii, quality, simhash, urlfilter
 from .common import table
 
 
@@ -65,6 +65,15 @@ def op7_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, ranker).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+#: A SentencePiece model file; the environment's public tokenizers unless another is named.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_pieces_lattice(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model), decode=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
     return rows.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
