@@ -17,21 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of `df` by writing it to the session's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share.
 
-    The folder is the one named by spark.checkpoint.dir. Only a session that names none (a local test) gets a
-    temporary folder, and only if its master is local.
+    Only a session that names none (a local test) gets a temporary folder, and only if its master is local.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not (sc.master.startswith("local[") or sc.master == "local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
+    set_ = sc._jsc.sc().getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None)
+    if not shared:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="checkpoints-")
+    if not set_.isDefined():
         sc.setCheckpointDir(shared)
+    return shared
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of `df` by writing it to the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

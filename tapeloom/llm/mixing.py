@@ -151,15 +151,14 @@ def placed(docs: DataFrame, sources: list[Source], names: DataFrame, rows: int,
     return run.join(totals, ["src", "bucket"]).select("row", "doc_id", "source", "size", "src", (F.col("base") + F.col("start")).alias("start"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of documents' (doc_id, text, source).
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64("doc_id", F.lit("mix"), "text")
 
-    taken: the words that the mix takes of the document, repeats counted; at most three times its size. A null source is
-    a source of its own, the last. Texts that are null or blank have size 0 and nothing is taken of them. Repeated rows
-    are documents of their own. The same rows give the same mix.
-    """
+
+def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], block: int, seed: int) -> DataFrame:
+    """mixed, with the hash `row` of each row."""
     spark = docs.sparkSession
-    own = checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), sizes(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit("mix"), "text").alias("row")))
+    own = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text")).alias("size"), _row(docs).alias("row")))
     totals = [(r["source"], r["n"]) for r in own.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()]
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; give coarser ones")
@@ -168,9 +167,33 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block:
     at = checkpoint(placed(own, sources, names.select("src", "name"), own.count(), seed))
     times = slots(spark, sources, seed=seed).groupBy("src", "block").agg(F.count("*").alias("times"))
     end = F.col("start") + F.col("size")
-    cover = at.where("size > 0").select("src", "row", "doc_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
+    cover = at.where("size > 0").select("src", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     words = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     taken = cover.join(times, ["src", "block"]).groupBy(F.col("src").alias("of"), F.col("start").alias("from")).agg(F.sum(words * F.col("times")).alias("taken"))
     full = at.join(taken, (F.col("src") == F.col("of")) & (F.col("start") == F.col("from")) & (F.col("size") > 0), "left")
-    out = full.select("src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out.join(names, "src").select("doc_id", "size", "source_size", "target", "taken")
+    out = full.select("row", "src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(names, "src").select("row", "doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of documents' (doc_id, text, source).
+
+    taken: the words that the mix takes of the document, repeats counted; at most three times its size. A null source is
+    a source of its own, the last. Texts that are null or blank have size 0 and nothing is taken of them. Repeated rows
+    are documents of their own. The same rows give the same mix.
+    """
+    return _mixed_rows(docs, weights, block, seed).drop("row")
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """`docs`, each row as often as the mix takes its words: taken / size times, a fraction being decided by a hash.
+
+    So whole documents stand for the words that the mix takes, up to three times each; words per source come near their
+    targets. Documents that the mix doesn't take, and those without words, go. All columns stay as they are.
+    """
+    rows = _mixed_rows(docs, weights, block, seed).where("taken > 0").groupBy(F.col("row").alias("__row"), F.col("doc_id").alias("__id")).agg((F.sum("taken") / F.sum("size")).alias("ratio"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "__row", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = rows.select("__row", "__id", (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("int")).cast("int").alias("__times")).where("__times > 0")
+    own = docs.withColumn("__own", _row(docs))
+    joined = own.join(times, (F.col("__own") == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__n")).select(*docs.columns)

@@ -95,7 +95,7 @@ def _sub_buckets(x: np.ndarray, distance: int) -> Iterator[np.ndarray]:
         yield from np.split(order, np.flatnonzero(np.diff((x & mask)[order])) + 1)
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int, all_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows that stand together under one key, as pairs of rep; key is sorted."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -109,16 +109,39 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int
     for s, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=False):
         x, r = fp[s : s + n], rep[s : s + n]
         for rows in _sub_buckets(x, distance) if n > 4096 else [np.arange(n)]:
-            if len(rows) > 1 and (links := _tree(x[rows], distance)):
+            if len(rows) < 2:
+                continue
+            links = _pairs(x[rows], distance, 8) if all_pairs else _tree(x[rows], distance)
+            if links := _star(x[rows], distance) if links is None else links:
                 i, j = np.array(links).T
                 a.append(r[rows[i]])
                 b.append(r[rows[j]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def block_links(classes: DataFrame, distance: int, rows: int) -> DataFrame:
-    """(a, b), a < b: links that connect the classes (fp, rep) within `distance` bits, by a join on blocks."""
-    masks = block_masks(block_count(rows, distance), distance)
+def _pairs(x: np.ndarray, distance: int, few: int) -> list[tuple[int, int]] | None:
+    """All links (i, j), i < j, of x; None if there are more than `few` per row."""
+    out: list[tuple[int, int]] = []
+    for i in range(len(x) - 1):
+        near = np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= distance)
+        out += [(i, i + 1 + j) for j in near]
+        if len(out) > few * len(x):
+            return None
+    return out
+
+
+def _star(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """_tree, with the rows so ordered that the middle of the densest part comes first."""
+    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    order = np.argsort(np.abs(bits - (bits.mean(0) > 0.5)).sum(1), kind="stable")
+    return [(order[i], order[j]) for i, j in _tree(x[order], distance)]
+
+
+def block_links(classes: DataFrame, distance: int, masks: list[int], all_pairs: bool = False) -> DataFrame:
+    """(a, b), a < b: links that connect the classes (fp, rep) within `distance` bits, by a join on blocks.
+
+    With all_pairs, all links in a bucket unless it is dense (over 8 links a row): there, a tree of them.
+    """
 
     def signed(m: int) -> int:
         return m - (1 << 64) if m >> 63 else m
@@ -130,7 +153,7 @@ def block_links(classes: DataFrame, distance: int, rows: int) -> DataFrame:
 
         def links(part: list[np.ndarray]) -> pa.RecordBatch:
             key, fp, rep = part
-            x, y = bucket_links(key, fp.view(np.uint64), rep, distance)
+            x, y = bucket_links(key, fp.view(np.uint64), rep, distance, all_pairs)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -179,10 +202,129 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, distance: i
     fps = checkpoint(fingerprints(docs, words, seed))
     classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     named = classes.where(F.col("rep").isNotNull())
-    labels = components(block_links(named, distance, max(classes.count(), 1)))
+    masks = block_masks(block_count(classes.count(), distance), distance)
+    labels = components(block_links(named, distance, masks))
     joined = classes.join(labels, classes.rep == labels.id, "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     return fps.join(joined, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near copies by likeness of shingles
+
+#: Words of a shingle and the least share of shingles in common.
+SHINGLE, ALIKE = 5, 0.8
+#: Copies that are alike differ in at most so many bits of the fingerprint of their distinct words.
+ALIKE_BITS = 9
+
+
+def alike_masks(rows: int) -> list[int]:
+    """Keys for fingerprints that differ in up to ALIKE_BITS bits: equal in two of eight blocks, or more for more rows."""
+    blocks, equal = next(((b, k) for b, k in ((8, 2), (10, 3), (12, 4)) if rows <= 400 << (BITS * k // b)), (12, 4))
+    return block_masks(blocks, blocks - equal)
+
+
+def word_set_fingerprint(words: list[bytes]) -> int:
+    return simhash(np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64))
+
+
+def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
+    """The text's shingles as sorted 32-bit hashes, each once."""
+    return np.unique(shingle_hashes(text, words).astype(np.uint32))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Shingles in common, as a share of all; 1 for two empty sets."""
+    if not len(a) and not len(b):
+        return 1.0
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same / (len(a) + len(b) - same)
+
+
+def _identities(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, same): same is a wide hash of the text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.encode("utf-8", "replace").lower().split() for t in texts_of(batch)]
+            fp = np.array([word_set_fingerprint(w) for w in words], np.uint64).view(np.int64)
+            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(same, pa.binary())], names=["doc_id", "fp", "same"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, same binary")
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in texts_of(batch)], pa.binary())], names=["rep", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rep long, shingles binary")
+
+
+def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of links (a, b), those whose shingle sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([likeness(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= ALIKE for x, y in pairs], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    left = links.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, rounds: int = 6) -> DataFrame:
+    """(doc_id, kept): for each document that goes, the one that stays for it.
+
+    Copies by words are one class. Fingerprints of the classes' distinct words that differ in few bits are candidates,
+    met by blocks; a candidate pair counts if ALIKE of its SHINGLE-word shingles are in common. Joined classes leave
+    one, the smallest doc_id, for the next round, which looks for links among those that remain; so a dense group costs
+    each round a tree of links, not all pairs. It ends when no link is left to be looked at, at the latest
+    after `rounds`.
+    """
+    own = checkpoint(_identities(docs.where(F.col("doc_id").isNotNull())))
+    classes = checkpoint(own.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
+    masks = alike_masks(classes.count())
+    alive, tested, joined, sets = classes.select("rep", "fp"), None, None, None
+    for _ in range(rounds):
+        links = block_links(alive, ALIKE_BITS, masks, all_pairs=True)
+        if tested is not None:
+            links = links.join(tested, ["a", "b"], "left_anti")
+        links = checkpoint(links)
+        if links.isEmpty():
+            break
+        if sets is None:
+            named = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            sets = checkpoint(_shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi")).dropDuplicates(["rep"]))
+            alive = checkpoint(alive.join(named.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
+        good = components(_alike(links, sets))
+        tested = links if tested is None else checkpoint(tested.unionByName(links))
+        gone = checkpoint(good)
+        joined = gone if joined is None else checkpoint(joined.unionByName(gone))
+        alive = checkpoint(alive.join(gone.withColumnRenamed("id", "rep"), "rep", "left_anti"))
+    copies = own.join(classes.select("same", "rep"), "same").select("doc_id", "rep")
+    if joined is not None:
+        final = components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")))
+        copies = copies.join(final, copies.rep == final.id, "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
+    return copies.where("doc_id <> rep").select("doc_id", F.col("rep").alias("kept")).distinct()
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """`docs` less near copies: one document of each group stays, that of the smallest doc_id. All columns stay.
+
+    Null and blank texts are copies of one another. Rows that repeat a doc_id count as copies too: one of them stays.
+    Rows with a null doc_id stay.
+    """
+    gone = near_copies(docs)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    repeated = checkpoint(repeated)
+    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
