@@ -10,7 +10,7 @@ their first character, one more than they have; reading takes one away, so every
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The control strings. All begin with [ or <, which their other characters don't include.
@@ -26,9 +26,10 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + _REST, r"$1$2$3")
 
 
-def _slices(items: Column, starts: Column) -> Column:
-    """items cut before each of the positions `starts` (from 0)."""
-    return F.transform(starts, lambda s, i: F.slice(items, s + 1, F.coalesce(F.get(starts, i + 1), F.size(items)) - s))
+def _offsets(pieces: DataFrame, length: Column) -> Column:
+    """Code points of a conversation's pieces before each one."""
+    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(length).over(before), F.lit(0)).cast("int")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
@@ -36,61 +37,56 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
     loss: spans (start, length) in code points of the assistant's texts in `formatted`, in order. Turns are sorted by
     turn, then role and text; repeated rows stay. A null role or text counts as empty. A null conv_id is a conversation
-    of its own. A conversation is one row of the result, so its turns must fit into a row.
+    of its own. A conversation is one row of the result, so its turns must fit into a row; work grows as its length.
     """
-    turns = conversations.select(F.col("conv_id").cast("long"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    sorted_ = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    t = F.col("turns")
-    roles = F.transform(t, lambda x: x["role"])
-    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(roles, i) != F.get(roles, i - 1)))
-    messages = F.transform(_slices(t, starts), lambda m: F.struct(m[0]["role"].alias("role"), F.transform(m, lambda x: escape(x["text"])).alias("texts")))
-    merged = sorted_.select("conv_id", messages.alias("messages"))
-    # pieces: (string, is it under the loss mask) in the order of the output
-    pieces = F.flatten(
-        F.transform(
-            F.col("messages"),
-            lambda m: F.concat(
-                F.array(F.struct(F.concat(F.lit(ROLE), escape(m["role"]), F.lit(TEXT)).alias("s"), F.lit(False).alias("loss"))),
-                F.flatten(F.transform(m["texts"], lambda x, i: F.array(F.struct(F.when(i > 0, NEXT).otherwise("").alias("s"), F.lit(False).alias("loss")), F.struct(x.alias("s"), (m["role"] == "assistant").alias("loss"))))),
-                F.array(F.struct(F.lit(END).alias("s"), F.lit(False).alias("loss"))),
-            ),
-        )
-    )
-    cut = merged.select("conv_id", F.concat(F.array(F.struct(F.lit(BEGIN).alias("s"), F.lit(False).alias("loss"))), pieces).alias("p"))
-    state = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walked = F.aggregate(
-        "p",
-        state,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["s"])).alias("at"),
-            F.when(x["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(x["s"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return cut.select("conv_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"), walked.alias("loss"))
-
-
-def read_back(formatted_: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted) from (conv_id, formatted, loss): turns (role, text) as they were put in."""
-    body = F.substring("formatted", len(BEGIN) + 1, 2147483647)
-    messages = F.filter(F.split(body, END, -1), lambda m: m != "")
-    turn = lambda m: F.transform(
-        F.split(F.substring_index(m, TEXT, -1), r"\[SEP\]", -1),
-        lambda x: F.struct(unescape(F.replace(F.substring_index(m, TEXT, 1), F.lit(ROLE), F.lit(""))).alias("role"), unescape(x).alias("text")),
-    )
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return formatted_.select("conv_id", F.flatten(F.transform(messages, turn)).alias("turns"), loss.alias("loss_text"), "formatted")
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_ = conversations.select(F.col("conv_id").cast("long"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # each turn beside the one before it: a turn of the same role goes on with its message
+    roles = F.transform("turns", lambda t: t["role"])
+    last = sorted_.select("conv_id", "turns", F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, 1, F.size("turns") - 1)).alias("before"))
+    head = lambda t, b: F.when(b == t["role"], NEXT).otherwise(F.concat(F.when(b.isNull(), BEGIN).otherwise(END), F.lit(ROLE), escape(t["role"]), F.lit(TEXT)))
+    piece = lambda s, on: F.struct(s.alias("s"), on.alias("loss"))
+    pieces = F.flatten(F.zip_with("turns", "before", lambda t, b: F.array(piece(head(t, b), F.lit(False)), piece(escape(t["text"]), t["role"] == "assistant"))))
+    rows = last.select("conv_id", F.posexplode(F.concat(pieces, F.array(piece(F.lit(END), F.lit(False))))).alias("pos", "x")).select("conv_id", "pos", "x.s", "x.loss")
+    placed = rows.withColumn("start", _offsets(rows, F.length("s")))
+    span = F.when(F.col("loss"), F.struct("start", F.length("s").alias("length")))
+    joined = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("p"), F.array_sort(F.collect_list(F.struct("pos", span.alias("span")))).alias("l"))
+    loss = F.filter(F.transform("l", lambda x: x["span"]), lambda x: x.isNotNull())
+    return joined.select("conv_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"), loss.alias("loss"))
+
+
+def read_back(rows: DataFrame) -> DataFrame:
+    """(conv_id, turns, loss_text) from (conv_id, formatted, loss): turns (role, text) as they were put in.
+
+    The formatted string is taken apart at its control strings; a text counts towards loss_text if its place in the
+    string is a span of the mask.
+    """
+    messages = F.filter(F.split(F.substring("formatted", len(BEGIN) + 1, 2147483647), END, -1), lambda m: m != "")
+    parted = F.transform(messages, lambda m: F.struct(F.substring_index(m, TEXT, 1).alias("head"), F.split(F.substring_index(m, TEXT, -1), r"\[SEP\]", -1).alias("texts")))
+    size = lambda m, x, i: F.when(i == 0, F.length(m["head"]) + len(TEXT)).otherwise(F.lit(len(NEXT)))
+    after = lambda m, i: F.when(i == F.size(m["texts"]) - 1, len(END)).otherwise(0)
+    texts = F.flatten(F.transform(parted, lambda m: F.transform(m["texts"], lambda x, i: F.struct(m["head"].alias("head"), x.alias("raw"), size(m, x, i).alias("control"), after(m, i).alias("after")))))
+    parts = rows.select("conv_id", F.posexplode(texts).alias("pos", "x")).select("conv_id", "pos", "x.*")
+    placed = parts.withColumn("start", F.lit(len(BEGIN)) + F.col("control") + _offsets(parts, F.col("control") + F.length("raw") + F.col("after")))
+    spans = rows.select(F.col("conv_id").alias("of"), F.explode("loss").alias("x")).select("of", F.col("x.start").alias("at"), F.col("x.length").alias("length"))
+    masked = placed.join(spans, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("at")) & (F.length("raw") == F.col("length")), "left")
+    role = unescape(F.replace("head", F.lit(ROLE), F.lit("")))
+    turn = F.struct("pos", role.alias("role"), unescape(F.col("raw")).alias("text"), F.col("at").isNotNull().alias("on"))
+    back = masked.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return back.select("conv_id", "turns", F.array_join(F.transform(F.filter("turns", lambda t: t["on"]), lambda t: t["text"]), "").alias("loss_text"))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """What is read back from the formatted conversations, as counts and SHA-256 digests."""
-    back = read_back(formatted(conversations))
+    out = formatted(conversations)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    chars = out.select(F.col("conv_id").alias("of"), F.length("formatted").cast("long").alias("formatted_chars"))
+    back = read_back(out).join(chars, F.col("conv_id").eqNullSafe(F.col("of")))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )
