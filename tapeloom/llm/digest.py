@@ -9,6 +9,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, texts_of
 
+#: Bits of the sieve that keeps single texts from being compared: 8 MB.
+SIEVE_BITS = 1 << 26
+
 
 def canonical(text: str) -> str:
     if not text.isascii():
@@ -35,21 +39,41 @@ def fingerprint(text: str) -> str:
     return xxhash.xxh3_128_hexdigest(_bytes(canonical(text)))
 
 
+def _sieve(fps: DataFrame) -> np.ndarray:
+    """A bit set of SIEVE_BITS bits with those of the fingerprints `fps` (fp); of that size for any number of them."""
+    place = F.conv(F.substring("fp", 1, 12), 16, 10).cast("long") % SIEVE_BITS
+    words = fps.select(place.alias("k")).groupBy(F.shiftright("k", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, int(k & 7))")).alias("bits"))
+    rows = words.select("at", F.col("bits").cast("int").alias("bits")).toPandas()
+    out = np.zeros(SIEVE_BITS >> 3, np.uint8)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
+    return out
+
+
 def equal_groups(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """(doc_id, fp, group_id): group_id is the smallest doc_id with an equal canonical text.
 
-    fps: (doc_id, fp) of docs' (doc_id, text). Only buckets of two or more documents are compared. Canonical texts are a
-    grouping key there, so bytes are compared, and each task sends one row on for each text that it meets: copies in any
-    number don't meet in one task. If a bucket holds different texts, its members find theirs by a join on the text.
+    fps: (doc_id, fp) of docs' (doc_id, text). Only texts whose bucket has two or more documents are compared (and the
+    few that a sieve of fixed size takes for such). Canonical texts are a grouping key there, so bytes are compared, and
+    each task sends one row on for each text that it meets: copies in any number don't meet in one task. If a bucket
+    holds different texts, its members find theirs by a join on the text.
     """
     sizes = fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id"))
-    shared = checkpoint(fps.join(sizes.where("n > 1").select("fp"), "fp", "left_semi").select("doc_id", "fp"))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(sizes.where("n > 1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([canonical(t) for t in texts_of(batch)], pa.string())], names=["doc_id", "fp", "canonical"])
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                own = canonical(text)
+                fp = xxhash.xxh3_128_hexdigest(_bytes(own))
+                k = int(fp[:12], 16) % SIEVE_BITS
+                if bits[k >> 3] >> (k & 7) & 1:
+                    rows.append((doc_id, fp, own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.string()], strict=True)], names=["doc_id", "fp", "canonical"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(shared.distinct(), "doc_id").select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp string, canonical string")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp string, canonical string")
     variants = texts.groupBy("fp", "canonical").agg(F.min("doc_id").alias("group_id"))
     odd = checkpoint(variants.groupBy("fp").agg(F.count("*").alias("variants")).where("variants > 1"))
     if odd.isEmpty():
