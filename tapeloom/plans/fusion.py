@@ -76,13 +76,22 @@ def _indicators(words: tuple[str, ...]) -> str:
     return " + ".join(f"max(CAST(contains(lower(text), '{w}') AS INT))" for w in words)
 
 
-@query("WITH " + STATEMENTS + f""", c AS (
-  SELECT cluster, video_id, {_indicators(fusion.AGAINST)} AS a, {_indicators(fusion.FOR)} AS f, arg_min(text, pos) AS first FROM st GROUP BY 1, 2),
+OPINIONS = r"""
+op AS (SELECT CAST(doc_id // 4 AS BIGINT) AS cluster, CAST(doc_id % 4 AS VARCHAR) AS video_id, doc_id AS pos,
+  CASE WHEN doc_id % 3 = 0 THEN 'However, this was never so, but wrong: ' || text ELSE text END AS text FROM documents)"""
+
+
+@query("WITH " + OPINIONS + f""", c AS (
+  SELECT cluster, video_id, {_indicators(fusion.AGAINST)} AS a, {_indicators(fusion.FOR)} AS f, arg_min(text, pos) AS first FROM op GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN a > f THEN 'disagrees/negative' ELSE 'agrees/positive' END AS stance FROM c)
 SELECT cluster, count(*) AS videos, string_agg(video_id || '=' || stance || ': ' || left(first, 100) || '...', chr(10) ORDER BY video_id) AS positions
 FROM s GROUP BY cluster HAVING count(DISTINCT stance) > 1 AND count(*) > 1""")
 def conflict_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fusion.conflicts(_statements(spark, sf_dir))
+    """Four documents a cluster, every third of which is put as an objection: the texts hold none."""
+    k = F.col("doc_id")
+    text = F.when(k % 3 == 0, F.concat(F.lit("However, this was never so, but wrong: "), "text")).otherwise(F.col("text"))
+    rows = B.table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("cluster"), (k % 4).cast("string").alias("video_id"), k.alias("pos"), text.alias("text"))
+    found = fusion.conflicts(rows)
     written = F.array_join(F.transform(F.map_entries("positions"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
     return found.select("cluster", "videos", written.alias("positions"))
 
