@@ -105,7 +105,7 @@ def build(languages: list[str], docs: np.ndarray, words: dict[str, np.ndarray],
         by_script[script(w)] = by_script.get(script(w), 0) + n
     total = sum(by_script.values(), np.zeros(len(languages)))
     few = 0.002 * np.maximum(total, 1)
-    table = lambda x: np.array(list(x.values())).reshape(-1, len(languages))
+    table = lambda x: np.array(list(x.values()), float).reshape(len(x), len(languages))
     often = {w: n for w, n in words.items() if n.sum() >= 3}
     return Model(languages, np.log((docs + 1) / (docs.sum() + len(docs))), {s: n > few for s, n in by_script.items()}, dict(zip(often, range(len(often)), strict=True)), _log(table(often)), dict(zip(grams, range(len(grams)), strict=True)), _log(table(grams)))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -34,7 +34,7 @@ SPACE = "▁"
 LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 WORDS = re.compile(rf"{SPACE}*{OTHERS}*{LETTERS}+|{SPACE}*{OTHERS}+|{SPACE}+")
 #: Code points of a word in the lattice: its boundaries are the bits of a long. Longer words are merged one by one.
-MOST_CHARS = 62
+MOST_CHARS = 61
 #: Bytes of text in a chunk.
 CHUNK = 16 << 20
 
@@ -50,18 +50,14 @@ class Vocabulary:
     unknown: int
     longest: int
     unigram: bool = False
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("texts", "id_bytes")} | {"seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "raw"}
 
     @cached_property
-    def texts(self) -> dict[int, str]:
-        return {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
-
-    @cached_property
-    def id_bytes(self) -> dict[int, int]:
-        return {i: b for b, i in self.bytes_.items()}
+    def raw(self) -> dict[int, bytes]:
+        """What an id stands for, in UTF-8; control ids aren't in it."""
+        return {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes_.items()}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -87,6 +83,17 @@ class Vocabulary:
     def escaped(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def units(self, text: str) -> list[str]:
+        """The text between spaces: words of a unit are those of SPACE + unit. Without doubled spaces, words never span two.
+
+        A text with spaces side by side or with a space mark of its own is one unit, less the first mark.
+        """
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or SPACE in text:
+            return [text.replace(" ", SPACE)]
+        return text.split(" ")
+
     def merged(self, word: str) -> bytearray:
         """Boundaries 0 to len(word) of the word's pieces, 1 where there is one: the fold, for one word of any length."""
         n, rank = len(word), self.rank
@@ -118,25 +125,19 @@ class Vocabulary:
             return (i,)
         return tuple(self.bytes_[b] for b in piece.encode("utf-8", "replace")) if self.bytes_ else (self.unknown,)
 
-    def word_ids(self, word: str, mask: int | None = None) -> tuple[int, ...]:
+    def word_ids(self, word: str, mask: int | None = None) -> bytes:
+        """The word's ids as 32-bit integers, one after another."""
         pieces = self.cut(word, self.mask(word) if mask is None else mask)
-        return tuple(i for p in pieces for i in self.piece_ids(p))
+        return np.array([i for p in pieces for i in self.piece_ids(p)], "<i4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; spaces for the space mark, less the first one. Control ids and unknown ones give nothing."""
-        texts, raw, out = self.texts, self.id_bytes, []
-        pending = bytearray()
-        for i in ids:
-            if i in raw:
-                pending.append(raw[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending = bytearray()
-            out.append(texts.get(i, ""))
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out)
+        raw = self.raw
+        try:
+            out = b"".join(map(raw.__getitem__, ids))
+        except KeyError:
+            out = b"".join(raw.get(i, b"") for i in ids)
+        text = out.decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -147,22 +148,18 @@ class Vocabulary:
 # ---- the lattice
 
 
-def substrings(word: Column, longest: int, shortest: int) -> Column:
-    """Array of (s, e, sub): the word's substrings of `shortest` to `longest` characters."""
-    n = F.length(word)
-    starts = F.when(n >= shortest, F.sequence(F.lit(0), n - shortest)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(word, s + 1, k).alias("sub"))),
-        )
-    )
+def substrings(words: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """(word, s, e, sub): the substrings of `shortest` to `longest` characters of each word."""
+    n = F.length("word")
+    starts = words.where(n >= shortest).select("word", F.explode(F.sequence(F.lit(0), n - shortest)).alias("s"))
+    ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + shortest, F.least(F.col("s") + longest, n))).alias("e"))
+    return ends.select("word", "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("sub"))
 
 
 def lattice_masks(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, mask) of distinct words that have edges: the boundaries of a BPE model's pieces, bit k before character k."""
     one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
-    edges = words.select("word", F.explode(substrings(F.col("word"), longest, 2)).alias("x")).select("word", "x.s", "x.e", "x.sub")
+    edges = substrings(words, longest, 2)
     packed = F.shiftleft(F.col("rank"), 12) + F.col("e") * 64 + (63 - F.col("s"))
     matched = edges.join(F.broadcast(pieces.select("piece", "rank")), F.col("sub") == F.col("piece")).select("word", packed.alias("edge"))
     grouped = matched.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
@@ -182,7 +179,7 @@ def lattice_viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown:
     A character that is no piece is an edge of score `unknown`. Of equal sums, the path whose last piece is longest
     counts. The fold's state holds the best sum and path for each end so far.
     """
-    edges = words.select("word", F.explode(substrings(F.col("word"), longest, 1)).alias("x")).select("word", "x.s", "x.e", "x.sub")
+    edges = substrings(words, longest, 1)
     matched = edges.join(F.broadcast(pieces.select("piece", "score")), F.col("sub") == F.col("piece"), "left").where("piece is not null or e = s + 1")
     edge = F.struct("e", "s", F.coalesce("score", F.lit(unknown)).alias("score"), "sub")
     grouped = matched.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
@@ -252,39 +249,49 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
         v = shared.value
         for batch in batches:
             for chunk, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words: set[str] = set()
+                units: set[str] = set()
                 for text in _unpacked(blob)[1]:
-                    words.update(v.words(v.escaped(text or "")))
+                    units.update(v.units(text or ""))
+                words: set[str] = set()
+                for unit in units:
+                    words.update(v.words(SPACE + unit))
                 kept = [w for w in words if 1 < len(w) <= MOST_CHARS]
                 for i in range(0, len(kept), 50_000):
                     part = kept[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk))], names=["word", "chunk"])
 
     asked = packed.mapInArrow(distinct_words, "word string, chunk long").repartition("word")
-    masks = lattice_masks(asked.groupBy("word").agg(F.lit(1)).select("word"), vocabulary.table(spark), vocabulary.longest)
-    known = asked.join(masks, "word").select("chunk", "word", "mask")
+    # both columns are used here, so that this and the join below read one exchange
+    once = asked.groupBy("word").agg(F.min("chunk").alias("first")).where("first >= 0").select("word")
+    found = lattice_masks(once, vocabulary.table(spark), vocabulary.longest)
+
+    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            ids = [v.word_ids(w, m) for w, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
 
     def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).sort_by([("chunk", "ascending"), ("word", "ascending")])
+            rows = pa.Table.from_batches(held).sort_by("chunk").combine_chunks()
             ends = np.flatnonzero(np.diff(rows["chunk"].to_numpy(), append=-1)) + 1
             at = 0
             for end in ends:
-                part = rows.slice(at, end - at).combine_chunks()
-                blob = _dictionary(part["word"].to_pylist(), part["mask"].to_numpy())
-                yield pa.RecordBatch.from_arrays([part["chunk"].slice(0, 1).combine_chunks(), pa.array([blob], pa.binary())], names=["chunk", "words"])
+                part = rows.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([pa.array([part["chunk"][0].as_py()]), pa.array([_dictionary(part)], pa.binary())], names=["chunk", "words"])
                 at = end
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 2_000_000:
+            if sum(b.num_rows for b in held) >= 1_000_000:
                 yield from out()
-                held = []
+                held.clear()
         if held:
             yield from out()
 
+    known = asked.join(found.mapInArrow(with_ids, "word string, ids binary"), "word").select("chunk", "word", "ids")
     by_chunk = known.mapInArrow(dictionaries, "chunk long, words binary").groupBy("chunk").agg(F.collect_list("words").alias("words"))
     kind = "doc_id long, ids array<int>" + ", decoded string" * decode
 
@@ -293,43 +300,54 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
         for batch in batches:
             for k in range(batch.num_rows):
                 blob, parts = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or []
-                ids_of = _Ids(v)
+                ids_of = _Units(v)
                 for p in parts:
-                    ids_of.masks.update(_words(p))
+                    ids_of.words.update(_words(p))
                 doc_ids, texts = _unpacked(blob)
                 for i in range(0, len(doc_ids), 500):
-                    rows = [[x for w in v.words(v.escaped(t or "")) for x in ids_of[w]] for t in texts[i : i + 500]]
-                    columns = [pa.array(doc_ids[i : i + 500], pa.int64()), pa.array(rows, pa.list_(pa.int32()))]
+                    rows = [b"".join(map(ids_of.__getitem__, v.units(t or ""))) for t in texts[i : i + 500]]
+                    ids = np.frombuffer(b"".join(rows), "<i4")
+                    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
+                    columns = [pa.array(doc_ids[i : i + 500], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
                     if decode:
-                        columns.append(pa.array([v.decode(r) for r in rows], pa.string()))
+                        columns.append(pa.array([v.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return packed.join(by_chunk, "chunk", "left").select("blob", "words").mapInArrow(run, kind)
 
 
-class _Ids(dict):
-    """A word's ids, by its mask if there is one."""
+class _Units(dict):
+    """A unit's ids, put together from those of its words; words without an entry are merged here."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary, self.masks = vocabulary, {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self[word] = self.vocabulary.word_ids(word, self.masks.get(word))
+        self.vocabulary, self.words = vocabulary, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        known, out = self.words, []
+        for w in self.vocabulary.words(SPACE + unit):
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = self.vocabulary.word_ids(w)
+            out.append(ids)
+        found = b"".join(out)
+        if len(unit) <= 64:
+            self[unit] = found
         return found
 
 
-def _dictionary(words: list[str], masks: np.ndarray) -> bytes:
-    batch = pa.record_batch([pa.array(words, pa.string()), pa.array(masks)], names=["word", "mask"])
+def _dictionary(rows: pa.Table) -> bytes:
+    """Words and their ids, compressed."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
+    table = rows.select(["word", "ids"])
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
     return zlib.compress(sink.getvalue(), 1)
 
 
-def _words(blob: bytes) -> Iterator[tuple[str, int]]:
-    batch = pa.ipc.open_stream(zlib.decompress(blob)).read_next_batch()
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+def _words(blob: bytes) -> Iterator[tuple[str, bytes]]:
+    table = pa.ipc.open_stream(zlib.decompress(blob)).read_all()
+    return zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:

@@ -130,8 +130,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ran
     return fit(np.array(got["x"].tolist(), float).reshape(-1, len(NAMES)), got["quality"].to_numpy(int))
 
 
-def scored(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id if None) of every document and its score, double. A null text scores as an empty one."""
+def scored(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (doc_id if None) of every document and its score, double, as `name`.
+
+    A null text scores as an empty one. Rows are independent: repeated or null doc_ids keep their rows.
+    """
     keep = keep or ["doc_id"]
     at = len(keep)
 
@@ -139,8 +142,8 @@ def scored(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None) -> Da
         for batch in batches:
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float)
             score = ranker.score(x.reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score)], names=[*keep, name])
 
     out = docs.select(*keep, F.col("text").alias("__text"))
-    schema = out.drop("__text").schema.add("score", "double")
+    schema = out.drop("__text").schema.add(name, "double")
     return out.mapInArrow(run, schema)
