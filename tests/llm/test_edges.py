@@ -102,7 +102,7 @@ def test_conversations(spark):
     rows = [(1, 0, None, None, "x"), (1, 0, None, None, "x"), (1, None, "assistant", "a", "x"), (None, 0, "user", "u", "x"), (None, 1, "assistant", "", "x"), (2, 5, "assistant", "</s>[SEP]" * 2000, "x"), (2, 5, "assistant", "[\\INST]", "x")]
     out = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, schema)).collect()}
     assert {k: r["n_turns"] for k, r in out.items()} == {1: 3, None: 2, 2: 2}
-    assert out[2]["loss_chars"] == 9 * 2000 + 8 and out[None]["loss_chars"] == 0
+    assert out[2]["loss_chars"] == 9 * 2000 + len("[\\INST]") and out[None]["loss_chars"] == 0
     assert chat.digests(spark.createDataFrame([], schema)).collect() == []
 
 
