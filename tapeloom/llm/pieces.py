@@ -18,7 +18,6 @@ dictionary of its words. Nothing needs the whole vocabulary of the corpus in one
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -35,8 +34,8 @@ LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 WORDS = re.compile(rf"{SPACE}*{OTHERS}*{LETTERS}+|{SPACE}*{OTHERS}+|{SPACE}+")
 #: Code points of a word in the lattice: its boundaries are the bits of a long. Longer words are merged one by one.
 MOST_CHARS = 61
-#: Bytes of text in a chunk.
-CHUNK = 16 << 20
+#: Bytes of text in a chunk, and the level of its compression.
+CHUNK, LEVEL = 16 << 20, 6
 
 
 @dataclass
@@ -199,16 +198,19 @@ def lattice_viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown:
 
 
 def _packed(ids: list[int | None], texts: list[str | None]) -> bytes:
-    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return _compressed(pa.table([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"]))
+
+
+def _compressed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zlib.compress(sink.getvalue(), 1)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _unpacked(blob: bytes) -> tuple[list[int | None], list[str | None]]:
-    batch = pa.ipc.open_stream(zlib.decompress(blob)).read_next_batch()
-    return batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    table = pa.ipc.open_stream(blob).read_all()
+    return table.column(0).to_pylist(), table.column(1).to_pylist()
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -255,13 +257,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                 words: set[str] = set()
                 for unit in units:
                     words.update(v.words(SPACE + unit))
-                kept = [w for w in words if 1 < len(w) <= MOST_CHARS]
+                kept = sorted(w for w in words if 1 < len(w) <= MOST_CHARS)  # neighbours share beginnings: the exchange compresses better
                 for i in range(0, len(kept), 50_000):
                     part = kept[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk))], names=["word", "chunk"])
 
-    asked = packed.mapInArrow(distinct_words, "word string, chunk long").repartition("word")
-    # both columns are used here, so that this and the join below read one exchange
+    # this and the join below read one exchange: both use both columns, and what the optimizer infers of words stands here
+    asked = packed.mapInArrow(distinct_words, "word string, chunk long").where("word is not null and length(word) >= 2").repartition("word")
     once = asked.groupBy("word").agg(F.min("chunk").alias("first")).where("first >= 0").select("word")
     found = lattice_masks(once, vocabulary.table(spark), vocabulary.longest)
 
@@ -338,15 +340,11 @@ class _Units(dict):
 
 def _dictionary(rows: pa.Table) -> bytes:
     """Words and their ids, compressed."""
-    sink = pa.BufferOutputStream()
-    table = rows.select(["word", "ids"])
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return zlib.compress(sink.getvalue(), 1)
+    return _compressed(rows.select(["word", "ids"]))
 
 
 def _words(blob: bytes) -> Iterator[tuple[str, bytes]]:
-    table = pa.ipc.open_stream(zlib.decompress(blob)).read_all()
+    table = pa.ipc.open_stream(blob).read_all()
     return zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)
 
 
