@@ -12,12 +12,15 @@ lattice. A fold by Spark's aggregate over the edges finds the word's pieces:
   checks this for each of its pieces. Edges of equal priority come by their end, the shorter ones first.
 
 Words meet their documents by chunks of documents: a chunk sends each of its distinct words once, and gets back a
-dictionary of its words. Nothing needs the whole vocabulary of the corpus in one place.
+dictionary of its words. Nothing needs the whole vocabulary of the corpus in one place. Words that are frequent in a
+bounded sample go through the same lattice first and reach all tasks as a dictionary of bounded size; chunks needn't ask
+for them. A word's pieces depend on the word alone, so the sample changes what is sent, not what comes out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 SPACE = "▁"
 #: Words: spaces, then anything up to the end of a run of letters or to the next space.
 LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
@@ -36,6 +41,9 @@ WORDS = re.compile(rf"{SPACE}*{OTHERS}*{LETTERS}+|{SPACE}*{OTHERS}+|{SPACE}+")
 MOST_CHARS = 61
 #: Bytes of text in a chunk, and the level of its compression.
 CHUNK, LEVEL = 16 << 20, 6
+#: Words of the dictionary that every task has, at most, and documents that it is drawn from, about.
+COMMON_WORDS, COMMON_DOCS = 100_000, 5_000
+MARKS = frozenset(".,;:!?")
 
 
 @dataclass
@@ -79,6 +87,14 @@ class Vocabulary:
     def words(self, escaped: str) -> list[str]:
         return WORDS.findall(escaped)
 
+    def unit_words(self, unit: str) -> list[str]:
+        """words(SPACE + unit), sooner for letters alone and for letters with a mark behind them."""
+        if unit.isalpha():
+            return [SPACE + unit]
+        if unit[-1:] in MARKS and unit[:-1].isalpha():
+            return [SPACE + unit[:-1], unit[-1]]
+        return WORDS.findall(SPACE + unit)
+
     def escaped(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -237,6 +253,25 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "chunk long, blob binary").repartition("chunk")
 
 
+def common_words(docs: DataFrame, vocabulary: Vocabulary, most: int = COMMON_WORDS, sample: int = COMMON_DOCS) -> dict[str, bytes]:
+    """Ids of the words that occur most in about `sample` documents, by the lattice: `most` words at most."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                for unit in vocabulary.units(text):
+                    count.update(vocabulary.unit_words(unit))
+            kept = {w: n for w, n in count.items() if 1 < len(w) <= MOST_CHARS}
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+
+    few = bounded_sample(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id", sample)
+    words = few.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    top = words.orderBy(F.desc("n"), "word").limit(most).select("word")
+    masks = lattice_masks(top, vocabulary.table(docs.sparkSession), vocabulary.longest).collect()
+    return {r["word"]: vocabulary.word_ids(r["word"], r["mask"]) for r in masks}
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> DataFrame:
     """(doc_id, ids) of documents' (doc_id, text), and with `decode` the text read back, as the column decoded.
 
@@ -245,6 +280,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # the model's pieces: bounded
+    common = spark.sparkContext.broadcast(common_words(docs, vocabulary))  # COMMON_WORDS at most
     packed = chunks(docs)
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +292,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                     units.update(v.units(text or ""))
                 words: set[str] = set()
                 for unit in units:
-                    words.update(v.words(SPACE + unit))
+                    words.update(v.unit_words(unit))
+                words.difference_update(common.value)
                 kept = sorted(w for w in words if 1 < len(w) <= MOST_CHARS)  # neighbours share beginnings: the exchange compresses better
                 for i in range(0, len(kept), 50_000):
                     part = kept[i : i + 50_000]
@@ -298,11 +335,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
     kind = "doc_id long, ids array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, ids_of = shared.value, _Units(shared.value, common.value)
         for batch in batches:
             for k in range(batch.num_rows):
                 blob, parts = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or []
-                ids_of = _Units(v)
+                ids_of.renew()
                 for p in parts:
                     ids_of.words.update(_words(p))
                 doc_ids, texts = _unpacked(blob)
@@ -321,14 +358,20 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
 class _Units(dict):
     """A unit's ids, put together from those of its words; words without an entry are merged here."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, common: dict[str, bytes]) -> None:
         super().__init__()
-        self.vocabulary, self.words = vocabulary, {}
+        self.vocabulary, self.common, self.words = vocabulary, common, {}
+
+    def renew(self) -> None:
+        """For another chunk: its words are other ones, what units met so far consist of stays true."""
+        self.words = {}
+        if len(self) > 500_000:
+            self.clear()
 
     def __missing__(self, unit: str) -> bytes:
-        known, out = self.words, []
-        for w in self.vocabulary.words(SPACE + unit):
-            ids = known.get(w)
+        known, common, out = self.words, self.common, []
+        for w in self.vocabulary.unit_words(unit):
+            ids = known.get(w) or common.get(w)
             if ids is None:
                 ids = known[w] = self.vocabulary.word_ids(w)
             out.append(ids)
