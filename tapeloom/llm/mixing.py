@@ -169,8 +169,9 @@ def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], block: int, seed: i
     end = F.col("start") + F.col("size")
     cover = at.where("size > 0").select("src", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     words = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    taken = cover.join(times, ["src", "block"]).groupBy(F.col("src").alias("of"), F.col("start").alias("from")).agg(F.sum(words * F.col("times")).alias("taken"))
-    full = at.join(taken, (F.col("src") == F.col("of")) & (F.col("start") == F.col("from")) & (F.col("size") > 0), "left")
+    # merge joins: blocks compress so well in a shuffle that adaptive execution would broadcast all of them
+    taken = cover.join(times.hint("merge"), ["src", "block"]).groupBy(F.col("src").alias("of"), F.col("start").alias("from")).agg(F.sum(words * F.col("times")).alias("taken"))
+    full = at.join(taken.hint("merge"), (F.col("src") == F.col("of")) & (F.col("start") == F.col("from")) & (F.col("size") > 0), "left")
     out = full.select("row", "src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out.join(names, "src").select("row", "doc_id", "size", "source_size", "target", "taken")
 
@@ -195,5 +196,5 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), bloc
     chance = F.pmod(F.xxhash64(F.lit(seed), "__row", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = rows.select("__row", "__id", (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("int")).cast("int").alias("__times")).where("__times > 0")
     own = docs.withColumn("__own", _row(docs))
-    joined = own.join(times, (F.col("__own") == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    joined = own.join(times.hint("merge"), (F.col("__own") == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__n")).select(*docs.columns)
