@@ -173,13 +173,17 @@ def sequences(pages: DataFrame, key: str, html: str = "html", carry: tuple[str,
     return parsed.select(*kept, F.posexplode_outer("items").alias("pos", "item")).select(*kept, F.coalesce("pos", F.lit(0)).alias("pos"), "item.*")
 
 
+def once(store: DataFrame) -> DataFrame:
+    """One row for each digest of a store."""
+    return store.withColumn("__n", F.row_number().over(Window.partitionBy("digest").orderBy("digest"))).where("__n = 1").drop("__n")
+
+
 def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
     """`items` with the columns of `store` (digest, ...) by a join on the digest; null where the store has none.
 
     The store may hold a digest several times; one counts. Texts and unresolved references keep their rows.
     """
-    one = store.withColumn("__n", F.row_number().over(Window.partitionBy("digest").orderBy("digest"))).where("__n = 1").drop("__n")
-    return items.join(one, "digest", "left")
+    return items.join(once(store), "digest", "left")
 
 
 def interleaved(resolved: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -195,58 +199,69 @@ def figure(doc_id: int | None, digest: str, n_bytes: int) -> str:
     return f'<article><figure><img src="{SCHEME}{digest}" alt="text as samples"><figcaption>{caption}</figcaption></figure></article>'
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, html, digest, media) of documents' (doc_id, text): a page that refers to the text's image, and the image.
+def pages_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, html) of documents' (doc_id, text): a page that refers to the text's image by the payload's digest."""
 
-    A task writes the image of a text once, for the first of the copies that it meets; media is null for the others.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [figure(doc_id, hashlib.sha256(payload(text)).hexdigest(), len(text.encode("utf-8", "replace"))) for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string())], names=["doc_id", "html"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, html string")
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """(digest, media) of documents' texts: a media store. A task writes the image of a text once, not for each copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            pages, digests, media = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            digests, media = [], []
+            for text in texts_of(batch):
                 raw = payload(text)
                 digest = hashlib.sha256(raw)
-                new = digest.digest() not in seen
-                if new:
+                if digest.digest() not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(digest.digest())
-                pages.append(figure(doc_id, digest.hexdigest(), len(text.encode("utf-8", "replace"))))
-                digests.append(digest.hexdigest())
-                media.append(encode(raw) if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
+                    digests.append(digest.hexdigest())
+                    media.append(encode(raw))
+            if media:
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, html string, digest string, media binary")
+    return docs.select("text").mapInArrow(run, "digest string, media binary")
 
 
-def sampled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption).
+FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    Each text is stored as an image and read back from the store through its page: the page is parsed, its reference is
-    joined to the store, and the stored bytes are decoded. A null text counts as empty: 64 zero bytes. Repeated rows
-    keep their rows; a doc_id may be null.
-    """
-    written = stored(docs)
-    store = written.where(F.col("media").isNotNull()).select("digest", "media")
-    items = sequences(written.select("doc_id", "html"), "doc_id").where("kind = 'media'")
-    joined = resolve(items.select("doc_id", "digest", "caption"), store)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+def read_back(store: DataFrame) -> DataFrame:
+    """(digest, *FACTS) of a store's (digest, media), a row for each digest: what its stored bytes decode to."""
+    names = ["digest", *(x.split()[0] for x in FACTS.split(", "))]
+    types = [pa.string(), *(pa.int64() if " long" in x else pa.string() for x in FACTS.split(", "))]
+
+    def facts(media: bytes) -> tuple:
+        raw = decode(media)
+        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, tuple] = (b"", ())
         for batch in batches:
-            rows = []
-            for doc_id, media, caption in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if media != last[0]:
-                    raw = decode(media)
-                    last = (media, (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)))
-                n = int(caption.rsplit(" ", 2)[1])
-                rows.append((doc_id, n, *last[1], caption))
+            rows = [(digest, *facts(media)) for digest, media in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, caption string"
-    return joined.select("doc_id", "media", "caption").mapInArrow(run, schema)
+    return once(store).select("digest", "media").mapInArrow(run, f"digest string, {FACTS}")
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, *FACTS, caption) for each row of documents' (doc_id, text).
+
+    Each text is stored as an image; its page is parsed, and the page's reference is joined to what the stored bytes of
+    that digest decode to. Payloads are read once each, whatever their copies, and only a row of facts meets a digest's
+    references, so a much copied payload's join can be split. A null text counts as empty: 64 zero bytes. Repeated rows
+    keep their rows; a doc_id may be null.
+    """
+    items = sequences(pages_of(docs), "doc_id").where("kind = 'media'")
+    joined = items.select("doc_id", "digest", "caption").join(read_back(stored(docs)).hint("merge"), "digest", "left")
+    n_bytes = F.regexp_extract("caption", r"(\d+) bytes$", 1).cast("long").alias("n_bytes")
+    return joined.select("doc_id", n_bytes, *(x.split()[0] for x in FACTS.split(", ")), "caption")
