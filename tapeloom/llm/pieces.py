@@ -39,8 +39,8 @@ LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 WORDS = re.compile(rf"{SPACE}*{OTHERS}*{LETTERS}+|{SPACE}*{OTHERS}+|{SPACE}+")
 #: Code points of a word in the lattice: its boundaries are the bits of a long. Longer words are merged one by one.
 MOST_CHARS = 61
-#: Bytes of text in a chunk, and the level of its compression.
-CHUNK, LEVEL = 16 << 20, 6
+#: Characters of text in a chunk, the level of its compression, and units whose ids a task keeps from chunk to chunk.
+CHUNK, LEVEL, MOST_UNITS = 8 << 20, 6, 200_000
 #: Words of the dictionary that every task has, at most, and documents that it is drawn from, about.
 COMMON_WORDS, COMMON_DOCS = 100_000, 5_000
 MARKS = frozenset(".,;:!?")
@@ -365,7 +365,7 @@ class _Units(dict):
     def renew(self) -> None:
         """For another chunk: its words are other ones, what units met so far consist of stays true."""
         self.words = {}
-        if len(self) > 500_000:
+        if len(self) > MOST_UNITS:
             self.clear()
 
     def __missing__(self, unit: str) -> bytes:

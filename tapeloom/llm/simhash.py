@@ -265,8 +265,8 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            keep = pa.array([likeness(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= ALIKE for x, y in pairs], pa.bool_())
+            pairs = zip(batch.column(2), batch.column(3), strict=True)  # read in place: sets of long texts are large
+            keep = pa.array([likeness(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= ALIKE for x, y in pairs], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     left = links.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
