@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, slices, tidy
 
 SPACE = "▁"
 #: Words: spaces, then anything up to the end of a run of letters or to the next space.
@@ -239,7 +239,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([_packed(ids, texts)], pa.binary())], names=["chunk", "blob"])
 
         ids, texts, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 texts.append(text)
@@ -250,14 +250,14 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         if ids:
             yield out(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "chunk long, blob binary").repartition("chunk")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "chunk long, blob binary").repartition("chunk")
 
 
 def common_words(docs: DataFrame, vocabulary: Vocabulary, most: int = COMMON_WORDS, sample: int = COMMON_DOCS) -> dict[str, bytes]:
     """Ids of the words that occur most in about `sample` documents, by the lattice: `most` words at most."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             count: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 for unit in vocabulary.units(text):
@@ -266,7 +266,7 @@ def common_words(docs: DataFrame, vocabulary: Vocabulary, most: int = COMMON_WOR
             yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
 
     few = bounded_sample(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id", sample)
-    words = few.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    words = few.select("text").mapInArrow(tidy(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     top = words.orderBy(F.desc("n"), "word").limit(most).select("word")
     masks = lattice_masks(top, vocabulary.table(docs.sparkSession), vocabulary.longest).collect()
     return {r["word"]: vocabulary.word_ids(r["word"], r["mask"]) for r in masks}
@@ -300,7 +300,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk))], names=["word", "chunk"])
 
     # this and the join below read one exchange: both use both columns, and what the optimizer infers of words stands here
-    asked = packed.mapInArrow(distinct_words, "word string, chunk long").where("word is not null and length(word) >= 2").repartition("word")
+    asked = packed.mapInArrow(tidy(distinct_words), "word string, chunk long").where("word is not null and length(word) >= 2").repartition("word")
     once = asked.groupBy("word").agg(F.min("chunk").alias("first")).where("first >= 0").select("word")
     found = lattice_masks(once, vocabulary.table(spark), vocabulary.longest)
 
@@ -324,14 +324,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 1_000_000:
+            if sum(b.num_rows for b in held) >= 250_000:
                 yield from out()
                 held.clear()
         if held:
             yield from out()
 
-    known = asked.join(found.mapInArrow(with_ids, "word string, ids binary"), "word").select("chunk", "word", "ids")
-    by_chunk = known.mapInArrow(dictionaries, "chunk long, words binary").groupBy("chunk").agg(F.collect_list("words").alias("words"))
+    known = asked.join(found.mapInArrow(tidy(with_ids), "word string, ids binary"), "word").select("chunk", "word", "ids")
+    by_chunk = known.mapInArrow(tidy(dictionaries), "chunk long, words binary").groupBy("chunk").agg(F.collect_list("words").alias("words"))
     kind = "doc_id long, ids array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +352,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                         columns.append(pa.array([v.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return packed.join(by_chunk, "chunk", "left").select("blob", "words").mapInArrow(run, kind)
+    return packed.join(by_chunk, "chunk", "left").select("blob", "words").mapInArrow(tidy(run), kind)
 
 
 class _Units(dict):
@@ -400,4 +400,4 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> Dat
             texts = [None if r is None else shared.value.decode(r) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return rows.select(key, "ids").mapInArrow(run, rows.select(key).schema.add("text", "string"))
+    return rows.select(key, "ids").mapInArrow(tidy(run), rows.select(key).schema.add("text", "string"))

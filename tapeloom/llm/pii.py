@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, texts_of
+from .common import record_batch, slices, texts_of, tidy
 
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "login", "contact")
 Span = tuple[int, int]
@@ -174,12 +174,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [find(t) for t in texts_of(batch)]
             out = {f"n_{k}": [len(r[k]) for r in rows] for k in KINDS[:4]}
             yield record_batch(out | {"doc_id": batch.column(0).to_pylist(), "base": [joined(r, KINDS[:4]) for r in rows], "spans": [joined(r) for r in rows]}, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -187,9 +187,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = [t if t is None else redact(t, find(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

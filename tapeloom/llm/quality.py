@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, texts_of
+from .common import bounded_sample, slices, texts_of, tidy
 
 CUT = 0.3
 #: Labelled documents to fit on, and preference pairs drawn from them.
@@ -122,11 +122,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ran
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id")  # at most about `most` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    got = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.select("doc_id", "quality", "text").mapInArrow(tidy(run), "doc_id long, quality long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     return fit(np.array(got["x"].tolist(), float).reshape(-1, len(NAMES)), got["quality"].to_numpy(int))
 
 
@@ -139,11 +139,11 @@ def scored(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, name:
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float)
             score = ranker.score(x.reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score)], names=[*keep, name])
 
     out = docs.select(*keep, F.col("text").alias("__text"))
     schema = out.drop("__text").schema.add(name, "double")
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)

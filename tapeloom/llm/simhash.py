@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts_of
+from .common import checkpoint, slices, texts_of, tidy
 
 BITS = 64
 
@@ -50,11 +50,11 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([simhash(shingle_hashes(t, words, seed)) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def block_count(rows: int, distance: int) -> int:
@@ -168,7 +168,7 @@ def block_links(classes: DataFrame, distance: int, masks: list[int], all_pairs:
             yield links(held)
 
     dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,35 +243,35 @@ def _identities(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, same): same is a wide hash of the text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words = [t.encode("utf-8", "replace").lower().split() for t in texts_of(batch)]
             fp = np.array([word_set_fingerprint(w) for w in words], np.uint64).view(np.int64)
             same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(same, pa.binary())], names=["doc_id", "fp", "same"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, same binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long, same binary")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in texts_of(batch)], pa.binary())], names=["rep", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rep long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "rep long, shingles binary")
 
 
 def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
     """Of links (a, b), those whose shingle sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(batch.column(2), batch.column(3), strict=True)  # read in place: sets of long texts are large
             keep = pa.array([likeness(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= ALIKE for x, y in pairs], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     left = links.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, rounds: int = 6) -> DataFrame:
