@@ -167,7 +167,7 @@ def block_links(classes: DataFrame, distance: int, masks: list[int], all_pairs:
         if held and len(held[0]):
             yield links(held)
 
-    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
+    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key", "fp", "rep")
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
