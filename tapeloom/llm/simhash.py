@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, texts_of, tidy
+from .common import bounded_sample, checkpoint, slices, texts_of, tidy
 
 BITS = 64
 
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, distance: i
 
 #: Words of a shingle and the least share of shingles in common.
 SHINGLE, ALIKE = 5, 0.8
-#: Copies that are alike differ in at most so many bits of the fingerprint of their distinct words.
+#: Fingerprints of distinct words that differ in at most so many bits make candidates of the first, quick search.
 ALIKE_BITS = 9
 
 
@@ -274,6 +274,165 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
+# ---- the exact join: every pair at ALIKE shares a shingle of both prefixes
+
+#: Documents whose shingles are counted, and shingles that count as usual at most: they order the prefixes, no more.
+USUAL_DOCS, MOST_USUAL = 20_000, 50_000
+#: Bits of a sketch: the parity of how many shingles fall on each.
+SKETCH = 1024
+
+
+def prefix_size(n: int) -> int:
+    """Of sets of n shingles and any other in one order, those ALIKE have one of their first so many in common."""
+    return n - int(np.ceil(ALIKE * n - 1e-6)) + 1 if n else 0
+
+
+def most_unlike(n: np.ndarray) -> np.ndarray:
+    """The most shingles that are in one of two sets only, if they are ALIKE and n is the sum of their sizes."""
+    return n - 2 * np.ceil(ALIKE / (1 + ALIKE) * n - 1e-6).astype(np.int64)
+
+
+def usual_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that several documents of a sample have, the rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2_000):
+            sets = [shingle_set(t) for t in texts_of(batch)]
+            key, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counted = bounded_sample(docs, "doc_id", USUAL_DOCS).select("text").mapInArrow(tidy(run), "key long, n long")
+    top = counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_USUAL)
+    return np.array([r["key"] for r in top.collect()][::-1], np.uint32)
+
+
+def ordered_prefix(shingles: np.ndarray, usual: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set: shingles that aren't usual by their hash, then usual ones; usual is sorted."""
+    place = np.zeros(len(shingles), np.int64)
+    if len(usual):
+        at = np.minimum(np.searchsorted(usual, shingles), len(usual) - 1)
+        place = np.where(usual[at] == shingles, rank[at] + 1, 0)
+    return shingles[np.argsort(place, kind="stable")][: prefix_size(len(shingles))]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Two sketches differ in no more bits than there are shingles in one of the two sets only."""
+    return np.packbits(np.bincount(shingles % SKETCH, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+def _prefixes(docs: DataFrame, usual: np.ndarray) -> DataFrame:
+    """(rep, n, sketch, keys): the size of a text's shingle set, its sketch and its prefix in order."""
+    order = np.argsort(usual)
+    shared = docs.sparkSession.sparkContext.broadcast((usual[order], order))  # bounded by MOST_USUAL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t) for t in texts_of(batch)]
+            keys = pa.array([ordered_prefix(s, *shared.value).astype(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.binary()), keys], names=["rep", "n", "sketch", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "rep long, n int, sketch binary, keys array<long>")
+
+
+def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of rep under one key that may be alike, and the places of rows to be looked at again.
+
+    key is sorted; pos is the key's place in the row's order. A bucket of more than `most` rows has its first `most`
+    held against all; its others come again. A pair that is alike passes at the first shingle in common.
+    """
+    a, b, again = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    of, n, pos = np.repeat(sizes, sizes), n.astype(np.int64), pos.astype(np.int64)
+
+    def meet(x: np.ndarray | int, y: np.ndarray) -> None:
+        unlike = pos[x] + pos[y] + np.abs(n[x] - pos[x] - n[y] + pos[y])
+        y_ok = (unlike <= most_unlike(n[x] + n[y])) & (rep[x] != rep[y])
+        a.append(np.broadcast_to(rep[x], len(y))[y_ok])
+        b.append(rep[y[y_ok]])
+
+    few = np.flatnonzero((of > 1) & (of <= most))
+    for step in range(1, most):
+        few = few[few + step < len(key)]
+        few = few[key[few + step] == key[few]]
+        if not len(few):
+            break
+        meet(few, few + step)
+    for s, m in zip(starts[sizes > most], sizes[sizes > most], strict=True):
+        for i in range(s, s + most):
+            meet(i, np.arange(i + 1, s + m))
+        if m > most + 1:
+            again.append(np.arange(s + most, s + m))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(again)
+
+
+def _met(dealt: DataFrame, most: int) -> DataFrame:
+    """Of (key, rep, n, pos): pairs as (a, b), with key null, and rows to be looked at again, with a and b null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            x, y, again = prefix_links(*part, most)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            none = lambda k, kind: pa.nulls(k, kind)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(none(pairs.shape[1], k) for k in kinds)], names=["a", "b", "key", "rep", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([none(len(again), kinds[0]), none(len(again), kinds[0]), *(pa.array(c[again]) for c in part)], names=["a", "b", "key", "rep", "n", "pos"])
+
+        for batch in batches:
+            new = [batch.column(i).to_numpy() for i in range(4)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield from out([x[:cut] for x in held])
+                held = [x[cut:].copy() for x in held]
+        if held and len(held[0]):
+            yield from out(held)
+
+    rows = dealt.select("key", "rep", "n", "pos").repartition("key").sortWithinPartitions("key", "rep")
+    return rows.mapInArrow(tidy(run), "a long, b long, key long, rep long, n int, pos int")
+
+
+def _close(links: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of links (a, b), those whose sketches (rep, n, sketch) don't rule out that they are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("x", "y"))
+            n = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
+            keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most_unlike(n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = links.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x")), "a")
+    both = left.join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def prefix_copies(docs: DataFrame, alive: DataFrame) -> DataFrame:
+    """(id, label): of the documents (rep) of `alive`, those that go, and one each that they are joined to.
+
+    No two of those that stay are ALIKE. Dense buckets take several rounds: each holds some rows against all others and
+    goes on with what is left, until nothing is.
+    """
+    prefixes = checkpoint(_prefixes(docs, usual_shingles(docs)).join(alive, "rep", "left_semi"))
+    dealt = prefixes.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
+    sketches = prefixes.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    most, joined = 64, None
+    while True:
+        met = checkpoint(_met(dealt, most))
+        links = checkpoint(_close(met.where("key is null").select("a", "b").distinct(), sketches))
+        named = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        few = F.broadcast(named) if links.count() <= 200_000 else named  # up to 400,000 ids
+        sets = checkpoint(_shingle_sets(docs.select("doc_id", "text").join(few, "doc_id", "left_semi")).dropDuplicates(["rep"]))
+        gone = checkpoint(components(_alike(links, sets)))
+        joined = gone if joined is None else checkpoint(joined.unionByName(gone))
+        dealt = met.where("key is not null").select("key", "rep", "n", "pos").join(gone.select(F.col("id").alias("rep")), "rep", "left_anti")
+        if dealt.isEmpty():
+            return joined
+        most *= 2
+
+
 def near_copies(docs: DataFrame, rounds: int = 6) -> DataFrame:
     """(doc_id, kept): for each document that goes, the one that stays for it.
 
@@ -303,10 +462,12 @@ def near_copies(docs: DataFrame, rounds: int = 6) -> DataFrame:
         gone = checkpoint(good)
         joined = gone if joined is None else checkpoint(joined.unionByName(gone))
         alive = checkpoint(alive.join(gone.withColumnRenamed("id", "rep"), "rep", "left_anti"))
+    left = classes.select("rep") if joined is None else classes.select("rep").join(joined.select(F.col("id").alias("rep")), "rep", "left_anti")
+    more = prefix_copies(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), checkpoint(left))
+    joined = more if joined is None else joined.unionByName(more)
     copies = own.join(classes.select("same", "rep"), "same").select("doc_id", "rep")
-    if joined is not None:
-        final = components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")))
-        copies = copies.join(final, copies.rep == final.id, "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
+    final = components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    copies = copies.join(final, copies.rep == final.id, "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
     return copies.where("doc_id <> rep").select("doc_id", F.col("rep").alias("kept")).distinct()
 
 

@@ -336,6 +336,51 @@ def test_near_copies_go(spark):
     assert sorted(group[i] for i in kept) == sorted({*group.values()})
 
 
+def plain_survivors_are_unlike(sets, kept):
+    return not [(a, b) for a, b in itertools.combinations(sorted(kept), 2) if simhash.likeness(sets[a], sets[b]) >= simhash.ALIKE]
+
+
+def test_near_copies_beyond_the_bit_bound_go(spark):
+    """Cut, extended and edited copies at a likeness of 0.80 to 0.85, some more than ALIKE_BITS bits apart."""
+    own = random.Random(21)
+    docs, true, far = [], 0, 0
+    for g in range(120):
+        base = [f"g{g}w{own.randint(0, 400)}" for _ in range(60)]
+        new = [f"x{g}n{k}" for k in range(12)]
+        copy = (base[: 60 - 10], base + new, base[:30] + new[:1] + base[31:])[g % 3]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        words = [t.encode().split() for _, t in docs[-2:]]
+        close = simhash.likeness(*(simhash.shingle_set(t) for _, t in docs[-2:])) >= simhash.ALIKE
+        true += close
+        far += close and (simhash.word_set_fingerprint(words[0]) ^ simhash.word_set_fingerprint(words[1])).bit_count() > simhash.ALIKE_BITS
+    assert true >= 100 and far >= 10
+    kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert len(kept) == len(docs) - true and plain_survivors_are_unlike({i: simhash.shingle_set(t) for i, t in docs}, kept)
+
+
+def test_prefix_join_finds_all_pairs():
+    """Also in buckets that take several rounds."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(1 << 20, int(rng.integers(1, 60)), replace=False)
+        sets += [np.unique(np.r_[base[int(rng.integers(0, 3)) :], rng.choice(1 << 20, int(rng.integers(0, 4)))]).astype(np.uint32) for _ in range(6)]
+    usual = np.unique(np.concatenate(sets))[::5]
+    rank = rng.permutation(len(usual))
+    rows = [(k, i, len(s), p) for i, s in enumerate(sets) for p, k in enumerate(simhash.ordered_prefix(s, usual, rank))]
+    for most in (1, 2, 64):
+        found, part = set(), sorted(rows)
+        while part:
+            a, b, again = simhash.prefix_links(*np.array(part, np.int64).T, most)
+            found |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+            part = [part[i] for i in again]
+        true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if simhash.likeness(sets[i], sets[j]) >= simhash.ALIKE}
+        assert true and true <= found
+    for i, j in true:
+        differ = np.bitwise_count(np.frombuffer(simhash.sketch(sets[i]), np.uint8) ^ np.frombuffer(simhash.sketch(sets[j]), np.uint8)).sum()
+        assert differ <= simhash.most_unlike(np.array(len(sets[i]) + len(sets[j])))
+
+
 # ---- 10
 
 
