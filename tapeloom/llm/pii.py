@@ -30,12 +30,23 @@ ACCOUNT_CUES = ("iban", "account no", "account number", "account:", "acct", "rou
 SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "passwd", "access_key")
 CONTACT_SCHEMES = ("mailto:", "tel:", "sip:", "sips:", "xmpp:", "skype:")
 
+# The length of an IBAN by its country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+((?:\.[0-9]+){3})")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ACCOUNT_VALUE = re.compile(r"[\s#:.=]{0,4}([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+ACCOUNT_LEAD = re.compile(r"[\s#:.=]{0,4}(?=[A-Za-z]{0,4}[0-9])")
+ACCOUNT_PART = re.compile(r"[ -]?([A-Za-z0-9]+)")
 SECRET_VALUE = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{16,512})(?![A-Za-z0-9_+/.-])")
 LOGIN_VALUE = re.compile(r"([^\s/?#@:]{1,64}:[^\s/?#@]{1,128})@[A-Za-z0-9.-]+")
 CONTACT_VALUE = re.compile(r"[A-Za-z0-9.@_%+-]{3,254}")
@@ -127,6 +138,30 @@ def find(text: str) -> dict[str, list[Span]]:
     return found
 
 
+def _account(text: str, start: int) -> Span | None:
+    """The account value that begins at `start`: an IBAN by its country's length and check digits, or by these alone, or
+    else all parts up to the last one with a digit, if they hold six digits.
+
+    Parts are split by single blanks or hyphens. If it is no IBAN, a part with a lower-case letter, or of letters alone
+    and over four of them, is not part of the value.
+    """
+    ends, at, size, plain = [], start, 0, True
+    while (plain or size < 34) and (m := ACCOUNT_PART.match(text, at)) and (at > start or m.start(1) == start):
+        at = m.end()
+        size += len(m[1])
+        digits = sum(c.isdigit() for c in m[1])
+        plain = plain and not any(c.islower() for c in m[1]) and (digits > 0 or len(m[1]) <= 4)
+        ends.append((at, size, digits, plain))
+    length = IBAN_LENGTHS.get(text[start : start + 2].upper())
+    short = [x for x in ends if x[1] <= 34 and (x[1] == length or x[2])]
+    for e, *_ in sorted(short, key=lambda x: (x[1] != length, -x[0])):
+        if iban(text[start:e]):
+            return start, e
+    value = [x for x in ends if x[3]]
+    last = max((e for e, _, digits, _ in value if digits), default=start)
+    return (start, last) if sum(digits for _, _, digits, _ in value) >= 6 else None
+
+
 def _more(text: str, anchors: dict[str, list[int]], found: dict[str, list[Span]]) -> None:
     def values(what: str, pattern: re.Pattern, group: int = 1) -> Iterator[Span]:
         end = 0
@@ -135,10 +170,11 @@ def _more(text: str, anchors: dict[str, list[int]], found: dict[str, list[Span]]
                 yield m.span(group)
                 end = m.end(group)
 
-    for s, e in values("account", ACCOUNT_VALUE):
-        value = text[s:e]
-        if iban(value) or sum(c.isdigit() for c in value) >= 6 and not any(c.islower() for c in value):
-            found["account"].append((s, e))
+    end = 0
+    for a in anchors.get("account", ()):
+        if a + 1 >= end and (m := ACCOUNT_LEAD.match(text, a + 1)) and (span := _account(text, m.end())):
+            found["account"].append(span)
+            end = span[1]
     for s, e in values("secret", SECRET_VALUE):
         value = text[s:e]
         if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):

@@ -123,6 +123,18 @@ def test_added_spans():
     assert pii.redact(clean, pii.find(clean)) == clean
 
 
+def test_accounts_in_prose():
+    cases = {
+        "IBAN: DE89370400440532013000 please pay this": "DE89370400440532013000", "Account number: 12345678 is closed": "12345678", "IBAN GB29 NWBK 6016 1331 9268 19 was used": "GB29 NWBK 6016 1331 9268 19",
+        "iban de89 3704 0044 0532 0130 00 in lower case": "de89 3704 0044 0532 0130 00", "acct 123-456-789 and 5 more": "123-456-789", "Account number: " + "1234 " * 20 + "and more": ("1234 " * 20).strip(),
+        "IBAN NO9386011117947 AND MORE": "NO9386011117947", "passport: 12 AB 345678, seen": "12 AB 345678",
+    }
+    for text, value in cases.items():
+        assert [text[s:e] for s, e in pii.find(text)["account"]] == [value], text
+        assert value not in pii.redact(text, pii.find(text))
+    assert not pii.find("Account number: 12345 is short, account no 7 of 2019 too")["account"]
+
+
 # ---- 4
 
 
