@@ -47,8 +47,8 @@ CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ACCOUNT_LEAD = re.compile(r"[\s#:.=]{0,4}(?=[A-Za-z]{0,4}[0-9])")
 ACCOUNT_PART = re.compile(r"[ -]?([A-Za-z0-9]+)")
-SECRET_VALUE = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{16,512})(?![A-Za-z0-9_+/.-])")
-LOGIN_VALUE = re.compile(r"([^\s/?#@:]{1,64}:[^\s/?#@]{1,128})@[A-Za-z0-9.-]+")
+SECRET_VALUE = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{16,})")
+LOGIN_VALUE = re.compile(r"([^\s/?#@:]+:[^\s/?#@]+)@[A-Za-z0-9.-]+")
 CONTACT_VALUE = re.compile(r"[A-Za-z0-9.@_%+-]{3,254}")
 
 

@@ -135,6 +135,15 @@ def test_accounts_in_prose():
     assert not pii.find("Account number: 12345 is short, account no 7 of 2019 too")["account"]
 
 
+def test_long_secrets_and_logins():
+    for n in (16, 512, 513, 5_000, 200_000):
+        text = f"token={'a1' * (n // 2) + 'b' * (n % 2)} end"
+        assert pii.find(text)["secret"] == [(6, 6 + n)]
+    text = f"see https://{'u' * 65}:{'p' * 400}@host.org/x"
+    assert "uu" not in pii.redact(text, pii.find(text))
+    assert pii.find(text)["login"] == [(12, 12 + 65 + 1 + 400)]
+
+
 # ---- 4
 
 
