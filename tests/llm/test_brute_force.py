@@ -379,6 +379,18 @@ def test_near_copies_beyond_the_bit_bound_go(spark):
     assert len(kept) == len(docs) - true and plain_survivors_are_unlike({i: simhash.shingle_set(t) for i, t in docs}, kept)
 
 
+def test_dense_blocks_leave_no_copy(spark):
+    """Families of the same words in other orders: their fingerprints are close, their shingles aren't."""
+    own = random.Random(4)
+    words = [f"v{k}" for k in range(60)]
+    docs = []
+    for g in range(200):
+        base = own.sample(words, len(words))
+        docs += [(5 * g + k, " ".join([*base, f"e{g}x{k}"])) for k in range(5)]
+    kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [5 * g for g in range(200)]
+
+
 def test_prefix_join_finds_all_pairs():
     """Also in buckets that take several rounds."""
     rng = np.random.default_rng(8)
