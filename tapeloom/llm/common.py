@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """The first columns of batches sorted by the first one, as arrays that end only where its value changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        new = [batch.column(i).to_numpy() for i in range(columns)]
+        if not len(new[0]):
+            continue
+        cut = int(np.searchsorted(new[0], new[0][-1]))  # the last value may go on in the next batch
+        if cut or (held and held[-1][0][-1] != new[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)]
+            held = []
+        held.append([x[cut:] for x in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def positional(rows: DataFrame) -> DataFrame:
+    """`rows` with its columns named c0, c1, ... by place: no name of theirs then clashes or needs quoting."""
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+
+
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, slices, texts_of, tidy
+from .common import bounded_sample, checkpoint, positional, runs, slices, texts_of, tidy
 
 BITS = 64
 
@@ -95,7 +95,7 @@ def _sub_buckets(x: np.ndarray, distance: int) -> Iterator[np.ndarray]:
         yield from np.split(order, np.flatnonzero(np.diff((x & mask)[order])) + 1)
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int, all_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows that stand together under one key, as pairs of rep; key is sorted."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -111,36 +111,17 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int
         for rows in _sub_buckets(x, distance) if n > 4096 else [np.arange(n)]:
             if len(rows) < 2:
                 continue
-            links = _pairs(x[rows], distance, 8) if all_pairs else _tree(x[rows], distance)
-            if links := _star(x[rows], distance) if links is None else links:
+            if links := _tree(x[rows], distance):
                 i, j = np.array(links).T
                 a.append(r[rows[i]])
                 b.append(r[rows[j]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _pairs(x: np.ndarray, distance: int, few: int) -> list[tuple[int, int]] | None:
-    """All links (i, j), i < j, of x; None if there are more than `few` per row."""
-    out: list[tuple[int, int]] = []
-    for i in range(len(x) - 1):
-        near = np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= distance)
-        out += [(i, i + 1 + j) for j in near]
-        if len(out) > few * len(x):
-            return None
-    return out
-
-
-def _star(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """_tree, with the rows so ordered that the middle of the densest part comes first."""
-    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    order = np.argsort(np.abs(bits - (bits.mean(0) > 0.5)).sum(1), kind="stable")
-    return [(order[i], order[j]) for i, j in _tree(x[order], distance)]
-
-
-def block_links(classes: DataFrame, distance: int, masks: list[int], all_pairs: bool = False) -> DataFrame:
+def block_links(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
     """(a, b), a < b: links that connect the classes (fp, rep) within `distance` bits, by a join on blocks.
 
-    With all_pairs, all links in a bucket unless it is dense (over 8 links a row): there, a tree of them.
+    All links of a bucket of up to 16 rows; of a larger one, a tree of links that connects what they connect.
     """
 
     def signed(m: int) -> int:
@@ -149,23 +130,10 @@ def block_links(classes: DataFrame, distance: int, masks: list[int], all_pairs:
     keys: list[Column] = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for k, m in enumerate(masks)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def links(part: list[np.ndarray]) -> pa.RecordBatch:
-            key, fp, rep = part
-            x, y = bucket_links(key, fp.view(np.uint64), rep, distance, all_pairs)
+        for key, fp, rep in runs(batches, 3):
+            x, y = bucket_links(key, fp.view(np.uint64), rep, distance)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-        for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(3)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
-            if cut:
-                yield links([x[:cut] for x in held])
-                held = [x[cut:].copy() for x in held]
-        if held and len(held[0]):
-            yield links(held)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key", "fp", "rep")
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
@@ -213,13 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, distance: i
 #: Words of a shingle and the least share of shingles in common.
 SHINGLE, ALIKE = 5, 0.8
 #: Fingerprints of distinct words that differ in at most so many bits make candidates of the first, quick search.
-ALIKE_BITS = 9
-
-
-def alike_masks(rows: int) -> list[int]:
-    """Keys for fingerprints that differ in up to ALIKE_BITS bits: equal in two of eight blocks, or more for more rows."""
-    blocks, equal = next(((b, k) for b, k in ((8, 2), (10, 3), (12, 4)) if rows <= 400 << (BITS * k // b)), (12, 4))
-    return block_masks(blocks, blocks - equal)
+ALIKE_BITS = 4
 
 
 def word_set_fingerprint(words: list[bytes]) -> int:
@@ -227,8 +189,8 @@ def word_set_fingerprint(words: list[bytes]) -> int:
 
 
 def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
-    """The text's shingles as sorted 32-bit hashes, each once."""
-    return np.unique(shingle_hashes(text, words).astype(np.uint32))
+    """The text's shingles as sorted 64-bit hashes, each once."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -266,7 +228,7 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             pairs = zip(batch.column(2), batch.column(3), strict=True)  # read in place: sets of long texts are large
-            keep = pa.array([likeness(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= ALIKE for x, y in pairs], pa.bool_())
+            keep = pa.array([likeness(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= ALIKE for x, y in pairs], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     left = links.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
@@ -299,11 +261,11 @@ def usual_shingles(docs: DataFrame) -> np.ndarray:
         for batch in slices(batches, 2_000):
             sets = [shingle_set(t) for t in texts_of(batch)]
             key, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     counted = bounded_sample(docs, "doc_id", USUAL_DOCS).select("text").mapInArrow(tidy(run), "key long, n long")
     top = counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_USUAL)
-    return np.array([r["key"] for r in top.collect()][::-1], np.uint32)
+    return np.array([r["key"] for r in top.collect()][::-1], np.int64).view(np.uint64)
 
 
 def ordered_prefix(shingles: np.ndarray, usual: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -317,7 +279,7 @@ def ordered_prefix(shingles: np.ndarray, usual: np.ndarray, rank: np.ndarray) ->
 
 def sketch(shingles: np.ndarray) -> bytes:
     """Two sketches differ in no more bits than there are shingles in one of the two sets only."""
-    return np.packbits(np.bincount(shingles % SKETCH, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount((shingles % SKETCH).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
 def _prefixes(docs: DataFrame, usual: np.ndarray) -> DataFrame:
@@ -328,7 +290,7 @@ def _prefixes(docs: DataFrame, usual: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(t) for t in texts_of(batch)]
-            keys = pa.array([ordered_prefix(s, *shared.value).astype(np.int64) for s in sets], pa.list_(pa.int64()))
+            keys = pa.array([ordered_prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.binary()), keys], names=["rep", "n", "sketch", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "rep long, n int, sketch binary, keys array<long>")
@@ -370,32 +332,19 @@ def _met(dealt: DataFrame, most: int) -> DataFrame:
     """Of (key, rep, n, pos): pairs as (a, b), with key null, and rows to be looked at again, with a and b null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["a", "b", "key", "rep", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        for part in runs(batches, 4):
             x, y, again = prefix_links(*part, most)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            none = lambda k, kind: pa.nulls(k, kind)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(none(pairs.shape[1], k) for k in kinds)], names=["a", "b", "key", "rep", "n", "pos"])
-            yield pa.RecordBatch.from_arrays([none(len(again), kinds[0]), none(len(again), kinds[0]), *(pa.array(c[again]) for c in part)], names=["a", "b", "key", "rep", "n", "pos"])
-
-        for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(4)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield from out([x[:cut] for x in held])
-                held = [x[cut:].copy() for x in held]
-        if held and len(held[0]):
-            yield from out(held)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], k) for k in kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), *(pa.array(c[again]) for c in part)], names=names)
 
     rows = dealt.select("key", "rep", "n", "pos").repartition("key").sortWithinPartitions("key", "rep")
     return rows.mapInArrow(tidy(run), "a long, b long, key long, rep long, n int, pos int")
 
 
 def _close(links: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of links (a, b), those whose sketches (rep, n, sketch) don't rule out that they are alike."""
+    """Of links (a, b), those between different groups whose sketches (rep, n, sketch, own) don't rule out that they are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,69 +353,56 @@ def _close(links: DataFrame, sketches: DataFrame) -> DataFrame:
             keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most_unlike(n)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = links.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x")), "a")
-    both = left.join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y")), "b")
+    side = lambda place, end: sketches.select(F.col("rep").alias(place), F.col("n").alias(f"n{end}"), F.col("sketch").alias(end), F.col("own").alias(f"own_{end}"))
+    both = links.join(side("a", "x"), "a").join(side("b", "y"), "b").where("own_x <> own_y")
     return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def prefix_copies(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """(id, label): of the documents (rep) of `alive`, those that go, and one each that they are joined to.
+def prefix_copies(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, label): further links between classes (rep), as components; groups (id, label) are those found before.
 
-    No two of those that stay are ALIKE. Dense buckets take several rounds: each holds some rows against all others and
-    goes on with what is left, until nothing is.
+    Every pair of `docs` that is ALIKE and in different groups is found, if its documents meet in a bucket of up to 64.
+    Larger buckets take several rounds: each holds some rows against all others and goes on with what is in no group
+    yet, until nothing is left. So no two documents that stay are ALIKE.
     """
-    prefixes = checkpoint(_prefixes(docs, usual_shingles(docs)).join(alive, "rep", "left_semi"))
+    prefixes = checkpoint(_prefixes(docs, usual_shingles(docs)).join(classes, "rep", "left_semi"))
     dealt = prefixes.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
-    sketches = prefixes.select("rep", "n", "sketch").dropDuplicates(["rep"])
-    most, joined = 64, None
+    named = prefixes.select("rep", "n", "sketch").dropDuplicates(["rep"]).join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    sketches = checkpoint(named.select("rep", "n", "sketch", F.coalesce("label", "rep").alias("own")))
+    most, joined = 64, groups
     while True:
         met = checkpoint(_met(dealt, most))
         links = checkpoint(_close(met.where("key is null").select("a", "b").distinct(), sketches))
-        named = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        few = F.broadcast(named) if links.count() <= 200_000 else named  # up to 400,000 ids
+        linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        few = F.broadcast(linked) if links.count() <= 200_000 else linked  # up to 400,000 ids
         sets = checkpoint(_shingle_sets(docs.select("doc_id", "text").join(few, "doc_id", "left_semi")).dropDuplicates(["rep"]))
-        gone = checkpoint(components(_alike(links, sets)))
-        joined = gone if joined is None else checkpoint(joined.unionByName(gone))
-        dealt = met.where("key is not null").select("key", "rep", "n", "pos").join(gone.select(F.col("id").alias("rep")), "rep", "left_anti")
+        more = checkpoint(components(_alike(links, sets)))
+        joined = checkpoint(joined.unionByName(more))
+        dealt = met.where("key is not null").select("key", "rep", "n", "pos").join(joined.select(F.col("id").alias("rep")), "rep", "left_anti")
         if dealt.isEmpty():
             return joined
         most *= 2
 
 
-def near_copies(docs: DataFrame, rounds: int = 6) -> DataFrame:
+def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, kept): for each document that goes, the one that stays for it.
 
-    Copies by words are one class. Fingerprints of the classes' distinct words that differ in few bits are candidates,
-    met by blocks; a candidate pair counts if ALIKE of its SHINGLE-word shingles are in common. Joined classes leave
-    one, the smallest doc_id, for the next round, which looks for links among those that remain; so a dense group costs
-    each round a tree of links, not all pairs. It ends when no link is left to be looked at, at the latest
-    after `rounds`.
+    Copies by words are one class. Classes whose fingerprints of distinct words differ in ALIKE_BITS bits or fewer are
+    candidates, met by pigeonhole blocks; a candidate pair counts if ALIKE of its SHINGLE-word shingles are in common.
+    That joins most groups at the cost of a tree of links each. An exact join (prefix_copies) then finds the pairs that
+    are ALIKE between those groups. So no two documents that stay are ALIKE, whatever the number of rows or partitions,
+    and each that goes is joined to the one that stays, the smallest doc_id of its group, by pairs that are.
     """
-    own = checkpoint(_identities(docs.where(F.col("doc_id").isNotNull())))
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    own = checkpoint(_identities(named))
     classes = checkpoint(own.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
-    masks = alike_masks(classes.count())
-    alive, tested, joined, sets = classes.select("rep", "fp"), None, None, None
-    for _ in range(rounds):
-        links = block_links(alive, ALIKE_BITS, masks, all_pairs=True)
-        if tested is not None:
-            links = links.join(tested, ["a", "b"], "left_anti")
-        links = checkpoint(links)
-        if links.isEmpty():
-            break
-        if sets is None:
-            named = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            sets = checkpoint(_shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi")).dropDuplicates(["rep"]))
-            alive = checkpoint(alive.join(named.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
-        good = components(_alike(links, sets))
-        tested = links if tested is None else checkpoint(tested.unionByName(links))
-        gone = checkpoint(good)
-        joined = gone if joined is None else checkpoint(joined.unionByName(gone))
-        alive = checkpoint(alive.join(gone.withColumnRenamed("id", "rep"), "rep", "left_anti"))
-    left = classes.select("rep") if joined is None else classes.select("rep").join(joined.select(F.col("id").alias("rep")), "rep", "left_anti")
-    more = prefix_copies(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), checkpoint(left))
-    joined = more if joined is None else joined.unionByName(more)
-    copies = own.join(classes.select("same", "rep"), "same").select("doc_id", "rep")
+    links = checkpoint(block_links(classes.select("rep", "fp"), ALIKE_BITS, block_masks(block_count(classes.count(), ALIKE_BITS), ALIKE_BITS)))
+    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = checkpoint(_shingle_sets(named.join(linked, "doc_id", "left_semi")).dropDuplicates(["rep"]))
+    groups = checkpoint(components(_alike(links, sets)))
+    joined = prefix_copies(named, classes.select("rep"), groups)
     final = components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    copies = own.join(classes.select("same", "rep"), "same").select("doc_id", "rep")
     copies = copies.join(final, copies.rep == final.id, "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
     return copies.where("doc_id <> rep").select("doc_id", F.col("rep").alias("kept")).distinct()
 
@@ -475,16 +411,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` less near copies: one document of each group stays, that of the smallest doc_id. All columns stay.
 
     Null and blank texts are copies of one another. Rows that repeat a doc_id count as copies too: one of them stays.
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay. An empty table gives an empty one; columns may have any names.
     """
-    gone = near_copies(docs)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return kept
-    repeated = checkpoint(repeated)
-    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    rows, at = positional(docs), f"c{docs.columns.index('doc_id')}"
+    gone = near_copies(docs).select(F.col("doc_id").alias("gone"))
+    kept = rows.join(gone, F.col(at) == F.col("gone"), "left_anti")
+    repeated = checkpoint(rows.where(F.col(at).isNotNull()).groupBy(at).agg(F.count("*").alias("n")).where("n > 1").select(F.col(at).alias("twice")))
+    if not repeated.isEmpty():
+        single = kept.join(repeated, F.col(at) == F.col("twice"), "left_anti")
+        kept = single.unionByName(kept.join(repeated, F.col(at) == F.col("twice"), "left_semi").dropDuplicates([at]))
+    return kept.toDF(*docs.columns)
 
 
 def hex_fingerprint(fp: Column) -> Column:
