@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from .common import checkpoint, texts_of
 
 #: Bits of the sieve that keeps single texts from being compared: 8 MB.
 SIEVE_BITS = 1 << 26
+#: Copies of a text beyond which its rows are dealt out over so many salts when they are joined to their group.
+HOT_COPIES, SALTS = 1_000, 16
 
 
 def canonical(text: str) -> str:
@@ -34,9 +36,13 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def fingerprint(text: str) -> str:
+def wide_hash(canonical_text: str) -> str:
     """32 hex digits."""
-    return xxhash.xxh3_128_hexdigest(_bytes(canonical(text)))
+    return xxhash.xxh3_128_hexdigest(_bytes(canonical_text))
+
+
+def fingerprint(text: str) -> str:
+    return wide_hash(canonical(text))
 
 
 def _sieve(fps: DataFrame) -> np.ndarray:
@@ -49,15 +55,28 @@ def _sieve(fps: DataFrame) -> np.ndarray:
     return out
 
 
-def equal_groups(docs: DataFrame, fps: DataFrame) -> DataFrame:
+def _with_group(fps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """fps' (doc_id, fp) with the group_id of sizes' (fp, n, group_id). Rows of much copied texts are dealt out by a salt."""
+    hot = checkpoint(sizes.where(F.col("n") > HOT_COPIES).select("fp", "group_id"))  # a thousandth of the rows at most
+    if hot.isEmpty():
+        return fps.join(sizes.select("fp", "group_id"), "fp")
+    salted = hot.select(F.col("fp").alias("hot_fp"), F.col("group_id").alias("hot_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hot_salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    met = fps.withColumn("salt", salt).join(salted, (F.col("fp") == F.col("hot_fp")) & (F.col("salt") == F.col("hot_salt")), "left").select("doc_id", "fp", "hot_id")
+    done = met.where(F.col("hot_id").isNotNull()).select("doc_id", "fp", F.col("hot_id").alias("group_id"))
+    rest = met.where(F.col("hot_id").isNull()).select("doc_id", "fp").join(sizes.where(F.col("n") <= HOT_COPIES).select("fp", "group_id"), "fp")
+    return done.unionByName(rest.select("doc_id", "fp", "group_id"))
+
+
+def equal_groups(docs: DataFrame, fps: DataFrame, hash_: Callable[[str], str] = wide_hash) -> DataFrame:
     """(doc_id, fp, group_id): group_id is the smallest doc_id with an equal canonical text.
 
-    fps: (doc_id, fp) of docs' (doc_id, text). Only texts whose bucket has two or more documents are compared (and the
-    few that a sieve of fixed size takes for such). Canonical texts are a grouping key there, so bytes are compared, and
-    each task sends one row on for each text that it meets: copies in any number don't meet in one task. If a bucket
-    holds different texts, its members find theirs by a join on the text.
+    fps: (doc_id, fp) of docs' (doc_id, text), fp by hash_ of canonical texts. Only texts whose bucket has two or more
+    documents are compared (and the few that a sieve of fixed size takes for such). Canonical texts are a grouping key
+    there, so bytes are compared, and each task sends one row on for each text that it meets: copies in any number don't
+    meet in one task. If a bucket holds different texts, its members find theirs by a join on the text.
     """
-    sizes = fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id"))
+    sizes = checkpoint(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id")))
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(sizes.where("n > 1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +85,7 @@ def equal_groups(docs: DataFrame, fps: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 own = canonical(text)
-                fp = xxhash.xxh3_128_hexdigest(_bytes(own))
+                fp = hash_(own)
                 k = int(fp[:12], 16) % SIEVE_BITS
                 if bits[k >> 3] >> (k & 7) & 1:
                     rows.append((doc_id, fp, own))
@@ -76,10 +95,11 @@ def equal_groups(docs: DataFrame, fps: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp string, canonical string")
     variants = texts.groupBy("fp", "canonical").agg(F.min("doc_id").alias("group_id"))
     odd = checkpoint(variants.groupBy("fp").agg(F.count("*").alias("variants")).where("variants > 1"))
+    grouped = _with_group(fps, sizes).select("doc_id", "fp", "group_id")
     if odd.isEmpty():
-        return fps.join(sizes, "fp").select("doc_id", "fp", "group_id")
-    split = texts.join(odd, "fp").join(variants.withColumnRenamed("group_id", "own"), ["fp", "canonical"]).select("doc_id", "own").distinct()
-    return fps.join(sizes, "fp").join(split, "doc_id", "left").select("doc_id", "fp", F.coalesce("own", "group_id").alias("group_id"))
+        return grouped
+    split = texts.join(odd, "fp").join(variants.withColumnRenamed("group_id", "own"), ["fp", "canonical"]).select("doc_id", "fp", "own").distinct()
+    return grouped.join(split, ["doc_id", "fp"], "left").select("doc_id", "fp", F.coalesce("own", "group_id").alias("group_id"))
 
 
 def edited(text: str, following: str) -> str:
