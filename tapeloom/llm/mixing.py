@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, positional
 
 BLOCK, SHARD_BLOCKS, MOST_REPEATS, SEED = 256, 4096, 3, 42
-#: Rows per bucket of a source's running totals, and sources at most (their sizes reach the driver).
-BUCKET_ROWS, MOST_SOURCES = 50_000, 1_000_000
+#: Rows per bucket of a source's running totals, shards per range of its draws' totals, and sources at most: a name and
+#: some numbers of each reach the driver.
+BUCKET_ROWS, RANGE_SHARDS, MOST_SOURCES = 4_000, 1_024, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,8 @@ def targets(size: list[int], weight: list[float], most: float = MOST_REPEATS) ->
         for i in over:
             out[i] = float(most * size[i])
         rest -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        gone = set(over)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -86,47 +88,64 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draws(shard: int, blocks: int, quotas: np.ndarray, seed: int) -> np.ndarray:
-    """Blocks that a shard takes of each source: multinomial by quota."""
-    return np.random.default_rng([seed, shard]).multinomial(blocks, quotas / quotas.sum())
+def draws(shard: int, blocks: int, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sources that a shard takes blocks of and how many: multinomial by quota. `ends` are the quotas' running totals."""
+    at = np.random.default_rng([seed, shard]).integers(0, ends[-1], blocks)
+    return np.unique(np.searchsorted(ends, at, side="right"), return_counts=True)
 
 
-def slots(spark, sources: list[Source], shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(shard, src, block): the blocks of the mix, src by place in `sources`.
+def source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
+    """(src, name, source_size, target, quota, blocks) of the sources, a row each."""
+    rows = [(i, s.name, s.size, s.target, s.quota, s.blocks) for i, s in enumerate(sources)]
+    return spark.createDataFrame(rows, "src long, name string, source_size long, target double, quota long, blocks long")
+
+
+def running(rows: DataFrame, value: str, key: str, part: Column, order: list[Column]) -> DataFrame:
+    """`rows` with `first`: the sum of `value` over the key's rows before, by part and then by `order`.
+
+    Sums are taken within a part and over the parts' totals, so that no key's rows stand in one task.
+    """
+    dealt = rows.withColumn("part", part)
+    inside = Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(key, "part").agg(F.sum(value).alias("n_part")).select(key, "part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("base"))
+    summed = dealt.withColumn("first", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, [key, "part"])
+    return summed.withColumn("first", F.col("base") + F.col("first")).drop("part", "base")
+
+
+def slots(sources: DataFrame, quotas: np.ndarray, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(shard, src, block): the blocks of the mix; `sources` is a source_table and `quotas` its quotas in order of src.
 
     A source's draws stop at its quota; what its draws fall short of stands in added shards after the drawn ones, so the
-    totals meet the quotas exactly.
+    totals meet the quotas exactly. A shard has a row for each source that it draws, not for each source.
     """
-    quotas = np.array([s.quota for s in sources], np.int64)
-    total = int(quotas.sum())
+    spark, total = sources.sparkSession, int(quotas.sum())
+    if not total:
+        return spark.createDataFrame([], "shard long, src long, block long")
     shards = max(1, total // shard_blocks)
-    sizes_ = [s.blocks for s in sources]
     each = -(-total // shards)
+    ends = spark.sparkContext.broadcast(np.cumsum(quotas))  # a number for each source: MOST_SOURCES at most
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            n = [draws(k, each, quotas, seed) for k in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(quotas))), pa.array(np.tile(np.arange(len(quotas)), len(ids))), pa.array(np.concatenate(n).astype(np.int64))], names=["shard", "src", "n"])
+            for shard in batch.column(0).to_pylist():
+                src, n = draws(shard, each, ends.value, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), shard)), pa.array(src), pa.array(n.astype(np.int64))], names=["shard", "src", "n"])
 
-    if not total:
-        return spark.createDataFrame([], "shard long, src long, block long")
     drawn = spark.range(shards).mapInArrow(counts, "shard long, src long, n long")
-    by_shard = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a number per shard: a few bytes for 10^6 words
-    quota = F.element_at(F.array(*(F.lit(int(q)) for q in quotas)).cast("array<long>"), (F.col("src") + 1).cast("int"))
-    spans = drawn.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
-    spans = spans.select("shard", "src", "first", F.least(F.col("first") + F.col("n"), quota).alias("end")).where("first < end")
+    limits = sources.where("quota > 0").select("src", "quota", "blocks")
+    spans = running(drawn, "n", "src", F.expr(f"shard div {RANGE_SHARDS}"), [F.col("shard")]).join(limits, "src")
+    spans = spans.select("shard", "src", "first", F.least(F.col("first") + F.col("n"), "quota").alias("end"), "blocks").where("first < end")
     filled = spans.groupBy("src").agg(F.max("end").alias("done"))
-    every = spark.range(len(sources)).select(F.col("id").alias("src")).join(filled, "src", "left").select("src", F.coalesce("done", F.lit(0)).alias("done"))
-    short = every.select("src", "done", quota.alias("quota")).where("done < quota")
+    short = limits.join(filled, "src", "left").withColumn("done", F.coalesce("done", F.lit(0))).where("done < quota")
     step = F.lit(shard_blocks).cast("long")
-    late = short.select("src", F.explode(F.sequence("done", F.col("quota") - 1, step)).alias("first"), "quota")
-    late = late.select((F.lit(shards) + F.expr(f"first div {shard_blocks}")).alias("shard"), "src", "first", F.least(F.col("first") + step, F.col("quota")).alias("end"))
+    late = short.select("src", F.explode(F.sequence("done", F.col("quota") - 1, step)).alias("first"), "quota", "blocks")
+    late = late.select((F.lit(shards) + F.expr(f"first div {shard_blocks}")).alias("shard"), "src", "first", F.least(F.col("first") + step, F.col("quota")).alias("end"), "blocks")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, src, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, size = np.arange(first, end), sizes_[src]
+            for shard, src, first, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.arange(first, end)
                 block = np.empty(len(n), np.int64)
                 for turn in np.unique(n // size):
                     mine = n // size == turn
@@ -136,36 +155,32 @@ def slots(spark, sources: list[Source], shard_blocks: int = SHARD_BLOCKS, seed:
     return spans.unionByName(late).repartition("shard").mapInArrow(expand, "shard long, src long, block long")
 
 
-def placed(docs: DataFrame, sources: list[Source], names: DataFrame, rows: int, seed: int = SEED) -> DataFrame:
+def placed(docs: DataFrame, sources: DataFrame, rows: int, seed: int = SEED) -> DataFrame:
     """docs' (row, doc_id, source, size) with src and start, the place of its first word in its source's stream.
 
-    Documents of a source are dealt into buckets by a hash; running totals are taken within a bucket and over the
-    buckets' totals, so that no source stands in one task.
+    Documents of a source are dealt into buckets by a hash, whatever the source's size.
     """
-    buckets = max(1, rows // BUCKET_ROWS)
-    dealt = docs.join(names, docs.source.eqNullSafe(names.name)).drop("name").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(buckets)))
-    inside = Window.partitionBy("src", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "row"), "row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("src", "bucket").agg(F.sum("size").alias("n")).select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    run = dealt.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return run.join(totals, ["src", "bucket"]).select("row", "doc_id", "source", "size", "src", (F.col("base") + F.col("start")).alias("start"))
+    names = sources.select("src", "name")
+    dealt = docs.join(names, docs.source.eqNullSafe(names.name)).drop("name")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(max(1, rows // BUCKET_ROWS)))
+    return running(dealt, "size", "src", bucket, [F.xxhash64(F.lit(seed + 1), "row"), F.col("row")]).withColumnRenamed("first", "start")
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64("doc_id", F.lit("mix"), "text")
+def _row(doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.lit("mix"), text)
 
 
 def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], block: int, seed: int) -> DataFrame:
     """mixed, with the hash `row` of each row."""
     spark = docs.sparkSession
-    own = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text")).alias("size"), _row(docs).alias("row")))
+    own = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text")).alias("size"), _row().alias("row")))
     totals = [(r["source"], r["n"]) for r in own.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()]
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; give coarser ones")
     sources = plan(totals, weights, block)
-    names = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "src long, name string, source_size long, target double")
-    at = checkpoint(placed(own, sources, names.select("src", "name"), own.count(), seed))
-    times = slots(spark, sources, seed=seed).groupBy("src", "block").agg(F.count("*").alias("times"))
+    names = source_table(spark, sources)
+    at = checkpoint(placed(own, names, own.count(), seed))
+    times = slots(names, np.array([s.quota for s in sources], np.int64), seed=seed).groupBy("src", "block").agg(F.count("*").alias("times"))
     end = F.col("start") + F.col("size")
     cover = at.where("size > 0").select("src", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     words = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
@@ -173,7 +188,7 @@ def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], block: int, seed: i
     taken = cover.join(times.hint("merge"), ["src", "block"]).groupBy(F.col("src").alias("of"), F.col("start").alias("from")).agg(F.sum(words * F.col("times")).alias("taken"))
     full = at.join(taken.hint("merge"), (F.col("src") == F.col("of")) & (F.col("start") == F.col("from")) & (F.col("size") > 0), "left")
     out = full.select("row", "src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out.join(names, "src").select("row", "doc_id", "size", "source_size", "target", "taken")
+    return out.join(names.select("src", "source_size", "target"), "src").select("row", "doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -190,11 +205,13 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), bloc
     """`docs`, each row as often as the mix takes its words: taken / size times, a fraction being decided by a hash.
 
     So whole documents stand for the words that the mix takes, up to three times each; words per source come near their
-    targets. Documents that the mix doesn't take, and those without words, go. All columns stay as they are.
+    targets. Documents that the mix doesn't take, and those without words, go. All columns stay as they are; they may
+    have any names. An empty table gives an empty one.
     """
-    rows = _mixed_rows(docs, weights, block, seed).where("taken > 0").groupBy(F.col("row").alias("__row"), F.col("doc_id").alias("__id")).agg((F.sum("taken") / F.sum("size")).alias("ratio"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "__row", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = rows.select("__row", "__id", (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("int")).cast("int").alias("__times")).where("__times > 0")
-    own = docs.withColumn("__own", _row(docs))
-    joined = own.join(times.hint("merge"), (F.col("__own") == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__n")).select(*docs.columns)
+    rows = _mixed_rows(docs.select("doc_id", "text", "source"), weights, block, seed).where("taken > 0").groupBy("row", "doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "row", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = rows.select("row", "doc_id", (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("int")).cast("int").alias("times")).where("times > 0")
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    own = positional(docs)
+    joined = own.join(times.hint("merge"), (_row(doc_id, text) == F.col("row")) & F.col(doc_id).cast("long").eqNullSafe(F.col("doc_id")))
+    return joined.select(*own.columns, F.explode(F.sequence(F.lit(1), "times"))).select(*own.columns).toDF(*docs.columns)
