@@ -46,18 +46,20 @@ def filtered(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> D
     """(key, host, fetched, blocked, domain, category, valid_from) for every row of captures' (key, url, fetched).
 
     Of several entries in force, the longest domain counts, then the category that is first by name. A null or odd URL
-    has a null host and isn't blocked; neither is a capture with a null fetch date. Repeated captures keep their rows if
-    their key is unique or they are equal in all columns used (then they count as one).
+    has a null host and isn't blocked; neither is a capture with a null fetch date. Repeated captures are looked up once
+    and keep their rows. Without entries nothing is blocked; no captures give no rows.
     """
     spans = intervals(entries)
     number = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / SLICE_DAYS)
     last = spans.agg(F.max("valid_from").alias("d")).select(F.greatest("d", F.lit("1970-01-01").cast("date")).alias("d")).first()["d"]
     seen = captures.select(key, host(F.col("url")).alias("host"), F.col("fetched").cast("date").alias("fetched"))
+    seen = seen.groupBy(key, "host", "fetched").agg(F.count("*").cast("int").alias("copies"))
     # captures after the last entry look it up in its slice: nothing changes later
     at = F.least(number(F.col("fetched")), number(F.lit(last)))
-    asked = seen.select(key, "host", "fetched", at.alias("slice"), F.posexplode(domains(F.col("host"))).alias("place", "domain"))
+    asked = seen.select(key, "host", "fetched", "copies", at.alias("slice"), F.posexplode(domains(F.col("host"))).alias("place", "domain"))
     kept = spans.withColumn("slice", F.explode(F.sequence(number(F.col("valid_from")), F.least(number(F.date_sub("valid_to", 1)), number(F.lit(last))))))
     hits = asked.join(kept, ["domain", "slice"], "left").withColumn("hit", F.col("fetched").between(F.col("valid_from"), F.date_sub("valid_to", 1)))
     best = F.min(F.when(F.col("hit"), F.struct("place", "category", "domain", "valid_from"))).alias("best")
-    found = hits.groupBy(key, "host", "fetched").agg(best)
+    found = hits.groupBy(key, "host", "fetched").agg(best, F.max("copies").alias("copies"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return found.select(key, "host", "fetched", F.col("best").isNotNull().alias("blocked"), "best.domain", "best.category", "best.valid_from")
