@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass over the text: at-signs, digits, plus signs, schemes and identifier
-cues. At each anchor a deterministic local parser reads outward to the boundaries of the value and checks it. Nothing
+cues in any case. At each anchor a deterministic local parser reads outward to the boundaries of the value and checks it. Nothing
 else of the text is looked at, so the cost besides the automaton follows the number of anchors.
 
 Kinds, in order of report: email, ip, card, phone; then account (numbers and tokens after a cue such as "IBAN" or
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices, texts_of, tidy
+from .common import positional, record_batch, slices, texts_of, tidy
 
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "login", "contact")
 Span = tuple[int, int]
@@ -49,7 +49,7 @@ ACCOUNT_LEAD = re.compile(r"[\s#:.=]{0,4}(?=[A-Za-z]{0,4}[0-9])")
 ACCOUNT_PART = re.compile(r"[ -]?([A-Za-z0-9]+)")
 SECRET_VALUE = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{16,})")
 LOGIN_VALUE = re.compile(r"([^\s/?#@:]+:[^\s/?#@]+)@[A-Za-z0-9.-]+")
-CONTACT_VALUE = re.compile(r"[A-Za-z0-9.@_%+-]{3,254}")
+CONTACT_VALUE = re.compile(r"[A-Za-z0-9.@_%+-]{3,}")
 
 
 @cache
@@ -62,12 +62,17 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("://", "scheme")
     for words, what in ((ACCOUNT_CUES, "account"), (SECRET_CUES, "secret"), (CONTACT_SCHEMES, "contact")):
         for w in words:
-            for form in {w, w.upper(), w.capitalize(), w.title()}:
-                found.add_word(form, what)
+            found.add_word(w, what)
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, character by character: places stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(x), 10)) for x in even)) % 10 == 0
@@ -112,7 +117,7 @@ def find(text: str) -> dict[str, list[Span]]:
     anchors: dict[str, list[int]] = {}
     runs: list[int] = []  # where runs of digits begin
     last = -2
-    for end, what in automaton().iter(text):
+    for end, what in automaton().iter(lowered(text)):
         if what == "digit":
             if end != last + 1:
                 runs.append(end)
@@ -219,13 +224,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """`docs` with its column text redacted, all other columns as they are; n_chars, if any, is recounted. Null stays null."""
-    at = docs.columns.index("text")
+    """`docs` with its column text redacted, all other columns as they are; n_chars, if any, is recounted.
+
+    A null text stays null, and so does its n_chars. Rows are independent; columns may have any names.
+    """
+    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             new = [t if t is None else redact(t, find(t)) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            columns = {at: pa.array(new, batch.schema.field(at).type)}
+            if chars is not None:
+                columns[chars] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays([columns.get(i, c) for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    out = docs.mapInArrow(tidy(run), docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = positional(docs)
+    return rows.mapInArrow(tidy(run), rows.schema).toDF(*docs.columns)

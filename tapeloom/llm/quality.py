@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, texts_of, tidy
+from .common import bounded_sample, positional, slices, texts_of, tidy
 
 CUT = 0.3
 #: Labelled documents to fit on, and preference pairs drawn from them.
@@ -130,20 +130,31 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ran
     return fit(np.array(got["x"].tolist(), float).reshape(-1, len(NAMES)), got["quality"].to_numpy(int))
 
 
-def scored(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The columns `keep` (doc_id if None) of every document and its score, double, as `name`.
+def _scores(texts: pa.Array, ranker: Ranker) -> np.ndarray:
+    x = np.array([features(t or "") for t in texts.to_pylist()], float)
+    return ranker.score(x.reshape(-1, len(NAMES)))
+
+
+def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """(doc_id, score) of every row of documents' (doc_id, text), score a double from 0 to 1.
 
     A null text scores as an empty one. Rows are independent: repeated or null doc_ids keep their rows.
     """
-    keep = keep or ["doc_id"]
-    at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float)
-            score = ranker.score(x.reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score)], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), ranker))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, ranker: Ranker, cut: float = CUT) -> DataFrame:
+    """The rows of `docs`, of any columns, whose text scores `cut` or more; a null text scores as an empty one."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_scores(batch.column(at), ranker) >= cut))
 
-    out = docs.select(*keep, F.col("text").alias("__text"))
-    schema = out.drop("__text").schema.add(name, "double")
-    return out.mapInArrow(tidy(run), schema)
+    rows = positional(docs)
+    return rows.mapInArrow(tidy(run), rows.schema).toDF(*docs.columns)

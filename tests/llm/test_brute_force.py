@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from tapeloom.llm import chat, digest, langid, media, mixing, pieces, pii, quality, queries, simhash, urlfilter
 from tapeloom.llm.common import table
@@ -135,6 +136,12 @@ def test_accounts_in_prose():
     assert not pii.find("Account number: 12345 is short, account no 7 of 2019 too")["account"]
 
 
+def test_cues_in_any_case():
+    for text in ('ApI_KeY="abcdef0123456789abcdef"', "ToKeN=abcdef0123456789abcdef", "İİ API_key: abcdef0123456789abcdef"):
+        assert [text[s:e] for s, e in pii.find(text)["secret"]] == ["abcdef0123456789abcdef"]
+    assert pii.find("iBaN DE89370400440532013000")["account"] and pii.find("MailTo:" + "a" * 300 + "@example.org")["contact"] == [(7, 319)]
+
+
 def test_long_secrets_and_logins():
     for n in (16, 512, 513, 5_000, 200_000):
         text = f"token={'a1' * (n // 2) + 'b' * (n % 2)} end"
@@ -183,9 +190,19 @@ def test_digests(spark, documents, texts):
 
 
 def test_equal_buckets_are_compared(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A "), (4, "c")], "doc_id long, text string")
-    fake = spark.createDataFrame([(i, digest.fingerprint("a")) for i in (1, 3)] + [(2, digest.fingerprint("b")), (4, digest.fingerprint("c"))], "doc_id long, fp string")
-    assert {r["doc_id"]: r["group_id"] for r in digest.equal_groups(docs, fake).collect()} == {1: 1, 3: 1, 2: 2, 4: 4}
+    """Different texts under one fingerprint: b, c and d share a bucket, and so do texts of it that are copies."""
+    short = lambda own: digest.wide_hash(own if own in ("a", "") else "same")
+    rows = [(1, "a"), (2, "b"), (3, "A "), (4, "c"), (5, "B"), (6, "d"), (7, " c "), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = spark.createDataFrame([(i, short(digest.canonical(t or ""))) for i, t in rows], "doc_id long, fp string")
+    assert {r["doc_id"]: r["group_id"] for r in digest.equal_groups(docs, fps, short).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 2, 6: 6, 7: 4, 8: 8}
+
+
+def test_much_copied_texts_find_their_group(spark, monkeypatch):
+    monkeypatch.setattr(digest, "HOT_COPIES", 5)
+    rows = [(i, f"text {i % 7 if i < 70 else i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["group_id"] for r in digest.compared(docs).collect()} == {i: i % 7 if i < 70 else i for i in range(100)}
 
 
 # ---- 6
@@ -223,9 +240,44 @@ def test_mix(spark, documents):
     assert max(r["count"] for r in whole) <= 3
 
 
+def test_ten_thousand_sources(spark):
+    rows = spark.range(30_000).selectExpr("id as doc_id", "repeat('w ', cast(20 + id % 400 as int)) as text", "concat('s', id % 10000) as source")
+    out = mixing.mixed(rows).join(rows.select("doc_id", "source"), "doc_id")
+    by = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size"), F.first("source_size").alias("source_size")).collect()
+    assert len(by) == 10_000 and all(r["size"] == r["source_size"] for r in by)
+    assert all(abs(r["taken"] - r["target"]) <= 4 * mixing.BLOCK for r in by)
+    assert sum(r["taken"] for r in by) == pytest.approx(sum(r["target"] for r in by), rel=0.05)
+
+
 # ---- 7
 
 
+def test_pairwise_loss_is_that_of_a_plain_optimiser():
+    """Weights, worth and cut from few pairs, against gradient descent on the same logistic loss."""
+    rng = np.random.default_rng(6)
+    label = np.r_[np.ones(25, int), np.zeros(25, int)]
+    x = rng.normal(0, 1, (50, 3)) + label[:, None] * [0.9, -0.6, 0.0]
+    pairs = 400
+    ranker = quality.fit(x, label, pairs=pairs, seed=5)
+    mean, scale = x.mean(0), x.std(0)
+    z = np.clip((x - mean) / scale, -6, 6)
+    z = np.hstack([z, z * z])
+    draw = np.random.default_rng(5)
+    i, j = draw.choice(np.flatnonzero(label == 1), pairs), draw.choice(np.flatnonzero(label == 0), pairs)
+    w = np.zeros(6)
+    for _ in range(20_000):
+        better = 1 / (1 + np.exp((z[i] - z[j]) @ w))  # the chance that the ranking of a pair is wrong
+        w += 0.5 * ((z[i] - z[j]) * better[:, None]).mean(0) - 0.5 * 1e-4 * w
+    assert np.allclose(ranker.weights, w, atol=1e-3)
+    worth = z @ w
+    share = [(worth[label == 1] >= c).mean() + (worth[label == 0] < c).mean() for c in np.quantile(worth, np.linspace(0, 1, 501)[1:-1])]
+    assert (worth[label == 1] >= ranker.cut - 1e-3).mean() + (worth[label == 0] < ranker.cut - 1e-3).mean() >= max(share) - 0.05
+    score = ranker.score(x)
+    assert ((score >= quality.CUT) == (ranker.worth(x) >= ranker.cut)).all() and (np.argsort(score, kind="stable") == np.argsort(ranker.worth(x), kind="stable")).mean() > 0.9
+
+
+
+
 def test_ranking_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op7_quality_bradley_terry(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").collect()
@@ -437,6 +489,7 @@ def test_prefix_join_finds_all_pairs():
 def test_formatting_is_reversible(spark):
     bits = ["[INST]", "[/INST]", "</s>", "<s>", "[SEP]", "\\", "[", "<", "a", " ", "INST]", "/s>", "[\\INST]", "<\\/s>", "é"]
     rows = [(c, t, rnd.choice(["user", "assistant", "system", "[INST]", ""]), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))) for c in range(60) for t in range(rnd.randint(1, 7))]
+    rows += [(900, t, "user" if t % 300 < 260 else "assistant", f"turn {t} [SEP]") for t in range(700)]  # longer than a fold's part
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.formatted(frame)
     back = {r["conv_id"]: r for r in chat.read_back(out).collect()}
