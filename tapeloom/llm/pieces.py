@@ -4,8 +4,8 @@ Texts are cut into words at places that no piece of the vocabulary spans. The co
 substrings of bounded length, these are joined to the piece table, and the matches (edges) are grouped by word: a word's
 lattice. A fold by Spark's aggregate over the edges finds the word's pieces:
 
-- a unigram model: Viterbi, over edges by their end: the path of the greatest sum of scores;
-- a BPE model: the path that merging by priority gives. Scores of BPE pieces are merge priorities and don't add up, so
+- a unigram model: Viterbi (lattice_viterbi), over edges by their end: the path of the greatest sum of scores;
+- a BPE model (lattice_masks): the path that merging by priority gives. Scores of BPE pieces are merge priorities and don't add up, so
   Viterbi over their sum would not give the model's pieces. Edges come in order of priority; an edge is taken if it
   spans exactly two of the word's present pieces, whose boundary it removes. One pass is enough: unless a boundary of an
   edge was removed earlier, the merges inside it, all of higher priority, leave exactly its two parts. `Vocabulary`
@@ -14,7 +14,8 @@ lattice. A fold by Spark's aggregate over the edges finds the word's pieces:
 Words meet their documents by chunks of documents: a chunk sends each of its distinct words once, and gets back a
 dictionary of its words. Nothing needs the whole vocabulary of the corpus in one place. Words that are frequent in a
 bounded sample go through the same lattice first and reach all tasks as a dictionary of bounded size; chunks needn't ask
-for them. A word's pieces depend on the word alone, so the sample changes what is sent, not what comes out.
+for them. A word's pieces depend on the word alone, so the sample changes what is sent, not what comes out. Every word
+of up to MOST_CHARS characters gets its pieces from the lattice: one that doesn't come back is an error.
 """
 
 from __future__ import annotations
@@ -39,11 +40,43 @@ LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 WORDS = re.compile(rf"{SPACE}*{OTHERS}*{LETTERS}+|{SPACE}*{OTHERS}+|{SPACE}+")
 #: Code points of a word in the lattice: its boundaries are the bits of a long. Longer words are merged one by one.
 MOST_CHARS = 61
-#: Characters of text in a chunk, the level of its compression, and units whose ids a task keeps from chunk to chunk.
-CHUNK, LEVEL, MOST_UNITS = 8 << 20, 6, 200_000
+#: Characters of text in a chunk at most, chunks per core until they are that large, the level of their compression, and
+#: units whose ids a task keeps from chunk to chunk.
+CHUNK, CHUNKS_PER_CORE, LEVEL, MOST_UNITS = 8 << 20, 4, 6, 200_000
 #: Words of the dictionary that every task has, at most, and documents that it is drawn from, about.
 COMMON_WORDS, COMMON_DOCS = 100_000, 5_000
 MARKS = frozenset(".,;:!?")
+# The model file's fields that say its type, and the types; what a unigram model takes off for unknown characters.
+TRAINER, MODEL_TYPE, UNIGRAM, BPE, UNKNOWN_PENALTY = 2, 3, 1, 2, 10.0
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value, shift = 0, 0
+    while True:
+        byte, at = data[at], at + 1
+        value |= (byte & 127) << shift
+        if byte < 128:
+            return value, at
+        shift += 7
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a message in the protocol buffers' wire format."""
+    at = 0
+    while at < len(data):
+        tag, at = _varint(data, at)
+        if tag & 7 == 0:
+            value, at = _varint(data, at)
+        else:
+            n, at = _varint(data, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = data[at : at + n], at + n
+        yield tag >> 3, value
+
+
+def model_type(serialized: bytes) -> int:
+    """UNIGRAM (also if the model doesn't say), BPE or another one."""
+    trainer = b"".join(v for k, v in _fields(serialized) if k == TRAINER)
+    return next((v for k, v in _fields(trainer) if k == MODEL_TYPE), UNIGRAM)
 
 
 @dataclass
@@ -75,11 +108,14 @@ class Vocabulary:
         n = m.get_piece_size()
         normal = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         ids = {m.id_to_piece(i): i for i in normal}
+        kind = model_type(m.serialized_model_proto())
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError(f"neither a unigram nor a BPE model: type {kind}")
         score = {p: m.get_score(i) for p, i in ids.items()}
         place = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
         bytes_ = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
-        found = cls(ids, {p: place[s] for p, s in score.items()}, score, bytes_, m.unk_id(), max(map(len, ids)))
-        odd = [p for p in ids if found.words(p) != [p] or found.cut(p, found.mask(p)) != [p]]
+        found = cls(ids, {p: place[s] for p, s in score.items()}, score, bytes_, m.unk_id(), max(map(len, ids)), kind == UNIGRAM)
+        odd = [p for p in ids if found.words(p) != [p] or not found.unigram and found.cut(p, found.mask(p)) != [p]]
         if odd:
             raise ValueError(f"pieces that cutting into words or one pass of merges doesn't give: {odd[:5]}")
         return found
@@ -109,8 +145,30 @@ class Vocabulary:
             return [text.replace(" ", SPACE)]
         return text.split(" ")
 
+    @property
+    def unknown_score(self) -> float:
+        return min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
+
+    def best(self, word: str) -> bytearray:
+        """merged() by a unigram model: Viterbi, for one word of any length."""
+        n, score, unknown = len(word), self.score, self.unknown_score
+        top, came = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        for s in range(n):
+            for e in range(s + 1, min(n, s + self.longest) + 1):
+                v = score.get(word[s:e], unknown if e == s + 1 else None)
+                if v is not None and top[s] + v > top[e]:
+                    top[e], came[e] = top[s] + v, s
+        at, e = bytearray(n + 1), n
+        at[n] = 1
+        while e:
+            e = came[e]
+            at[e] = 1
+        return at
+
     def merged(self, word: str) -> bytearray:
         """Boundaries 0 to len(word) of the word's pieces, 1 where there is one: the fold, for one word of any length."""
+        if self.unigram:
+            return self.best(word)
         n, rank = len(word), self.rank
         edges = []
         for s in range(n - 1):
@@ -145,6 +203,13 @@ class Vocabulary:
         pieces = self.cut(word, self.mask(word) if mask is None else mask)
         return np.array([i for p in pieces for i in self.piece_ids(p)], "<i4").tobytes()
 
+    def one_unknown(self, ids: bytes) -> bytes:
+        """Without bytes for unknown characters, a run of these has one id."""
+        if self.bytes_:
+            return ids
+        x = np.frombuffer(ids, "<i4")
+        return x[~((x == self.unknown) & np.r_[False, x[:-1] == self.unknown])[: len(x)]].tobytes()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; spaces for the space mark, less the first one. Control ids and unknown ones give nothing."""
         raw = self.raw
@@ -189,7 +254,7 @@ def lattice_masks(words: DataFrame, pieces: DataFrame, longest: int) -> DataFram
 
 
 def lattice_viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: float = -100.0) -> DataFrame:
-    """(word, pieces) of distinct words by a unigram model: the path of the greatest sum of scores.
+    """(word, pieces, mask) of distinct words by a unigram model: the path of the greatest sum of scores, and its boundaries.
 
     A character that is no piece is an edge of score `unknown`. Of equal sums, the path whose last piece is longest
     counts. The fold's state holds the best sum and path for each end so far.
@@ -207,7 +272,19 @@ def lattice_viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown:
         better = new["sum"] > F.get(state, x["e"])["sum"]
         return F.when(first, F.concat(state, F.array(new))).when(better, F.concat(F.slice(state, 1, x["e"]), F.array(new))).otherwise(state)
 
-    return grouped.select("word", F.aggregate("edges", zero, step, lambda a: F.element_at(a, -1)["path"]).alias("pieces"))
+    paths = grouped.select("word", F.aggregate("edges", zero, step, lambda a: F.element_at(a, -1)["path"]).alias("pieces"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).cast("long").alias("mask"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+    ends = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), (a["mask"] + one(a["at"] + F.length(p))).alias("mask"))
+    return paths.select("word", "pieces", F.aggregate("pieces", start, ends, lambda a: a["mask"]).alias("mask"))
+
+
+def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, mask) of distinct words by the model's own rule. A BPE model's words without edges have no row."""
+    table = vocabulary.table(words.sparkSession)
+    if vocabulary.unigram:
+        return lattice_viterbi(words, table, vocabulary.longest, vocabulary.unknown_score).select("word", "mask")
+    return lattice_masks(words, table, vocabulary.longest)
 
 
 # ---- documents
@@ -268,7 +345,7 @@ def common_words(docs: DataFrame, vocabulary: Vocabulary, most: int = COMMON_WOR
     few = bounded_sample(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id", sample)
     words = few.select("text").mapInArrow(tidy(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     top = words.orderBy(F.desc("n"), "word").limit(most).select("word")
-    masks = lattice_masks(top, vocabulary.table(docs.sparkSession), vocabulary.longest).collect()
+    masks = lattice(top, vocabulary).collect()
     return {r["word"]: vocabulary.word_ids(r["word"], r["mask"]) for r in masks}
 
 
@@ -276,12 +353,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
     """(doc_id, ids) of documents' (doc_id, text), and with `decode` the text read back, as the column decoded.
 
     The ids are those of the model's own encoder with its dummy prefix. A null or empty text has no ids. Repeated rows
-    keep their rows. Words of over MOST_CHARS characters are merged one by one, by the same rule.
+    keep their rows. An empty table gives an empty one; other columns aren't looked at. Words of over MOST_CHARS
+    characters are merged one by one, by the same rule.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # the model's pieces: bounded
     common = spark.sparkContext.broadcast(common_words(docs, vocabulary))  # COMMON_WORDS at most
-    packed = chunks(docs)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    packed = chunks(docs, max(1 << 18, min(CHUNK, chars // (CHUNKS_PER_CORE * spark.sparkContext.defaultParallelism))))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -302,7 +381,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
     # this and the join below read one exchange: both use both columns, and what the optimizer infers of words stands here
     asked = packed.mapInArrow(tidy(distinct_words), "word string, chunk long").where("word is not null and length(word) >= 2").repartition("word")
     once = asked.groupBy("word").agg(F.min("chunk").alias("first")).where("first >= 0").select("word")
-    found = lattice_masks(once, vocabulary.table(spark), vocabulary.longest)
+    found = lattice(once, vocabulary)
 
     def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -319,7 +398,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
             at = 0
             for end in ends:
                 part = rows.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([pa.array([part["chunk"][0].as_py()]), pa.array([_dictionary(part)], pa.binary())], names=["chunk", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([part["chunk"][0].as_py()]), pa.array([_dictionary(part, shared.value)], pa.binary())], names=["chunk", "words"])
                 at = end
 
         for batch in batches:
@@ -330,7 +409,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
         if held:
             yield from out()
 
-    known = asked.join(found.mapInArrow(tidy(with_ids), "word string, ids binary"), "word").select("chunk", "word", "ids")
+    known = asked.join(found.mapInArrow(tidy(with_ids), "word string, ids binary"), "word", "left").select("chunk", "word", "ids")
     by_chunk = known.mapInArrow(tidy(dictionaries), "chunk long, words binary").groupBy("chunk").agg(F.collect_list("words").alias("words"))
     kind = "doc_id long, ids array<int>" + ", decoded string" * decode
 
@@ -344,7 +423,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                     ids_of.words.update(_words(p))
                 doc_ids, texts = _unpacked(blob)
                 for i in range(0, len(doc_ids), 500):
-                    rows = [b"".join(map(ids_of.__getitem__, v.units(t or ""))) for t in texts[i : i + 500]]
+                    rows = [v.one_unknown(b"".join(map(ids_of.__getitem__, v.units(t or "")))) for t in texts[i : i + 500]]
                     ids = np.frombuffer(b"".join(rows), "<i4")
                     offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
                     columns = [pa.array(doc_ids[i : i + 500], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
@@ -356,7 +435,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
 
 
 class _Units(dict):
-    """A unit's ids, put together from those of its words; words without an entry are merged here."""
+    """A unit's ids, put together from those of its words; single characters and words of over MOST_CHARS are merged here."""
 
     def __init__(self, vocabulary: Vocabulary, common: dict[str, bytes]) -> None:
         super().__init__()
@@ -373,6 +452,8 @@ class _Units(dict):
         for w in self.vocabulary.unit_words(unit):
             ids = known.get(w) or common.get(w)
             if ids is None:
+                if 1 < len(w) <= MOST_CHARS:
+                    raise LookupError(f"a word that the lattice didn't return: {w!r}")
                 ids = known[w] = self.vocabulary.word_ids(w)
             out.append(ids)
         found = b"".join(out)
@@ -381,9 +462,12 @@ class _Units(dict):
         return found
 
 
-def _dictionary(rows: pa.Table) -> bytes:
-    """Words and their ids, compressed."""
-    return _compressed(rows.select(["word", "ids"]))
+def _dictionary(rows: pa.Table, vocabulary: Vocabulary) -> bytes:
+    """Words and their ids, compressed. A word that the lattice has no edges for is one of single characters."""
+    ids = rows["ids"]
+    if ids.null_count:
+        ids = pa.array([vocabulary.word_ids(w, (2 << len(w)) - 1) if i is None else i for w, i in zip(rows["word"].to_pylist(), ids.to_pylist(), strict=True)], pa.binary())
+    return _compressed(pa.table([rows["word"], ids], names=["word", "ids"]))
 
 
 def _words(blob: bytes) -> Iterator[tuple[str, bytes]]:
