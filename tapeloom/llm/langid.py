@@ -1,7 +1,8 @@
 """Language identification of mixed text.
 
-Script ranges narrow a word's candidate languages; a word scores each candidate by its frequency among the language's
-training words, or by its letter trigrams if it is unknown; Viterbi over the words with a penalty for each switch labels
+Runs of letters are cut into words at changes of script (in scripts without spaces, into single letters; others after
+PIECE letters). Script ranges narrow a word's candidate languages; a word scores each candidate by its frequency among the
+language's training words, or by its letter trigrams if it is unknown; Viterbi over the words with a penalty for each switch labels
 spans, and the document's language is the one whose spans hold most letters.
 """
 
@@ -11,21 +12,25 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import checkpoint, slices, texts_of, tidy
 
-#: Documents per language to learn from, entries kept of its words and trigrams (the most frequent), and languages at most.
-DOCS_PER_LANGUAGE, MOST_WORDS, MOST_TRIGRAMS, MOST_LANGUAGES = 3_000, 60_000, 60_000, 500
+#: Documents per language to learn from, entries kept of words and of trigrams (the most frequent), and scores kept of each
+#: of these tables, an entry having one for each language: with over 500 languages, fewer entries are kept.
+DOCS_PER_LANGUAGE, MOST_WORDS, MOST_TRIGRAMS, MOST_SCORES = 3_000, 60_000, 60_000, 30_000_000
+#: Letters of a word at most, and words whose scores a task keeps at most.
+PIECE, MOST_CACHED = 64, 400_000
 #: What a switch of language costs, and the least score of a word: both in nats.
 SWITCH, FLOOR = 6.0, -8.0
 UNKNOWN = "und"
 
-WORDS = re.compile(r"[^\W\d_]+")
+RUNS, PLAIN = re.compile(r"[^\W\d_]+"), re.compile(rf"[a-z]{{1,{PIECE}}}")
 # First and last code point of blocks, and their script. Letters elsewhere count as "other".
 SCRIPTS = (
     (0x0041, 0x024F, "latin"), (0x1E00, 0x1EFF, "latin"), (0x0370, 0x03FF, "greek"), (0x1F00, 0x1FFF, "greek"), (0x0400, 0x052F, "cyrillic"),
@@ -35,14 +40,43 @@ SCRIPTS = (
 )
 
 
+UNSPACED = ("han", "kana", "thai")
+
+
+def _splitter() -> re.Pattern:
+    """Words within a run of letters."""
+    chars: dict[str, str] = {}
+    for a, b, name in SCRIPTS:
+        chars[name] = chars.get(name, "") + "".join(c for c in map(chr, range(a, b + 1)) if c.isalpha())
+    one = [f"[{c}]" if name in UNSPACED else f"[{c}]{{1,{PIECE}}}" for name, c in chars.items()]
+    return re.compile("|".join([*one, f"[^{''.join(chars.values())}]{{1,{PIECE}}}"]))
+
+
+SPLITTER = _splitter()
+
+
 def script(word: str) -> str:
-    """Of the word's first letter."""
+    """Of the word's first letter, which is that of all of them."""
     c = ord(word[0])
     return next((s for a, b, s in SCRIPTS if a <= c <= b), "other")
 
 
+@lru_cache(1 << 16)
+def _split(run: str) -> tuple[str, ...]:
+    return tuple(w for w in SPLITTER.findall(run) if any(map(str.isalpha, w)))
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in WORDS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    low = text.lower()
+    if low.isascii():
+        return PLAIN.findall(low)
+    out: list[str] = []
+    for run in RUNS.findall(low):
+        if run.isascii() and len(run) <= PIECE:
+            out.append(run)
+        else:
+            out += _split(run)
+    return out
 
 
 def trigrams(word: str) -> list[str]:
@@ -62,20 +96,26 @@ class Model:
     grams: dict[str, int]
     gram_scores: np.ndarray
     row_of: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    rows: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"row_of": {}, "rows": []}
+        return self.__dict__ | {"row_of": {}, "rows": None}
 
     def rows_for(self, words: list[str]) -> np.ndarray:
         """A row of scores per language for each word."""
-        if len(self.row_of) > 400_000:
-            self.row_of, self.rows = {}, []
+        if len(self.row_of) > MOST_CACHED:
+            self.row_of, self.rows = {}, None
         new = list(set(words) - self.row_of.keys())
         if new:
-            self.rows = [np.concatenate([*self.rows, self.scores(new)])]
-            self.row_of.update(zip(new, range(len(self.row_of), len(self.row_of) + len(new)), strict=True))
-        return self.rows[0][np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))]
+            n, need = len(self.row_of), len(self.row_of) + len(new)
+            if self.rows is None or need > len(self.rows):  # room for twice as many, so that growing copies little
+                grown = np.empty((2 * need, len(self.languages)), np.float32)
+                if self.rows is not None:
+                    grown[:n] = self.rows[:n]
+                self.rows = grown
+            self.rows[n:need] = self.scores(new)
+            self.row_of.update(zip(new, range(n, need), strict=True))
+        return self.rows[np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))]
 
     def scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)), np.float32)
@@ -83,7 +123,7 @@ class Model:
         out[known >= 0] = self.word_scores[known[known >= 0]]
         where = np.flatnonzero(known < 0)
         if len(where):
-            grams = [[self.grams.get(g, -1) for g in trigrams(words[k][:64])] for k in where]
+            grams = [[self.grams.get(g, -1) for g in trigrams(words[k])] for k in where]
             starts = np.cumsum([0, *map(len, grams[:-1])])
             out[where] = np.add.reduceat(np.vstack([self.gram_scores, np.zeros((1, out.shape[1]), np.float32)])[np.concatenate(grams)], starts)
         never = np.zeros(out.shape[1], bool)
@@ -181,62 +221,63 @@ def identify(model: Model, texts: list[str], part: int = 200_000) -> list[tuple[
     return out
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most_words: int = MOST_WORDS, most_trigrams: int = MOST_TRIGRAMS) -> Model:
     """Learns from (doc_id, text, lang) of a sample: about `per_language` documents of each language, by a hash of doc_id.
 
-    Rows with a null text or lang don't count. Sizes that reach the driver are bounded by MOST_WORDS, MOST_TRIGRAMS and
-    MOST_LANGUAGES (the most frequent languages are learned).
+    Rows with a null text or lang don't count. Texts are read once: words are counted by language, and trigrams follow
+    from the counted words. What reaches the driver is bounded: a count of each language, and the most frequent words and
+    trigrams (`most_words` and `most_trigrams`, fewer with very many languages).
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    spark = docs.sparkSession
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    of = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    languages = sorted(of)
     if not languages:
         return build([], np.zeros(0), {}, {})
-    of = {r["lang"]: r["count"] for r in sizes}
+    shares = spark.createDataFrame([(k, int(min(1.0, per_language / of[k]) * (1 << 30))) for k in languages], "lang string, share long")
     place = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30))
-    limit = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, per_language / of[k]) * (1 << 30)))))
-    chosen = labelled.where(place < limit[F.col("lang")])
+    chosen = labelled.join(F.broadcast(shares), "lang").where(place < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[tuple[str, str, str]] = Counter()
+        count: dict[str, Counter[str]] = {}
 
-        def flush() -> pa.RecordBatch:
-            kind, lang, item = map(list, zip(*count, strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lang), pa.array(item), pa.array(list(count.values()), pa.int64())], names=["kind", "lang", "item", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, words in count.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
             count.clear()
-            return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
-                for w, n in Counter(words_of(text)).items():
-                    count["w", lang, w[:64]] += n
-                    for g in trigrams(w[:64]):
-                        count["g", lang, g] += n
-            if len(count) > 500_000:
-                yield flush()
-        if count:
-            yield flush()
-
-    counted = chosen.select("lang", "text").mapInArrow(run, "kind string, lang string, item string, n long")
-    items = counted.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+                count.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, count.values())) > 500_000:
+                yield from flush()
+        yield from flush()
+
+    counted = chosen.select("lang", "text").mapInArrow(tidy(run), "lang string, word string, n long")
+    words = checkpoint(counted.groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.concat(F.lit(" "), "word", F.lit(" ")), i, F.lit(3))))
+    grams = words.select("lang", "n", gram.alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     place_of = {k: i for i, k in enumerate(languages)}
-    tables: dict[str, dict[str, np.ndarray]] = {}
-    for kind, most in (("w", MOST_WORDS), ("g", MOST_TRIGRAMS)):
-        tables[kind] = {}
-        for r in items.where(F.col("kind") == kind).orderBy(F.desc("all"), "item").limit(most).collect():
-            row = np.zeros(len(languages))
+
+    def table(rows: DataFrame, item: str, most: int) -> dict[str, np.ndarray]:
+        by = rows.groupBy(item).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+        out = {}
+        for r in by.orderBy(F.desc("all"), item).limit(min(most, MOST_SCORES // len(languages))).collect():
+            row = out[r[item]] = np.zeros(len(languages))
             for x in r["by"]:
                 row[place_of[x["lang"]]] = x["n"]
-            tables[kind][r["item"]] = row
-    return build(languages, np.array([float(of[k]) for k in languages]), tables["w"], tables["g"])
+        return out
+
+    return build(languages, np.array([float(of[k]) for k in languages]), table(words, "word", most_words), table(grams, "gram", most_trigrams))
 
 
 def predicted(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of documents' (doc_id, text), and its spans of words if asked for.
 
-    A text that is null or has no letter is UNKNOWN with score 0. Other columns are not looked at.
+    A text that is null or has no letter is UNKNOWN with score 0, and so is any if no language was learned. Rows are
+    independent: repeated or null doc_ids keep their rows. Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS, MOST_TRIGRAMS and MOST_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS, MOST_TRIGRAMS and MOST_SCORES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
