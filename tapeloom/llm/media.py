@@ -1,7 +1,7 @@
 """Interleaved document sequences: text and media references in the order of a page.
 
-A page's HTML is parsed into structs (pos, kind, text, digest, caption): texts, and references to media by digest.
-Payloads stand once each in a media store keyed by digest; a join on the digest resolves references, and what comes of it
+A page's HTML is parsed into structs (pos, kind, text, digest, caption, size): texts, and references to media by digest.
+Payloads stand in a media store, a table keyed by digest; a join on the digest resolves references, and what comes of it
 is put back by position, so that texts, media and captions stay aligned. The stored form of a payload is a grey PNG image
 of 64 samples a row, which keeps every byte.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from html import escape
@@ -17,11 +18,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import texts_of
+from .common import shared_folder, slices, texts_of, tidy
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -102,7 +103,7 @@ class _Sequence(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None, "size": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in HIDDEN:
@@ -117,7 +118,8 @@ class _Sequence(HTMLParser):
             found = dict(attrs)
             if src := found.get("src"):
                 self.close_text()
-                self.items.append({"kind": "media", "text": None, "digest": src.removeprefix(SCHEME), "caption": found.get("alt")})
+                size = found.get("data-size") or ""
+                self.items.append({"kind": "media", "text": None, "digest": src.removeprefix(SCHEME), "caption": found.get("alt"), "size": int(size) if size.isascii() and size.isdigit() else None})
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,62 +154,78 @@ def sequence(html: str) -> list[dict]:
     return parser.items
 
 
-ITEM = pa.struct([("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+ITEM = pa.struct([("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("size", pa.int64())])
 
 
 def sequences(pages: DataFrame, key: str, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *carry, pos, kind, text, digest, caption): one row per item of each page, pos from 0.
+    """(key, *carry, pos, kind, text, digest, caption, size): one row per item of each page, pos from 0.
 
-    A page that is null or has no items has one row with a null kind, so that it isn't lost.
+    size: what a reference says of its payload's bytes, if it does. A page that is null or has no items has one row with
+    a null kind, so that it isn't lost.
     """
     kept = [key, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             items = [sequence(h or "") for h in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(items, pa.list_(ITEM))], names=[*kept, "items"])
 
-    read = pages.select(*kept, F.col(html).alias("__html"))
-    schema = read.drop("__html").schema.add("items", ArrayType(StructType.fromDDL("kind string, text string, digest string, caption string")))
-    parsed = read.mapInArrow(run, schema)
+    read = pages.select(*kept, F.col(html).alias("page's html"))
+    schema = pages.select(*kept).schema.add("items", ArrayType(StructType.fromDDL("kind string, text string, digest string, caption string, size long")))
+    parsed = read.mapInArrow(tidy(run), schema)
     return parsed.select(*kept, F.posexplode_outer("items").alias("pos", "item")).select(*kept, F.coalesce("pos", F.lit(0)).alias("pos"), "item.*")
 
 
 def once(store: DataFrame) -> DataFrame:
-    """One row for each digest of a store."""
-    return store.withColumn("__n", F.row_number().over(Window.partitionBy("digest").orderBy("digest"))).where("__n = 1").drop("__n")
+    """(digest, found) of a store (digest, ...): its other columns as a struct, one for each digest, combined before the shuffle."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in store.columns if c != "digest"))
+    return store.groupBy("digest").agg(F.first(rest).alias("found"))
 
 
 def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
     """`items` with the columns of `store` (digest, ...) by a join on the digest; null where the store has none.
 
-    The store may hold a digest several times; one counts. Texts and unresolved references keep their rows.
+    The store may hold a digest several times; one counts. Texts and unresolved references keep their rows; texts have
+    no digest and are dealt out by a hash instead, so that they don't meet in one task.
     """
-    return items.join(once(store), "digest", "left")
+    own = [F.col(f"`{c}`") for c in items.columns]
+    at = F.coalesce("digest", F.concat(F.lit("text "), F.xxhash64(*own)))
+    asked = items.select(F.struct(*own).alias("item"), at.alias("at"))
+    found = once(store.where(F.col("digest").isNotNull()))
+    joined = asked.join(found.hint("merge"), F.col("at") == F.col("digest"), "left")
+    return joined.select("item.*", "found.*")
 
 
-def interleaved(resolved: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def interleaved(resolved: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
     """(key, items): each page's items as an array of structs (pos, *columns) by position, once more in page order."""
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("items"))
+    keys = [key] if isinstance(key, str) else key
+    return resolved.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("items"))
 
 
 # ---- documents as media
 
 
-def figure(doc_id: int | None, digest: str, n_bytes: int) -> str:
-    caption = escape(f"text of document {doc_id}, {n_bytes} bytes")
-    return f'<article><figure><img src="{SCHEME}{digest}" alt="text as samples"><figcaption>{caption}</figcaption></figure></article>'
+def article(doc_id: int | None, text: str, digest: str, n_bytes: int) -> str:
+    """A page with the whole text, the figure of its image after the first line."""
+    first, _, rest = text.partition("\n")
+    lines = "".join(f"<p>{escape(x)}</p>" for x in (rest,) if x.strip())
+    figure = f'<figure><img src="{SCHEME}{digest}" alt="text as samples" data-size="{n_bytes}"><figcaption>Text of document {doc_id}</figcaption></figure>'
+    return f"<article><h1>Document {doc_id}</h1><p>{escape(first)}</p>{figure}{lines}</article>"
 
 
 def pages_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, html) of documents' (doc_id, text): a page that refers to the text's image by the payload's digest."""
+    """(doc_id, page, html) of documents' (doc_id, text): a page that refers to the text's image by the payload's digest.
+
+    page: a digest of the page, which tells rows of the same doc_id apart if their texts differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages = [figure(doc_id, hashlib.sha256(payload(text)).hexdigest(), len(text.encode("utf-8", "replace"))) for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string())], names=["doc_id", "html"])
+        for batch in slices(batches):
+            pages = [article(doc_id, text, hashlib.sha256(payload(text)).hexdigest(), len(text.encode("utf-8", "replace"))) for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True)]
+            names = [hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=16).hexdigest() for p in pages]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(pages, pa.string())], names=["doc_id", "page", "html"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, html string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, page string, html string")
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -215,7 +233,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             digests, media = [], []
             for text in texts_of(batch):
                 raw = payload(text)
@@ -229,14 +247,14 @@ def stored(docs: DataFrame) -> DataFrame:
             if media:
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    return docs.select("text").mapInArrow(run, "digest string, media binary")
+    return docs.select("text").mapInArrow(tidy(run), "digest string, media binary")
 
 
 FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_back(store: DataFrame) -> DataFrame:
-    """(digest, *FACTS) of a store's (digest, media), a row for each digest: what its stored bytes decode to."""
+    """(digest, *FACTS) of a store's (digest, media): what its stored bytes decode to. Rows stay as they are."""
     names = ["digest", *(x.split()[0] for x in FACTS.split(", "))]
     types = [pa.string(), *(pa.int64() if " long" in x else pa.string() for x in FACTS.split(", "))]
 
@@ -245,23 +263,28 @@ def read_back(store: DataFrame) -> DataFrame:
         return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(digest, *facts(media)) for digest, media in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return once(store).select("digest", "media").mapInArrow(run, f"digest string, {FACTS}")
+    return store.select("digest", "media").mapInArrow(tidy(run), f"digest string, {FACTS}")
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, *FACTS, caption) for each row of documents' (doc_id, text).
+    """(doc_id, n_bytes, *FACTS, caption, pos, n_items) for each row of documents' (doc_id, text).
 
-    Each text is stored as an image; its page is parsed, and the page's reference is joined to what the stored bytes of
-    that digest decode to. Payloads are read once each, whatever their copies, and only a row of facts meets a digest's
-    references, so a much copied payload's join can be split. A null text counts as empty: 64 zero bytes. Repeated rows
-    keep their rows; a doc_id may be null.
+    Each text is stored as an image in a table of the shared folder, and stands in a page of a title, its first line, the
+    image's figure and its other lines. Pages are parsed, references are joined to what the stored bytes of their digest
+    decode to, and each page's items are put in order again; the result is the page's figure. Payloads aren't shuffled:
+    only a row of facts for each digest meets the references. A null text counts as empty: 64 zero bytes. Repeated rows
+    keep their rows; a doc_id may be null; other columns aren't looked at; an empty table gives an empty one.
     """
-    items = sequences(pages_of(docs), "doc_id").where("kind = 'media'")
-    joined = items.select("doc_id", "digest", "caption").join(read_back(stored(docs)).hint("merge"), "digest", "left")
-    n_bytes = F.regexp_extract("caption", r"(\d+) bytes$", 1).cast("long").alias("n_bytes")
-    return joined.select("doc_id", n_bytes, *(x.split()[0] for x in FACTS.split(", ")), "caption")
+    spark, facts = docs.sparkSession, [x.split()[0] for x in FACTS.split(", ")]
+    folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    stored(docs).write.parquet(folder)
+    store = read_back(spark.read.parquet(folder))
+    items = sequences(pages_of(docs), "doc_id", carry=("page",)).drop("text")
+    pages = interleaved(resolve(items, store), ["doc_id", "page"], ["kind", "digest", "caption", "size", *facts])
+    figures = pages.select("doc_id", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x"), F.size(F.array_distinct(F.transform("items", lambda x: x["pos"]))).alias("n_items"))
+    return figures.select("doc_id", F.col("x.size").alias("n_bytes"), *(F.col(f"x.{f}").alias(f) for f in facts), "x.caption", "x.pos", "n_items")

@@ -30,11 +30,13 @@ def block_list(pages: DataFrame) -> DataFrame:
 
 
 def op1_url_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of pages held against a dated block list as it was when they were fetched; a row for each page."""
     seen = captures(spark, sf_dir)
     return urlfilter.filtered(seen, block_list(seen))
 
 
 def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, and its spans of words by language; learned from documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = langid.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
@@ -42,23 +44,28 @@ def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and spans; a null text has none."""
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op4_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored image in a page of texts and a figure, and what the stored bytes decode to."""
     return media.sampled(table(spark, sf_dir, "documents"))
 
 
 def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, that of its edited text, and the group of equal texts; a null text counts as empty."""
     return digest.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of all sources by weights 1, 2, 3 takes of every document; a null source is the last one."""
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0))
 
 
 def op7_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a ranking learned from labels that aren't held out; a null text scores as an empty one."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     ranker = quality.fit_on(docs, labels.where(~held_out))
@@ -70,16 +77,19 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op8_pieces_lattice(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """Every document's piece ids by the model, and a digest of the text read back from them; a null text has none."""
     rows = pieces.encoded(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model), decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and the smallest doc_id that it is linked to by fingerprints of 4 or fewer differing bits."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
     return rows.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_chat_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back; -1 is one whose texts hold control strings."""
     planted = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))

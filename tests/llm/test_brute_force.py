@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -87,6 +88,32 @@ def test_spans_of_mixed_text(spark, documents):
     assert {k for _, _, k in spans} == {"en", "de"} and spans[0][2] == "en" and abs(spans[0][1] - 60) <= 5
 
 
+def test_words_end_where_the_script_changes():
+    assert langid.words_of("Weißbier日本カタ и 3 mots, ab" + "c" * 70) == ["weißbier", "日", "本", "カ", "タ", "и", "mots", "ab" + "c" * 62, "c" * 8]
+    assert langid.words_of("ABC x2y") == ["abc", "x", "y"] and langid.words_of("²³ 42 _") == []
+    docs = [("zz", "日本語 日本 本日"), ("yy", "abc abd abe"), ("xx", "абв абг")]
+    words = {w: np.array([float(k == j) for j in range(3)]) * 5 for k, (_, t) in enumerate(docs) for w in langid.words_of(t)}
+    grams = {g: n for w, n in words.items() for g in langid.trigrams(w)}
+    model = langid.build([k for k, _ in docs], np.ones(3), words, grams)
+    found = langid.identify(model, ["日本" * 40 + "abc abd" * 3, "abcabd" * 30 + "абв" * 40, "абв" * 100])
+    assert [x[0] for x in found] == ["zz", "yy", "xx"] and [k for _, _, k in found[1][2]] == ["yy", "xx"]
+
+
+def test_learned_counts_are_those_of_a_plain_count(spark, documents):
+    some = documents.where("doc_id < 60").select("doc_id", "text", "lang")
+    model, words, grams = langid.learn(some), {}, {}
+    rows = [r for r in some.collect() if r["lang"] and r["text"]]
+    for r in rows:
+        for w in langid.words_of(r["text"]):
+            words.setdefault(w, np.zeros(len(model.languages)))[model.languages.index(r["lang"])] += 1
+            for g in langid.trigrams(w):
+                grams.setdefault(g, np.zeros(len(model.languages)))[model.languages.index(r["lang"])] += 1
+    plain = langid.build(model.languages, np.array([float(sum(r["lang"] == k for r in rows)) for k in model.languages]), words, grams)
+    assert model.words.keys() == plain.words.keys() and model.grams.keys() == plain.grams.keys()
+    some_words = sorted(words)[:500] + ["neverseenbefore"]
+    assert np.allclose(model.scores(some_words), plain.scores(some_words), atol=1e-4) and np.allclose(model.prior, plain.prior)
+
+
 # ---- 3
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -173,6 +200,30 @@ def test_sequences_stay_aligned(spark):
     assert [x["kind"] for x in out[2] + out[3]] == [None, None]
 
 
+def test_real_pages_stay_aligned(spark):
+    """The table of pages: texts and references in order, against the pages' own visible words; some media are in the store."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "html")
+    figures = spark.range(20).selectExpr("id + 100000 as page_id", "concat('<p>before ', id, '<img data-size=\"', id, '\" src=\"sha256:d', id % 3, '\" alt=\"a', id, '\"> between <figure><img src=\"sha256:d9\"><img src=\"sha256:d1\"><figcaption>both ', id, '</figcaption></figure>after') as html")
+    store = spark.createDataFrame([("d0", 10), ("d1", 11), ("d1", 11), (None, 1)], "digest string, bytes int")
+    items = media.sequences(pages.union(figures), "page_id")
+    out = {r["page_id"]: r["items"] for r in media.interleaved(media.resolve(items, store), "page_id", ["kind", "text", "digest", "caption", "size", "bytes"]).collect()}
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert out.keys() == html.keys() | set(range(100_000, 100_020))
+    for k, h in html.items():
+        plain = media.sequence(h)
+        assert [(x["kind"], x["text"], x["digest"], x["caption"]) for x in out[k] if x["kind"]] == [(x["kind"], x["text"], x["digest"], x["caption"]) for x in plain]
+        at = 0
+        for x in plain:  # words of the texts stand in the page in this order
+            for w in (x["text"] or "").split():
+                if w.isalnum():
+                    at = h.index(w, at) + len(w)
+    for i in range(20):
+        told = [(x["kind"], x["text"] or x["digest"], x["caption"], x["size"], x["bytes"]) for x in out[100_000 + i]]
+        known = {"d0": 10, "d1": 11}
+        assert told == [("text", f"before {i}", None, None, None), ("media", f"d{i % 3}", f"a{i}", i, known.get(f"d{i % 3}")), ("text", "between", None, None, None),
+                        ("media", "d9", f"both {i}", None, None), ("media", "d1", f"both {i}", None, 11), ("text", "after", None, None, None)]
+
+
 # ---- 5
 
 
@@ -326,6 +377,44 @@ def test_unigram_viterbi_is_the_best_path(spark):
         assert "".join(r["pieces"]) == r["word"] and sum(score.get(p, -100.0) for p in r["pieces"]) == pytest.approx(best(r["word"]))
 
 
+def _message(number, value):
+    """A field of a message in the protocol buffers' wire format: bytes, a number from 0 to 127, or a float."""
+    if isinstance(value, bytes):
+        size = len(value)
+        head = bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])
+        return bytes([number << 3 | 2]) + head + value
+    return bytes([number << 3 | 5]) + struct.pack("<f", value) if isinstance(value, float) else bytes([number << 3, value])
+
+
+def unigram_model(pieces_, with_bytes):
+    """A model file with hand-made pieces and scores: nothing is trained."""
+    made = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256 * with_bytes)), *((p, v, 1) for p, v in pieces_.items())]
+    body = b"".join(_message(1, _message(1, p.encode()) + _message(2, float(v)) + _message(3, t)) for p, v, t in made)
+    trainer = _message(3, 1) + (b"\x98\x02\x01" if with_bytes else b"")  # type: unigram; field 35: byte fallback
+    normalizer = _message(1, b"identity") + _message(3, 1) + _message(4, 0) + _message(5, 1)
+    return body + _message(2, trainer) + _message(3, normalizer)
+
+
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_unigram_ids_are_the_library_s(spark, tmp_path, with_bytes):
+    own = random.Random(11)
+    made = {"▁": -2.0, "a": -3.0, "b": -3.25, "c": -4.0, "▁a": -2.5, "ab": -4.5, "bc": -4.125, "abc": -5.75, "▁ab": -5.0, "ca": -6.5, "aa": -5.25, ".": -2.75, "▁abcab": -9.5, "cabc": -9.0}
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(made, with_bytes))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    vocabulary = pieces.Vocabulary.load(str(path))
+    assert vocabulary.unigram
+    texts_ = ["".join(own.choice("aaabbbccc d.é ") for _ in range(own.randint(0, 60))) for _ in range(400)] + ["", "abc" * 40, "x", "abcabc ddd  d"]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    for r in pieces.encoded(rows, vocabulary).collect():
+        assert list(r["ids"]) == library.encode(texts_[r["doc_id"]]), texts_[r["doc_id"]]
+
+
+def test_a_lost_word_is_an_error():
+    with pytest.raises(LookupError):
+        pieces._Units(pieces.Vocabulary.load(queries.MODEL), {})["hello"]
+
+
 # ---- 9
 
 
