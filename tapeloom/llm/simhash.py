@@ -239,7 +239,9 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
 # ---- the exact join: every pair at ALIKE shares a shingle of both prefixes
 
 #: Documents whose shingles are counted, and shingles that count as usual at most: they order the prefixes, no more.
-USUAL_DOCS, MOST_USUAL = 20_000, 50_000
+USUAL_DOCS, MOST_USUAL = 10_000, 50_000
+#: Ids that are sent to all tasks at most; more of them meet documents by a shuffle.
+MOST_SENT = 1_000_000
 #: Bits of a sketch: the parity of how many shingles fall on each.
 SKETCH = 1024
 
@@ -264,7 +266,7 @@ def usual_shingles(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     counted = bounded_sample(docs, "doc_id", USUAL_DOCS).select("text").mapInArrow(tidy(run), "key long, n long")
-    top = counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_USUAL)
+    top = counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(MOST_USUAL)
     return np.array([r["key"] for r in top.collect()][::-1], np.int64).view(np.uint64)
 
 
@@ -282,18 +284,31 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles % SKETCH).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(rep, n, sketch): the size of a text's shingle set and its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.binary())], names=["rep", "n", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "rep long, n int, sketch binary")
+
+
 def _prefixes(docs: DataFrame, usual: np.ndarray) -> DataFrame:
-    """(rep, n, sketch, keys): the size of a text's shingle set, its sketch and its prefix in order."""
+    """(key, rep, n, pos): the prefix of each text's shingle set in order, and the size of the set."""
     order = np.argsort(usual)
     shared = docs.sparkSession.sparkContext.broadcast((usual[order], order))  # bounded by MOST_USUAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(t) for t in texts_of(batch)]
-            keys = pa.array([ordered_prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.binary()), keys], names=["rep", "n", "sketch", "keys"])
+            keys = [ordered_prefix(s, *shared.value).view(np.int64) for s in sets]
+            size = np.array(list(map(len, keys)))
+            of = [np.repeat(batch.column(0).to_numpy(), size), np.repeat(np.array(list(map(len, sets)), np.int32), size), np.concatenate([np.arange(k, dtype=np.int32) for k in size])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *of)], names=["key", "rep", "n", "pos"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "rep long, n int, sketch binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "key long, rep long, n int, pos int")
 
 
 def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,25 +373,32 @@ def _close(links: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def prefix_copies(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, label): further links between classes (rep), as components; groups (id, label) are those found before.
+def sent(ids: DataFrame) -> DataFrame:
+    """A checkpointed table of ids, to be broadcast if there are few of them."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
+def _sets_of(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, shingles) of the documents that links (a, b) name."""
+    linked = checkpoint(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return checkpoint(_shingle_sets(docs.join(sent(linked), "doc_id", "left_semi")).dropDuplicates(["rep"]))
+
+
+def prefix_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, label): links between documents (doc_id, text), as components; groups (id, label) are those found before.
 
-    Every pair of `docs` that is ALIKE and in different groups is found, if its documents meet in a bucket of up to 64.
-    Larger buckets take several rounds: each holds some rows against all others and goes on with what is in no group
-    yet, until nothing is left. So no two documents that stay are ALIKE.
+    Every pair that is ALIKE and in different groups is found, if its documents meet in a bucket of up to 64. Larger
+    buckets take several rounds: each holds some rows against all others and goes on with what is in no group yet, until
+    nothing is left. So no two documents that stay are ALIKE.
     """
-    prefixes = checkpoint(_prefixes(docs, usual_shingles(docs)).join(classes, "rep", "left_semi"))
-    dealt = prefixes.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
-    named = prefixes.select("rep", "n", "sketch").dropDuplicates(["rep"]).join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    dealt = _prefixes(docs, usual_shingles(docs))
+    named = _sketches(docs).dropDuplicates(["rep"]).join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left")
     sketches = checkpoint(named.select("rep", "n", "sketch", F.coalesce("label", "rep").alias("own")))
     most, joined = 64, groups
     while True:
         met = checkpoint(_met(dealt, most))
         links = checkpoint(_close(met.where("key is null").select("a", "b").distinct(), sketches))
-        linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        few = F.broadcast(linked) if links.count() <= 200_000 else linked  # up to 400,000 ids
-        sets = checkpoint(_shingle_sets(docs.select("doc_id", "text").join(few, "doc_id", "left_semi")).dropDuplicates(["rep"]))
-        more = checkpoint(components(_alike(links, sets)))
+        more = checkpoint(components(_alike(links, _sets_of(docs, links))))
         joined = checkpoint(joined.unionByName(more))
         dealt = met.where("key is not null").select("key", "rep", "n", "pos").join(joined.select(F.col("id").alias("rep")), "rep", "left_anti")
         if dealt.isEmpty():
@@ -393,18 +415,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     are ALIKE between those groups. So no two documents that stay are ALIKE, whatever the number of rows or partitions,
     and each that goes is joined to the one that stays, the smallest doc_id of its group, by pairs that are.
     """
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     own = checkpoint(_identities(named))
     classes = checkpoint(own.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
+    copies = checkpoint(own.join(classes.select("same", "rep"), "same").where("doc_id <> rep").select("doc_id", "rep").distinct())
     links = checkpoint(block_links(classes.select("rep", "fp"), ALIKE_BITS, block_masks(block_count(classes.count(), ALIKE_BITS), ALIKE_BITS)))
-    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = checkpoint(_shingle_sets(named.join(linked, "doc_id", "left_semi")).dropDuplicates(["rep"]))
-    groups = checkpoint(components(_alike(links, sets)))
-    joined = prefix_copies(named, classes.select("rep"), groups)
-    final = components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")))
-    copies = own.join(classes.select("same", "rep"), "same").select("doc_id", "rep")
-    copies = copies.join(final, copies.rep == final.id, "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
-    return copies.where("doc_id <> rep").select("doc_id", F.col("rep").alias("kept")).distinct()
+    groups = checkpoint(components(_alike(links, _sets_of(named, links))))
+    gone = checkpoint(copies.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
+    joined = prefix_copies(named.join(sent(gone), "doc_id", "left_anti"), groups)
+    links = joined.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    return components(links).where("id <> label").select(F.col("id").alias("doc_id"), F.col("label").alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -414,8 +434,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay. An empty table gives an empty one; columns may have any names.
     """
     rows, at = positional(docs), f"c{docs.columns.index('doc_id')}"
-    gone = near_copies(docs).select(F.col("doc_id").alias("gone"))
-    kept = rows.join(gone, F.col(at) == F.col("gone"), "left_anti")
+    gone = checkpoint(near_copies(docs).select(F.col("doc_id").alias("gone")))
+    kept = rows.join(sent(gone), F.col(at) == F.col("gone"), "left_anti")
     repeated = checkpoint(rows.where(F.col(at).isNotNull()).groupBy(at).agg(F.count("*").alias("n")).where("n > 1").select(F.col(at).alias("twice")))
     if not repeated.isEmpty():
         single = kept.join(repeated, F.col(at) == F.col("twice"), "left_anti")
