@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, positional, runs, slices, texts_of, tidy
+from .common import checkpoint, positional, runs, slices, texts_of, tidy
 
 BITS = 64
 
@@ -238,8 +238,9 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
 
 # ---- the exact join: every pair at ALIKE shares a shingle of both prefixes
 
-#: Documents whose shingles are counted, and shingles that count as usual at most: they order the prefixes, no more.
-USUAL_DOCS, MOST_USUAL = 10_000, 50_000
+#: A shingle of more than OFTEN documents' prefixes is usual: it comes last in the order of prefixes. Of such shingles the
+#: MOST_USUAL most frequent ones are told apart, and a share more than a prefix is counted, for what comes in their place.
+OFTEN, MOST_USUAL, MORE = 4, 300_000, 0.3
 #: Ids that are sent to all tasks at most; more of them meet documents by a shuffle.
 MOST_SENT = 1_000_000
 #: Bits of a sketch: the parity of how many shingles fall on each.
@@ -257,16 +258,19 @@ def most_unlike(n: np.ndarray) -> np.ndarray:
 
 
 def usual_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that several documents of a sample have, the rarest first."""
+    """Shingles that many documents have near the beginning of their sorted sets, the rarest first; all documents count.
+
+    They order the prefixes, so that passages which unlike documents share make no candidates; any order loses no pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2_000):
+        for batch in slices(batches):
             sets = [shingle_set(t) for t in texts_of(batch)]
-            key, n = np.unique(np.concatenate(sets), return_counts=True)
+            key, n = np.unique(np.concatenate([s[: int((1 + MORE) * prefix_size(len(s)))] for s in sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    counted = bounded_sample(docs, "doc_id", USUAL_DOCS).select("text").mapInArrow(tidy(run), "key long, n long")
-    top = counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(MOST_USUAL)
+    counted = docs.select("text").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(MOST_USUAL)
     return np.array([r["key"] for r in top.collect()][::-1], np.int64).view(np.uint64)
 
 
