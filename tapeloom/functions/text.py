@@ -77,6 +77,11 @@ def video_id(link: Column) -> Column:
     return F.when(text.rlike(f"^{VIDEO_ID}$"), text).otherwise(F.coalesce(*found, text))
 
 
+def loose_video_id(link: Column) -> Column:
+    """What follows v= or the short host up to the next delimiter; '' if neither is there."""
+    return F.regexp_extract(link, r"(?:youtube\.com/.*v=|youtu\.be/)([^&\n?#]+)", 1)
+
+
 def narration(text: Column) -> Column:
     """Paragraphs with a pause before each one but the first that doesn't open with a connective."""
     opens = lambda p: F.lit(False) if not CONNECTIVES else p.rlike("^(" + "|".join(CONNECTIVES) + ")")

@@ -1,13 +1,18 @@
 """Folds over ordered rows: operators whose decisions depend on earlier ones.
 
-Each key's rows are collected into one sorted array and folded by Spark's aggregate; a key's rows (the segments of a
-video, the videos of a job) must fit into a row.
+Where a key's rows are few by nature (the segments of a video, the videos of a job), they are collected into one sorted
+array and folded by Spark's aggregate. Where they aren't (requests of a client, vectors of a cluster), they are dealt out
+by key, sorted, and read as a stream that carries a bounded state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,52 +147,88 @@ def budget_expand(segments: DataFrame, selected: DataFrame, key: str, n_videos:
     return folded.select(key, F.col("out.total").alias("total"), F.col("out.chosen").alias("chosen"))
 
 
-def pack(rows: DataFrame, key: str, order: Column, size: Column, most: int, separator: int = 0) -> DataFrame:
-    """(key, pos, batch) of rows with an integer place `order`: greedy packing in order, up to `most` per batch.
+def packed(sizes: Column, most: int, separator: int = 0) -> Column:
+    """(items, size) of the batches that an array of sizes is packed into, greedily and in order, up to `most` each.
 
-    A row's size counts with `separator` added for each row after a batch's first. A row over the limit is a batch of its
-    own.
+    An item's size counts with `separator` added for each one after a batch's first. One over the limit is a batch of its
+    own. The fold holds finished batches and the open one, no items.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("size"), F.lit(-1).alias("batch"), F.array().cast("array<struct<pos:long,batch:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("items"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<items:int,size:bigint>>").alias("done"))
+    batch = lambda a: F.struct(a["items"].alias("items"), a["size"].alias("size"))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["batch"] < 0) | (a["size"] + separator + x["size"] > most)
-        batch = F.when(fresh, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(F.when(fresh, x["size"]).otherwise(a["size"] + separator + x["size"]).alias("size"), batch.alias("batch"), F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), batch.alias("batch")))).alias("out"))
+    def step(a: Column, n: Column) -> Column:
+        grown = a["size"] + separator + n
+        fresh, full = a["items"] == 0, grown > most
+        done = F.when(~fresh & full, F.array_append(a["done"], batch(a))).otherwise(a["done"])
+        return F.struct(F.when(fresh | full, 1).otherwise(a["items"] + 1).alias("items"), F.when(fresh | full, n.cast("long")).otherwise(grown).alias("size"), done.alias("done"))
 
-    placed = rows.select(key, order.cast("long").alias("pos"), size.cast("long").alias("size"))
-    return ordered_fold(placed, [key], [F.col("pos")], [F.col("pos"), F.col("size")], zero, step, lambda a: a["out"]).select(key, F.inline("out"))
+    return F.aggregate(sizes, zero, step, lambda a: F.when(a["items"] > 0, F.array_append(a["done"], batch(a))).otherwise(a["done"]))
 
 
-def leaders(vectors: DataFrame, key: str, order: Column, threshold: float) -> DataFrame:
-    """(key, pos): of unit vectors (key, embedding), those less alike than `threshold` to all that were kept before."""
-    from tapeloom.functions.vectors import dot
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Stretches of one key (the first column) of batches in order, each with whether the key is a new one."""
+    last: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_pylist()
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for a, b in itertools.pairwise(cuts):
+            yield last != [keys[a]], batch.slice(a, b - a)
+            last = [keys[a]]
 
-    zero = F.array().cast("array<struct<pos:long,v:array<float>>>")
 
-    def step(a: Column, x: Column) -> Column:
-        near = F.exists(a, lambda c: dot(c["v"], x["v"]) >= threshold)
-        return F.when(near, a).otherwise(F.concat(a, F.array(F.struct(x["pos"].alias("pos"), x["v"].alias("v")))))
+def leaders(vectors: DataFrame, key: str, order: Column, threshold: float) -> DataFrame:
+    """(key, pos): of unit vectors (key, embedding), those less alike than `threshold` to all that were kept before.
 
-    rows = vectors.select(key, order.cast("long").alias("pos"), F.col("embedding").alias("v"))
-    kept = ordered_fold(rows, [key], [F.col("pos")], [F.col("pos"), F.col("v")], zero, step, lambda a: F.transform(a, lambda c: c["pos"]))
-    return kept.select(key, F.explode("out").alias("pos"))
+    A key's vectors are read in order as a stream; a task holds the key's kept vectors, not all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = np.empty((0, 0)), 0
+        for fresh, part in _by_key(batches):
+            vectors_ = np.array(part.column(2).to_pylist(), float)
+            if fresh:
+                kept, n = np.empty((16, vectors_.shape[1])), 0
+            new = []
+            for i, v in enumerate(vectors_):
+                if n and (kept[:n] @ v >= threshold).any():
+                    continue
+                if n == len(kept):
+                    kept = np.concatenate([kept, np.empty_like(kept)])
+                kept[n] = v
+                n += 1
+                new.append(i)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(new, pa.int64())), part.column(1).take(pa.array(new, pa.int64()))], names=[key, "pos"])
+
+    rows = vectors.select(key, order.cast("long").alias("pos"), F.col("embedding"))
+    kind = rows.select(key, "pos").schema
+    return rows.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(run, kind)
 
 
 def rate_limit(requests: DataFrame, window: float, most: int) -> DataFrame:
     """(client, request_id, allowed) of requests (client, request_id, t): at most `most` allowed ones within `window` seconds.
 
-    Rejected requests don't count towards the limit.
+    Rejected requests don't count towards the limit. A client's requests are read in order as a stream; a task holds the
+    times of `most` allowed ones.
     """
-    zero = F.struct(F.array().cast("array<double>").alias("times"), F.array().cast("array<struct<request_id:long,allowed:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        recent = F.filter(a["times"], lambda t: t > x["t"] - window)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["t"]))).otherwise(recent).alias("times"), F.concat(a["out"], F.array(F.struct(x["request_id"].alias("request_id"), ok.alias("allowed")))).alias("out"))
 
-    payload = [F.col("t").cast("double").alias("t"), F.col("request_id").cast("long").alias("request_id")]
-    return ordered_fold(requests, ["client"], [F.col("t"), F.col("request_id")], payload, zero, step, lambda a: a["out"]).select("client", F.inline("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: deque[float] = deque()
+        for fresh, part in _by_key(batches):
+            if fresh:
+                times.clear()
+            allowed = []
+            for t in part.column(2).to_pylist():
+                while times and times[0] <= t - window:
+                    times.popleft()
+                allowed.append(len(times) < most)
+                if allowed[-1]:
+                    times.append(t)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(allowed)], names=["client", "request_id", "allowed"])
+
+    rows = requests.select("client", F.col("request_id").cast("long"), F.col("t").cast("double"))
+    return rows.repartition("client").sortWithinPartitions("client", "t", "request_id").mapInArrow(run, "client string, request_id long, allowed boolean")
 
 
 def assemble(paragraphs: DataFrame, key: str, target: int, transitions: list[str]) -> DataFrame:

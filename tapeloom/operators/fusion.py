@@ -14,48 +14,59 @@ from tapeloom.operators import folds
 # Words that speak against or for a statement, wherever they stand in it.
 AGAINST = ("not", "never", "wrong", "false", "incorrect", "disagree", "however", "but", "although", "contrary", "opposite")
 FOR = ("is", "are", "will", "should", "must", "always", "definitely")
-#: Sentences of one job that average linkage takes; it holds their distances, so its memory grows as the square.
-MOST_SENTENCES = 8_000
 
 
 def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """Cluster of each row by agglomeration, cosine distance and average linkage; equal distances join the lowest rows."""
+    """Cluster of each row by agglomeration, cosine distance and average linkage; numbered by their first rows.
+
+    The mean distance of two clusters is one less the product of their mean unit vectors, so a cluster's size and sum are
+    all that is held: memory grows as the rows. Chains of nearest neighbours find all joins, which are then made in order
+    of distance; this gives what joining the nearest two each time does, but for ties.
+    """
     n = len(vectors)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    d = 1.0 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, member = np.ones(n), np.arange(n)
-    near = d.argmin(1)
-    live = np.ones(n, bool)
-    for _ in range(max(0, n - clusters)):
-        rows = np.flatnonzero(live)
-        a = rows[d[rows, near[rows]].argmin()]
-        a, b = sorted((int(a), int(near[a])))
-        joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        joined[a] = np.inf
-        d[a], d[:, a] = joined, joined
-        d[b], d[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        live[b] = False
-        member[member == b] = a
-        for r in rows:
-            if live[r] and (near[r] in (a, b) or r == a or d[r, a] < d[r, near[r]]):
-                near[r] = d[r].argmin()
-    return np.unique(member, return_inverse=True)[1]
+    total = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    size, live = np.ones(n), np.ones(n, bool)
+    joins, chain = [], []
+    while live.sum() > 1:
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        a = chain[-1]
+        d = 1.0 - (total @ total[a]) / (size * size[a])
+        d[~live] = np.inf
+        d[a] = np.inf
+        b = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            b = chain[-2]
+            del chain[-2:]
+            joins.append((float(d[b]), a, b))
+            low, high = sorted((a, b))
+            total[low], size[low], live[high] = total[low] + total[high], size[low] + size[high], False
+        else:
+            chain.append(b)
+    label = np.arange(n)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for _, a, b in sorted(joins)[: max(0, n - clusters)]:
+        low, high = sorted((root(a), root(b)))
+        label[high] = low
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
 
 
 def topic_clusters(sentences: DataFrame, key: str, place: str) -> DataFrame:
     """(key, place, cluster) of sentences (key, place, embedding), a fifth as many clusters, from 3 to 20.
 
-    A job of under three sentences is one cluster each. A job is one task's work, up to MOST_SENTENCES sentences; more
-    raise an error.
+    A job of under three sentences is one cluster each. A job (the sentences of up to ten videos) is one task's work: its
+    memory grows as its sentences, its time as their square; jobs are independent.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(place)
         n = len(frame)
-        if n > MOST_SENTENCES:
-            raise ValueError(f"a job of {n} sentences; the most is {MOST_SENTENCES}")
         label = np.arange(n) if n < 3 else average_linkage(np.array(frame["embedding"].tolist(), float), max(3, min(n // 5, 20)))
         return frame[[key, place]].assign(cluster=label.astype("int64"))
 

@@ -22,6 +22,26 @@ TRANSITIONS = [
 ]
 
 
+# Transitions by style.
+STYLE_TRANSITIONS = {
+    "headline": [],
+    "brief": ["Also,", "Additionally,", "Furthermore,", "Moreover,"],
+    "standard": ["Building on this point,", "In a related vein,", "Expanding further,", "Another key insight is that", "It's also worth noting that", "This connects to", "Looking at another perspective,"],
+    "comprehensive": [
+        "To elaborate on this concept,", "Diving deeper into this topic,", "From a broader perspective,", "Examining this more closely,", "An important nuance here is that",
+        "This raises an interesting point about", "Connecting this to the bigger picture,", "One critical aspect to consider is", "Taking a step back,",
+    ],
+}
+
+
+def with_transitions(rows: DataFrame, style: str) -> DataFrame:
+    """`rows` with the transitions of their style, an empty list for a style that isn't known."""
+    spark = rows.sparkSession
+    table = spark.createDataFrame(list(STYLE_TRANSITIONS.items()), "known string, transitions array<string>")
+    joined = rows.join(F.broadcast(table), F.col(style) == F.col("known"), "left").drop("known")  # four rows
+    return joined.withColumn("transitions", F.coalesce("transitions", F.array().cast("array<string>")))
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROFILES, SCHEMA)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text as T
 
 ANSWER = "summary string, tldr string, key_takeaways array<string>, who_should_watch string, who_can_skip string, action_steps array<string>, best_quotes array<string>, chapters array<string>"
+# The rules between a report's sections; its titles and those of chapters stand where they are used.
 RULE, LINE = "=" * 60, "-" * 40
 
 
@@ -50,8 +51,8 @@ def report(summary: Column, tldr: Column, takeaways: Column, chapters: Column, q
 def tolerant(answer: Column) -> Column:
     """A model's JSON answer as a struct: as it is, else in a fenced block, else from the first brace to the last one.
 
-    What can't be read is a summary as it stands. Missing lists are empty; quotes may be strings or objects (their JSON
-    stays in the list), and chapters that aren't objects are dropped.
+    What can't be read is a summary as it stands. Missing fields are '' or empty lists; best_quotes are (text, speaker),
+    whether given as strings or objects; chapters are (title, text), and those that aren't objects are dropped.
     """
     read = lambda s: F.when(F.trim(s).startswith("{"), F.from_json(s, ANSWER, {"mode": "PERMISSIVE"}))
     ok = lambda s: F.try_parse_json(s).isNotNull()
@@ -60,14 +61,25 @@ def tolerant(answer: Column) -> Column:
     raw = F.struct(F.trim(answer).alias("summary"))
     found = F.coalesce(*(F.when(ok(s), read(s)) for s in (answer, fenced, braces)))
     empty = F.array().cast("array<string>")
+    part = lambda x, name: F.coalesce(F.get_json_object(x, f"$.{name}"), F.lit("")).alias(name)
+    quote = lambda q: F.when(q.startswith("{"), F.struct(part(q, "text"), part(q, "speaker"))).otherwise(F.struct(q.alias("text"), F.lit("").alias("speaker")))
+    chapter = lambda c: F.struct(part(c, "title"), part(c, "text"))
     take = lambda name, other: F.coalesce(found[name], other).alias(name)
     return F.struct(
         F.when(found.isNull(), raw["summary"]).otherwise(F.coalesce(found["summary"], F.lit(""))).alias("summary"),
-        take("tldr", F.lit("")), take("key_takeaways", empty), take("who_should_watch", F.lit("")), take("who_can_skip", F.lit("")), take("action_steps", empty), take("best_quotes", empty),
-        F.filter(F.coalesce(found["chapters"], empty), lambda c: c.startswith("{")).alias("chapters"),
+        take("tldr", F.lit("")), take("key_takeaways", empty), take("who_should_watch", F.lit("")), take("who_can_skip", F.lit("")), take("action_steps", empty),
+        F.transform(F.coalesce(found["best_quotes"], empty), quote).alias("best_quotes"),
+        F.transform(F.filter(F.coalesce(found["chapters"], empty), lambda c: c.startswith("{")), chapter).alias("chapters"),
     )
 
 
+def highlight_rows(answer: Column, score: float = 0.5) -> Column:
+    """(start, end, score) of a model's JSON list of highlights, bare or amid other text: those with a start and an end."""
+    found = F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), "array<struct<start:double,end:double,score:double>>")
+    kept = F.filter(F.coalesce(found, F.array().cast("array<struct<start:double,end:double,score:double>>")), lambda h: h["start"].isNotNull() & h["end"].isNotNull())
+    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.coalesce(h["score"], F.lit(score)).alias("score")))
+
+
 def kept_sentences(text: Column, least: int) -> Column:
     """A text's sentences, trimmed, of at least so many words."""
     return F.filter(F.transform(T.sentences(F.trim(text)), lambda s: F.trim(s)), lambda s: T.word_count(s) >= least)

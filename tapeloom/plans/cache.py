@@ -118,3 +118,29 @@ def failed_source_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of videos that didn't fail to load (those whose vector has label 0)."""
     failed = B.table(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").cast("string").alias("video_id"))
     return B.segments(spark, sf_dir).join(failed, "video_id", "left_anti").select("video_id", "seg_idx")
+
+
+@query("WITH " + ENTRIES + """ SELECT id, size, CASE WHEN id % 4 = 0 THEN epoch_us(TIMESTAMP '2001-02-03 04:05:06' + INTERVAL (id % 1000) SECOND) WHEN id % 4 = 1 THEN epoch_us(TIMESTAMP '2000-01-01 00:00:00' + INTERVAL (id % 1000) SECOND) ELSE epoch_us(last_accessed) END AS accessed_us
+FROM e WHERE id % 7 <> 3""")
+def cache_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached files with when they were used: by their metadata (last_accessed, else downloaded_at), else by the file's time.
+
+    Metadata is missing or unreadable for some; directories without a file don't count.
+    """
+    e = B.cache_entries(spark, sf_dir)
+    k = F.col("id")
+    iso = lambda base: F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(base).cast("timestamp")) + k % 1000), "yyyy-MM-dd'T'HH:mm:ss")
+    noted = F.when(k % 4 == 0, F.to_json(F.struct(iso("2001-02-03 04:05:06").alias("last_accessed"), F.lit("1999-01-01T00:00:00").alias("downloaded_at")))).when(k % 4 == 1, F.to_json(F.struct(iso("2000-01-01 00:00:00").alias("downloaded_at"))))
+    metadata = e.select("id", F.coalesce(noted, F.when(k % 4 == 2, F.lit('{"last_accessed": "yesterday"}'))).alias("json")).where("json is not null")
+    files = e.where("id % 7 <> 3").select("id", "size", F.col("last_accessed").alias("mtime"))
+    used = F.try_to_timestamp(F.coalesce(F.get_json_object("json", "$.last_accessed"), F.get_json_object("json", "$.downloaded_at")))
+    return files.join(metadata, "id", "left").select("id", "size", F.unix_micros(F.coalesce(used, "mtime")).alias("accessed_us"))
+
+
+@query("WITH " + JOBS + """ SELECT job_id, CASE WHEN v NOT IN ('alloy', 'echo', 'fable') THEN 'bad_voice' WHEN job_id % 9 = 0 THEN 'empty_text' WHEN job_id % 9000 > 5000 THEN 'long_text' END AS error FROM (SELECT job_id, (['alloy', 'echo', 'fable', 'none'])[job_id % 4 + 1] AS v FROM j)""")
+def voice_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to speak a text: a known voice, and a text that is neither empty nor too long."""
+    k = F.col("job_id")
+    rows = B.jobs(spark, sf_dir).select("job_id", F.get(F.array(*map(F.lit, ("alloy", "echo", "fable", "none"))), (k % 4).cast("int")).alias("voice"), F.when(k % 9 == 0, 0).otherwise(k % 9000).alias("chars"))
+    error = F.when(~F.col("voice").isin("alloy", "echo", "fable"), "bad_voice").when(F.col("chars") == 0, "empty_text").when(F.col("chars") > 5000, "long_text")
+    return rows.select("job_id", error.alias("error"))

@@ -58,10 +58,26 @@ def cluster_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE " + SENT + KEPT + " SELECT cluster, pos FROM kept")
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cluster's sentences that are unlike all kept before; at 0.25, since no two vectors reach the usual 0.82."""
+    """A cluster's sentences that are unlike all kept before, at 0.25."""
     return folds.leaders(_sentences(spark, sf_dir), "cluster", F.col("pos"), THRESHOLD)
 
 
+@query("WITH RECURSIVE " + SENT + KEPT.replace("0.25", "0.82") + " SELECT cluster, pos FROM kept")
+def semantic_dedup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the usual threshold of 0.82."""
+    return folds.leaders(_sentences(spark, sf_dir), "cluster", F.col("pos"), 0.82)
+
+
+@query("WITH " + SENT + r""", named AS (SELECT s.cluster % 2 AS job, importance, first_pos, array_to_string((list_filter(string_split_regex(r.text, '\s+'), lambda x: x <> ''))[1:5], ' ') || '...' AS label
+  FROM stat s JOIN rep USING (cluster) JOIN sent r ON r.cluster = rep.cluster AND r.pos = rep.pos)
+SELECT job, array_to_string(list(label ORDER BY importance DESC, first_pos)[1:10], ' | ') AS topics FROM named GROUP BY job""")
+def topic_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's topics: the labels of its first ten clusters by importance."""
+    rows = cluster_stats(spark, sf_dir).select((F.col("cluster") % 2).alias("job"), F.struct((-F.col("importance")).alias("o"), "first_pos", "label").alias("c"))
+    found = rows.groupBy("job").agg(F.slice(F.array_sort(F.collect_list("c")), 1, 10).alias("c"))
+    return found.select("job", F.array_join(F.transform("c", lambda x: x["label"]), " | ").alias("topics"))
+
+
 STATEMENTS = r"""
 st AS (SELECT CAST(doc_id // 20 AS BIGINT) AS cluster, CAST(doc_id % 4 AS VARCHAR) AS video_id, doc_id AS pos, text FROM documents)"""
 

@@ -25,6 +25,20 @@ def user_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.users(spark, sf_dir).where(has("username", "00001") | has("email", "r12")).select("username")
 
 
+@query("SELECT c_name AS username, c_mktsegment AS role FROM customer WHERE c_mktsegment = 'BUILDING'")
+def role_filter(spark: SparkSession, sf_dir: str, role: str = "BUILDING") -> DataFrame:
+    """Users of one role."""
+    return B.users(spark, sf_dir).where(F.col("role") == role).select("username", "role")
+
+
+@query("WITH " + HISTORY + " SELECT username, count(*) AS rows_after, count(DISTINCT event_id) AS distinct_events FROM (SELECT * FROM h UNION ALL SELECT * FROM h WHERE type = 'click') GROUP BY 1")
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History with rows appended; an insert doesn't look for equal ones."""
+    h = B.history(spark, sf_dir)
+    rows = h.unionByName(h.where("type = 'click'"))
+    return rows.groupBy("username").agg(F.count("*").alias("rows_after"), F.countDistinct("event_id").alias("distinct_events"))
+
+
 @query("WITH " + HISTORY + " SELECT event_id, username, video_id, CAST(row_number() OVER (PARTITION BY username ORDER BY event_id DESC) AS INT) AS place FROM h WHERE type = 'click'")
 def history_filter(spark: SparkSession, sf_dir: str, kind: str = "click") -> DataFrame:
     """A user's events of one kind ('all': any), the last one first."""
@@ -94,11 +108,10 @@ def distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + HISTORY + " SELECT username, string_agg(v, ',' ORDER BY v) AS selected FROM (SELECT username, v, count(*) AS n FROM (SELECT username, 'v' || event_id % 5 AS v FROM h) GROUP BY 1, 2) WHERE n % 2 = 1 GROUP BY 1")
 def array_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks that select a video or take it back: a fold that adds what is missing and removes what is there."""
-    h = B.history(spark, sf_dir).select("username", "event_id", F.concat(F.lit("v"), F.col("event_id") % 5).alias("v"))
-    step = lambda a, x: F.when(F.array_contains(a, x["v"]), F.array_remove(a, x["v"])).otherwise(F.array_append(a, x["v"]))
-    out = folds.ordered_fold(h, ["username"], [F.col("event_id")], [F.col("v")], F.array().cast("array<string>"), step, lambda a: F.array_sort(a))
-    return out.where(F.size("out") > 0).select("username", F.array_join("out", ",").alias("selected"))
+    """Clicks that select a video or take it back: what was clicked an odd number of times is selected, in whatever order."""
+    h = B.history(spark, sf_dir).select("username", F.concat(F.lit("v"), F.col("event_id") % 5).alias("v"))
+    odd = h.groupBy("username", "v").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    return odd.groupBy("username").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("selected"))
 
 
 REQUESTS = """r AS (SELECT CAST(user_id AS VARCHAR) AS client, event_id AS request_id, epoch(ts) AS t FROM events)"""

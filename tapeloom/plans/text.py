@@ -41,12 +41,15 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(T.word_count(F.col("sentence")) >= 5)
 
 
-@query(rf"""SELECT source AS video_id, 'Video ' || left(source, 8) AS video_title, doc_id, pos AS position, trim(s) AS text
-FROM (SELECT source, doc_id, unnest(l) AS s, CAST(unnest(range(len(l))) AS INT) AS pos FROM (SELECT source, doc_id, string_split_regex(text, '[.!?]+') AS l FROM documents))
+@query(rf"""SELECT source AS video_id, coalesce(n_name, 'Video ' || left(source, 8)) AS video_title, doc_id, pos AS position, trim(s) AS text
+FROM (SELECT source, doc_id, unnest(l) AS s, CAST(unnest(range(len(l))) AS INT) AS pos FROM (SELECT source, doc_id, string_split_regex(text, '[.!?]+') AS l FROM documents)) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON source = 'src' || n_nationkey
 WHERE {COUNT.format('s')} BETWEEN 5 AND 100""")
 def sentence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of 5 to 100 words with their place; a video without a title gets one from its id."""
-    titles = spark.createDataFrame([], "video_id string, title string")
+    """Statements of 5 to 100 words with their place and their video's title; one without a title gets one from its id.
+
+    Names of nations stand for titles; two of three videos have one.
+    """
+    titles = B.table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.concat(F.lit("src"), "n_nationkey").alias("video_id"), F.col("n_name").alias("title"))
     rows = _docs(spark, sf_dir).select(F.col("source").alias("video_id"), "doc_id", F.posexplode(T.statements(F.col("text"))).alias("position", "s"))
     kept = rows.where(T.word_count(F.col("s")).between(5, 100)).join(titles, "video_id", "left")
     return kept.select("video_id", F.coalesce("title", F.concat(F.lit("Video "), F.left("video_id", F.lit(8)))).alias("video_title"), "doc_id", "position", F.trim("s").alias("text"))
@@ -73,6 +76,13 @@ def extract_video_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.expr(LINKS).alias("link")).select("page_id", T.video_id(F.col("link")).alias("video_id"))
 
 
+@query(rf"""SELECT page_id, regexp_extract({LINKS}, '(?:youtube\.com/.*v=|youtu\.be/)([^&\n?#]+)', 1) AS video_id FROM (SELECT page_id, url, left(md5(url), 11) AS id FROM pages)""")
+def loose_video_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The looser pattern: whatever follows v= or the short host, '' if neither is there."""
+    pages = B.table(spark, sf_dir, "pages").select("page_id", "url", F.left(F.md5("url"), F.lit(11)).alias("id"))
+    return pages.select("page_id", F.expr(LINKS).alias("link")).select("page_id", T.loose_video_id(F.col("link")).alias("video_id"))
+
+
 @query(rf"SELECT item_id, array_to_string(({WORDS.format('text')})[1:12], ' ') AS by_words, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS by_chars FROM benchmark")
 def truncate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.table(spark, sf_dir, "benchmark")
@@ -105,10 +115,10 @@ pack AS (
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
-    sized = rows.select("doc_id", "pos", T.word_count(F.col("s")).alias("n"))
-    packed = folds.pack(sized, "doc_id", F.col("pos"), F.col("n"), 800)
-    return packed.join(sized, ["doc_id", "pos"]).groupBy("doc_id", "batch").agg(F.count("*").alias("sentences"), F.sum("n").cast("long").alias("words"))
+    """All sentences of a document stand in its row, so they are packed there, without a shuffle."""
+    sizes = F.transform(T.sentences(F.col("text")), T.word_count)
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(folds.packed(sizes, 800)).alias("batch", "b"))
+    return rows.select("doc_id", "batch", F.col("b.items").cast("long").alias("sentences"), F.col("b.size").alias("words"))
 
 
 @query("WITH RECURSIVE " + CHUNKS + " SELECT p.doc_id, p.batch, count(*) AS sentences, CAST(sum(s.n) AS BIGINT) AS words FROM pack p JOIN sent s USING (doc_id, pos) GROUP BY 1, 2")
@@ -143,10 +153,18 @@ pack AS (
 SELECT doc_id, batch, count(*) AS lines, CAST(max(size) AS BIGINT) AS chars FROM pack GROUP BY 1, 2""")
 def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed into requests of up to 4500 characters, line breaks counted."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "s")).select("doc_id", "pos", F.trim("s").alias("s")).where("s <> ''")
-    sized = lines.select("doc_id", "pos", F.length("s").alias("n"))
-    packed = folds.pack(sized, "doc_id", F.col("pos"), F.col("n"), 4500, separator=1)
-    return packed.join(sized, ["doc_id", "pos"]).groupBy("doc_id", "batch").agg(F.count("*").alias("lines"), (F.sum("n") + F.count("*") - 1).cast("long").alias("chars"))
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(folds.packed(F.transform(lines, F.length), 4500, separator=1)).alias("batch", "b"))
+    return rows.select("doc_id", "batch", F.col("b.items").cast("long").alias("lines"), F.col("b.size").alias("chars"))
+
+
+@query("""SELECT doc_id, CAST(i AS INT) AS pos, CAST(length(substr(text, i * 4500 + 1, 4500)) AS INT) AS chars, md5(substr(text, i * 4500 + 1, 4500)) AS digest
+FROM (SELECT doc_id, text, unnest(range((length(text) + 4499) // 4500)) AS i FROM documents)""")
+def fixed_chunks(spark: SparkSession, sf_dir: str, size: int = 4500) -> DataFrame:
+    """Texts cut every 4500 characters."""
+    at = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"), F.lit(size)))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.transform(at, lambda i: F.substring("text", i, F.lit(size)))).alias("pos", "c"))
+    return rows.select("doc_id", "pos", F.length("c").alias("chars"), F.md5("c").alias("digest"))
 
 
 # ---- transcripts as text
@@ -164,6 +182,19 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
 
 
+@query("""WITH asked AS (SELECT conv_id AS job, unnest([conv_id + 1, -5, conv_id, conv_id + 100000000, conv_id - 1]) AS id, unnest([0, 1, 2, 3, 4]) AS place FROM (SELECT DISTINCT conv_id FROM conversations)),
+whole AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+SELECT job, count(*) AS found, md5(string_agg(text, chr(10) ORDER BY place)) AS digest FROM asked JOIN whole ON id = conv_id GROUP BY job""")
+def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the order of a list of ids; ids that aren't there are left out."""
+    c = B.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    whole = c.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
+    k = F.col("conv_id")
+    asked = c.select(k.alias("job"), F.posexplode(F.array(k + 1, F.lit(-5).cast("long"), k, k + 100_000_000, k - 1)).alias("place", "id"))
+    found = asked.join(whole, asked.id == whole.conv_id).groupBy("job").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("t"))
+    return found.select("job", F.size("t").cast("long").alias("found"), F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("digest"))
+
+
 @query("WITH " + SEGMENTS + r""", s AS (SELECT *, CAST(floor(start) AS BIGINT) % 86400 AS k FROM seg)
 SELECT video_id, md5(string_agg(printf('%02d:%02d:%02d - %s', k // 3600, k % 3600 // 60, k % 60, text), chr(10) ORDER BY seg_idx)) AS clock_lines,
        md5(string_agg(printf('%.2fs: %s', start, text), chr(10) ORDER BY seg_idx)) AS second_lines FROM s GROUP BY video_id""")
@@ -287,6 +318,18 @@ def profiles_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("minutes").alias("value"), F.concat("minutes", F.lit(" min")).alias("label"), "style", "description", "target_words", "max_output", "min_output", "transitions").orderBy("value")
 
 
+TRANSITION_CASE = " ".join(f"WHEN '{k}' THEN '" + "|".join(v).replace("'", "''") + "'" for k, v in profiles.STYLE_TRANSITIONS.items())
+
+
+@query(f"""SELECT job_id, style, CASE style {TRANSITION_CASE} ELSE '' END AS transitions FROM (
+SELECT job_id, CASE WHEN m % 6 = 5 THEN 'podcast' WHEN m <= 5 THEN 'headline' WHEN m <= 10 THEN 'brief' WHEN m <= 15 THEN 'standard' ELSE 'comprehensive' END AS style FROM {JOBS})""")
+def style_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's transitions by style; a style that isn't known has none."""
+    m = F.col("target_minutes")
+    jobs = B.jobs(spark, sf_dir).select("job_id", F.when(m % 6 == 5, "podcast").otherwise(profiles.style(m)).alias("style"))
+    return profiles.with_transitions(jobs, "style").select("job_id", "style", F.array_join("transitions", "|").alias("transitions"))
+
+
 # ---- reports and answers
 
 
@@ -323,3 +366,25 @@ def json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure! "), body, F.lit(" Bye"))).otherwise(F.concat(F.lit(" not json "), F.col("user_id")))
     rows = B.table(spark, sf_dir, "events").select("event_id", summaries.tolerant(answer).alias("a"))
     return rows.select("event_id", "a.summary", F.size("a.key_takeaways").alias("takeaways"), F.size("a.best_quotes").alias("quotes"), F.size("a.chapters").alias("chapters"))
+
+
+@query("""SELECT event_id, CAST(k AS INT) AS k, CASE WHEN k = 0 THEN 'q' || user_id ELSE 't' END AS text, CASE WHEN k = 1 AND event_id % 2 = 0 THEN 'p' ELSE '' END AS speaker, 'c' || event_id AS chapter
+FROM (SELECT *, unnest([0, 1]) AS k FROM events)""")
+def answer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of answers, given as strings or objects, with or without a speaker; chapters that aren't objects are dropped."""
+    speaker = F.when(F.col("event_id") % 2 == 0, F.lit(', "speaker": "p"')).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"best_quotes": ["q'), F.col("user_id"), F.lit('", {"text": "t"'), speaker, F.lit('}], "chapters": ["x", {"title": "c'), F.col("event_id"), F.lit('"}]}'))
+    rows = B.table(spark, sf_dir, "events").select("event_id", summaries.tolerant(body).alias("a"))
+    out = rows.select("event_id", F.get("a.chapters", F.lit(0))["title"].alias("chapter"), F.posexplode("a.best_quotes").alias("k", "q"))
+    return out.select("event_id", "k", "q.text", "q.speaker", "chapter")
+
+
+@query("""SELECT event_id, CAST(s AS DOUBLE) AS start_time, CAST(s + 10 AS DOUBLE) AS end_time, CAST(CASE WHEN k = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS score
+FROM (SELECT event_id, k, event_id % 50 + k * 20 AS s FROM (SELECT *, unnest([0, 1]) AS k FROM events WHERE event_id % 5 <> 4))""")
+def json_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights of a model's answer: rows need a start and an end; the score is 0.5 if it isn't given."""
+    s = F.col("event_id") % 50
+    listed = F.concat(F.lit('[{"start": '), s, F.lit(', "end": '), s + 10, F.lit(', "score": 0.9}, {"start": 3}, {"end": 4, "score": 1}, {"start": '), s + 20, F.lit(', "end": '), s + 30, F.lit("}]"))
+    answer = F.when(F.col("event_id") % 5 == 4, F.lit("none found")).when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), listed, F.lit("\n```"))).otherwise(listed)
+    rows = B.table(spark, sf_dir, "events").select("event_id", F.explode(summaries.highlight_rows(answer)).alias("h"))
+    return rows.select("event_id", F.col("h.start").alias("start_time"), F.col("h.end").alias("end_time"), F.col("h.score").alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +71,20 @@ def cached_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one of `schema` if there is none yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+
+
+def unwrapped(answer: Column) -> Column:
+    """Segments (text, start, duration) of a JSON answer: a list as it is, or an object's list `transcript`; else none."""
+    kind = "array<struct<text:string,start:double,duration:double>>"
+    as_list = F.when(F.ltrim(answer).startswith("["), F.from_json(answer, kind))
+    inside = F.when(F.ltrim(answer).startswith("{"), F.from_json(answer, f"transcript {kind}")["transcript"])
+    return F.coalesce(as_list, inside, F.array().cast(kind))
 
 
 def write_cache(rows: DataFrame, folder: str) -> None:
