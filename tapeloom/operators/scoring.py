@@ -50,7 +50,7 @@ def min_max(value: str, key: str) -> Column:
     """A value between its key's least (0) and greatest (1); 0.5 if they are equal."""
     by = Window.partitionBy(key)
     low, high = F.min(value).over(by), F.max(value).over(by)
-    return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))
+    return F.when(high - low > 1e-9, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))
 
 
 def hybrid(semantic: Column, tfidf_: Column) -> Column:

@@ -12,10 +12,12 @@ from tapeloom.sources import bindings as B
 from .registry import SEGMENTS, query
 
 TARGET = 120.0
+#: Sentences of the summary, and vectors that stand for texts' own.
+SUMMARY_SENTENCES, VECTORS = 5, 500
 STOPS = ", ".join(f"'{w}'" for w in scoring.STOP_WORDS)
 
 BLOCKS = SEGMENTS + r""",
-s AS (SELECT video_id, start, start + duration AS stop, words, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS i FROM seg WHERE trim(text) <> ''),
+s AS (SELECT video_id, start, start + duration AS stop, words, text, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS i FROM seg WHERE trim(text) <> ''),
 run AS (
   SELECT video_id, i, start AS b, stop AS e, CAST(words AS BIGINT) AS w, CAST(NULL AS DOUBLE) AS cb, CAST(NULL AS DOUBLE) AS ce, CAST(NULL AS BIGINT) AS cw FROM s WHERE i = 1
   UNION ALL
@@ -38,8 +40,54 @@ def segment_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("video_id", "start", "end", F.col("words").cast("long").alias("words"))
 
 
+TFIDF = rf"""
+tok AS (SELECT video_id, seg_idx, list_filter(regexp_extract_all(lower(text), '[\pL\pN_]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM seg),
+term AS (SELECT video_id, seg_idx, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok),
+tf AS (SELECT video_id, seg_idx, term, count(*) AS tf FROM term GROUP BY 1, 2, 3),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, term) AS k FROM (SELECT video_id, term, sum(tf) AS n, count(*) AS df FROM tf GROUP BY 1, 2)) WHERE k <= 500),
+sizes AS (SELECT video_id, count(*) AS n FROM seg GROUP BY 1),
+weights AS (SELECT tf.video_id, tf.seg_idx, tf.tf * (ln((1.0 + s.n) / (1 + t.df)) + 1) AS w FROM tf JOIN top t ON t.video_id = tf.video_id AND t.term = tf.term JOIN sizes s ON s.video_id = tf.video_id),
+raw AS (
+  SELECT s.video_id, s.seg_idx, coalesce(r.x, 0) AS tfidf
+  FROM seg s LEFT JOIN (SELECT video_id, seg_idx, sum(w) / sqrt(sum(w * w)) AS x FROM weights GROUP BY 1, 2) r ON r.video_id = s.video_id AND r.seg_idx = s.seg_idx),
+tfidf AS (
+  SELECT video_id, seg_idx, CASE WHEN count(*) OVER v < 2 THEN 1.0 WHEN max(tfidf) OVER v > 0 THEN tfidf / max(tfidf) OVER v ELSE 0.0 END AS tfidf
+  FROM raw WINDOW v AS (PARTITION BY video_id))"""
+
+
+def semantic_sql(rows: str, place: str) -> str:
+    """sem (video_id, place, semantic): as `_semantic` does it."""
+    return f"""
+tgt AS (SELECT CAST(embedding AS DOUBLE[]) AS t FROM embeddings WHERE vec_id < {SUMMARY_SENTENCES}),
+best AS (SELECT x.video_id, x.{place}, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), t)) AS best
+  FROM {rows} x JOIN embeddings e ON e.vec_id = (CAST(x.video_id AS BIGINT) * 31 + x.{place}) % {VECTORS}, tgt GROUP BY 1, 2),
+sem AS (SELECT video_id, {place}, CASE WHEN max(best) OVER v - min(best) OVER v > 1e-9 THEN (best - min(best) OVER v) / (max(best) OVER v - min(best) OVER v) ELSE 0.5 END AS semantic FROM best WINDOW v AS (PARTITION BY video_id))"""
+
+
+def _tfidf(texts: DataFrame, place: str) -> DataFrame:
+    """(video_id, place, tfidf): TF-IDF of texts as a share of their video's greatest."""
+    raw = scoring.tfidf(texts, "video_id", place)
+    return raw.select("video_id", place, scoring.relative("tfidf", "video_id").alias("tfidf"))
+
+
+def _semantic(spark: SparkSession, sf_dir: str, texts: DataFrame, place: str) -> DataFrame:
+    """(video_id, place, semantic): the greatest cosine to the summary's sentences, between a video's least and greatest.
+
+    Without a model for texts, given vectors stand for theirs: a text has the one of a number made from its video and
+    place, and the summary's sentences are the first five.
+    """
+    given = B.vectors(spark, sf_dir).select(F.col("sentence_index").alias("number"), "embedding")
+    number = (F.col("video_id").cast("long") * 31 + F.col(place)) % VECTORS
+    rows = texts.select("video_id", F.col(place).alias("sentence_index"), number.alias("number")).join(given, "number").drop("number")
+    best = scoring.best_cosine(rows, given.where(F.col("number") < SUMMARY_SENTENCES).select(F.col("embedding").alias("target")))
+    return best.select("video_id", F.col("sentence_index").alias(place), scoring.min_max("best", "video_id").alias("semantic"))
+
+
 SCORED = BLOCKS + r""",
-scored AS (SELECT *, round(0.7 * 0.5 + 0.3 * words / max(words) OVER (PARTITION BY video_id), 6) AS score FROM blocks)"""
+said AS (SELECT r.video_id, r.b AS start, string_agg(s.text, ' ' ORDER BY r.i) AS text FROM run r JOIN s ON s.video_id = r.video_id AND s.i = r.i GROUP BY 1, 2),
+num AS (SELECT b.*, t.text, row_number() OVER (PARTITION BY b.video_id ORDER BY b.start) - 1 AS place FROM blocks b JOIN said t ON t.video_id = b.video_id AND t.start = b.start),""" + TFIDF.replace("seg_idx", "place").replace("FROM seg", "FROM num") + "," + semantic_sql("num", "place") + r""",
+scored AS (SELECT n.video_id, n.start, n.stop, n.words, round(0.7 * m.semantic + 0.3 * t.tfidf, 6) AS score
+  FROM num n JOIN sem m ON m.video_id = n.video_id AND m.place = n.place JOIN tfidf t ON t.video_id = n.video_id AND t.place = n.place)"""
 SELECTED = SCORED + r""",
 o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start) AS i FROM scored),
 pick AS (
@@ -55,10 +103,15 @@ pick AS (
 final AS (SELECT video_id, unnest(chosen) AS c FROM (SELECT *, max(i) OVER (PARTITION BY video_id) AS last FROM pick) WHERE i = last)"""
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their score: 0.7 for likeness to the summary and 0.3 for TF-IDF among the video's blocks."""
+    blocks = _blocks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("start")) - 1)
+    both = blocks.join(_tfidf(blocks, "place"), ["video_id", "place"]).join(_semantic(spark, sf_dir, blocks, "place"), ["video_id", "place"])
+    return both.withColumn("score", F.round(scoring.hybrid(F.col("semantic"), F.col("tfidf")), 6)).select("video_id", "start", "end", "words", "text", "score")
+
+
 def _highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = F.col("words") / F.max("words").over(Window.partitionBy("video_id"))
-    scored = _blocks(spark, sf_dir).withColumn("score", F.round(scoring.hybrid(F.lit(0.5), share), 6))
-    return folds.select_highlights(scored, TARGET)
+    return folds.select_highlights(_scored(spark, sf_dir), TARGET)
 
 
 @query("WITH RECURSIVE " + SELECTED + " SELECT video_id, greatest(0.0, c.b - 3.0) AS start_time, c.e + 3.0 AS end_time, c.score AS importance_score FROM final")
@@ -89,8 +142,7 @@ pick AS (
 SELECT job, video_id, start, stop AS "end" FROM pick WHERE take""")
 def fit_to_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of five videos a job, fitted into five minutes."""
-    share = F.col("words") / F.max("words").over(Window.partitionBy("video_id"))
-    scored = _blocks(spark, sf_dir).withColumn("score", F.round(scoring.hybrid(F.lit(0.5), share), 6)).withColumn("job", F.expr("cast(video_id as bigint) div 5"))
+    scored = _scored(spark, sf_dir).withColumn("job", F.expr("cast(video_id as bigint) div 5"))
     return folds.fit_to_duration(scored, "job", 300.0).select("job", "video_id", "start", "end")
 
 
@@ -174,38 +226,19 @@ def budget_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("job", F.inline("chosen")).select("job", "place", "seg_idx")
 
 
-TFIDF = rf"""
-tok AS (SELECT video_id, seg_idx, list_filter(regexp_extract_all(lower(text), '[\pL\pN_]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM seg),
-term AS (SELECT video_id, seg_idx, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok),
-tf AS (SELECT video_id, seg_idx, term, count(*) AS tf FROM term GROUP BY 1, 2, 3),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, term) AS k FROM (SELECT video_id, term, sum(tf) AS n, count(*) AS df FROM tf GROUP BY 1, 2)) WHERE k <= 500),
-sizes AS (SELECT video_id, count(*) AS n FROM seg GROUP BY 1),
-weights AS (SELECT tf.video_id, tf.seg_idx, tf.tf * (ln((1.0 + s.n) / (1 + t.df)) + 1) AS w FROM tf JOIN top t ON t.video_id = tf.video_id AND t.term = tf.term JOIN sizes s ON s.video_id = tf.video_id),
-raw AS (
-  SELECT s.video_id, s.seg_idx, coalesce(r.x, 0) AS tfidf
-  FROM seg s LEFT JOIN (SELECT video_id, seg_idx, sum(w) / sqrt(sum(w * w)) AS x FROM weights GROUP BY 1, 2) r ON r.video_id = s.video_id AND r.seg_idx = s.seg_idx),
-tfidf AS (
-  SELECT video_id, seg_idx, CASE WHEN count(*) OVER v < 2 THEN 1.0 WHEN max(tfidf) OVER v > 0 THEN tfidf / max(tfidf) OVER v ELSE 0.0 END AS tfidf
-  FROM raw WINDOW v AS (PARTITION BY video_id))"""
-
-
-def _tfidf(segments: DataFrame) -> DataFrame:
-    raw = scoring.tfidf(segments, "video_id", "seg_idx")
-    return raw.select("video_id", "seg_idx", scoring.relative("tfidf", "video_id").alias("tfidf"))
-
-
 @query("WITH " + SEGMENTS + "," + TFIDF + " SELECT video_id, seg_idx, round(tfidf, 6) AS tfidf FROM tfidf")
 def tfidf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tfidf(B.segments(spark, sf_dir)).select("video_id", "seg_idx", F.round("tfidf", 6).alias("tfidf"))
+    return _tfidf(B.segments(spark, sf_dir), "seg_idx").select("video_id", "seg_idx", F.round("tfidf", 6).alias("tfidf"))
 
 
-@query("WITH " + SEGMENTS + "," + TFIDF + r"""
-SELECT video_id, seg_idx, round(score, 4) AS score, 'Semantic match: 0.50, TF-IDF: ' || printf('%.2f', round(tfidf, 2)) AS reason FROM (SELECT *, 0.7 * 0.5 + 0.3 * tfidf AS score FROM tfidf)""")
+@query("WITH " + SEGMENTS + "," + TFIDF + "," + semantic_sql("seg", "seg_idx") + r"""
+SELECT m.video_id, m.seg_idx, round(0.7 * semantic + 0.3 * tfidf, 4) AS score, printf('Semantic match: %.2f, TF-IDF: %.2f', round(semantic, 2), round(tfidf, 2)) AS reason
+FROM sem m JOIN tfidf t ON t.video_id = m.video_id AND t.seg_idx = m.seg_idx""")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without an embedding model the semantic part is 0.5."""
-    score = scoring.hybrid(F.lit(0.5), F.col("tfidf"))
-    reason = F.concat(F.lit("Semantic match: 0.50, TF-IDF: "), F.format_string("%.2f", F.round("tfidf", 2)))
-    return _tfidf(B.segments(spark, sf_dir)).select("video_id", "seg_idx", F.round(score, 4).alias("score"), reason.alias("reason"))
+    segments = B.segments(spark, sf_dir)
+    both = _tfidf(segments, "seg_idx").join(_semantic(spark, sf_dir, segments, "seg_idx"), ["video_id", "seg_idx"])
+    reason = F.format_string("Semantic match: %.2f, TF-IDF: %.2f", F.round("semantic", 2), F.round("tfidf", 2))
+    return both.select("video_id", "seg_idx", F.round(scoring.hybrid(F.col("semantic"), F.col("tfidf")), 4).alias("score"), reason.alias("reason"))
 
 
 @query("WITH RECURSIVE " + SEGMENTS + r""",

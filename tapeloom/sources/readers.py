@@ -88,6 +88,6 @@ def unwrapped(answer: Column) -> Column:
 
 
 def write_cache(rows: DataFrame, folder: str) -> None:
-    """JSON of each transcript, and its text beside it."""
-    rows.write.mode("overwrite").json(f"{folder}/json")
+    """JSON of each transcript, one a file as they are read, and its text beside it."""
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{folder}/json")
     rows.select("full_text").write.mode("overwrite").text(f"{folder}/text")
