@@ -271,7 +271,7 @@ def usual_shingles(docs: DataFrame) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(MOST_USUAL)
-    return np.array([r["key"] for r in top.collect()][::-1], np.int64).view(np.uint64)
+    return top.select("key").toArrow()["key"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def ordered_prefix(shingles: np.ndarray, usual: np.ndarray, rank: np.ndarray) -> np.ndarray:
