@@ -52,7 +52,7 @@ def encode(samples: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
     lines[:, 1:] = rows
     header = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return PNG + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return PNG + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def decode(image: bytes) -> bytes:
@@ -222,10 +222,10 @@ def pages_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             pages = [article(doc_id, text, hashlib.sha256(payload(text)).hexdigest(), len(text.encode("utf-8", "replace"))) for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True)]
-            names = [hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=16).hexdigest() for p in pages]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(pages, pa.string())], names=["doc_id", "page", "html"])
+            names = [int.from_bytes(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for p in pages]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "page", "html"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, page string, html string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, page long, html string")
 
 
 def stored(docs: DataFrame) -> DataFrame:
