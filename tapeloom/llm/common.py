@@ -71,7 +71,7 @@ def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.nd
     """The first columns of batches sorted by the first one, as arrays that end only where its value changes."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        new = [batch.column(i).to_numpy() for i in range(columns)]
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
         if not len(new[0]):
             continue
         cut = int(np.searchsorted(new[0], new[0][-1]))  # the last value may go on in the next batch

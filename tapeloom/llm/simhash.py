@@ -8,7 +8,7 @@ a dense bucket costs about its size and gives a tree of links, not all pairs, wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -315,11 +315,15 @@ def _prefixes(docs: DataFrame, usual: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "key long, rep long, n int, pos int")
 
 
-def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Test = Callable[[np.ndarray | int, np.ndarray], np.ndarray]
+
+
+def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int, also: Test | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b) of rep under one key that may be alike, and the places of rows to be looked at again.
 
     key is sorted; pos is the key's place in the row's order. A bucket of more than `most` rows has its first `most`
-    held against all; its others come again. A pair that is alike passes at the first shingle in common.
+    held against all; its others come again. A pair that is alike passes at the first shingle in common. `also` is one
+    more test of the places of two rows.
     """
     a, b, again = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -329,8 +333,12 @@ def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarra
     def meet(x: np.ndarray | int, y: np.ndarray) -> None:
         unlike = pos[x] + pos[y] + np.abs(n[x] - pos[x] - n[y] + pos[y])
         y_ok = (unlike <= most_unlike(n[x] + n[y])) & (rep[x] != rep[y])
-        a.append(np.broadcast_to(rep[x], len(y))[y_ok])
-        b.append(rep[y[y_ok]])
+        x, y = np.broadcast_to(x, len(y))[y_ok], y[y_ok]
+        if also:
+            ok = also(x, y)
+            x, y = x[ok], y[ok]
+        a.append(rep[x])
+        b.append(rep[y])
 
     few = np.flatnonzero((of > 1) & (of <= most))
     for step in range(1, most):
@@ -348,20 +356,55 @@ def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarra
 
 
 def _met(dealt: DataFrame, most: int) -> DataFrame:
-    """Of (key, rep, n, pos): pairs as (a, b), with key null, and rows to be looked at again, with a and b null."""
+    """Of (key, rep, n, pos): pairs of buckets of up to `most` rows as (a, b), with key null; the rows of others, with a and b null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["a", "b", "key", "rep", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for part in runs(batches, 4):
-            x, y, again = prefix_links(*part, most)
+            key = part[0]
+            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+            large = np.repeat(sizes > most, sizes)
+            x, y, _ = prefix_links(*(c[~large] for c in part), most)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], k) for k in kinds)], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), *(pa.array(c[again]) for c in part)], names=names)
+            rest = int(large.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(rest, pa.int64()), pa.nulls(rest, pa.int64()), *(pa.array(c[large]) for c in part)], names=names)
 
     rows = dealt.select("key", "rep", "n", "pos").repartition("key").sortWithinPartitions("key", "rep")
     return rows.mapInArrow(tidy(run), "a long, b long, key long, rep long, n int, pos int")
 
 
+def _met_dense(dealt: DataFrame, most: int) -> DataFrame:
+    """Of (key, rep, n, pos, sketch, own): pairs as (a, b), with key null, and rows to be looked at again, with a and b null.
+
+    Pairs of one group (own), or whose sketches rule out that they are alike, aren't given; buckets of one group end here.
+    """
+    columns = ["key", "rep", "n", "pos", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["a", "b", *columns], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        for part in runs(batches, 6):
+            starts = np.flatnonzero(np.r_[True, part[0][1:] != part[0][:-1]])
+            mixed = np.minimum.reduceat(part[5], starts) != np.maximum.reduceat(part[5], starts)
+            part = [c[np.repeat(mixed, np.diff(np.r_[starts, len(c)]))] for c in part]
+            own, n = part[5], part[2].astype(np.int64)
+            bits = np.frombuffer(b"".join(part[4]), np.uint64).reshape(-1, SKETCH // 64)
+
+            def may_be_alike(x: np.ndarray, y: np.ndarray, own: np.ndarray = own, n: np.ndarray = n, bits: np.ndarray = bits) -> np.ndarray:
+                ok = own[x] != own[y]
+                ok[ok] = np.bitwise_count(bits[x[ok]] ^ bits[y[ok]]).sum(1, dtype=np.int64) <= most_unlike(n[x[ok]] + n[y[ok]])
+                return ok
+
+            x, y, again = prefix_links(*part[:4], most, may_be_alike)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], k) for k in kinds)], names=names)
+            rest = [pa.array(c[again], k) for c, k in zip(part[:5], kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), *rest], names=names)
+
+    rows = dealt.select(*columns, "own").repartition("key").sortWithinPartitions("key", "rep")
+    return rows.mapInArrow(tidy(run), "a long, b long, key long, rep long, n int, pos int, sketch binary")
+
+
 def _close(links: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of links (a, b), those between different groups whose sketches (rep, n, sketch, own) don't rule out that they are alike."""
 
@@ -391,22 +434,27 @@ def _sets_of(docs: DataFrame, links: DataFrame) -> DataFrame:
 def prefix_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(id, label): links between documents (doc_id, text), as components; groups (id, label) are those found before.
 
-    Every pair that is ALIKE and in different groups is found, if its documents meet in a bucket of up to 64. Larger
-    buckets take several rounds: each holds some rows against all others and goes on with what is in no group yet, until
-    nothing is left. So no two documents that stay are ALIKE.
+    Every pair that is ALIKE and in different groups is found: at once if its documents meet in a bucket of up to 64.
+    Larger buckets take several rounds: each holds some rows against all others of different groups and goes on with the
+    other rows, twice as many at a time, until all are done or of one group. So groups are the components of all ALIKE pairs.
     """
+    most = 64
     dealt = _prefixes(docs, usual_shingles(docs))
     named = _sketches(docs).dropDuplicates(["rep"]).join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left")
     sketches = checkpoint(named.select("rep", "n", "sketch", F.coalesce("label", "rep").alias("own")))
-    most, joined = 64, groups
+    met = checkpoint(_met(dealt, most))
+    links = checkpoint(_close(met.where("key is null").select("a", "b").distinct(), sketches))
+    dense = checkpoint(met.where("key is not null").select("key", "rep", "n", "pos").join(sketches.select("rep", "sketch"), "rep"))
     while True:
-        met = checkpoint(_met(dealt, most))
-        links = checkpoint(_close(met.where("key is null").select("a", "b").distinct(), sketches))
-        more = checkpoint(components(_alike(links, _sets_of(docs, links))))
-        joined = checkpoint(joined.unionByName(more))
-        dealt = met.where("key is not null").select("key", "rep", "n", "pos").join(joined.select(F.col("id").alias("rep")), "rep", "left_anti")
-        if dealt.isEmpty():
-            return joined
+        if not links.isEmpty():
+            more = components(_alike(links, _sets_of(docs, links)))
+            groups = checkpoint(components(groups.unionByName(more).select(F.col("id").alias("a"), F.col("label").alias("b"))))
+        if dense.isEmpty():
+            return groups
+        rows = dense.join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("own", F.coalesce("label", "rep"))
+        met = checkpoint(_met_dense(rows, most))
+        links = checkpoint(met.where("key is null").select("a", "b").distinct())
+        dense = met.where("key is not null").select("key", "rep", "n", "pos", "sketch")
         most *= 2
 
 
@@ -416,8 +464,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Copies by words are one class. Classes whose fingerprints of distinct words differ in ALIKE_BITS bits or fewer are
     candidates, met by pigeonhole blocks; a candidate pair counts if ALIKE of its SHINGLE-word shingles are in common.
     That joins most groups at the cost of a tree of links each. An exact join (prefix_copies) then finds the pairs that
-    are ALIKE between those groups. So no two documents that stay are ALIKE, whatever the number of rows or partitions,
-    and each that goes is joined to the one that stays, the smallest doc_id of its group, by pairs that are.
+    are ALIKE between those groups. So groups are the components of all ALIKE pairs, whatever the number of rows or
+    partitions; the smallest doc_id of each stays.
     """
     named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     own = checkpoint(_identities(named))
