@@ -57,14 +57,14 @@ def hybrid(semantic: Column, tfidf_: Column) -> Column:
     return 0.7 * semantic + 0.3 * tfidf_
 
 
-def overlap(segments: DataFrame, summary: DataFrame) -> DataFrame:
-    """(video_id, seg_idx, score): words in common with each sentence of summary (sentence), summed; 0 if none.
+def overlap(segments: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """(video_id, seg_idx, score): words in common with each sentence of the key's summary (key, sentence), summed; 0 if none.
 
-    A word counts once in a segment and once in a sentence: the rows of both meet by word.
+    A word counts once in a segment and once in a sentence: the rows of both meet by key and word.
     """
-    theirs = summary.select(F.explode(T.word_set(F.col("sentence"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ours = segments.select("video_id", "seg_idx", F.explode(T.word_set(F.col("text"))).alias("word"))
-    hits = ours.join(theirs, "word").groupBy("video_id", "seg_idx").agg(F.sum("n").alias("score"))
+    theirs = summaries.select(key, F.explode(T.word_set(F.col("sentence"))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    ours = segments.select(key, "video_id", "seg_idx", F.explode(T.word_set(F.col("text"))).alias("word"))
+    hits = ours.join(theirs, [key, "word"]).groupBy("video_id", "seg_idx").agg(F.sum("n").alias("score"))
     return segments.select("video_id", "seg_idx").join(hits, ["video_id", "seg_idx"], "left").select("video_id", "seg_idx", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
 
 

@@ -161,30 +161,35 @@ def length_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scores
 
 SUMMARY = r"""
-summary AS (SELECT unnest(string_split(regexp_replace(text, '([.!?]) +', concat('\1', chr(1)), 'g'), chr(1))) AS sentence FROM benchmark WHERE item_id < 3),
-their AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(sentence), '[\pL\pN_]+'))) AS word FROM summary) GROUP BY word),
-our AS (SELECT video_id, seg_idx, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+'))) AS word FROM seg),
+summary AS (SELECT item_id AS job, unnest(string_split(regexp_replace(text, '([.!?]) +', concat('\1', chr(1)), 'g'), chr(1))) AS sentence FROM benchmark),
+their AS (SELECT job, word, count(*) AS n FROM (SELECT job, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\pL\pN_]+'))) AS word FROM summary) GROUP BY 1, 2),
+our AS (SELECT CAST(video_id AS BIGINT) // 5 AS job, video_id, seg_idx, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+'))) AS word FROM seg),
 overlapped AS (
   SELECT s.video_id, s.seg_idx, CAST(coalesce(h.score, 0) AS BIGINT) AS score
-  FROM seg s LEFT JOIN (SELECT video_id, seg_idx, sum(n) AS score FROM our JOIN their USING (word) GROUP BY 1, 2) h ON s.video_id = h.video_id AND s.seg_idx = h.seg_idx)"""
+  FROM seg s LEFT JOIN (SELECT video_id, seg_idx, sum(n) AS score FROM our JOIN their USING (job, word) GROUP BY 1, 2) h ON s.video_id = h.video_id AND s.seg_idx = h.seg_idx)"""
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sentence): the first three items of the benchmark stand for a summary."""
-    return B.table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.explode(T.sentences_at_spaces(F.col("text"))).alias("sentence"))
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job, k, sentence): an item of the benchmark stands for the summary of the job of its number."""
+    return B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job"), F.posexplode(T.sentences_at_spaces(F.col("text"))).alias("k", "sentence"))
+
+
+def _of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with their job, five videos each."""
+    return B.segments(spark, sf_dir).withColumn("job", F.expr("cast(video_id as bigint) div 5"))
 
 
 @query("WITH " + SEGMENTS + "," + SUMMARY + " SELECT * FROM overlapped")
 def overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.overlap(B.segments(spark, sf_dir), _summary(spark, sf_dir))
+    """Words that segments have in common with the sentences of their job's summary; 0 for jobs without one."""
+    return scoring.overlap(_of_jobs(spark, sf_dir), _summaries(spark, sf_dir), "job")
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with their overlap, five videos a job; place: the video's in its job."""
-    segments = B.segments(spark, sf_dir)
-    scored = segments.join(scoring.overlap(segments, _summary(spark, sf_dir)), ["video_id", "seg_idx"])
-    n = F.col("video_id").cast("long")
-    return scored.withColumn("job", F.expr("cast(video_id as bigint) div 5")).withColumn("place", (n % 5).cast("int"))
+    """Segments with their overlap; place: the video's in its job."""
+    segments = _of_jobs(spark, sf_dir)
+    scored = segments.join(scoring.overlap(segments, _summaries(spark, sf_dir), "job"), ["video_id", "seg_idx"])
+    return scored.withColumn("place", (F.col("video_id").cast("long") % 5).cast("int"))
 
 
 BUDGET = SEGMENTS + "," + SUMMARY + r""",
@@ -242,42 +247,42 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + SEGMENTS + r""",
-sent AS (SELECT row_number() OVER (ORDER BY item_id, k) AS sid, sentence FROM (
-  SELECT item_id, unnest(l) AS sentence, unnest(range(len(l))) AS k FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?]) +', concat('\1', chr(1)), 'g'), chr(1)) AS l FROM benchmark WHERE item_id < 2))),
-a AS (SELECT sid, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\pL\pN_]+'))) AS word FROM sent),
-b AS (SELECT video_id, seg_idx, start, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+'))) AS word FROM seg),
-hits AS (SELECT sid, video_id, seg_idx, count(*) AS n FROM a JOIN b USING (word) GROUP BY 1, 2, 3),
-ranked AS (SELECT sid, CAST(video_id AS BIGINT) AS v, seg_idx, row_number() OVER (PARTITION BY sid ORDER BY n DESC, CAST(video_id AS BIGINT), seg_idx) AS k FROM hits),
-lists AS (SELECT sid, list(v * 1000 + seg_idx ORDER BY k) AS l FROM ranked GROUP BY sid),
+sent AS (SELECT item_id AS job, unnest(l) AS sentence, unnest(range(len(l))) AS k FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?]) +', concat('\1', chr(1)), 'g'), chr(1)) AS l FROM benchmark)),
+a AS (SELECT job, k, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\pL\pN_]+'))) AS word FROM sent),
+b AS (SELECT CAST(video_id AS BIGINT) // 5 AS job, video_id, seg_idx, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+'))) AS word FROM seg),
+hits AS (SELECT job, k, video_id, seg_idx, count(*) AS n FROM a JOIN b USING (job, word) GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT job, k, CAST(video_id AS BIGINT) AS v, seg_idx, row_number() OVER (PARTITION BY job, k ORDER BY n DESC, CAST(video_id AS BIGINT), seg_idx) AS r FROM hits),
+lists AS (SELECT job, k, list(v * 1000 + seg_idx ORDER BY r) AS l FROM ranked GROUP BY 1, 2),
 walk AS (
-  SELECT CAST(0 AS BIGINT) AS sid, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick
+  SELECT job, CAST(-1 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM (SELECT DISTINCT job FROM sent)
   UNION ALL
-  SELECT w.sid + 1, CASE WHEN x.p IS NULL THEN w.used ELSE list_append(w.used, x.p) END, x.p
-  FROM walk w JOIN (SELECT s.sid, l.l FROM sent s LEFT JOIN lists l USING (sid)) q ON q.sid = w.sid + 1, LATERAL (SELECT list_filter(q.l, lambda y: NOT list_contains(w.used, y))[1] AS p) x)
-SELECT sid AS sentence, CAST(pick // 1000 AS VARCHAR) AS video_id, CAST(pick % 1000 AS INT) AS seg_idx FROM walk WHERE pick IS NOT NULL""")
+  SELECT w.job, w.k + 1, CASE WHEN x.p IS NULL THEN w.used ELSE list_append(w.used, x.p) END, x.p
+  FROM walk w JOIN (SELECT s.job, s.k, l.l FROM sent s LEFT JOIN lists l ON l.job = s.job AND l.k = s.k) q ON q.job = w.job AND q.k = w.k + 1,
+       LATERAL (SELECT list_filter(q.l, lambda y: NOT list_contains(w.used, y))[1] AS p) x)
+SELECT job, k AS sentence, CAST(pick // 1000 AS VARCHAR) AS video_id, CAST(pick % 1000 AS INT) AS seg_idx FROM walk WHERE pick IS NOT NULL""")
 def summary_to_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each summary sentence takes the unused segment with most words in common: words meet by an equi-join, then a fold.
+    """Each sentence of a job's summary takes the job's unused segment with most words in common, in order.
 
-    A sentence needs no more candidates than there are sentences: earlier ones use up one segment each at most.
+    Words meet by an equi-join within the job, then a fold per job. A sentence needs no more candidates than its summary
+    has sentences: earlier ones use up one segment each at most.
     """
-    items = B.table(spark, sf_dir, "benchmark").where("item_id < 2").select("item_id", F.posexplode(T.sentences_at_spaces(F.col("text"))).alias("k", "sentence"))
-    sentences = items.withColumn("sid", F.row_number().over(Window.orderBy("item_id", "k")))  # a summary: some sentences
-    a = sentences.select("sid", F.explode(T.word_set(F.col("sentence"))).alias("word"))
-    b = B.segments(spark, sf_dir).select(F.col("video_id").cast("long").alias("v"), "seg_idx", F.explode(T.word_set(F.col("text"))).alias("word"))
-    hits = b.join(F.broadcast(a), "word").groupBy("sid", "v", "seg_idx").agg(F.count("*").alias("n"))
-    few = sentences.agg(F.count("*").alias("sentences"))
-    ranked = hits.withColumn("k", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("n"), "v", "seg_idx"))).crossJoin(few).where("k <= sentences")
-    lists = ranked.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v", "seg_idx"))), lambda x: F.struct(x["v"].alias("v"), x["seg_idx"].alias("seg_idx"))).alias("l"))
-    kind = "array<struct<sid:int,v:long,seg_idx:int>>"
+    sentences = _summaries(spark, sf_dir)
+    a = sentences.select("job", "k", F.explode(T.word_set(F.col("sentence"))).alias("word"))
+    b = _of_jobs(spark, sf_dir).select("job", F.col("video_id").cast("long").alias("v"), "seg_idx", F.explode(T.word_set(F.col("text"))).alias("word"))
+    hits = b.join(a, ["job", "word"]).groupBy("job", "k", "v", "seg_idx").agg(F.count("*").alias("n"))
+    sizes = sentences.groupBy("job").agg(F.count("*").alias("sentences"))
+    best = Window.partitionBy("job", "k").orderBy(F.desc("n"), "v", "seg_idx")
+    ranked = hits.withColumn("r", F.row_number().over(best)).join(sizes, "job").where("r <= sentences")
+    lists = ranked.groupBy("job", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "seg_idx"))), lambda x: F.struct(x["v"].alias("v"), x["seg_idx"].alias("seg_idx"))).alias("l"))
+    kind = "array<struct<k:int,v:long,seg_idx:int>>"
 
     def step(a: Column, x: Column) -> Column:
         free = F.filter(x["l"], lambda c: ~F.exists(a, lambda u: (u["v"] == c["v"]) & (u["seg_idx"] == c["seg_idx"])))
         first = F.get(free, F.lit(0))
-        return F.when(first.isNull(), a).otherwise(F.concat(a, F.array(F.struct(x["sid"].alias("sid"), first["v"].alias("v"), first["seg_idx"].alias("seg_idx")))))
+        return F.when(first.isNull(), a).otherwise(F.concat(a, F.array(F.struct(x["k"].alias("k"), first["v"].alias("v"), first["seg_idx"].alias("seg_idx")))))
 
-    rows = lists.withColumn("all", F.lit(1))
-    out = folds.ordered_fold(rows, ["all"], [F.col("sid")], [F.col("sid"), F.col("l")], F.array().cast(kind), step)
-    return out.select(F.inline("out")).select(F.col("sid").cast("long").alias("sentence"), F.col("v").cast("string").alias("video_id"), "seg_idx")
+    out = folds.ordered_fold(lists, ["job"], [F.col("k")], [F.col("k"), F.col("l")], F.array().cast(kind), step)
+    return out.select("job", F.inline("out")).select("job", F.col("k").cast("long").alias("sentence"), F.col("v").cast("string").alias("video_id"), "seg_idx")
 
 
 # ---- time

@@ -42,14 +42,14 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""SELECT source AS video_id, coalesce(n_name, 'Video ' || left(source, 8)) AS video_title, doc_id, pos AS position, trim(s) AS text
-FROM (SELECT source, doc_id, unnest(l) AS s, CAST(unnest(range(len(l))) AS INT) AS pos FROM (SELECT source, doc_id, string_split_regex(text, '[.!?]+') AS l FROM documents)) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON source = 'src' || n_nationkey
+FROM (SELECT source, doc_id, unnest(l) AS s, CAST(unnest(range(len(l))) AS INT) AS pos FROM (SELECT source, doc_id, string_split_regex(text, '[.!?]+') AS l FROM documents)) LEFT JOIN nation ON source = 'src' || (n_nationkey + 10)
 WHERE {COUNT.format('s')} BETWEEN 5 AND 100""")
 def sentence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of 5 to 100 words with their place and their video's title; one without a title gets one from its id.
 
-    Names of nations stand for titles; two of three videos have one.
+    Names of nations stand for titles of the videos from the tenth on; those before have none.
     """
-    titles = B.table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.concat(F.lit("src"), "n_nationkey").alias("video_id"), F.col("n_name").alias("title"))
+    titles = B.table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey") + 10).alias("video_id"), F.col("n_name").alias("title"))
     rows = _docs(spark, sf_dir).select(F.col("source").alias("video_id"), "doc_id", F.posexplode(T.statements(F.col("text"))).alias("position", "s"))
     kept = rows.where(T.word_count(F.col("s")).between(5, 100)).join(titles, "video_id", "left")
     return kept.select("video_id", F.coalesce("title", F.concat(F.lit("Video "), F.left("video_id", F.lit(8)))).alias("video_title"), "doc_id", "position", F.trim("s").alias("text"))
