@@ -67,8 +67,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """The first columns of batches sorted by the first one, as arrays that end only where its value changes."""
+def runs(batches: Iterator[pa.RecordBatch], columns: int, at_once: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The first columns of batches sorted by the first one, as arrays that end only where its value changes.
+
+    With `at_once`, more rows of one value than that come in several arrays.
+    """
     held: list[list[np.ndarray]] = []
     for batch in batches:
         new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
@@ -79,6 +82,9 @@ def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.nd
             yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)]
             held = []
         held.append([x[cut:] for x in new])
+        if at_once and sum(len(x[0]) for x in held) > at_once:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 

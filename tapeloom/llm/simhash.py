@@ -243,6 +243,8 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
 OFTEN, MOST_USUAL, MORE = 4, 300_000, 0.3
 #: Ids that are sent to all tasks at most; more of them meet documents by a shuffle.
 MOST_SENT = 1_000_000
+#: Rows of one shingle that a task holds at once; more of them are dealt out in parts.
+AT_ONCE = 100_000
 #: Bits of a sketch: the parity of how many shingles fall on each.
 SKETCH = 1024
 
@@ -318,6 +320,12 @@ def _prefixes(docs: DataFrame, usual: np.ndarray) -> DataFrame:
 Test = Callable[[np.ndarray | int, np.ndarray], np.ndarray]
 
 
+def may_link(rep: np.ndarray, n: np.ndarray, pos: np.ndarray, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+    """Whether rows at x and y, which share a shingle at pos of their prefixes, may be alike; n is the size of their sets."""
+    unlike = pos[x] + pos[y] + np.abs(n[x] - pos[x] - n[y] + pos[y])
+    return (unlike <= most_unlike(n[x] + n[y])) & (rep[x] != rep[y])
+
+
 def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int, also: Test | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b) of rep under one key that may be alike, and the places of rows to be looked at again.
 
@@ -331,8 +339,7 @@ def prefix_links(key: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarra
     of, n, pos = np.repeat(sizes, sizes), n.astype(np.int64), pos.astype(np.int64)
 
     def meet(x: np.ndarray | int, y: np.ndarray) -> None:
-        unlike = pos[x] + pos[y] + np.abs(n[x] - pos[x] - n[y] + pos[y])
-        y_ok = (unlike <= most_unlike(n[x] + n[y])) & (rep[x] != rep[y])
+        y_ok = may_link(rep, n, pos, x, y)
         x, y = np.broadcast_to(x, len(y))[y_ok], y[y_ok]
         if also:
             ok = also(x, y)
@@ -360,10 +367,12 @@ def _met(dealt: DataFrame, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["a", "b", "key", "rep", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        for part in runs(batches, 4):
+        passed = []  # the key whose rows have been passed on before in part
+        for part in runs(batches, 4, max(AT_ONCE, most)):
             key = part[0]
             sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
-            large = np.repeat(sizes > most, sizes)
+            large = np.repeat(sizes > most, sizes) | np.isin(key, passed)
+            passed = list(key[-1:][large[-1:]])
             x, y, _ = prefix_links(*(c[~large] for c in part), most)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], k) for k in kinds)], names=names)
@@ -405,6 +414,38 @@ def _met_dense(dealt: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), "a long, b long, key long, rep long, n int, pos int, sketch binary")
 
 
+def _met_in_parts(dealt: DataFrame, huge: DataFrame, most: int) -> DataFrame:
+    """As _met_dense, for the keys of `huge` (key, rows), of which a task can't hold all rows.
+
+    About `most` rows of a key, chosen by a hash, meet parts of its other rows; those others come again.
+    """
+    rows = dealt.join(F.broadcast(huge) if huge.count() <= MOST_SENT else huge, "key")
+    some = F.pmod(F.xxhash64(F.lit(most), "rep"), F.greatest(F.expr(f"rows div {min(most, AT_ONCE)}"), F.lit(1))) == 0
+    marked = checkpoint(rows.withColumn("first", some))
+    first, others = marked.where("first"), marked.where("not first")
+    parts = F.expr(f"cast(ceil(rows / {AT_ONCE}) as int)")
+    at = F.when(F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts).cast("int")))
+    placed = marked.withColumn("part", F.explode(at)).withColumn("bucket", F.xxhash64("key", "part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, key, head, rep, n, pos, own, sketches in runs(batches, 8):
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, SKETCH // 64)
+            ends = np.r_[np.flatnonzero((bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])) + 1, len(bucket)]
+            for i in np.flatnonzero(head):
+                y = np.arange(i + 1, ends[np.searchsorted(ends, i, "right")])
+                y = y[(own[y] != own[i]) & may_link(rep, n, pos, int(i), y)]
+                y = y[np.bitwise_count(bits[y] ^ bits[i]).sum(1, dtype=np.int64) <= most_unlike(n[y] + n[i])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[y], rep[i])), pa.array(np.maximum(rep[y], rep[i]))], names=["a", "b"])
+
+    columns = ["bucket", "key", "first", "rep", "n", "pos", "own", "sketch"]
+    sorted_ = placed.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "key", F.desc("first"), "rep")
+    links = sorted_.mapInArrow(tidy(run), "a long, b long").distinct()
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    met = links.select("a", "b", none("key", "long"), none("rep", "long"), none("n", "int"), none("pos", "int"), none("sketch", "binary"))
+    return met.unionByName(others.select(none("a", "long"), none("b", "long"), "key", "rep", "n", "pos", "sketch"))
+
+
 def _close(links: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of links (a, b), those between different groups whose sketches (rep, n, sketch, own) don't rule out that they are alike."""
 
@@ -436,7 +477,8 @@ def prefix_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     Every pair that is ALIKE and in different groups is found: at once if its documents meet in a bucket of up to 64.
     Larger buckets take several rounds: each holds some rows against all others of different groups and goes on with the
-    other rows, twice as many at a time, until all are done or of one group. So groups are the components of all ALIKE pairs.
+    other rows, twice as many at a time, until all are done or of one group. Rows of one shingle that are too many for
+    a task are dealt out in parts, each with the rows that are held against all. So groups are the components of all ALIKE pairs.
     """
     most = 64
     dealt = _prefixes(docs, usual_shingles(docs))
@@ -452,7 +494,13 @@ def prefix_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
         if dense.isEmpty():
             return groups
         rows = dense.join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("own", F.coalesce("label", "rep"))
-        met = checkpoint(_met_dense(rows, most))
+        counted = rows.groupBy("key").agg(F.count("*").alias("rows"), (F.min("own") != F.max("own")).alias("mixed"))
+        huge = checkpoint(counted.where(F.col("rows") > AT_ONCE))
+        if huge.isEmpty():
+            met = checkpoint(_met_dense(rows, most))
+        else:
+            usual = _met_dense(rows.join(sent(huge.select("key")), "key", "left_anti"), most)
+            met = checkpoint(usual.unionByName(_met_in_parts(rows, huge.where("mixed").select("key", "rows"), most)))
         links = checkpoint(met.where("key is null").select("a", "b").distinct())
         dense = met.where("key is not null").select("key", "rep", "n", "pos", "sketch")
         most *= 2

@@ -549,6 +549,28 @@ def test_dense_blocks_leave_no_copy(spark):
     assert sorted(kept) == [5 * g for g in range(200)]
 
 
+def test_shingles_of_too_many_documents_are_dealt_in_parts(spark, monkeypatch):
+    """One passage in all texts, which are alike within families only; a task holds 150 rows of a shingle at most."""
+    own = random.Random(12)
+    passage = [f"p{k}" for k in range(40)]
+    docs = []
+    for g in range(150):
+        tail = [f"f{g}t{k}" for k in range(5)]
+        docs += [(3 * g + k, " ".join([*passage, *tail[:4], f"e{g}x{k}"])) for k in range(3)]
+    own.shuffle(docs)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    calls, in_parts = [], simhash._met_in_parts
+    monkeypatch.setattr(simhash, "AT_ONCE", 150)
+    monkeypatch.setattr(simhash, "_met_in_parts", lambda *a: calls.append(a) or in_parts(*a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        kept = [r["doc_id"] for r in simhash.deduplicated(rows).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(kept) == [3 * g for g in range(150)]
+    assert calls
+
+
 def test_prefix_join_finds_all_pairs():
     """Also in buckets that take several rounds."""
     rng = np.random.default_rng(8)
