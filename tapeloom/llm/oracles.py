@@ -45,6 +45,60 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ids AS (
+  SELECT c, xor(list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crc),
+own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+sized AS (SELECT i.*, least(h, coalesce(n, 0)) AS hb FROM ids i LEFT JOIN (SELECT c AS base, count(*) AS n FROM own GROUP BY c) ON base = c - c % 20),
+rebuilt AS (
+  SELECT i.c, pos AS d, role, text FROM sized i JOIN own o ON o.c = i.c - i.c % 20 AND pos <= h
+  UNION ALL SELECT i.c, pos - h + hb, role, text FROM sized i JOIN own o ON o.c = i.c AND pos > h),
+paths AS (
+  SELECT c, 0 AS d, '' AS key, 0 AS words FROM ids
+  UNION ALL
+  SELECT c, d, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+  FROM rebuilt),
+linked AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM paths),
+nodes AS (
+  SELECT key, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY key, d),
+children AS (SELECT up AS key, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up, d),
+full_ AS (SELECT o.*, coalesce(k.n, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes o LEFT JOIN children k ON k.key = o.key AND k.d = o.d LEFT JOIN nodes p ON p.key = o.up AND p.d = o.d - 1),
+sums AS (
+  SELECT q.key, q.d, CAST(sum(o.own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves
+  FROM full_ o JOIN paths q ON q.c = o.conv_id AND q.d <= o.d GROUP BY q.key, q.d)
+SELECT conv_id, CAST(o.d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM full_ o JOIN sums s ON s.key = o.key AND s.d = o.d
+"""
+
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS r(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+split AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+within AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS more FROM split, range(2, 5) AS s(j), range(1, 5) AS t(i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
+kept AS (SELECT s.* FROM split s LEFT JOIN within h ON h.lang = s.lang AND h.phrase = s.phrase WHERE more IS NULL OR 100 * more < 100 * a),
+cuts AS (
+  SELECT s.lang, s.phrase, s.a, j, l.a AS l, r.a AS r, n, CAST(1000 * CAST(s.a AS HUGEINT) * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM kept s JOIN range(1, 5) AS c(j) ON j < s.k JOIN sizes z ON z.lang = s.lang
+  JOIN f l ON l.lang = s.lang AND l.phrase = array_to_string(w[:j], ' ') JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS k FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE k = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_temporal_list": OP1, "op10_chat_relational": OP10}
+    return {"op1_url_temporal_list": OP1, "op10_chat_relational": OP10, "op11_prefix_trie": OP11, "op12_phrase_collocations": OP12}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, langid, media, mixing, pieces, pii, quality, simhash, urlfilter
+from . import chat, collocations, digest, langid, media, mixing, pieces, pii, quality, simhash, tokencount, trie, urlfilter
 from .common import table
 
 
@@ -95,5 +96,30 @@ def op10_chat_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each opened by the first turns of its group of 20; a row for each distinct prefix.
+
+    Nulls, ties, repeated rows and empty tables: see `trie.prefixes`.
+    """
+    return trie.prefixes(table(spark, sf_dir, "conversations"), every=20)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language by all documents; counts of at least 100, 2 to 5 words.
+
+    Nulls, ties, repeated rows and empty tables: see `collocations.scored`.
+    """
+    return collocations.scored(table(spark, sf_dir, "documents"), least=100, longest=5, most=2000)
+
+
+#: A tokenizers file; the environment's public tokenizers unless another is named.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """How many tokens every document has, and whether that is over 2048; a null or empty text has none."""
+    return tokencount.counted(table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"), limit=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
