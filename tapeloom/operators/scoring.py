@@ -1,4 +1,4 @@
-"""Relevance scores of texts: TF-IDF, word overlap, cosine to a summary, and their mix."""
+"""Relevance scores of texts: TF-IDF, word overlap, and their mix with likeness to a summary."""
 
 from __future__ import annotations
 
@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as T
-from tapeloom.functions import vectors as V
-
-# Words that don't count as terms.
-STOP_WORDS = (
-    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by", "can", "could", "did", "do", "for", "from", "had", "has", "have", "he", "her", "his", "how",
-    "if", "in", "into", "is", "it", "its", "just", "more", "my", "no", "not", "of", "on", "or", "our", "out", "she", "so", "some", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this",
-    "to", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you", "your",
-)
+from tapeloom.functions.stopwords import STOP_WORDS
 
 
 def terms(text: Column, pairs: bool = True) -> Column:
@@ -27,16 +20,18 @@ def terms(text: Column, pairs: bool = True) -> Column:
 def tfidf(texts: DataFrame, key: str, place: str, features: int = 500, pairs: bool = True) -> DataFrame:
     """(key, place, tfidf) of texts (key, place, text): the sum of each text's unit-length TF-IDF row.
 
-    The key's `features` most frequent terms count (ties by term). A text without any has 0.
+    The key's `features` most frequent terms count (ties by term). A text without any has 0. All of a key's terms meet in
+    one exchange by the key, which windows and sums then share: terms are counted once, and nothing is joined.
     """
-    counts = texts.select(key, place, F.explode(terms(F.col("text"), pairs)).alias("term")).groupBy(key, place, "term").agg(F.count("*").alias("tf"))
-    by_term = counts.groupBy(key, "term").agg(F.sum("tf").alias("all"), F.count("*").alias("df"))
-    top = by_term.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("all"), "term"))).where(F.col("k") <= features)
-    sizes = texts.groupBy(key).agg(F.count("*").alias("n"))
+    sized = texts.select(key, place, "text").repartition(key).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    counts = sized.select(key, place, "n", F.explode_outer(terms(F.col("text"), pairs)).alias("term")).groupBy(key, place, "term").agg(F.count("term").alias("tf"), F.first("n").alias("n"))
+    same = Window.partitionBy(key, "term")
+    known = counts.withColumns({"all": F.sum("tf").over(same), "df": F.count("*").over(same)})
+    ranked = known.withColumn("k", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("all"), "term")))  # no term: last
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    weight = counts.join(top.join(sizes, key).select(key, "term", idf.alias("idf")), [key, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    rows = weight.groupBy(key, place).agg((F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("tfidf"))
-    return texts.select(key, place).join(rows, [key, place], "left").select(key, place, F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
+    weight = ranked.withColumn("w", F.when(F.col("term").isNotNull() & (F.col("k") <= features), F.col("tf") * idf).otherwise(F.lit(0.0)))
+    length = F.nullif(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(0.0))
+    return weight.groupBy(key, place).agg(F.coalesce(F.sum("w") / length, F.lit(0.0)).alias("tfidf"))
 
 
 def relative(value: str, key: str) -> Column:
@@ -47,10 +42,10 @@ def relative(value: str, key: str) -> Column:
 
 
 def min_max(value: str, key: str) -> Column:
-    """A value between its key's least (0) and greatest (1); 0.5 if they are equal."""
+    """A value between its key's least (0) and greatest (1); 0.5 if they are equal or it is missing."""
     by = Window.partitionBy(key)
     low, high = F.min(value).over(by), F.max(value).over(by)
-    return F.when(high - low > 1e-9, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))
+    return F.when(high - low > 1e-9, F.coalesce((F.col(value) - low) / (high - low), F.lit(0.5))).otherwise(F.lit(0.5))
 
 
 def hybrid(semantic: Column, tfidf_: Column) -> Column:
@@ -66,9 +61,3 @@ def overlap(segments: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
     ours = segments.select(key, "video_id", "seg_idx", F.explode(T.word_set(F.col("text"))).alias("word"))
     hits = ours.join(theirs, [key, "word"]).groupBy("video_id", "seg_idx").agg(F.sum("n").alias("score"))
     return segments.select("video_id", "seg_idx").join(hits, ["video_id", "seg_idx"], "left").select("video_id", "seg_idx", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
-
-
-def best_cosine(vectors: DataFrame, targets: DataFrame) -> DataFrame:
-    """(video_id, sentence_index, best): the greatest cosine to any of `targets` (target), which are a summary's few sentences."""
-    few = targets.select(F.col("target")).agg(F.collect_list("target").alias("targets"))  # a summary: some sentences
-    return vectors.crossJoin(few).select("video_id", "sentence_index", F.array_max(F.transform("targets", lambda t: V.cosine(F.col("embedding"), t))).alias("best"))

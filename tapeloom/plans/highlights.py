@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as T
-from tapeloom.operators import folds, scoring
+from tapeloom.functions.stopwords import STOP_WORDS
+from tapeloom.operators import embedding, folds, scoring
+from tapeloom.session import checkpoint
 from tapeloom.sources import bindings as B
 
 from .registry import SEGMENTS, query
 
 TARGET = 120.0
-#: Sentences of the summary, and vectors that stand for texts' own.
-SUMMARY_SENTENCES, VECTORS = 5, 500
-STOPS = ", ".join(f"'{w}'" for w in scoring.STOP_WORDS)
+#: Dimensions of texts' vectors.
+DIMENSIONS = 384
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 BLOCKS = SEGMENTS + r""",
 s AS (SELECT video_id, start, start + duration AS stop, words, text, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS i FROM seg WHERE trim(text) <> ''),
@@ -56,12 +58,27 @@ tfidf AS (
 
 
 def semantic_sql(rows: str, place: str) -> str:
-    """sem (video_id, place, semantic): as `_semantic` does it."""
-    return f"""
-tgt AS (SELECT CAST(embedding AS DOUBLE[]) AS t FROM embeddings WHERE vec_id < {SUMMARY_SENTENCES}),
-best AS (SELECT x.video_id, x.{place}, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), t)) AS best
-  FROM {rows} x JOIN embeddings e ON e.vec_id = (CAST(x.video_id AS BIGINT) * 31 + x.{place}) % {VECTORS}, tgt GROUP BY 1, 2),
-sem AS (SELECT video_id, {place}, CASE WHEN max(best) OVER v - min(best) OVER v > 1e-9 THEN (best - min(best) OVER v) / (max(best) OVER v - min(best) OVER v) ELSE 0.5 END AS semantic FROM best WINDOW v AS (PARTITION BY video_id))"""
+    """sem (video_id, place, semantic): as `_semantic` does it, features hashed and weighted in SQL."""
+    features = lambda w: f"unnest(list_concat(['=' || {w}], list_transform(range(1, length({w}) + 1), lambda i: substr('<' || {w} || '>', CAST(i AS INT), 3))))"
+    hashed = lambda f: f"CAST('0x' || substr(md5({f}), 1, 8) AS BIGINT)"
+    value = f"sum(n * (1 - 2 * (h // {DIMENSIONS} % 2)) * idf)"
+    return rf"""
+ew AS (SELECT video_id, {place}, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS w FROM {rows}),
+eh AS (SELECT video_id, {place}, {hashed("f")} AS h, count(*) AS n FROM (SELECT video_id, {place}, {features("w")} AS f FROM ew) GROUP BY 1, 2, 3),
+idf AS (SELECT h % {embedding.BUCKETS} AS bucket, ln((1.0 + (SELECT count(*) FROM {rows})) / (1.0 + count(DISTINCT (video_id, {place})))) + 1.0 AS idf FROM eh GROUP BY 1),
+ev AS (SELECT video_id, {place}, h % {DIMENSIONS} AS dim, {value} AS v FROM eh JOIN idf ON bucket = h % {embedding.BUCKETS} GROUP BY 1, 2, 3),
+ss AS (SELECT job, k, sentence FROM (SELECT item_id AS job, unnest(l) AS sentence, unnest(range(len(l))) AS k FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?]) +', concat('\1', chr(1)), 'g'), chr(1)) AS l FROM benchmark))),
+sw AS (SELECT job, k, unnest(regexp_extract_all(lower(sentence), '[\pL\pN_]+')) AS w FROM ss),
+sh AS (SELECT job, k, {hashed("f")} AS h, count(*) AS n FROM (SELECT job, k, {features("w")} AS f FROM sw) GROUP BY 1, 2, 3),
+sv AS (SELECT job, k, h % {DIMENSIONS} AS dim, {value.replace("idf", f"coalesce(idf, ln(1.0 + (SELECT count(*) FROM {rows})) + 1.0)")} AS v FROM sh LEFT JOIN idf ON bucket = h % {embedding.BUCKETS} GROUP BY 1, 2, 3),
+en AS (SELECT video_id, {place}, sqrt(sum(v * v)) AS r FROM ev GROUP BY 1, 2),
+sn AS (SELECT job, k, sqrt(sum(v * v)) AS r FROM sv GROUP BY 1, 2),
+dots AS (SELECT video_id, {place}, k, sum(ev.v * sv.v) AS d FROM ev JOIN sv ON sv.job = CAST(video_id AS BIGINT) // 5 AND sv.dim = ev.dim GROUP BY 1, 2, 3),
+best AS (
+  SELECT x.video_id, x.{place}, max(CASE WHEN ss.job IS NOT NULL THEN coalesce(d / (en.r * sn.r), 0.0) END) AS best
+  FROM {rows} x LEFT JOIN ss ON ss.job = CAST(x.video_id AS BIGINT) // 5 LEFT JOIN dots ON dots.video_id = x.video_id AND dots.{place} = x.{place} AND dots.k = ss.k
+  LEFT JOIN en ON en.video_id = x.video_id AND en.{place} = x.{place} LEFT JOIN sn ON sn.job = ss.job AND sn.k = ss.k GROUP BY 1, 2),
+sem AS (SELECT video_id, {place}, coalesce(CASE WHEN max(best) OVER v - min(best) OVER v > 1e-9 THEN (best - min(best) OVER v) / (max(best) OVER v - min(best) OVER v) END, 0.5) AS semantic FROM best WINDOW v AS (PARTITION BY video_id))"""
 
 
 def _tfidf(texts: DataFrame, place: str) -> DataFrame:
@@ -70,17 +87,15 @@ def _tfidf(texts: DataFrame, place: str) -> DataFrame:
     return raw.select("video_id", place, scoring.relative("tfidf", "video_id").alias("tfidf"))
 
 
-def _semantic(spark: SparkSession, sf_dir: str, texts: DataFrame, place: str) -> DataFrame:
-    """(video_id, place, semantic): the greatest cosine to the summary's sentences, between a video's least and greatest.
+def _semantic(spark: SparkSession, sf_dir: str, texts: DataFrame, embedder: embedding.Embedder | None = None) -> DataFrame:
+    """`texts` with `semantic`: the greatest cosine to a sentence of their job's summary, between their video's least and greatest.
 
-    Without a model for texts, given vectors stand for theirs: a text has the one of a number made from its video and
-    place, and the summary's sentences are the first five.
+    Without an embedder, features are weighted by how few of these texts have them. 0.5 where a job has no summary.
     """
-    given = B.vectors(spark, sf_dir).select(F.col("sentence_index").alias("number"), "embedding")
-    number = (F.col("video_id").cast("long") * 31 + F.col(place)) % VECTORS
-    rows = texts.select("video_id", F.col(place).alias("sentence_index"), number.alias("number")).join(given, "number").drop("number")
-    best = scoring.best_cosine(rows, given.where(F.col("number") < SUMMARY_SENTENCES).select(F.col("embedding").alias("target")))
-    return best.select("video_id", F.col("sentence_index").alias(place), scoring.min_max("best", "video_id").alias("semantic"))
+    embedder = embedder or embedding.HashingEmbedder(DIMENSIONS).fitted(texts)
+    summaries = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job"), T.sentences_at_spaces(F.col("text")).alias("sentences"))
+    rows = embedding.likeness(texts.withColumn("job", F.expr("cast(video_id as bigint) div 5")), "job", summaries, embedder)
+    return rows.withColumn("semantic", scoring.min_max("best", "video_id")).drop("job", "best")
 
 
 SCORED = BLOCKS + r""",
@@ -103,10 +118,13 @@ pick AS (
 final AS (SELECT video_id, unnest(chosen) AS c FROM (SELECT *, max(i) OVER (PARTITION BY video_id) AS last FROM pick) WHERE i = last)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks with their score: 0.7 for likeness to the summary and 0.3 for TF-IDF among the video's blocks."""
-    blocks = _blocks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("start")) - 1)
-    both = blocks.join(_tfidf(blocks, "place"), ["video_id", "place"]).join(_semantic(spark, sf_dir, blocks, "place"), ["video_id", "place"])
+def _scored(spark: SparkSession, sf_dir: str, embedder: embedding.Embedder | None = None) -> DataFrame:
+    """Blocks with their score: 0.7 for likeness to their job's summary and 0.3 for TF-IDF among the video's blocks.
+
+    Blocks are made once and kept, as weights, likeness and TF-IDF all read them.
+    """
+    blocks = checkpoint(_blocks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("start")) - 1))
+    both = _semantic(spark, sf_dir, blocks, embedder).join(_tfidf(blocks, "place"), ["video_id", "place"])
     return both.withColumn("score", F.round(scoring.hybrid(F.col("semantic"), F.col("tfidf")), 6)).select("video_id", "start", "end", "words", "text", "score")
 
 
@@ -240,12 +258,19 @@ def tfidf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT m.video_id, m.seg_idx, round(0.7 * semantic + 0.3 * tfidf, 4) AS score, printf('Semantic match: %.2f, TF-IDF: %.2f', round(semantic, 2), round(tfidf, 2)) AS reason
 FROM sem m JOIN tfidf t ON t.video_id = m.video_id AND t.seg_idx = m.seg_idx""")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = B.segments(spark, sf_dir)
-    both = _tfidf(segments, "seg_idx").join(_semantic(spark, sf_dir, segments, "seg_idx"), ["video_id", "seg_idx"])
+    segments = checkpoint(B.segments(spark, sf_dir).select("video_id", "seg_idx", "text"))
+    both = _semantic(spark, sf_dir, segments).join(_tfidf(segments, "seg_idx"), ["video_id", "seg_idx"])
     reason = F.format_string("Semantic match: %.2f, TF-IDF: %.2f", F.round("semantic", 2), F.round("tfidf", 2))
     return both.select("video_id", "seg_idx", F.round(scoring.hybrid(F.col("semantic"), F.col("tfidf")), 4).alias("score"), reason.alias("reason"))
 
 
+@query("WITH " + SEGMENTS + "," + semantic_sql("seg", "seg_idx") + " SELECT video_id, seg_idx, round(semantic, 4) AS semantic FROM sem")
+def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of segments to their own job's summary, between their video's least and greatest."""
+    segments = checkpoint(B.segments(spark, sf_dir).select("video_id", "seg_idx", "text"))
+    return _semantic(spark, sf_dir, segments).select("video_id", "seg_idx", F.round("semantic", 4).alias("semantic"))
+
+
 @query("WITH RECURSIVE " + SEGMENTS + r""",
 sent AS (SELECT item_id AS job, unnest(l) AS sentence, unnest(range(len(l))) AS k FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?]) +', concat('\1', chr(1)), 'g'), chr(1)) AS l FROM benchmark)),
 a AS (SELECT job, k, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\pL\pN_]+'))) AS word FROM sent),

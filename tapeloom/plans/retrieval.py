@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import vectors as V
-from tapeloom.operators import scoring
 from tapeloom.sources import bindings as B
 
 from .registry import query
@@ -77,16 +76,6 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.sum("n").cast("long").alias("vectors"), F.count("*").alias("videos"), F.array_join(F.array_sort(F.collect_list("video_id")), ",").alias("ids"))
 
 
-@query(r"""WITH t AS (SELECT CAST(embedding AS DOUBLE[]) AS t FROM embeddings WHERE vec_id < 5),
-b AS (SELECT CAST(label AS VARCHAR) AS video_id, vec_id AS sentence_index, max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), t)) AS best FROM embeddings, t GROUP BY 1, 2)
-SELECT video_id, sentence_index, round(CASE WHEN max(best) OVER v > min(best) OVER v THEN (best - min(best) OVER v) / (max(best) OVER v - min(best) OVER v) ELSE 0.5 END, 4) AS semantic FROM b WINDOW v AS (PARTITION BY video_id)""")
-def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greatest cosine to a summary's sentences (the first five vectors), between its video's least and greatest."""
-    rows = B.vectors(spark, sf_dir)
-    best = scoring.best_cosine(rows, rows.where("sentence_index < 5").select(F.col("embedding").alias("target")))
-    return best.select("video_id", "sentence_index", F.round(scoring.min_max("best", "video_id"), 4).alias("semantic"))
-
-
 @query("SELECT doc_id FROM documents WHERE contains(lower(left(text, 60)), 'the') OR contains(lower(text), 'tion of')")
 def title_desc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose title (the first sixty characters) or text holds a phrase."""

@@ -17,12 +17,12 @@ def timed(turns: DataFrame) -> DataFrame:
 
     Half a second for a word; a pause of 2.5 s before every fourth turn.
     """
-    by = Window.partitionBy("conv_id").orderBy("turn")
+    by = Window.partitionBy("video_id").orderBy("turn")
     earlier = F.coalesce(F.sum("duration").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     pauses = F.count(F.when((F.col("turn") % 4 == 0) & (F.col("turn") > 0), 1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    rows = turns.select("conv_id", "turn", "text", T.word_count(F.col("text")).alias("words")).withColumn("duration", F.col("words") * F.lit(0.5))
+    rows = turns.select(F.col("conv_id").cast("string").alias("video_id"), "turn", "text", T.word_count(F.col("text")).alias("words")).withColumn("duration", F.col("words") * F.lit(0.5))
     rows = rows.withColumn("start", earlier + pauses * F.lit(2.5))
-    return rows.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), "text", "words", "duration", "start", (F.col("start") + F.col("duration")).alias("end"))
+    return rows.select("video_id", F.col("turn").cast("int").alias("seg_idx"), "text", "words", "duration", "start", (F.col("start") + F.col("duration")).alias("end"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
