@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as T
+from tapeloom.operators import folds
+from tapeloom.session import checkpoint
 
 ANSWER = "summary string, tldr string, key_takeaways array<string>, who_should_watch string, who_can_skip string, action_steps array<string>, best_quotes array<string>, chapters array<string>"
 # The rules between a report's sections; its titles and those of chapters stand where they are used.
@@ -18,6 +22,45 @@ def chunk_target(target: Column, chunks: Column, chunk_words: Column, words: Col
     return F.least(F.greatest(F.lit(50), (share * (chunk_words / (words / chunks))).cast("int")), chunk_words)
 
 
+def first_words(words: Column, n: Column) -> Column:
+    """The shortening that stands in where no model answers: the first n words."""
+    return F.slice(words, F.lit(1), n.cast("int"))
+
+
+def summarised(
+    texts: DataFrame, key: str, target: int, chunk_words: int = 800, most_rounds: int = 3, over: float = 1.15, last: float = 1.2, shorten: Callable[[Column, Column], Column] = first_words
+) -> DataFrame:
+    """(key, rounds, words, text) of texts (key, text): each brought down to about `target` words, level by level.
+
+    A cleaned text of up to `over` times the target stays as it is. A longer one is cut into chunks of sentences, up to
+    `chunk_words` words each; every chunk is shortened to its share, and the joined text goes through another round while
+    it is still too long. A text of one chunk is shortened to the target. After `most_rounds`, a text of up to `last`
+    times a chunk is shortened to the target, a longer one stays. Only unfinished texts enter a round, each within its
+    row: `shorten` takes a column of words and the number that may stay. A null text counts as empty; repeated keys stay.
+    """
+    limit, kept = target * over, [key, "rounds", "w"]
+    waiting = texts.select(key, F.lit(0).alias("rounds"), T.words(T.cleaned(F.coalesce("text", F.lit("")))).alias("w"))
+    out = None
+    for step in range(most_rounds + 1):
+        n = F.size("w")
+        if step == most_rounds:
+            now = waiting.select(key, "rounds", F.when((n > limit) & (n <= chunk_words * last), shorten(F.col("w"), F.lit(target))).otherwise(F.col("w")).alias("w"), F.lit(True).alias("done"))
+        else:
+            sizes = F.transform(T.sentences(F.array_join("w", " ")), T.word_count)
+            chunks = F.when(n > limit, F.transform(folds.packed(sizes, chunk_words), lambda b: b["size"].cast("int"))).alias("chunks")
+            begins = F.aggregate("chunks", F.array(F.lit(1)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)).alias("begins")
+            part = lambda x, i: shorten(F.slice("w", F.get("begins", i), x), chunk_target(F.lit(target), F.size("chunks"), x, n))
+            shorter = F.when(F.col("chunks").isNull(), F.col("w")).when(F.size("chunks") == 1, shorten(F.col("w"), F.lit(target))).otherwise(F.flatten(F.transform("chunks", part)))
+            cut = waiting.select(*kept, chunks).select(*kept, "chunks", begins).select(key, F.when(F.col("chunks").isNull(), F.col("rounds")).otherwise(F.lit(step + 1)).alias("rounds"), shorter.alias("w"), (F.coalesce(F.size("chunks"), F.lit(1)) == 1).alias("one"))
+            now = cut.select(*kept, (F.col("one") | (n <= limit)).alias("done"))
+        now = checkpoint(now)
+        done, waiting = now.where("done"), now.where("not done")
+        out = done if out is None else out.unionByName(done)
+        if waiting.isEmpty():
+            break
+    return out.select(key, F.col("rounds").cast("long").alias("rounds"), F.size("w").cast("long").alias("words"), F.array_join("w", " ").alias("text"))
+
+
 def report(summary: Column, tldr: Column, takeaways: Column, chapters: Column, quotes: Column, watch: Column, skip: Column, steps: Column) -> Column:
     """A plain-text report with a section for each part that isn't empty.
 

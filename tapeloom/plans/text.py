@@ -143,6 +143,26 @@ def chunk_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "batch", "target", low.alias("min_length"), top.alias("max_length"))
 
 
+@query(r"""WITH RECURSIVE c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+start AS (SELECT doc_id, list_filter(string_split(CASE WHEN length(t) > 10 THEN t ELSE '' END, ' '), lambda x: x <> '') AS w FROM c),
+r AS (
+  SELECT doc_id, 0 AS rounds, w, len(w) <= 150 * 1.15 AS done FROM start
+  UNION ALL
+  SELECT doc_id, rounds + 1, CASE WHEN len(p) = 1 THEN w[:150] ELSE short END, len(p) = 1 OR len(short) <= 150 * 1.15
+  FROM (
+    SELECT *, flatten(list_transform(range(1, len(p) + 1), lambda i: w[q + 1 + list_sum(p[:i - 1] || [0]) : q + list_sum(p[:i - 1] || [0]) + least(greatest(50, CAST(trunc(greatest(50, 150 // len(p)) * (p[i] / (len(w) / len(p)))) AS INT)), p[i])])) AS short
+    FROM (
+      SELECT doc_id, rounds, w, 0 AS q, list_reduce(list_transform(string_split(regexp_replace(array_to_string(w, ' '), '([.!?]) ', concat('\1', chr(1)), 'g'), chr(1)), lambda s: [len(string_split(s, ' '))]),
+             lambda a, x: CASE WHEN a[len(a)] + x[1] > 800 THEN list_concat(a, x) ELSE list_append(a[:len(a) - 1], a[len(a)] + x[1]) END) AS p
+      FROM r WHERE NOT done AND rounds < 3))),
+last AS (SELECT * FROM r WHERE done OR rounds = 3),
+f AS (SELECT doc_id, rounds, CASE WHEN len(w) > 150 * 1.15 AND len(w) <= 960 AND NOT done THEN w[:150] ELSE w END AS w FROM last)
+SELECT doc_id, CAST(rounds AS BIGINT) AS rounds, len(w) AS words, array_to_string(w, ' ') AS text FROM f""")
+def recursive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document brought down to a minute's words, level by level, by the first words of chunks."""
+    return summaries.summarised(_docs(spark, sf_dir), "doc_id", target=150)
+
+
 @query(r"""WITH RECURSIVE l AS (SELECT doc_id, trim(s) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(s) <> ''),
 pack AS (
