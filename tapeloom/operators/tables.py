@@ -46,13 +46,84 @@ def taken(new: DataFrame, existing: DataFrame, key: str, fields: list[str]) -> D
 
 
 def first_source(sources: list[DataFrame], key: str) -> DataFrame:
-    """Of sources in order of preference, all rows of the first one that has a key."""
-    tiered = [s.withColumn("tier", F.lit(i + 1)) for i, s in enumerate(sources)]
-    rows = tiered[0]
-    for t in tiered[1:]:
-        rows = rows.unionByName(t)
-    best = rows.groupBy(key).agg(F.min("tier").alias("tier"))
-    return rows.join(best, [key, "tier"])
+    """Of sources in order of preference, all rows of the first one that has a key, with tier from 1.
+
+    A cascade: a later source gives only rows of keys that no earlier one has, so only those are worked on further.
+    """
+    out = sources[0].withColumn("tier", F.lit(1))
+    known = sources[0].select(key).distinct()
+    for i, source in enumerate(sources[1:], 2):
+        rest = source.join(known, key, "left_anti")
+        out = out.unionByName(rest.withColumn("tier", F.lit(i)))
+        known = known.unionByName(rest.select(key).distinct())
+    return out
+
+
+#: What a change comes to: nothing asked, no difference, values replaced, a row added, a row gone, no such row.
+KEPT, MATCHED, MODIFIED, INSERTED, DELETED, UNKNOWN = "kept", "matched", "modified", "inserted", "deleted", "unknown"
+
+
+def merge(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """All rows of `old` and `changes` by key, with their values afterwards and `outcome`; `merged` has the new table.
+
+    changes: (key, action, some of the columns), one row a key; action `set` replaces values that aren't null where there
+    is such a row, `upsert` adds one where there is none, `delete` takes it away. `set` and `delete` of a key that `old`
+    lacks are `unknown`; a `set` that changes nothing is `matched`. The join keeps both sides, so table and counts come
+    from one pass.
+    """
+    fields = [c for c in changes.columns if c not in (key, "action")]
+    there = old.withColumn("__there", F.lit(True))
+    sent = changes.select(key, F.col("action").alias("__action"), *(F.col(c).alias(f"__{c}") for c in fields))
+    both = there.join(sent, key, "full_outer")
+    is_, action = F.col("__there").isNotNull(), F.col("__action")
+    differs = F.lit(False)
+    for c in fields:
+        differs = differs | (F.col(f"__{c}").isNotNull() & ~F.col(f"__{c}").eqNullSafe(F.col(c)))
+    outcome = (
+        F.when(action.isNull(), KEPT).when(is_ & (action == "delete"), DELETED).when(is_, F.when(differs, MODIFIED).otherwise(MATCHED)).when(action == "upsert", INSERTED).otherwise(UNKNOWN)
+    )
+    deleted = is_ & F.coalesce(action == "delete", F.lit(False))
+    return both.select(*(F.when(deleted, F.col(c)).otherwise(F.coalesce(f"__{c}", c)).alias(c) if c in fields else F.col(c) for c in old.columns), outcome.alias("outcome"))
+
+
+def merged(tagged: DataFrame) -> DataFrame:
+    """The table after a `merge`."""
+    return tagged.where(F.col("outcome").isin(KEPT, MATCHED, MODIFIED, INSERTED)).drop("outcome")
+
+
+def merge_counts(tagged: DataFrame) -> DataFrame:
+    """(matched, modified, inserted, deleted, unknown) of a `merge`: one row. Modified rows count as matched too."""
+    n = lambda *o: F.count_if(F.col("outcome").isin(*o))
+    return tagged.agg(n(MATCHED, MODIFIED, DELETED).alias("matched"), n(MODIFIED).alias("modified"), n(INSERTED).alias("inserted"), n(DELETED).alias("deleted"), n(UNKNOWN).alias("unknown"))
+
+
+def nearest(rows: DataFrame, known: DataFrame, value: str, slots: int = 4096) -> DataFrame:
+    """`rows` with `nearest`: the one of known's values (value) that is nearest to their own, the smaller of two as near.
+
+    Both may be large: their values are dealt out into slots of the known range, in each of which the last and the next
+    known value are carried along in order; what comes from other slots follows from their least and greatest values.
+    Null where there is nothing known, or the row's own value is null.
+    """
+    keys = known.select(F.col(value).cast("double").alias("__k")).where("__k is not null").distinct()
+    ends = keys.agg(F.min("__k").alias("__low"), F.max("__k").alias("__high"))  # one row
+    width = F.greatest((F.col("__high") - F.col("__low")) / slots, F.lit(1e-300))
+    slot = lambda v: F.least(F.greatest(F.floor((v - F.col("__low")) / width), F.lit(-1)), F.lit(slots)).cast("int")
+    asked = rows.select(F.col(value).cast("double").alias("__v")).where("__v is not null").distinct()  # a value that many rows have counts once
+    left = asked.crossJoin(F.broadcast(ends)).select("__v", slot(F.col("__v")).alias("__slot"), F.lit(None).cast("double").alias("__k"))
+    right = keys.crossJoin(F.broadcast(ends)).select(F.col("__k").alias("__v"), slot(F.col("__k")).alias("__slot"), "__k")
+    tie = F.col("__k").isNull()  # known values before asked ones of the same value
+    up = Window.partitionBy("__slot").orderBy("__v", tie).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("__slot").orderBy(F.desc("__v"), tie).rowsBetween(Window.unboundedPreceding, 0)
+    near = left.unionByName(right).select("*", F.last("__k", True).over(up).alias("__below"), F.last("__k", True).over(down).alias("__above")).where("__k is null")
+    every = ends.select(F.explode(F.sequence(F.lit(-1), F.lit(slots))).alias("__slot"))
+    filled = every.join(right.groupBy("__slot").agg(F.min("__k").alias("lo"), F.max("__k").alias("hi")), "__slot", "left")  # a row for each slot
+    before, after = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = filled.select("__slot", F.last("hi", True).over(before).alias("__from"), F.last("lo", True).over(after).alias("__to"))
+    met = near.join(F.broadcast(carried), "__slot", "left")
+    below, above = F.coalesce("__below", "__from"), F.coalesce("__above", "__to")
+    pick = F.when(below.isNull(), above).when(above.isNull(), below).when(F.col("__v") - below <= above - F.col("__v"), below).otherwise(above)
+    found = met.select("__v", pick.alias("nearest"))
+    return rows.join(found, rows[value].cast("double") == found["__v"], "left").drop("__v")
 
 
 def evict(entries: DataFrame, most: int, cutoff: Column) -> DataFrame:

@@ -77,6 +77,49 @@ def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.update(old, new, "user_key")
 
 
+CHANGES = """c AS (
+  SELECT CASE WHEN n % 6 IN (3, 4, 5) AND n % 2 = 1 THEN -k ELSE k END AS user_key, CASE n % 6 WHEN 0 THEN 'delete' WHEN 1 THEN 'set' WHEN 2 THEN 'set' WHEN 3 THEN 'upsert' WHEN 4 THEN 'upsert' ELSE CASE WHEN n % 4 = 1 THEN 'set' ELSE 'delete' END END AS action,
+         CASE WHEN n % 6 IN (1, 4) THEN 'ADMIN' END AS role, CASE WHEN n % 6 = 3 THEN 'new' || k END AS username
+  FROM (SELECT o_custkey AS k, max(o_orderkey) AS n FROM orders GROUP BY 1)),
+m AS (
+  SELECT coalesce(u.c_custkey, c.user_key) AS user_key, u.c_custkey IS NOT NULL AS there, c.action, coalesce(c.username, u.c_name) AS username, coalesce(c.role, u.c_mktsegment) AS role,
+         c.role IS NOT NULL AND c.role IS DISTINCT FROM u.c_mktsegment OR c.username IS NOT NULL AND c.username IS DISTINCT FROM u.c_name AS differs
+  FROM customer u FULL JOIN c ON c.user_key = u.c_custkey)"""
+
+
+def _merged_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and changes to them, one for each user with orders: what it does follows from the last order's number."""
+    n, k = F.col("n"), F.col("k")
+    asked = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("n"))
+    kinds = F.array(*map(F.lit, ("delete", "set", "set", "upsert", "upsert")))
+    action = F.coalesce(F.get(kinds, n % 6), F.when(n % 4 == 1, "set").otherwise("delete"))
+    key = F.when((n % 6).isin(3, 4, 5) & (n % 2 == 1), -k).otherwise(k)  # a negative one is nobody's yet
+    changes = asked.select(key.alias("user_key"), action.alias("action"), F.when((n % 6).isin(1, 4), "ADMIN").alias("role"), F.when(n % 6 == 3, F.concat(F.lit("new"), k)).alias("username"))
+    return tables.merge(B.users(spark, sf_dir).select("user_key", "username", "role"), changes, "user_key")
+
+
+@query("WITH " + CHANGES + " SELECT user_key, username, role FROM m WHERE action IS NULL OR (there AND action <> 'delete') OR (NOT there AND action = 'upsert')")
+def user_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users after replacements, additions and deletions by key."""
+    return tables.merged(_merged_users(spark, sf_dir))
+
+
+@query("WITH " + CHANGES + """ SELECT count(*) FILTER (WHERE there AND action IS NOT NULL) AS matched, count(*) FILTER (WHERE there AND action <> 'delete' AND differs) AS modified, count(*) FILTER (WHERE NOT there AND action = 'upsert') AS inserted,
+count(*) FILTER (WHERE there AND action = 'delete') AS deleted, count(*) FILTER (WHERE NOT there AND action <> 'upsert') AS unknown FROM m""")
+def user_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of those changes met a user, changed one, added or took one away, or named an unknown one."""
+    return tables.merge_counts(_merged_users(spark, sf_dir))
+
+
+@query(r"""WITH k AS (SELECT DISTINCT CAST(p_retailprice AS DOUBLE) AS p FROM part), o AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) / 100 AS price FROM orders),
+below AS (SELECT o_orderkey, price, k.p AS b FROM o ASOF LEFT JOIN k ON o.price >= k.p), both_ AS (SELECT x.*, k.p AS a FROM below x ASOF LEFT JOIN k ON x.price <= k.p)
+SELECT o_orderkey, price, CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN price - b <= a - price THEN b ELSE a END AS nearest FROM both_""")
+def nearest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a hundredth of each order's total, the nearest price of a part, the smaller of two as near."""
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice").cast("double") / 100).alias("price"))
+    return tables.nearest(orders, B.table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("price")), "price")
+
+
 @query("WITH " + HISTORY + " SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY username, type = 'error' ORDER BY ts, event_id) AS k FROM h) WHERE type <> 'error' OR k > 1")
 def delete_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History less each user's first error."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("highlights", "text", "retrieval", "history", "fusion", "cache", "sources")
+MODULES = ("highlights", "text", "retrieval", "history", "fusion", "cache", "sources", "streams")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

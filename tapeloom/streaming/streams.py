@@ -1,36 +1,83 @@
-"""Structured Streaming: rate limiting with state, windowed history counts, the latest state of each job."""
+"""Structured Streaming: rate limiting and job progress with state, windowed counts, an upserted table."""
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeloom.operators import tables
+from tapeloom.session import checkpoint, shared_folder
+from tapeloom.sources import versions
 
-def rate_limit(requests: DataFrame, window: float, most: int) -> DataFrame:
+#: States after which a job doesn't change again.
+ENDED = ("completed", "error", "partial_success", "cancelled")
+
+
+def rate_limit(requests: DataFrame, window: float, most: int, late: str = "1 hour") -> DataFrame:
     """(client, request_id, t, allowed) of a stream (client, request_id, t): as folds.rate_limit, with state per client.
 
-    State is the times of allowed requests within the window: `most` at most. Requests are taken in order of t within
-    a micro-batch; over batches, the result is the batch one if a client's requests arrive in order.
+    State is the times of allowed requests within the window: `most` at most; it goes once the stream's time is past the
+    window. Requests are taken in order of t within a micro-batch; over batches, the result is the batch one if a
+    client's requests arrive in order. Those that come more than `late` after later ones are dropped.
     """
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(frames)).sort_values(["t", "request_id"])
         allowed = []
         for t in rows["t"]:
-            times = [x for x in times if x > t - window]
-            ok = len(times) < most
-            allowed.append(ok)
-            if ok:
+            while times and times[0] <= t - window:
+                times.popleft()
+            allowed.append(len(times) < most)
+            if allowed[-1]:
                 times.append(t)
-        state.update((times,))
+        state.update((list(times),))
+        ends = int((max([*times, rows["t"].iloc[-1]]) + window) * 1000) + 1
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"], "t": rows["t"], "allowed": allowed})
 
-    return requests.groupBy("client").applyInPandasWithState(run, "client string, request_id long, t double, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn("at", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).withWatermark("at", late)
+    return timed.groupBy("client").applyInPandasWithState(run, "client string, request_id long, t double, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def progress_changes(snapshots: DataFrame, idle: float = 86400.0, late: str = "1 hour") -> DataFrame:
+    """(job_id, seq, at, status, progress) of a stream of snapshots (the same): those that differ from the job's last one.
+
+    After a snapshot in one of the ENDED states a job is silent. What is known of a job goes once nothing has come for
+    `idle` seconds of the stream's time: a job that comes again then is a new one. Snapshots are taken in order of
+    (at, seq) within a micro-batch; those later than `late` are dropped.
+    """
+
+    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = tuple(state.get) if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
+        told = []
+        for i, now in enumerate(zip(rows["status"], rows["progress"], strict=True)):
+            if last[0] in ENDED:
+                break
+            if now != last:
+                told.append(i)
+            last = now
+        state.update((last[0], int(last[1])))
+        ends = int((rows["at"].iloc[-1].timestamp() + idle) * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[told][["job_id", "seq", "at", "status", "progress"]]
+
+    kinds = "job_id string, seq long, at timestamp, status string, progress int"
+    return snapshots.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(run, kinds, "status string, progress int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def history_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -46,4 +93,34 @@ def latest_jobs(snapshots: DataFrame) -> DataFrame:
 
 def ended_jobs(snapshots: DataFrame) -> DataFrame:
     """Snapshots of jobs that won't change again."""
-    return snapshots.where(F.col("status").isin("completed", "error", "partial_success", "cancelled"))
+    return snapshots.where(F.col("status").isin(*ENDED))
+
+
+def upserting(rows: DataFrame, key: str, order: list[str], folder: str) -> DataStreamWriter:
+    """A writer of a stream into a table that holds the latest row of each key: see `upserted`.
+
+    A micro-batch writes its own latest rows as the version of its number. A batch that is done again after a failure
+    writes the same version again, so each row counts once; what a batch costs doesn't grow with the table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        versions.write(tables.latest(batch, key, order), folder, number)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/stream")
+
+
+def upserted(spark, folder: str, schema: str, key: str, order: list[str]) -> DataFrame:
+    """The table that `upserting` writes: of each key, the latest row over all versions."""
+    rows = versions.read(spark, folder, schema)
+    return tables.latest(rows, key, order).select(*rows.columns)
+
+
+def all_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now: run to its end, each micro-batch a version, and kept as a checkpoint."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: versions.write(batch, folder, number) and None)
+    writer.option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    out = checkpoint(versions.read(spark, folder, stream.schema))
+    versions.delete(spark, folder)
+    return out
