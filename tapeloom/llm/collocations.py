@@ -4,8 +4,9 @@ Level k counts phrases of k words, but only those of which both phrases of k - 1
 level k - 1 reaches all tasks as a sieve, a bit table of bounded size (MOST_BITS). A sieve may let others through, never
 hold back a frequent one, so it decides how much is counted and not what comes out.
 
-Levels of two words and more are counted by 64-bit hashes, within a task first. A last pass counts what passes its own
-level's sieve by its words, so that no count rests on a hash. Cuts are scored from that table and the table of words.
+Levels between the first and the last are counted by 64-bit hashes, within a task first. A last pass counts phrases by
+their words: those of the last level, and of the others what passes its own level's sieve; so no count rests on a hash.
+Cuts are scored from that table and the table of words.
 """
 
 from __future__ import annotations
@@ -171,8 +172,11 @@ def _hashed(rows: DataFrame, k: int, sieve) -> DataFrame:
     return rows.mapInArrow(tidy(run), "h long, a long")
 
 
-def _phrases(rows: DataFrame, sieves) -> DataFrame:
-    """(lang, phrase, a) by task: phrases that pass the sieve of their own length, and their counts."""
+def _phrases(rows: DataFrame, sieves, longest: int) -> DataFrame:
+    """(lang, phrase, a) by task: phrases that pass the sieve of their length, and longest ones of which both shorter phrases pass theirs.
+
+    sieves: those of 1, 2, ... words; there is none from the first length on that has no frequent phrase.
+    """
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +192,13 @@ def _phrases(rows: DataFrame, sieves) -> DataFrame:
             parts = tokens(text)
             words = h = ids.setdefault(lang, Hashes(lang)).of(parts)
             c = held.setdefault(lang, Counter())
-            for k, sieve in enumerate(sieves.value, 2):
+            on = np.ones(0, bool)
+            for k in range(2, min(longest, len(sieves.value) + 1) + 1):
+                last = k == longest
+                on = sieves.value[k - 2].passes(h) if last else on
                 h = longer(h, words, k)
-                c.update(b" ".join(parts[i : i + k]) for i in np.flatnonzero(sieve.passes(h)).tolist())
+                on = on[: len(h)] & on[1 : len(h) + 1] & (h != 0) if last else sieves.value[k - 1].passes(h) if k <= len(sieves.value) else on[:0]
+                c.update(b" ".join(parts[i : i + k]) for i in np.flatnonzero(on).tolist())
             if sum(map(len, held.values())) > MOST_WORDS:
                 yield from out()
         yield from out()
@@ -217,17 +225,15 @@ def counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFra
     total = _words(rows).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     total = checkpoint(total.where(F.col("phrase").isNull() | (F.col("a") >= least)))
     words, sizes = total.where("phrase is not null"), total.where("phrase is null and a > 0").select("lang", F.col("a").alias("n"))
-    level, n, sieves = _word_hashes(words), words.count(), []
-    for k in range(2, longest + 1):
+    level, sieves = _word_hashes(words), []
+    for k in range(1, longest):
+        if k > 1:
+            level = checkpoint(_hashed(rows, k, sc.broadcast(sieves[-1])).groupBy("h").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("h"))
+        n = level.count()
         if not n:
             break
-        sieve = Sieve.of(level, n)
-        sieves += [sieve] if k > 2 else []
-        level = checkpoint(_hashed(rows, k, sc.broadcast(sieve)).groupBy("h").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("h"))
-        n = level.count()
-    if n and len(sieves) == longest - 2:
         sieves.append(Sieve.of(level, n))
-    phrases = _phrases(rows, sc.broadcast(sieves)).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    phrases = _phrases(rows, sc.broadcast(sieves), longest).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return words.unionByName(checkpoint(phrases)), sizes
 
 
