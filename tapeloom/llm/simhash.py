@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, positional, runs, slices, texts_of, tidy
 
 BITS = 64
+#: Links that a task works on when components are looked for.
+LINKS_EACH = 100_000
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -143,17 +145,19 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label) of links' (a, b): label is the smallest id that can be reached. Ids without links don't appear.
 
     Each round, every id points to the smallest one among itself and its neighbours, first for larger neighbours, then
-    for smaller ones, until no link changes; the number of rounds grows as the logarithm of the longest path.
+    for smaller ones, until no link changes; the number of rounds grows as the logarithm of the longest path. Stages have a
+    task for each LINKS_EACH links at most: few links would otherwise leave some thousand files each round.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    tasks = edges.count() // LINKS_EACH + 1
+    edges, before = edges.coalesce(tasks), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = checkpoint(small.select("e.u", "e.v").where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))

@@ -23,21 +23,31 @@ from .common import bounded_sample, checkpoint, record_batch, slices, texts_of,
 
 #: Pre-tokens of the dictionary that every task has, at most, and documents that it is drawn from, about.
 MOST_COMMON, COMMON_DOCS = 100_000, 5_000
+# How a tokenizers file says that text is lower-cased and cut into runs of letters, single digits and runs of others.
+LOWER_CASE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of a text that are cut into units at once, and units whose pre-tokens a task keeps.
 AT_ONCE, MOST_UNITS = 1 << 20, 300_000
+MARKS = frozenset(".,;:!?-|()\"")
 
 
 class Cutter:
     """Pre-tokens of texts by a tokenizers file, and how many pieces a pre-token has.
 
-    Its normaliser and pre-tokenizer must treat the parts between spaces or line feeds by themselves, as it does with
-    all that drop white space. Special strings inside a text count as one token each, as the library does by default.
+    Its normaliser and pre-tokenizer must treat the parts between spaces or line feeds by themselves, as all do that drop
+    white space. Special strings inside a text count as one token each, as the library does by default. If the file says
+    that text is lower-cased and cut into runs of letters, words of a to z (and those with a mark behind them) are cut
+    here; all others, and all words of other files, go through the library.
     """
 
     def __init__(self, serialized: str):
         t = Tokenizer.from_str(serialized)
         self.normalizer, self.pre_tokenizer, self.model = t.normalizer, t.pre_tokenizer, t.model
-        added = [t for t in json.loads(serialized)["added_tokens"] if t["content"]]
+        told = json.loads(serialized)
+        added = [t for t in told["added_tokens"] if t["content"]]
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        runs = [c.get("pattern", {}).get("Regex") for c in cuts] == [LETTER_RUNS, None] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        self.plain = (told["normalizer"] or {}).get("normalizers") == LOWER_CASE and runs and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
         if odd := [t["content"] for t in added if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])]:
             raise ValueError(f"added tokens that are looked for in normalised texts or beside white space: {odd[:5]}")
         self.special = re.compile("|".join(map(re.escape, sorted((t["content"] for t in added), key=len, reverse=True)))) if added else None
@@ -55,23 +65,41 @@ class Cutter:
             yield found
             at = end + 1
 
-    def cut(self, unit: str) -> tuple[int, list[str]]:
-        """How many special strings a unit holds, and its pre-tokens."""
-        special, parts = 0, [unit]
-        if self.special and self.special.search(unit):
-            parts = self.special.split(unit)
-            special = len(parts) - 1
-        out = []
-        for part in filter(None, parts):
-            normal = self.normalizer.normalize_str(part) if self.normalizer else part
-            out += [w for w, _ in self.pre_tokenizer.pre_tokenize_str(normal)] if self.pre_tokenizer else [normal]
-        return special, out
+    def cut(self, units: list[str]) -> list[tuple[int, list[str]]]:
+        """How many special strings each unit holds, and its pre-tokens. The library gets all units that it must cut at once."""
+        out: list[tuple[int, list[str]]] = []
+        parts, owners, starts, at = [], [], [], 0
+        for i, unit in enumerate(units):
+            if self.plain and unit.isascii():
+                if unit.isalpha():
+                    out.append((0, [unit.lower()]))
+                    continue
+                if unit[:-1].isalpha() and unit[-1] in MARKS:
+                    out.append((0, [unit[:-1].lower(), unit[-1]]))
+                    continue
+            cut = self.special.split(unit) if self.special and self.special.search(unit) else [unit]
+            out.append((len(cut) - 1, []))
+            for part in filter(None, cut):
+                parts.append(self.normalizer.normalize_str(part) if self.normalizer else part)
+                owners.append(i)
+                starts.append(at)
+                at += len(parts[-1]) + 1
+        if not self.pre_tokenizer:
+            for i, part in zip(owners, parts, strict=True):
+                out[i][1].append(part)
+        elif parts:
+            k, last = 0, len(starts) - 1
+            for word, (start, _) in self.pre_tokenizer.pre_tokenize_str("\n".join(parts)):
+                while k < last and starts[k + 1] <= start:
+                    k += 1
+                out[owners[k]][1].append(word)
+        return out
 
     def pieces(self, pre_token: str) -> int:
         return len(self.model.tokenize(pre_token))
 
     def count(self, text: str) -> int:
-        return sum(n * (s + sum(map(self.pieces, w))) for found in self.units(text) for unit, n in found.items() for s, w in [self.cut(unit)])
+        return sum(n * (s + sum(map(self.pieces, w))) for found in self.units(text) for n, (s, w) in zip(found.values(), self.cut(list(found)), strict=True))
 
 
 def _sent(texts: DataFrame, serialized, common) -> DataFrame:
@@ -85,15 +113,15 @@ def _sent(texts: DataFrame, serialized, common) -> DataFrame:
             for text in texts_of(batch):
                 n, rest = 0, Counter()
                 for found in cutter.units(text):
+                    if len(kept) >= MOST_UNITS:
+                        kept.clear()
+                    new = [unit for unit in found if unit not in kept]
+                    for unit, (special, cut) in zip(new, cutter.cut(new), strict=True):
+                        kept[unit] = special + sum(known.get(w, 0) for w in cut), tuple(w for w in cut if w not in known)
                     for unit, k in found.items():
-                        got = kept.get(unit)
-                        if got is None:
-                            if len(kept) >= MOST_UNITS:
-                                kept.clear()
-                            special, cut = cutter.cut(unit)
-                            got = kept[unit] = special + sum(known.get(w, 0) for w in cut), tuple(w for w in cut if w not in known)
-                        n += k * got[0]
-                        for w in got[1]:
+                        fixed, others = kept[unit]
+                        n += k * fixed
+                        for w in others:
                             rest[w] += k
                 sums.append(n)
                 words.append(list(rest))
