@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import vectors as V
+from tapeloom.operators import embedding, vector_index
+from tapeloom.session import checkpoint, shared_folder
 from tapeloom.sources import bindings as B
+from tapeloom.sources import versions
 
-from .registry import query
+from .registry import SEGMENTS, query
 
 TOP_K = 20
 
@@ -76,6 +81,34 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.sum("n").cast("long").alias("vectors"), F.count("*").alias("videos"), F.array_join(F.array_sort(F.collect_list("video_id")), ",").alias("ids"))
 
 
+INDEX_SEARCH = SEGMENTS + r""",
+kept AS (SELECT 't' AS side, video_id, seg_idx AS place, text FROM seg WHERE words >= 3 UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), 0, text FROM benchmark),
+w AS (SELECT side, video_id, place, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS w FROM kept),
+f AS (SELECT side, video_id, place, unnest(list_concat(['=' || w], list_transform(range(1, length(w) + 1), lambda i: substr('<' || w || '>', CAST(i AS INT), 3)))) AS f FROM w),
+h AS (SELECT side, video_id, place, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) AS h FROM f),
+v AS (SELECT side, video_id, place, h % 384 AS dim, sum(1 - 2 * (h // 384 % 2)) AS v FROM h GROUP BY ALL),
+u AS (SELECT side, video_id, place, dim, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY side, video_id, place)) AS DOUBLE) AS v FROM v),
+s AS (SELECT CAST(q.video_id AS BIGINT) AS question, t.video_id, t.place, round(sum(q.v * CAST(t.v AS FLOAT)), 4) + 0.0 AS score FROM u q JOIN u t ON q.side = 'q' AND t.side = 't' AND q.dim = t.dim GROUP BY ALL)
+SELECT question, rank, video_id, place, score FROM (SELECT question, row_number() OVER (PARTITION BY question ORDER BY score DESC, video_id, place) AS rank, video_id, CAST(place AS BIGINT) AS place, score FROM s) WHERE rank <= 10"""
+
+
+@query("WITH " + INDEX_SEARCH)
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of segments by their own vectors, written in two goes (the second adds new videos only), read and searched.
+
+    Questions are the items of the benchmark. A third version whose pointer was never written doesn't count.
+    """
+    folder, embedder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", embedding.HashingEmbedder(384)
+    texts = B.segments(spark, sf_dir).select("video_id", F.col("seg_idx").alias("place"), "text")
+    vector_index.append(texts.where("cast(video_id as bigint) % 3 = 0"), folder, embedder)
+    vector_index.append(texts, folder, embedder)
+    texts.limit(5).write.parquet(f"{folder}/v2")  # a write that broke off
+    questions = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
+    out = checkpoint(vector_index.search(vector_index.load(spark, folder), questions, embedder, 10))
+    versions.delete(spark, folder)
+    return out
+
+
 @query("SELECT doc_id FROM documents WHERE contains(lower(left(text, 60)), 'the') OR contains(lower(text), 'tion of')")
 def title_desc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose title (the first sixty characters) or text holds a phrase."""

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators import tables
+from tapeloom.session import checkpoint, shared_folder
 from tapeloom.sources import bindings as B
-from tapeloom.sources import readers
+from tapeloom.sources import readers, versions
 
 from .registry import SEGMENTS, query
 
 
+@query("WITH " + SEGMENTS + """ SELECT video_id, count(*) AS segments, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS chars, round(max(start + duration), 3) AS seconds FROM seg GROUP BY video_id""")
+def cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts written to a cache, its keys listed and its contents read back."""
+    folder = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    one = F.struct("seg_idx", "text", "start", "end")
+    by = B.segments(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    segments = F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end")))
+    readers.write_cache(by.select("video_id", segments.alias("segments"), F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("full_text"), F.lit("2024-01-01").alias("cached_at")), folder)
+    listed = readers.cached_videos(spark, f"{folder}/json").join(readers.cached_transcripts(spark, f"{folder}/json"), F.col("key") == F.col("video_id"))
+    last = F.round(F.array_max(F.transform("segments", lambda x: x["end"])), 3)
+    out = checkpoint(listed.select("video_id", F.size("segments").cast("long").alias("segments"), F.length("full_text").cast("long").alias("chars"), last.alias("seconds")))
+    versions.delete(spark, folder)
+    return out
+
+
 @query("WITH " + SEGMENTS + " SELECT video_id, seg_idx, text, start FROM seg WHERE video_id = '7'")
 def transcript_lookup(spark: SparkSession, sf_dir: str, video: int = 7) -> DataFrame:
     """One video's transcript; the filter reaches the Parquet scan."""

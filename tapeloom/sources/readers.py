@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +60,13 @@ def validated(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cached_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """(video_id, segments, full_text, cached_at, file) of a folder of JSON files, one a video."""
-    return spark.read.schema(SEGMENTS).option("multiLine", True).json(folder).select("*", F.col("_metadata.file_name").alias("file"))
+    """(video_id, segments, full_text, cached_at) of a folder of JSON files, a line for each video."""
+    return spark.read.schema(SEGMENTS).json(folder)
+
+
+def cached_videos(spark: SparkSession, folder: str) -> DataFrame:
+    """(key): the videos of such a folder; only that field of a line is parsed."""
+    return spark.read.schema("video_id string").json(folder).select(F.col("video_id").alias("key"))
 
 
 def cached_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,12 +76,12 @@ def cached_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or an empty one of `schema` if there is none yet."""
+    """A Parquet table, or an empty one of `schema` if there is none yet or its files are damaged."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+        table = spark.read.schema(schema).parquet(path)
+        table.count()  # footers only
+        return table
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
 
 
@@ -88,6 +94,6 @@ def unwrapped(answer: Column) -> Column:
 
 
 def write_cache(rows: DataFrame, folder: str) -> None:
-    """JSON of each transcript, one a file as they are read, and its text beside it."""
-    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{folder}/json")
+    """Transcripts (as cached_transcripts gives them) as JSON, a line each and many a file, and their texts beside them."""
+    rows.write.mode("overwrite").json(f"{folder}/json")
     rows.select("full_text").write.mode("overwrite").text(f"{folder}/text")
