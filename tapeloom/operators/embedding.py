@@ -7,6 +7,7 @@ by how few of a corpus's texts have them: frequencies are kept by hash, in a tab
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -14,6 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -108,44 +110,57 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, AT_ONCE)
 
 
+def _lists(v: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.astype(np.float32).ravel()))
+
+
 def embedded(texts: DataFrame, embedder: Embedder) -> DataFrame:
     """`texts` with a column `embedding` of its `text`; a null text has that of an empty one."""
-    sent = texts.sparkSession.sparkContext.broadcast(embedder)
+    sent = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(embedder))  # of any class, also one defined in a notebook
     place = texts.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Embedder = pickle.loads(sent.value)
         for batch in _rows(batches):
-            v = sent.value.encode([t or "" for t in batch.column(place).to_pylist()]).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "embedding"])
+            v = own.encode([t or "" for t in batch.column(place).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(v)], names=[*batch.schema.names, "embedding"])
 
     return texts.mapInArrow(run, S.StructType([*texts.schema.fields, S.StructField("embedding", S.ArrayType(S.FloatType()))]))
 
 
-def likeness(texts: DataFrame, key: str, summaries: DataFrame, embedder: Embedder) -> DataFrame:
+def likeness(texts: DataFrame, key: str, summaries: DataFrame, embedder: Embedder, nearest: bool = False) -> DataFrame:
     """`texts` with a column `best`: the greatest cosine of its `text` to a sentence of its key's summary (key, sentences).
 
-    Null if the key has no summary, or one without sentences. Texts meet their summary's few sentences by an equi-join;
-    vectors stay within the task, which keeps those of SUMMARIES summaries.
+    Null if the key has no summary, or one without sentences. With `nearest`, the place of that sentence (to nine digits,
+    the first of equals) and the text's own `embedding` come too. Texts meet their summary's few sentences by an
+    equi-join; a task keeps the vectors of SUMMARIES summaries.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(embedder)
+    sent = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(embedder))  # of any class, also one defined in a notebook
     place = texts.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Embedder = pickle.loads(sent.value)
         known: dict[tuple, np.ndarray] = {}
         for batch in _rows(batches):
             rows: dict[tuple, list[int]] = {}
             for i, s in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if s:
                     rows.setdefault(tuple(s), []).append(i)
-            v, best = sent.value.encode([t or "" for t in batch.column(place).to_pylist()]), np.full(batch.num_rows, np.nan)
+            v, best, at_ = own.encode([t or "" for t in batch.column(place).to_pylist()]), np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
             for s, at in rows.items():
                 if s not in known:
                     if len(known) >= SUMMARIES:
                         known.clear()
-                    known[s] = sent.value.encode(s)
-                best[at] = (v[at] @ known[s].T).max(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, from_pandas=True)], names=[*batch.schema.names[:-1], "best"])
+                    known[s] = own.encode(s)
+                cosines = v[at] @ known[s].T
+                best[at], at_[at] = cosines.max(axis=1), np.round(cosines, 9).argmax(axis=1)
+            out = {"best": pa.array(best, from_pandas=True)}
+            if nearest:
+                out |= {"nearest": pa.array(at_, from_pandas=True).cast(pa.int32()), "embedding": _lists(v)}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out.values()], names=[*batch.schema.names[:-1], *out])
 
     joined = texts.join(summaries.select(key, F.col("sentences").alias("__sentences")), key, "left").select(*texts.columns, "__sentences")
-    return joined.mapInArrow(run, S.StructType([*texts.schema.fields, S.StructField("best", S.DoubleType())]))
+    more = [S.StructField("best", S.DoubleType())]
+    if nearest:
+        more += [S.StructField("nearest", S.IntegerType()), S.StructField("embedding", S.ArrayType(S.FloatType()))]
+    return joined.mapInArrow(run, S.StructType([*texts.schema.fields, *more]))

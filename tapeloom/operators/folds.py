@@ -187,7 +187,7 @@ def leaders(vectors: DataFrame, key: str, order: Column, threshold: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = np.empty((0, 0)), 0
         for fresh, part in _by_key(batches):
-            vectors_ = np.array(part.column(2).to_pylist(), float)
+            vectors_ = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
             if fresh:
                 kept, n = np.empty((16, vectors_.shape[1])), 0
             new = []

@@ -38,7 +38,7 @@ def _pointers(spark: SparkSession, folder: str) -> list[dict]:
     if not fs.exists(p):
         return []
     out = []
-    for (line,) in spark.read.text(f"{folder}/pointers").collect():
+    for (line,) in spark.read.option("ignoreCorruptFiles", True).text(f"{folder}/pointers").collect():
         try:
             pointer = json.loads(line)
             out.append({"version": int(pointer["version"]), "rows": int(pointer["rows"]), "files": dict(pointer["files"])})

@@ -217,7 +217,7 @@ def test_upserts_survive_a_restart(spark, tmp_path):
 
 
 def test_rate_limit_state_goes(spark, tmp_path):
-    rows = [("a", i, float(t)) for i, t in enumerate((0, 1, 2, 3, 50_000, 50_001, 50_002, 100_000))]
+    rows = [("a", i, float(t)) for i, t in enumerate((1_000, 1_001, 1_002, 1_003, 50_000, 50_001, 50_002, 100_000))]
     read = batches(spark, str(tmp_path / "in"), "client string, request_id long, t double", rows, len(rows))
     out = sorted((r["request_id"], r["allowed"]) for r in streams.all_now(streams.rate_limit(read, 100.0, 2)).collect())
     assert [a for _, a in out] == [True, True, False, False, True, True, False, True]
