@@ -166,8 +166,8 @@ def placed(docs: DataFrame, sources: DataFrame, rows: int, seed: int = SEED) ->
     return running(dealt, "size", "src", bucket, [F.xxhash64(F.lit(seed + 1), "row"), F.col("row")]).withColumnRenamed("first", "start")
 
 
-def _row(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.xxhash64(F.col(doc_id).cast("long"), F.lit("mix"), text)
+def _row(doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.lit("mix"), F.col(text), F.col(source).isNull(), F.col(source).cast("string"))
 
 
 def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], block: int, seed: int) -> DataFrame:
@@ -187,8 +187,8 @@ def _mixed_rows(docs: DataFrame, weights: tuple[float, ...], block: int, seed: i
     # merge joins: blocks compress so well in a shuffle that adaptive execution would broadcast all of them
     taken = cover.join(times.hint("merge"), ["src", "block"]).groupBy(F.col("src").alias("of"), F.col("start").alias("from")).agg(F.sum(words * F.col("times")).alias("taken"))
     full = at.join(taken.hint("merge"), (F.col("src") == F.col("of")) & (F.col("start") == F.col("from")) & (F.col("size") > 0), "left")
-    out = full.select("row", "src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out.join(names.select("src", "source_size", "target"), "src").select("row", "doc_id", "size", "source_size", "target", "taken")
+    out = full.select("row", "src", "doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(names.select("src", "source_size", "target"), "src").select("row", "doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -198,7 +198,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block:
     a source of its own, the last. Texts that are null or blank have size 0 and nothing is taken of them. Repeated rows
     are documents of their own. The same rows give the same mix.
     """
-    return _mixed_rows(docs, weights, block, seed).drop("row")
+    return _mixed_rows(docs, weights, block, seed).drop("row", "source")
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -208,10 +208,11 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), bloc
     targets. Documents that the mix doesn't take, and those without words, go. All columns stay as they are; they may
     have any names. An empty table gives an empty one.
     """
-    rows = _mixed_rows(docs.select("doc_id", "text", "source"), weights, block, seed).where("taken > 0").groupBy("row", "doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
+    rows = _mixed_rows(docs.select("doc_id", "text", "source"), weights, block, seed).where("taken > 0").groupBy("row", "doc_id", "source").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
     chance = F.pmod(F.xxhash64(F.lit(seed), "row", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = rows.select("row", "doc_id", (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("int")).cast("int").alias("times")).where("times > 0")
-    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    times = rows.select("row", "doc_id", "source", (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("int")).cast("int").alias("times")).where("times > 0")
+    doc_id, text, source = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source"))
     own = positional(docs)
-    joined = own.join(times.hint("merge"), (_row(doc_id, text) == F.col("row")) & F.col(doc_id).cast("long").eqNullSafe(F.col("doc_id")))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("doc_id")) & F.col(source).cast("string").eqNullSafe(F.col("source"))
+    joined = own.join(times.hint("merge"), (_row(doc_id, text, source) == F.col("row")) & same)
     return joined.select(*own.columns, F.explode(F.sequence(F.lit(1), "times"))).select(*own.columns).toDF(*docs.columns)
