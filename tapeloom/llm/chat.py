@@ -118,9 +118,12 @@ def read_back(rows: DataFrame) -> DataFrame:
     at = lambda i: {"at": F.when(i == 0, F.lit(len(BEGIN))).otherwise(F.lit(0))}
     placed = read.select("conv_id", "chars", "mask", fold("x", "struct<head:string,raw:string,start:int>", at, step).alias("t"))
     role = lambda t: unescape(F.replace(t["head"], F.lit(ROLE), F.lit("")))
-    on = lambda t: F.array_contains("mask", _key(t["start"], F.length(t["raw"])))
-    turns = F.transform("t", lambda t: F.struct(role(t).alias("role"), unescape(t["raw"]).alias("text"), on(t).alias("on")))
-    back = placed.select("conv_id", F.col("chars").cast("long").alias("formatted_chars"), turns.alias("turns"))
+    # Spans and turns by their place in one sorted array: a turn under the mask stands right behind its span.
+    met = F.array_sort(F.concat(F.transform("mask", lambda k: 2 * k), F.transform("t", lambda t: 2 * _key(t["start"], F.length(t["raw"])) + 1)))
+    sorted_ = placed.select("conv_id", "chars", "t", met.alias("met"))
+    on = F.transform(F.filter(F.transform("met", lambda k, i: F.struct(k.alias("k"), (F.get("met", i - 1) == k - 1).alias("on"))), lambda x: x["k"] % 2 == 1), lambda x: F.coalesce(x["on"], F.lit(False)))
+    turns = F.zip_with("t", on, lambda t, m: F.struct(role(t).alias("role"), unescape(t["raw"]).alias("text"), m.alias("on")))
+    back = sorted_.select("conv_id", F.col("chars").cast("long").alias("formatted_chars"), turns.alias("turns"))
     return back.select("conv_id", "formatted_chars", "turns", F.array_join(F.transform(F.filter("turns", lambda t: t["on"]), lambda t: t["text"]), "").alias("loss_text"))
 
 
