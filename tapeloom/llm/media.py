@@ -272,19 +272,26 @@ def read_back(store: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, *FACTS, caption, pos, n_items) for each row of documents' (doc_id, text).
+    """(doc_id, n_bytes, *FACTS, caption, pos, n_items, items_sha256) for each row of documents' (doc_id, text).
 
     Each text is stored as an image in a table of the shared folder, and stands in a page of a title, its first line, the
     image's figure and its other lines. Pages are parsed, references are joined to what the stored bytes of their digest
-    decode to, and each page's items are put in order again; the result is the page's figure. Payloads aren't shuffled:
-    only a row of facts for each digest meets the references. A null text counts as empty: 64 zero bytes. Repeated rows
-    keep their rows; a doc_id may be null; other columns aren't looked at; an empty table gives an empty one.
+    decode to, and each page's items are put in order again; the result is the page's figure, and a digest of all items in
+    order: of a text its own digest, of a figure the digest read back and its caption, a line each. Neither texts nor
+    payloads are shuffled: texts stand in the sequence by their digests, and a row of facts for each payload meets the
+    references. A null text counts as empty: 64 zero bytes. Repeated rows keep their rows; a doc_id may be null; other
+    columns aren't looked at; an empty table gives an empty one.
     """
     spark, facts = docs.sparkSession, [x.split()[0] for x in FACTS.split(", ")]
     folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
     stored(docs).write.parquet(folder)
     store = read_back(spark.read.parquet(folder))
-    items = sequences(pages_of(docs), "doc_id", carry=("page",)).drop("text")
-    pages = interleaved(resolve(items, store), ["doc_id", "page"], ["kind", "digest", "caption", "size", *facts])
-    figures = pages.select("doc_id", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x"), F.size(F.array_distinct(F.transform("items", lambda x: x["pos"]))).alias("n_items"))
-    return figures.select("doc_id", F.col("x.size").alias("n_bytes"), *(F.col(f"x.{f}").alias(f) for f in facts), "x.caption", "x.pos", "n_items")
+    items = sequences(pages_of(docs), "doc_id", carry=("page",)).withColumn("text", F.sha2("text", 256))
+    pages = interleaved(resolve(items, store), ["doc_id", "page"], ["kind", "text", "digest", "caption", "size", *facts])
+    places = F.size(F.array_distinct(F.transform("items", lambda x: x["pos"])))
+    # a repeated row's items stand beside one another: one of each place tells the page
+    each = F.filter("items", lambda x, i: (i == 0) | (F.get("items", i - 1)["pos"] != x["pos"]))
+    line = lambda x: F.when(x["kind"] == "media", F.concat_ws(" ", F.lit("media"), x["payload_sha256"], x["caption"])).otherwise(F.concat_ws(" ", F.lit("text"), x["text"]))
+    told = F.sha2(F.array_join(F.transform(each, line), "\n"), 256)
+    figures = pages.select("doc_id", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x"), places.alias("n_items"), told.alias("items_sha256"))
+    return figures.select("doc_id", F.col("x.size").alias("n_bytes"), *(F.col(f"x.{f}").alias(f) for f in facts), "x.caption", "x.pos", "n_items", "items_sha256")
