@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, slices, texts_of, tidy
 
-#: Documents per language to learn from, entries kept of words and of trigrams (the most frequent), and scores kept of each
-#: of these tables, an entry having one for each language: with over 500 languages, fewer entries are kept.
-DOCS_PER_LANGUAGE, MOST_WORDS, MOST_TRIGRAMS, MOST_SCORES = 3_000, 60_000, 60_000, 30_000_000
-#: Letters of a word at most, and words whose scores a task keeps at most.
-PIECE, MOST_CACHED = 64, 400_000
+#: What is learned from, at most: documents of each language and characters of their texts, about. All words and trigrams
+#: of these documents count, so this bounds the model; a word has a score for each language that it occurs in.
+DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 3_000, 8_000_000
+#: Letters of a word at most, scores that a task keeps of words met before, and documents whose words it holds at once.
+PIECE, MOST_CACHED, AT_ONCE = 64, 2_000_000, 500
 #: What a switch of language costs, and the least score of a word: both in nats.
 SWITCH, FLOOR = 6.0, -8.0
 UNKNOWN = "und"
@@ -84,6 +84,34 @@ def trigrams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+class Table:
+    """Log probabilities of items by language, by additive smoothing, with what each language gives one that it lacks.
+
+    Only scores of items that a language has are held (sparse rows), however many languages there are.
+    """
+
+    def __init__(self, counts: dict[str, dict[int, float]], languages: int):
+        self.row = dict(zip(counts, range(len(counts)), strict=True))
+        self.starts = np.cumsum([0, *map(len, counts.values())])
+        self.lang = np.fromiter((k for by in counts.values() for k in by), np.int32, self.starts[-1])
+        n = np.fromiter((x for by in counts.values() for x in by.values()), np.float64, self.starts[-1])
+        total = np.bincount(self.lang, n, languages) + 0.1 * len(counts) + 1e-9
+        self.none = np.log(0.1 / total).astype(np.float32)
+        self.more = (np.log((n + 0.1) / total[self.lang]) - np.log(0.1 / total[self.lang])).astype(np.float32)
+
+    def sums(self, at: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """For each of `rows` rows, the sum of the scores of the items `at` that belong to it; unknown items (-1) add nothing."""
+        at, row = at[at >= 0], row[at >= 0]
+        out = np.bincount(row, minlength=rows)[:, None].astype(np.float32) * self.none
+        size = self.starts[at + 1] - self.starts[at]
+        place = np.repeat(self.starts[at] - np.cumsum(np.r_[0, size[:-1]]), size) + np.arange(size.sum())
+        flat = np.repeat(row, size) * len(self.none) + self.lang[place]
+        return out + np.bincount(flat, self.more[place], rows * len(self.none)).reshape(out.shape).astype(np.float32)
+
+    def keys(self) -> Iterable[str]:
+        return self.row.keys()
+
+
 @dataclass
 class Model:
     """What is learned, and a worker's cache of the scores of words met so far (bounded: it is emptied when full)."""
@@ -91,10 +119,8 @@ class Model:
     languages: list[str]
     prior: np.ndarray
     scripts: dict[str, np.ndarray]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
+    words: Table
+    grams: Table
     row_of: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
@@ -103,7 +129,7 @@ class Model:
 
     def rows_for(self, words: list[str]) -> np.ndarray:
         """A row of scores per language for each word."""
-        if len(self.row_of) > MOST_CACHED:
+        if len(self.row_of) * len(self.languages) > MOST_CACHED:
             self.row_of, self.rows = {}, None
         new = list(set(words) - self.row_of.keys())
         if new:
@@ -118,14 +144,12 @@ class Model:
         return self.rows[np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        known = np.array([self.words.get(w, -1) for w in words])
-        out[known >= 0] = self.word_scores[known[known >= 0]]
+        known = np.array([self.words.row.get(w, -1) for w in words])
+        out = self.words.sums(known, np.arange(len(words)), len(words))
         where = np.flatnonzero(known < 0)
         if len(where):
-            grams = [[self.grams.get(g, -1) for g in trigrams(words[k])] for k in where]
-            starts = np.cumsum([0, *map(len, grams[:-1])])
-            out[where] = np.add.reduceat(np.vstack([self.gram_scores, np.zeros((1, out.shape[1]), np.float32)])[np.concatenate(grams)], starts)
+            grams = [[self.grams.row.get(g, -1) for g in trigrams(words[k])] for k in where]
+            out[where] = self.grams.sums(np.concatenate(grams), np.repeat(np.arange(len(where)), list(map(len, grams))), len(where))
         never = np.zeros(out.shape[1], bool)
         allowed = np.array([self.scripts.get(script(w), never) for w in words])
         out = np.where(allowed, out, -1e4)
@@ -133,21 +157,21 @@ class Model:
         return np.where(allowed | ~allowed.any(1, keepdims=True), out, 2 * FLOOR) * allowed.any(1, keepdims=True)
 
 
-def _log(counts: np.ndarray) -> np.ndarray:
-    """Log probability of each row within its language, by additive smoothing."""
-    return np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(counts) + 1e-9)).astype(np.float32)
+Counts = dict[int, float] | np.ndarray
 
 
-def build(languages: list[str], docs: np.ndarray, words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> Model:
-    """words, grams: counts per language."""
+def build(languages: list[str], docs: np.ndarray, words: dict[str, Counts], grams: dict[str, Counts]) -> Model:
+    """words, grams: counts by language (its place in `languages`), those that aren't 0 or all."""
+    sparse = lambda table: {w: by if isinstance(by, dict) else {k: float(x) for k, x in enumerate(by) if x} for w, by in table.items()}
+    words, grams = sparse(words), sparse(grams)
     by_script: dict[str, np.ndarray] = {}
-    for w, n in words.items():
-        by_script[script(w)] = by_script.get(script(w), 0) + n
+    for w, by in words.items():
+        n = by_script.setdefault(script(w), np.zeros(len(languages)))
+        for k, x in by.items():
+            n[k] += x
     total = sum(by_script.values(), np.zeros(len(languages)))
     few = 0.002 * np.maximum(total, 1)
-    table = lambda x: np.array(list(x.values()), float).reshape(len(x), len(languages))
-    often = {w: n for w, n in words.items() if n.sum() >= 3}
-    return Model(languages, np.log((docs + 1) / (docs.sum() + len(docs))), {s: n > few for s, n in by_script.items()}, dict(zip(often, range(len(often)), strict=True)), _log(table(often)), dict(zip(grams, range(len(grams)), strict=True)), _log(table(grams)))
+    return Model(languages, np.log((docs + 1) / (docs.sum() + len(docs))), {s: n > few for s, n in by_script.items()}, Table(words, len(languages)), Table(grams, len(languages)))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -221,22 +245,22 @@ def identify(model: Model, texts: list[str], part: int = 200_000) -> list[tuple[
     return out
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most_words: int = MOST_WORDS, most_trigrams: int = MOST_TRIGRAMS) -> Model:
-    """Learns from (doc_id, text, lang) of a sample: about `per_language` documents of each language, by a hash of doc_id.
+def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> Model:
+    """Learns from (doc_id, text, lang) of a sample: about `per_language` documents of each language and `chars` characters, by a hash of doc_id.
 
     Rows with a null text or lang don't count. Texts are read once: words are counted by language, and trigrams follow
-    from the counted words. What reaches the driver is bounded: a count of each language, and the most frequent words and
-    trigrams (`most_words` and `most_trigrams`, fewer with very many languages).
+    from the counted words. All words and trigrams of the sample are kept, rare ones too; the sample bounds them.
     """
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    of = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    sizes = checkpoint(labelled.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text").cast("long")).alias("chars")))  # a row for each language
+    of = {r["lang"]: r["docs"] for r in sizes.select("lang", "docs").collect()}
     languages = sorted(of)
     if not languages:
         return build([], np.zeros(0), {}, {})
-    shares = spark.createDataFrame([(k, int(min(1.0, per_language / of[k]) * (1 << 30))) for k in languages], "lang string, share long")
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("docs"), F.lit(float(chars)) / F.greatest("chars", F.lit(1)))
     place = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30))
-    chosen = labelled.join(F.broadcast(shares), "lang").where(place < F.col("share"))
+    chosen = labelled.join(sizes.select("lang", (share * (1 << 30)).cast("long").alias("share")), "lang").where(place < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[str, Counter[str]] = {}
@@ -259,16 +283,14 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most_words: in
     grams = words.select("lang", "n", gram.alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     place_of = {k: i for i, k in enumerate(languages)}
 
-    def table(rows: DataFrame, item: str, most: int) -> dict[str, np.ndarray]:
-        by = rows.groupBy(item).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        out = {}
-        for r in by.orderBy(F.desc("all"), item).limit(min(most, MOST_SCORES // len(languages))).collect():
-            row = out[r[item]] = np.zeros(len(languages))
-            for x in r["by"]:
-                row[place_of[x["lang"]]] = x["n"]
+    def table(rows: DataFrame, item: str) -> dict[str, dict[int, float]]:
+        out: dict[str, dict[int, float]] = {}
+        got = rows.select(item, "lang", "n").orderBy(item, "lang").toArrow()  # of the sample: bounded by its characters
+        for word, lang, n in zip(*(got.column(c).to_pylist() for c in (item, "lang", "n")), strict=True):
+            out.setdefault(word, {})[place_of[lang]] = float(n)
         return out
 
-    return build(languages, np.array([float(of[k]) for k in languages]), table(words, "word", most_words), table(grams, "gram", most_trigrams))
+    return build(languages, np.array([float(of[k]) for k in languages]), table(words, "word"), table(grams, "gram"))
 
 
 def predicted(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
@@ -277,14 +299,14 @@ def predicted(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     A text that is null or has no letter is UNKNOWN with score 0, and so is any if no language was learned. Rows are
     independent: repeated or null doc_ids keep their rows. Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS, MOST_TRIGRAMS and MOST_SCORES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, AT_ONCE):
             found = identify(shared.value, texts_of(batch))
             columns = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
                 columns.append(pa.array([",".join(f"{a}:{b}:{k}" for a, b, k in x[2]) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "spans"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double" + ", spans string" * spans)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double" + ", spans string" * spans)

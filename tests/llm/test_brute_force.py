@@ -114,6 +114,19 @@ def test_learned_counts_are_those_of_a_plain_count(spark, documents):
     assert np.allclose(model.scores(some_words), plain.scores(some_words), atol=1e-4) and np.allclose(model.prior, plain.prior)
 
 
+def test_every_word_of_the_sample_counts(spark):
+    """More words than any table would be cut to, each of them seen once; and very many languages."""
+    letters = "abcdefghijklmnop"
+    name = lambda i, first: first + "".join(letters[i >> s & 15] for s in (0, 4, 8, 12, 16))
+    rows = [(k, " ".join(name(1_000 * k + i, "xy"[k % 2]) for i in range(1_000)), "xy"[k % 2]) for k in range(160)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(model.words.keys()) == 160_000
+    got = langid.identify(model, [name(3, "x"), name(159_999, "y"), name(77_000, "y")])
+    assert [g[0] for g in got[:2]] == ["x", "y"]
+    many = langid.build([f"l{k}" for k in range(900)], np.ones(900), {f"{name(k, 'w')}": {k: 4.0} for k in range(900)}, {})
+    assert langid.identify(many, [name(7, "w"), name(899, "w")])[1][0] == "l899"
+
+
 # ---- 3
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -187,6 +200,9 @@ def test_payloads_round_trip(spark, documents, texts):
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert r["media_sha256"] == hashlib.sha256(media.encode(padded)).hexdigest()
+        items = media.sequence(media.article(r["doc_id"], texts[r["doc_id"]], r["payload_sha256"], r["n_bytes"]))
+        lines = [f"media {r['payload_sha256']} {x['caption']}" if x["kind"] == "media" else f"text {hashlib.sha256(x['text'].encode()).hexdigest()}" for x in items]
+        assert r["n_items"] == len(items) and r["items_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
 def test_sequences_stay_aligned(spark):
@@ -274,6 +290,16 @@ def test_permutations(size):
     assert sorted(out.tolist()) == list(range(size))
 
 
+def test_sources_of_equal_rows_are_told_apart(spark):
+    """The same doc_id and text from two sources: each is repeated by what the mix takes of its own source."""
+    text = " ".join(["word"] * 300)
+    rows = [(1, text, "a"), (1, text, "b"), *((10 + i, f"other {i} " * 150, "a") for i in range(40)), *((100 + i, f"more {i} " * 20, "b") for i in range(3)), (1, text, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: r["taken"] / r["size"] for r in mixing._mixed_rows(frame, (1.0, 2.0, 3.0), mixing.BLOCK, mixing.SEED).where("doc_id = 1").collect()}
+    got = {r["source"]: r["count"] for r in mixing.repeated(frame).where("doc_id = 1").groupBy("source").count().collect()}
+    assert len(want) == 3 and all(int(x) <= got.get(s, 0) <= int(x) + 1 for s, x in want.items()) and len(set(want.values())) > 1
+
+
 def test_mix(spark, documents):
     rows = documents.select("doc_id", "text", "source").union(spark.createDataFrame([(10_001, "w " * 700, None), (10_002, "few words", None)], "doc_id long, text string, source string"))
     out = mixing.mixed(rows)
