@@ -45,6 +45,15 @@ def taken(new: DataFrame, existing: DataFrame, key: str, fields: list[str]) -> D
     return out.select(key, *(F.coalesce(f"taken_{f}", F.lit(False)).alias(f"taken_{f}") for f in fields))
 
 
+def user_error(username: Column, email: Column, password: Column, role: Column) -> Column:
+    """What is wrong with a new user's fields, the first of: something is missing, the address, the password; else null."""
+    missing = F.lit(False)
+    for c in (username, email, password, role):
+        missing = missing | (F.coalesce(c, F.lit("")) == "")
+    shape = email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+    return F.when(missing, "missing_fields").when(~shape, "bad_email").when(F.length(password) < 6, "short_password")
+
+
 def first_source(sources: list[DataFrame], key: str) -> DataFrame:
     """Of sources in order of preference, all rows of the first one that has a key, with tier from 1.
 

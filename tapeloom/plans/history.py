@@ -31,6 +31,16 @@ def role_filter(spark: SparkSession, sf_dir: str, role: str = "BUILDING") -> Dat
     return B.users(spark, sf_dir).where(F.col("role") == role).select("username", "role")
 
 
+@query(r"""WITH n AS (SELECT c_custkey AS user_key, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS username, CASE c_custkey % 5 WHEN 0 THEN 'user' || c_custkey || '@mail' WHEN 1 THEN 'user ' || c_custkey || '@mail.org' WHEN 2 THEN '' ELSE 'user' || c_custkey || '@mail.org' END AS email, repeat('p', CAST(c_custkey % 11 AS INT)) AS password, c_mktsegment AS role FROM customer)
+SELECT user_key, CASE WHEN coalesce(username, '') = '' OR email = '' OR password = '' OR coalesce(role, '') = '' THEN 'missing_fields' WHEN NOT regexp_full_match(email, '[^\s@]+@[^\s@]+\.[^\s@]+') THEN 'bad_email' WHEN length(password) < 6 THEN 'short_password' END AS error FROM n""")
+def user_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New users' fields: all there, an address of the right shape, a password of six characters or more."""
+    k = F.col("user_key")
+    mail = F.when(k % 5 == 0, F.concat(F.lit("user"), k, F.lit("@mail"))).when(k % 5 == 1, F.concat(F.lit("user "), k, F.lit("@mail.org"))).when(k % 5 == 2, F.lit("")).otherwise(F.concat(F.lit("user"), k, F.lit("@mail.org")))
+    rows = B.users(spark, sf_dir).select("user_key", F.when(k % 7 != 0, F.col("username")).alias("username"), mail.alias("email"), F.repeat(F.lit("p"), (k % 11).cast("int")).alias("password"), "role")
+    return rows.select("user_key", tables.user_error(*(F.col(c) for c in ("username", "email", "password", "role"))).alias("error"))
+
+
 @query("WITH " + HISTORY + " SELECT username, count(*) AS rows_after, count(DISTINCT event_id) AS distinct_events FROM (SELECT * FROM h UNION ALL SELECT * FROM h WHERE type = 'click') GROUP BY 1")
 def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History with rows appended; an insert doesn't look for equal ones."""

@@ -22,7 +22,7 @@ q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
 hits AS (
   SELECT CAST(label AS VARCHAR) AS video_id, vec_id AS sentence_index, round(list_dot_product(CAST(embedding AS DOUBLE[]), q.v), 4) AS score
   FROM embeddings, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), q.v) DESC, vec_id LIMIT 20),
-told AS (SELECT h.*, 'Passage ' || b.text AS text FROM hits h JOIN benchmark b ON b.item_id = h.sentence_index % 7)"""
+told AS (SELECT h.*, 'Passage ' || b.text AS text FROM hits h JOIN benchmark b ON b.item_id = h.sentence_index % (SELECT count(*) FROM benchmark))"""
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,10 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.concat(F.lit("Passage "), "text").alias("text"))
-    return _top(spark, sf_dir).join(texts, F.col("sentence_index") % 7 == F.col("item")).drop("item")
+    """Hits with their text: the passage of their number, from the first again after the last."""
+    passages = B.table(spark, sf_dir, "benchmark")
+    texts = passages.select(F.col("item_id").alias("item"), F.concat(F.lit("Passage "), "text").alias("text"))
+    return _top(spark, sf_dir).join(texts, F.col("sentence_index") % max(passages.count(), 1) == F.col("item")).drop("item")
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm, round(embedding[1] / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS first FROM embeddings")

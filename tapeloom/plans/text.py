@@ -331,11 +331,15 @@ def words_per_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", F.when(n > 0, F.floor(w / n).cast("int")).alias("each_words"), F.when(n > 0, (w * 1.0 / (n * (n + 1) / 2.0)).cast("int")).alias("first_weighted"))
 
 
-@query("""SELECT * FROM (VALUES (5, '5 min', 'headline', 'Quick highlights - key points only', 750, 300, 80, 0), (10, '10 min', 'brief', 'Brief summary with main ideas', 1500, 600, 200, 4),
-(15, '15 min', 'standard', 'Full coverage with examples', 2200, 900, 350, 7), (20, '20 min', 'comprehensive', 'Deep dive with all details', 2800, 1024, 450, 9)) AS t(value, label, style, description, target_words, max_output, min_output, transitions)""")
+@query(f"""SELECT t.*, coalesce(jobs, 0) AS jobs FROM (VALUES (5, '5 min', 'headline', 'Quick highlights - key points only', 750, 300, 80, 0), (10, '10 min', 'brief', 'Brief summary with main ideas', 1500, 600, 200, 4),
+(15, '15 min', 'standard', 'Full coverage with examples', 2200, 900, 350, 7), (20, '20 min', 'comprehensive', 'Deep dive with all details', 2800, 1024, 450, 9)) AS t(value, label, style, description, target_words, max_output, min_output, transitions)
+LEFT JOIN (SELECT CASE WHEN m <= 7 THEN 5 WHEN m <= 12 THEN 10 WHEN m <= 17 THEN 15 ELSE 20 END AS value, count(*) AS jobs FROM {JOBS} GROUP BY 1) j ON j.value = t.value""")
 def profiles_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles by minutes, with how many jobs each is for."""
     p = profiles.profiles(spark)
-    return p.select(F.col("minutes").alias("value"), F.concat("minutes", F.lit(" min")).alias("label"), "style", "description", "target_words", "max_output", "min_output", "transitions").orderBy("value")
+    used = B.jobs(spark, sf_dir).groupBy(profiles.nearest_minutes(F.col("target_minutes")).alias("minutes")).agg(F.count("*").alias("jobs"))
+    told = p.join(used, "minutes", "left")
+    return told.select(F.col("minutes").alias("value"), F.concat("minutes", F.lit(" min")).alias("label"), "style", "description", "target_words", "max_output", "min_output", "transitions", F.coalesce("jobs", F.lit(0)).cast("long").alias("jobs")).orderBy("value")
 
 
 TRANSITION_CASE = " ".join(f"WHEN '{k}' THEN '" + "|".join(v).replace("'", "''") + "'" for k, v in profiles.STYLE_TRANSITIONS.items())
