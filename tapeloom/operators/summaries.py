@@ -117,10 +117,14 @@ def tolerant(answer: Column) -> Column:
 
 
 def highlight_rows(answer: Column, score: float = 0.5) -> Column:
-    """(start, end, score) of a model's JSON list of highlights, bare or amid other text: those with a start and an end."""
-    found = F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), "array<struct<start:double,end:double,score:double>>")
-    kept = F.filter(F.coalesce(found, F.array().cast("array<struct<start:double,end:double,score:double>>")), lambda h: h["start"].isNotNull() & h["end"].isNotNull())
-    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.coalesce(h["score"], F.lit(score)).alias("score")))
+    """(start, end, score) of a model's JSON list of highlights, bare or amid other text: those with a start and an end.
+
+    Numbers may stand as strings; what isn't a number counts as missing.
+    """
+    kind = "array<struct<start:string,end:string,score:string>>"
+    found = F.coalesce(F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), kind), F.array().cast(kind))
+    read = F.transform(found, lambda h: F.struct(h["start"].try_cast("double").alias("start"), h["end"].try_cast("double").alias("end"), F.coalesce(h["score"].try_cast("double"), F.lit(score)).alias("score")))
+    return F.filter(read, lambda h: h["start"].isNotNull() & h["end"].isNotNull())
 
 
 def kept_sentences(text: Column, least: int) -> Column:

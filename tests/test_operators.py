@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import folds, fusion
+from tapeloom.operators import folds, fusion, summaries
 from tapeloom.sources import readers
 
 
@@ -116,3 +116,17 @@ def test_caption_urls(spark):
     pages = [(1, '<script>{"captionTracks":[{"baseUrl":"u1"}]}</script>'), (2, 'ytInitialPlayerResponse = {"captions":{"playerCaptionsTracklistRenderer":{"captionTracks":[{"baseUrl":"u2"}]}}};'), (3, "<p>none</p>"), (4, None)]
     out = spark.createDataFrame(pages, "k long, html string").select("k", readers.caption_url(F.col("html")).alias("u")).collect()
     assert {r["k"]: r["u"] for r in out} == {1: "u1", 2: "u2", 3: None, 4: None}
+
+
+def test_odd_answers_of_a_model(spark):
+    """Nested braces, escaped quotes, broken fences, numbers as strings, quotes and chapters of the wrong kind."""
+    body = '{"summary": "a \\"b\\" {c} \\u00e9", "tldr": null, "key_takeaways": ["x", "y}"], "best_quotes": ["q", {"text": "t {", "speaker": "p"}, {"speaker": "nobody"}], "chapters": [{"title": "c", "text": "{}"}, "x", {"text": "only"}]}'
+    answers = [body, f"```json\n{body}\n```", f"```\n{body}```", f"Sure: {body} Bye }} not", f"```json\n{body}", "{broken", "", None, '{"summary": 5}', "[1, 2]"]
+    out = [r["a"] for r in spark.createDataFrame(list(enumerate(answers)), "k long, x string").select("k", summaries.tolerant(F.col("x")).alias("a")).orderBy("k").collect()]
+    for a in out[:5]:  # what follows a whole object is passed over
+        assert a["summary"] == 'a "b" {c} é' and a["tldr"] == "" and a["key_takeaways"] == ["x", "y}"]
+        assert [tuple(q) for q in a["best_quotes"]] == [("q", ""), ("t {", "p"), ("", "nobody")] and [tuple(c) for c in a["chapters"]] == [("c", "{}"), ("", "only")]
+    assert [out[k]["summary"] for k in (5, 6, 9)] == ["{broken", "", "[1, 2]"] and out[7]["summary"] is None and out[8]["summary"] == "5"
+    lists = ['[{"start": "1.5", "end": 3}, {"start": 4, "end": "x"}, {"start": 1}]', 'Here: [{"start": 0, "end": 2, "score": "0.25"}] ok', "none", None, "[not json]", '[{"start": 1, "end": 2, "score": null}]']
+    rows = spark.createDataFrame(list(enumerate(lists)), "k long, x string").select("k", summaries.highlight_rows(F.col("x")).alias("h")).orderBy("k").collect()
+    assert [[tuple(h) for h in r["h"] or []] for r in rows] == [[(1.5, 3.0, 0.5)], [(0.0, 2.0, 0.25)], [], [], [], [(1.0, 2.0, 0.5)]]
