@@ -127,24 +127,24 @@ def budget_expand(segments: DataFrame, selected: DataFrame, key: str, n_videos:
     times an equal share of what is missing; the walk ends when the total reaches the target.
     """
     kind = "struct<total:double,place:int,added:double,chosen:" + PICKED + ">"
-    zero = F.lit(None).cast(kind)
+    begun, before = F.col("__total"), F.col("__before")  # once for each key, not in every row
+    zero = F.struct(begun.alias("total"), F.lit(None).cast("int").alias("place"), F.lit(0.0).alias("added"), before.alias("chosen")).cast(kind)
 
     def step(a: Column, x: Column) -> Column:
-        total, chosen = F.coalesce(a["total"], x["total"]), F.coalesce(a["chosen"], x["before"])
         length = x["end"] - x["start"]
         added = F.when(a["place"] == x["place"], a["added"]).otherwise(F.lit(0.0))
-        known = F.exists(x["before"], lambda c: (c["place"] == x["place"]) & (c["start"] == x["start"]))
-        share = (F.lit(target) - x["total"]) / x["n"]
-        take = (x["total"] < target * 0.8) & (total < target) & ~known & (added + length <= share * 1.5)
+        known = F.exists(before, lambda c: (c["place"] == x["place"]) & (c["start"] == x["start"]))
+        share = (F.lit(target) - begun) / x["n"]
+        take = (begun < target * 0.8) & (a["total"] < target) & ~known & (added + length <= share * 1.5)
         one = F.array(F.struct(*[x[c].alias(c) for c in ("place", "seg_idx", "start", "end")]))
-        grown = F.struct((total + length).alias("total"), x["place"].alias("place"), (added + length).alias("added"), F.concat(chosen, one).alias("chosen"))
-        same = F.struct(total.alias("total"), x["place"].alias("place"), added.alias("added"), chosen.alias("chosen"))
+        grown = F.struct((a["total"] + length).alias("total"), x["place"].alias("place"), (added + length).alias("added"), F.concat(a["chosen"], one).alias("chosen"))
+        same = F.struct(a["total"].alias("total"), x["place"].alias("place"), added.alias("added"), a["chosen"].alias("chosen"))
         return F.when(take, grown.cast(kind)).otherwise(same.cast(kind))
 
-    before = selected.select(key, "total", F.col("chosen").alias("before"))
-    rows = segments.withColumn("n", n_videos).withColumn("place", F.col("place").cast("int")).join(before, key)
-    folded = ordered_fold(rows, [key], [F.col("place"), F.col("seg_idx")], [F.col(c) for c in ("place", "seg_idx", "start", "end", "n", "total", "before")], zero, step)
-    return folded.select(key, F.col("out.total").alias("total"), F.col("out.chosen").alias("chosen"))
+    row = F.struct(F.col("place").cast("int").alias("place"), "seg_idx", "start", "end", n_videos.alias("n"))
+    rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    joined = rows.join(selected.select(key, F.col("total").alias("__total"), F.col("chosen").alias("__before")), key)
+    return joined.select(key, F.aggregate("__rows", zero, step).alias("out")).select(key, F.col("out.total").alias("total"), F.col("out.chosen").alias("chosen"))
 
 
 def packed(sizes: Column, most: int, separator: int = 0) -> Column:
