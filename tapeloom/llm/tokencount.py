@@ -9,6 +9,7 @@ Pre-tokens that are frequent in a bounded sample are counted first and reach all
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -31,13 +32,37 @@ AT_ONCE, MOST_UNITS = 1 << 20, 300_000
 MARKS = frozenset(".,;:!?-|()\"")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+BYTES, LATIN = _byte_characters(), re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_level(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+
+
+_OWN: dict[str, Cutter] = {}
+
+
+def _cutter(digest: str, serialized) -> Cutter:
+    """The worker's own: it is kept from task to task, as loading takes longer than a small task."""
+    if digest not in _OWN:
+        _OWN.clear()
+        _OWN[digest] = Cutter(serialized.value)
+    return _OWN[digest]
+
+
 class Cutter:
     """Pre-tokens of texts by a tokenizers file, and how many pieces a pre-token has.
 
     Its normaliser and pre-tokenizer must treat the parts between spaces or line feeds by themselves, as all do that drop
     white space. Special strings inside a text count as one token each, as the library does by default. If the file says
-    that text is lower-cased and cut into runs of letters, words of a to z (and those with a mark behind them) are cut
-    here; all others, and all words of other files, go through the library.
+    that text is lower-cased and cut into runs of letters, words of Latin letters up to ÿ (and those with a mark behind
+    them) are cut here; all others, and all words of other files, go through the library.
     """
 
     def __init__(self, serialized: str):
@@ -70,12 +95,12 @@ class Cutter:
         out: list[tuple[int, list[str]]] = []
         parts, owners, starts, at = [], [], [], 0
         for i, unit in enumerate(units):
-            if self.plain and unit.isascii():
-                if unit.isalpha():
-                    out.append((0, [unit.lower()]))
+            if self.plain:
+                if LATIN.fullmatch(unit):
+                    out.append((0, [_byte_level(unit.lower())]))
                     continue
-                if unit[:-1].isalpha() and unit[-1] in MARKS:
-                    out.append((0, [unit[:-1].lower(), unit[-1]]))
+                if unit[-1] in MARKS and LATIN.fullmatch(unit, 0, len(unit) - 1):
+                    out.append((0, [_byte_level(unit[:-1].lower()), unit[-1]]))
                     continue
             cut = self.special.split(unit) if self.special and self.special.search(unit) else [unit]
             out.append((len(cut) - 1, []))
@@ -102,12 +127,12 @@ class Cutter:
         return sum(n * (s + sum(map(self.pieces, w))) for found in self.units(text) for n, (s, w) in zip(found.values(), self.cut(list(found)), strict=True))
 
 
-def _sent(texts: DataFrame, serialized, common) -> DataFrame:
+def _sent(texts: DataFrame, digest: str, serialized, common) -> DataFrame:
     """Each row of (text, ...) with n, words, times for its text: tokens of what the dictionary has, and the other pre-tokens."""
     schema = pa.schema([("n", pa.int64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, known, kept = Cutter(serialized.value), common.value, {}
+        cutter, known, kept = _cutter(digest, serialized), common.value, {}
         for batch in slices(batches):
             sums, words, times = [], [], []
             for text in texts_of(batch):
@@ -133,11 +158,11 @@ def _sent(texts: DataFrame, serialized, common) -> DataFrame:
     return texts.mapInArrow(tidy(run), ", ".join([*kept, "n long", "words array<string>", "times array<long>"]))
 
 
-def _counted(words: DataFrame, serialized) -> DataFrame:
+def _counted(words: DataFrame, digest: str, serialized) -> DataFrame:
     """(word, pieces) for each row of (word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(serialized.value)
+        cutter = _cutter(digest, serialized)
         for batch in slices(batches, 10_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(cutter.pieces, batch.column(0).to_pylist()), pa.int64())], names=["word", "pieces"])
 
@@ -152,16 +177,16 @@ def counted(docs: DataFrame, serialized: str, limit: int = 2048, most_common: in
     gives an empty one; other columns aren't looked at. A text of any length is read whole, part by part.
     """
     spark: SparkSession = docs.sparkSession
-    tokenizer = spark.sparkContext.broadcast(serialized)
+    tokenizer = hashlib.blake2b(serialized.encode()).hexdigest(), spark.sparkContext.broadcast(serialized)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     nothing = spark.sparkContext.broadcast({})
-    seen = _sent(bounded_sample(rows, "doc_id", COMMON_DOCS).select("text"), tokenizer, nothing)
+    seen = _sent(bounded_sample(rows, "doc_id", COMMON_DOCS).select("text"), *tokenizer, nothing)
     often = seen.select(F.explode("words").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most_common)
-    common = {r["word"]: r["pieces"] for r in _counted(often.select("word"), tokenizer).collect()}
-    sent = _sent(rows.select("text", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), tokenizer, spark.sparkContext.broadcast(common))
+    common = {r["word"]: r["pieces"] for r in _counted(often.select("word"), *tokenizer).collect()}
+    sent = _sent(rows.select("text", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), *tokenizer, spark.sparkContext.broadcast(common))
     sent = checkpoint(sent.withColumn("row", F.monotonically_increasing_id()))
     rare = sent.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    pieces = _counted(rare.select("word").distinct(), tokenizer)
+    pieces = _counted(rare.select("word").distinct(), *tokenizer)
     more = rare.join(pieces, "word").select("row", F.lit(None).cast("long"), F.lit(0).cast("long"), F.col("times") * F.col("pieces"))
     summed = sent.select("row", "doc_id", "n_bytes", "n").union(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
