@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, record_batch, slices, tidy
 
+#: Parts that a language's phrases are ranked in.
+PARTS = 64
 #: A piece of text ends at these, words within it at blanks and tabs.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of a sieve at most, bits for each phrase as long as there are so few, distinct hashes that a task counts up before
@@ -269,6 +271,9 @@ def scored(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     value = score(*map(wide, ("a", "n", "l", "r")))
     best = cuts.select("lang", "phrase", "a", "n", F.struct(value.alias("score"), "k", "l", "r").alias("x")).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.max("n").alias("n"), F.min("x").alias("x"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("x.score"), F.desc("a"), "phrase"))
-    ranked = best.withColumn("rank", rank).where(F.col("rank") <= most)
+    order = [F.desc("x.score"), F.desc("a"), F.col("phrase")]
+    # a language's phrases are ranked within PARTS first, of each of which no more than `most` can be among the first
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= most)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "x.l", "x.r", "n", "x.score")
