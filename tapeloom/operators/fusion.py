@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,22 +13,26 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text as T
 from tapeloom.functions import vectors as V
 from tapeloom.operators import folds
+from tapeloom.session import checkpoint, shared_folder
+from tapeloom.sources import versions
 
 # Words that speak against or for a statement, wherever they stand in it.
 AGAINST = ("not", "never", "wrong", "false", "incorrect", "disagree", "however", "but", "although", "contrary", "opposite")
 FOR = ("is", "are", "will", "should", "must", "always", "definitely")
 
 
-def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """Cluster of each row by agglomeration, cosine distance and average linkage; numbered by their first rows.
+#: Clusters of a job that one task works on at most; more of them are joined in rounds first. Clusters of a block.
+LOCAL, BLOCK = 2_000, 1_000
+
+
+def linkage_joins(total: np.ndarray, size: np.ndarray) -> list[tuple[float, int, int]]:
+    """All joins (distance, a, b) of clusters given by the sums of their unit vectors and their sizes, average linkage.
 
     The mean distance of two clusters is one less the product of their mean unit vectors, so a cluster's size and sum are
-    all that is held: memory grows as the rows. Chains of nearest neighbours find all joins, which are then made in order
-    of distance; this gives what joining the nearest two each time does, but for ties.
+    all that is held: memory grows as the rows. Chains of nearest neighbours find all joins; in order of distance, they are
+    those that joining the nearest two each time gives, but for ties. A joined cluster stands in the smaller place.
     """
-    n = len(vectors)
-    total = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    size, live = np.ones(n), np.ones(n, bool)
+    total, size, live = total.copy(), size.astype(float), np.ones(len(size), bool)
     joins, chain = [], []
     while live.sum() > 1:
         if not chain:
@@ -43,6 +50,13 @@ def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
             total[low], size[low], live[high] = total[low] + total[high], size[low] + size[high], False
         else:
             chain.append(b)
+    return joins
+
+
+def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
+    """Cluster of each row by agglomeration, cosine distance and average linkage; numbered by their first rows."""
+    n = len(vectors)
+    joins = linkage_joins(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), np.ones(n))
     label = np.arange(n)
 
     def root(i: int) -> int:
@@ -57,12 +71,14 @@ def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
     return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
 
 
-def topic_clusters(sentences: DataFrame, key: str, place: str) -> DataFrame:
+def topic_clusters(sentences: DataFrame, key: str, place: str, local: int | None = None, block: int | None = None) -> DataFrame:
     """(key, place, cluster) of sentences (key, place, embedding), a fifth as many clusters, from 3 to 20.
 
-    A job of under three sentences is one cluster each. A job (the sentences of up to ten videos) is one task's work: its
-    memory grows as its sentences, its time as their square; jobs are independent.
+    A job of under three sentences is one cluster each. Jobs of up to `local` sentences are a task's work each; larger
+    ones are joined in rounds until as many clusters are left. Places differ within a job; clusters are numbered by
+    their first sentences.
     """
+    local = local or LOCAL
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(place)
@@ -71,7 +87,109 @@ def topic_clusters(sentences: DataFrame, key: str, place: str) -> DataFrame:
         return frame[[key, place]].assign(cluster=label.astype("int64"))
 
     kinds = dict(sentences.dtypes)
-    return sentences.select(key, place, "embedding").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {place} {kinds[place]}, cluster long")
+    rows = sentences.select(key, place, "embedding")
+    schema = f"{key} {kinds[key]}, {place} {kinds[place]}, cluster long"
+    large = checkpoint(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > local))  # a row for each large job
+    if large.isEmpty():
+        return rows.groupBy(key).applyInPandas(run, schema)
+    small = rows.join(large, key, "left_anti").groupBy(key).applyInPandas(run, schema)
+    return small.unionByName(_clustered_in_rounds(rows.join(large, key), key, place, local, block or BLOCK).select(key, F.col(place).cast(kinds[place]).alias(place), "cluster"))
+
+
+def _nearest_pairs(state: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, d, lo, hi): of each cluster of `state` (key, id, size, total), the nearest other one, as a pair; pairs of both are mutual.
+
+    A job's clusters are dealt out into blocks of about `block`; a task holds two blocks at a time.
+    """
+    sized = state.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = state.join(sized, key).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("at")).alias("i"), F.greatest(j, F.col("at")).alias("j"))))
+    met = dealt.select(key, "id", "size", "total", "at", pair.alias("p")).select(key, "p.i", "p.j", "at", "id", "size", "total")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        first, second = (frame[frame["at"] == frame[c].iloc[0]].sort_values("id") for c in ("i", "j"))
+        if not len(first) or not len(second):
+            return pd.DataFrame({key: frame[key][:0], "id": [], "d": [], "lo": [], "hi": []})
+        x, y = (np.array(f["total"].tolist(), float) / f["size"].to_numpy()[:, None] for f in (first, second))
+        d, a, b = np.round(1.0 - x @ y.T, 12), first["id"].to_numpy(), second["id"].to_numpy()
+        if frame["i"].iloc[0] == frame["j"].iloc[0]:
+            np.fill_diagonal(d, np.inf)
+        parts = []
+        for e, own, others in ((d, a, b), (d.T, b, a)):
+            at = e.argmin(axis=1)  # ids ascend, so of equals this is the least pair
+            parts.append(pd.DataFrame({"id": own, "d": e[np.arange(len(e)), at], "lo": np.minimum(own, others[at]), "hi": np.maximum(own, others[at])}))
+        out = pd.concat(parts)
+        return out[np.isfinite(out["d"])].assign(**{key: frame[key].iloc[0]})[[key, "id", "d", "lo", "hi"]]
+
+    kind = dict(state.dtypes)[key]
+    near = met.groupBy(key, "i", "j").applyInPandas(run, f"{key} {kind}, id long, d double, lo long, hi long")
+    best = near.groupBy(key, "id").agg(F.min(F.struct("d", "lo", "hi")).alias("p"))
+    return best.select(key, "p.*")
+
+
+def _clustered_in_rounds(rows: DataFrame, key: str, place: str, local: int, block: int) -> DataFrame:
+    """As topic_clusters, of jobs (key, place, embedding, n): each round joins all pairs of clusters that are nearest to each other.
+
+    A cluster is the sum of its unit vectors, its size, and its smallest place as its id. Jobs of which `local` clusters
+    are left are ended within a task. The joins of the least distances are the clusters' (heights never fall), and
+    sentences find their cluster by following joins, twice as far in each round.
+    """
+    spark = rows.sparkSession
+    folder, kept = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}", itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        """Written and read again: a checkpoint would hand on what its joins were thought to be worth, multiplied each round."""
+        path = f"{folder}/{next(kept)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    unit = rows.select(key, F.col(place).cast("long").alias("id"), F.lit(1).cast("long").alias("size"), V.normalized(F.col("embedding")).alias("total"))
+    ids = keep(rows.select(key, F.col(place).cast("long").alias("id"), "n"))
+    state, joins, step = keep(unit), None, 0
+    while True:
+        left = state.groupBy(key).agg(F.count("*").alias("left"))
+        going = keep(state.join(left.where(F.col("left") > local).select(key), key, "left_semi"))
+        ending = state.join(left.where(F.col("left") <= local).select(key), key, "left_semi")
+        ended = keep(_ended_locally(ending, key))
+        joins = ended if joins is None else joins.unionByName(ended)
+        if going.isEmpty():
+            break
+        mutual = _nearest_pairs(going, key, block).groupBy(key, "lo", "hi", "d").agg(F.count("*").alias("both")).where("both = 2")
+        made = keep(mutual.select(key, "d", F.lit(step).cast("long").alias("step"), "lo", "hi"))
+        joins = joins.unionByName(made)
+        into = going.join(made.select(key, F.col("hi").alias("id"), "lo"), [key, "id"], "left").select(key, F.coalesce("lo", "id").alias("id"), "size", "total")
+        add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+        one = into.groupBy(key, "id").agg(F.sum("size").alias("size"), F.collect_list("total").alias("t"))  # one or two
+        state = keep(one.select(key, "id", "size", F.when(F.size("t") == 2, add(F.get("t", F.lit(0)), F.get("t", F.lit(1)))).otherwise(F.get("t", F.lit(0))).alias("total")))
+        step += 1
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("d", "step", "lo", "hi"))
+    clusters = F.greatest(F.lit(3), F.least(F.floor(F.col("n") / 5), F.lit(20)))
+    sizes = ids.select(key, "n").distinct()
+    taken = joins.withColumn("k", rank).join(sizes, key).where(F.col("k") <= F.col("n") - clusters).select(key, F.col("hi").alias("id"), F.col("lo").alias("up"))
+    up = keep(ids.join(taken, [key, "id"], "left").select(key, "id", F.coalesce("up", "id").alias("up")))
+    while True:
+        further = up.select(key, F.col("id").alias("up"), F.col("up").alias("next"))
+        now = keep(up.join(further, [key, "up"]).select(key, "id", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+        up = now.select(key, "id", "up")
+        if now.where("moved").isEmpty():
+            break
+    number = up.select(key, "up").distinct().withColumn("cluster", (F.row_number().over(Window.partitionBy(key).orderBy("up")) - 1).cast("long"))  # 20 at most
+    out = checkpoint(up.join(number, [key, "up"]).select(key, F.col("id").alias(place), "cluster"))
+    versions.delete(spark, folder)
+    return out
+
+
+def _ended_locally(state: DataFrame, key: str) -> DataFrame:
+    """(key, d, step, lo, hi): all further joins of jobs of which few clusters (key, id, size, total) are left."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        own, rows = frame["id"].to_numpy(), []
+        for i, (d, a, b) in enumerate(linkage_joins(np.array(frame["total"].tolist(), float), frame["size"].to_numpy())):
+            rows.append((round(d, 12), (1 << 40) + i, own[min(a, b)], own[max(a, b)]))
+        return pd.DataFrame(rows, columns=["d", "step", "lo", "hi"]).assign(**{key: frame[key].iloc[0]})[[key, "d", "step", "lo", "hi"]]
+
+    return state.groupBy(key).applyInPandas(run, f"{key} {dict(state.dtypes)[key]}, d double, step long, lo long, hi long")
 
 
 def stats(sentences: DataFrame) -> DataFrame:

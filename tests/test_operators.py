@@ -51,6 +51,21 @@ def test_topic_clusters_of_each_job(spark):
         assert {frozenset(p for p in mine if mine[p] == c) for c in set(mine.values())} == plain_linkage(vectors, clusters)
 
 
+def test_topic_clusters_of_a_large_job_in_rounds(spark):
+    """Jobs over the bound are joined by blocks in rounds, down to the bound or to the end; others beside them as ever."""
+    rng = np.random.default_rng(4)
+    rows = [(j, 3 * p + 1, [float(x) for x in rng.normal(0, 1, 5) + (p % 4)]) for j, n in ((1, 2), (2, 9), (3, 47), (4, 60)) for p in range(n)]
+    frame = spark.createDataFrame(rows, "job int, pos long, embedding array<double>").repartition(3)
+    for local, block in ((10, 7), (1, 60)):
+        out = fusion.topic_clusters(frame, "job", "pos", local, block).collect()
+        for j, clusters in ((1, 2), (2, 3), (3, 9), (4, 12)):
+            mine = {r["pos"]: r["cluster"] for r in out if r["job"] == j}
+            vectors = np.array([v for k, _, v in rows if k == j])
+            assert {frozenset((p - 1) // 3 for p in mine if mine[p] == c) for c in set(mine.values())} == plain_linkage(vectors, clusters)
+            first = [min(p for p in mine if mine[p] == c) for c in range(clusters)]
+            assert first == sorted(first)
+
+
 def test_packed(spark):
     own = random.Random(5)
     lists = [[own.randint(0, 12) for _ in range(own.randint(0, 30))] for _ in range(60)] + [[], [50], [3, 50, 3]]
