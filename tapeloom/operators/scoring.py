@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import text as T
 from tapeloom.functions.stopwords import STOP_WORDS
+from tapeloom.session import spread
 
 
 def terms(text: Column, pairs: bool = True) -> Column:
@@ -23,7 +24,7 @@ def tfidf(texts: DataFrame, key: str, place: str, features: int = 500, pairs: bo
     The key's `features` most frequent terms count (ties by term). A text without any has 0. All of a key's terms meet in
     one exchange by the key, which windows and sums then share: terms are counted once, and nothing is joined.
     """
-    sized = texts.select(key, place, "text").repartition(key).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    sized = spread(texts.select(key, place, "text"), key).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     counts = sized.select(key, place, "n", F.explode_outer(terms(F.col("text"), pairs)).alias("term")).groupBy(key, place, "term").agg(F.count("term").alias("tf"), F.first("n").alias("n"))
     same = Window.partitionBy(key, "term")
     known = counts.withColumns({"all": F.sum("tf").over(same), "df": F.count("*").over(same)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text as T
 from tapeloom.functions.stopwords import STOP_WORDS
 from tapeloom.operators import embedding, folds, scoring
-from tapeloom.session import checkpoint
+from tapeloom.session import checkpoint, spread
 from tapeloom.sources import bindings as B
 
 from .registry import SEGMENTS, query
@@ -123,7 +123,7 @@ def _scored(spark: SparkSession, sf_dir: str, embedder: embedding.Embedder | Non
 
     Blocks are made once and kept, as weights, likeness and TF-IDF all read them.
     """
-    blocks = checkpoint(_blocks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("start")) - 1))
+    blocks = checkpoint(spread(_blocks(spark, sf_dir), "video_id").withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("start")) - 1))
     both = _semantic(spark, sf_dir, blocks, embedder).join(_tfidf(blocks, "place"), ["video_id", "place"])
     return both.withColumn("score", F.round(scoring.hybrid(F.col("semantic"), F.col("tfidf")), 6)).select("video_id", "start", "end", "words", "text", "score")
 
@@ -258,7 +258,7 @@ def tfidf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT m.video_id, m.seg_idx, round(0.7 * semantic + 0.3 * tfidf, 4) AS score, printf('Semantic match: %.2f, TF-IDF: %.2f', round(semantic, 2), round(tfidf, 2)) AS reason
 FROM sem m JOIN tfidf t ON t.video_id = m.video_id AND t.seg_idx = m.seg_idx""")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = checkpoint(B.segments(spark, sf_dir).select("video_id", "seg_idx", "text"))
+    segments = checkpoint(spread(B.segments(spark, sf_dir).select("video_id", "seg_idx", "text"), "video_id"))
     both = _semantic(spark, sf_dir, segments).join(_tfidf(segments, "seg_idx"), ["video_id", "seg_idx"])
     reason = F.format_string("Semantic match: %.2f, TF-IDF: %.2f", F.round("semantic", 2), F.round("tfidf", 2))
     return both.select("video_id", "seg_idx", F.round(scoring.hybrid(F.col("semantic"), F.col("tfidf")), 4).alias("score"), reason.alias("reason"))
@@ -267,7 +267,7 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + SEGMENTS + "," + semantic_sql("seg", "seg_idx") + " SELECT video_id, seg_idx, round(semantic, 4) AS semantic FROM sem")
 def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of segments to their own job's summary, between their video's least and greatest."""
-    segments = checkpoint(B.segments(spark, sf_dir).select("video_id", "seg_idx", "text"))
+    segments = checkpoint(spread(B.segments(spark, sf_dir).select("video_id", "seg_idx", "text"), "video_id"))
     return _semantic(spark, sf_dir, segments).select("video_id", "seg_idx", F.round("semantic", 4).alias("semantic"))
 
 

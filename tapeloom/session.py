@@ -36,3 +36,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage of `df` by writing it to the session's shared folder: what follows reads it instead of doing it again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by `key` into as many partitions as shuffles have: for rows that are few in bytes but take long."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
