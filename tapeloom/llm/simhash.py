@@ -390,16 +390,21 @@ def _met(dealt: DataFrame, most: int) -> DataFrame:
 def _met_dense(dealt: DataFrame, most: int) -> DataFrame:
     """Of (key, rep, n, pos, sketch, own): pairs as (a, b), with key null, and rows to be looked at again, with a and b null.
 
-    Pairs of one group (own), or whose sketches rule out that they are alike, aren't given; buckets of one group end here.
+    Pairs of one group (own), or whose sketches rule out that they are alike, aren't given. Buckets of one group end here,
+    and those of which the rows that are left are of one.
     """
     columns = ["key", "rep", "n", "pos", "sketch"]
 
+    def mixed(key: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether a row's bucket, of rows sorted by key, holds several groups."""
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), np.diff(np.r_[starts, len(key)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["a", "b", *columns], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for part in runs(batches, 6):
-            starts = np.flatnonzero(np.r_[True, part[0][1:] != part[0][:-1]])
-            mixed = np.minimum.reduceat(part[5], starts) != np.maximum.reduceat(part[5], starts)
-            part = [c[np.repeat(mixed, np.diff(np.r_[starts, len(c)]))] for c in part]
+            several = mixed(part[0], part[5])
+            part = [c[several] for c in part]
             own, n = part[5], part[2].astype(np.int64)
             bits = np.frombuffer(b"".join(part[4]), np.uint64).reshape(-1, SKETCH // 64)
 
@@ -409,6 +414,7 @@ def _met_dense(dealt: DataFrame, most: int) -> DataFrame:
                 return ok
 
             x, y, again = prefix_links(*part[:4], most, may_be_alike)
+            again = again[mixed(part[0][again], own[again])] if len(again) else again
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], k) for k in kinds)], names=names)
             rest = [pa.array(c[again], k) for c, k in zip(part[:5], kinds, strict=True)]
@@ -497,7 +503,7 @@ def prefix_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
             groups = checkpoint(components(groups.unionByName(more).select(F.col("id").alias("a"), F.col("label").alias("b"))))
         if dense.isEmpty():
             return groups
-        rows = dense.join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("own", F.coalesce("label", "rep"))
+        rows = checkpoint(dense.join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("own", F.coalesce("label", "rep")))
         counted = rows.groupBy("key").agg(F.count("*").alias("rows"), (F.min("own") != F.max("own")).alias("mixed"))
         huge = checkpoint(counted.where(F.col("rows") > AT_ONCE))
         if huge.isEmpty():
