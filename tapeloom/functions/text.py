@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"(?U)\s+"
+#: Unicode's space separators, which SQL's trim takes off.
+SPACES = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -46,6 +48,11 @@ def cleaned(text: Column, least: int = 10) -> Column:
     return F.when(F.length(flat) > least, flat).otherwise("")
 
 
+def trimmed(text: Column) -> Column:
+    """Without spaces at both ends. One argument only: F.transform hands F.trim an element's place as what to take off."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def dedupe_key(text: Column) -> Column:
     return F.lower(F.trim(text))
 

@@ -173,7 +173,7 @@ pack AS (
 SELECT doc_id, batch, count(*) AS lines, CAST(max(size) AS BIGINT) AS chars FROM pack GROUP BY 1, 2""")
 def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed into requests of up to 4500 characters, line breaks counted."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda s: s != "")
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(folds.packed(F.transform(lines, F.length), 4500, separator=1)).alias("batch", "b"))
     return rows.select("doc_id", "batch", F.col("b.items").cast("long").alias("lines"), F.col("b.size").alias("chars"))
 
