@@ -6,6 +6,7 @@ import uuid
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from tapeloom.sources import versions
 
 #: States after which a job doesn't change again.
 ENDED = ("completed", "error", "partial_success", "cancelled")
+#: Groups that a stream's keys are dealt out into. It must stay the same as long as a stream's checkpoint is used.
+GROUPS = 256
 
 
 def rate_limit(requests: DataFrame, window: float, most: int, late: str = "1 hour") -> DataFrame:
@@ -50,34 +53,49 @@ def rate_limit(requests: DataFrame, window: float, most: int, late: str = "1 hou
     return timed.groupBy("client").applyInPandasWithState(run, "client string, request_id long, t double, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def progress_changes(snapshots: DataFrame, idle: float = 86400.0, late: str = "1 hour") -> DataFrame:
+def progress_changes(snapshots: DataFrame, idle: float = 86400.0, late: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """(job_id, seq, at, status, progress) of a stream of snapshots (the same): those that differ from the job's last one.
 
     After a snapshot in one of the ENDED states a job is silent. What is known of a job goes once nothing has come for
     `idle` seconds of the stream's time: a job that comes again then is a new one. Snapshots are taken in order of
     (at, seq) within a micro-batch; those later than `late` are dropped.
-    """
 
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    Jobs are dealt out into `groups` by a hash, so that Python is called once for each of these in a micro-batch and not
+    for each job. A group's state holds its live jobs: their last status and progress, and when they are forgotten.
+    """
+    known = ["job_id", "status", "progress", "ends"]
+
+    def run(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        past = state.getCurrentWatermarkMs()
+        before = pd.DataFrame(dict(zip(known, state.get, strict=True)) if state.exists else {k: [] for k in known}).astype({"job_id": object, "status": object, "progress": "Int64", "ends": "int64"})
+        parts = [f for f in frames if len(f)]
+        after = before
+        if parts:
+            rows = pd.concat(parts, ignore_index=True).astype({"progress": "Int64"}).sort_values(["job_id", "at", "seq"], ignore_index=True)
+            here = before[before["job_id"].isin(rows["job_id"])]
+            rows = pd.concat([here[["job_id", "status", "progress"]].assign(old=True), rows.assign(old=False)], ignore_index=True).sort_values("job_id", kind="stable", ignore_index=True)  # what is known comes first
+            job = pd.factorize(rows["job_id"], use_na_sentinel=False)[0]
+            first, last = (np.r_[True, job[1:] != job[:-1]], np.r_[job[1:] != job[:-1], True])
+            status, progress = rows["status"].fillna("").to_numpy(), rows["progress"].fillna(-1).to_numpy("int64")
+            same = np.r_[False, (status[1:] == status[:-1]) & (progress[1:] == progress[:-1])] & ~first
+            ended = np.isin(status.astype(str), ENDED).astype(np.int64)
+            upto = np.cumsum(ended) - ended
+            silent = upto > upto[first][np.cumsum(first) - 1]  # an end came before in its job
+            told = rows[~(same | silent | rows["old"].to_numpy())]
+            now = rows[["job_id", "status", "progress"]][~silent].drop_duplicates("job_id", keep="last")
+            ends = (rows["at"][last].dt.as_unit("us").astype("int64") // 1000 + int(idle * 1000)).to_numpy()
+            after = pd.concat([before[~before["job_id"].isin(rows["job_id"])], now.assign(ends=np.maximum(ends, past + 1))], ignore_index=True)
+            yield told[["job_id", "seq", "at", "status", "progress"]]
+        after = after[after["ends"] >= past]
+        if not len(after):
             state.remove()
             return
-        last = tuple(state.get) if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        told = []
-        for i, now in enumerate(zip(rows["status"], rows["progress"], strict=True)):
-            if last[0] in ENDED:
-                break
-            if now != last:
-                told.append(i)
-            last = now
-        state.update((last[0], int(last[1])))
-        ends = int((rows["at"].iloc[-1].timestamp() + idle) * 1000)
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[told][["job_id", "seq", "at", "status", "progress"]]
+        state.update((after["job_id"].tolist(), after["status"].tolist(), [None if p is pd.NA else int(p) for p in after["progress"]], after["ends"].tolist()))
+        state.setTimeoutTimestamp(max(int(after["ends"].min()), past + 1))
 
     kinds = "job_id string, seq long, at timestamp, status string, progress int"
-    return snapshots.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(run, kinds, "status string, progress int", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = snapshots.withWatermark("at", late).withColumn("dealt", F.pmod(F.xxhash64("job_id"), F.lit(groups)))
+    return dealt.groupBy("dealt").applyInPandasWithState(run, kinds, "jobs array<string>, status array<string>, progress array<int>, ends array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def history_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
