@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import checkpoint
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of `new`, and those of `old` whose key `new` doesn't have."""
@@ -106,33 +107,34 @@ def merge_counts(tagged: DataFrame) -> DataFrame:
     return tagged.agg(n(MATCHED, MODIFIED, DELETED).alias("matched"), n(MODIFIED).alias("modified"), n(INSERTED).alias("inserted"), n(DELETED).alias("deleted"), n(UNKNOWN).alias("unknown"))
 
 
-def nearest(rows: DataFrame, known: DataFrame, value: str, slots: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, known: DataFrame, value: str, slots: int | None = None) -> DataFrame:
     """`rows` with `nearest`: the one of known's values (value) that is nearest to their own, the smaller of two as near.
 
-    Both may be large: their values are dealt out into slots of the known range, in each of which the last and the next
-    known value are carried along in order; what comes from other slots follows from their least and greatest values.
-    Null where there is nothing known, or the row's own value is null.
+    Both may be large. Values that aren't between known ones have the least or the greatest of these. The others and the
+    known ones are dealt out by ranges that hold about as many each (as many ranges as shuffles have partitions), in each
+    of which the last and the next known value are carried along in order; what comes from other ranges follows from their
+    least and greatest values. Null where there is nothing known, or the row's own value is null.
     """
+    slots = slots or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = known.select(F.col(value).cast("double").alias("__k")).where("__k is not null").distinct()
-    ends = keys.agg(F.min("__k").alias("__low"), F.max("__k").alias("__high"))  # one row
-    width = F.greatest((F.col("__high") - F.col("__low")) / slots, F.lit(1e-300))
-    slot = lambda v: F.least(F.greatest(F.floor((v - F.col("__low")) / width), F.lit(-1)), F.lit(slots)).cast("int")
-    asked = rows.select(F.col(value).cast("double").alias("__v")).where("__v is not null").distinct()  # a value that many rows have counts once
-    left = asked.crossJoin(F.broadcast(ends)).select("__v", slot(F.col("__v")).alias("__slot"), F.lit(None).cast("double").alias("__k"))
-    right = keys.crossJoin(F.broadcast(ends)).select(F.col("__k").alias("__v"), slot(F.col("__k")).alias("__slot"), "__k")
+    ends = checkpoint(keys.agg(F.min("__k").alias("__low"), F.max("__k").alias("__high")))  # one row
+    own = rows[value].cast("double")
+    asked = rows.select(own.alias("__v")).crossJoin(F.broadcast(ends)).where("__v > __low and __v < __high").select("__v").distinct()  # a value that many rows have counts once
+    both = asked.select("__v", F.lit(None).cast("double").alias("__k")).unionByName(keys.select(F.col("__k").alias("__v"), "__k"))
+    dealt = checkpoint(both.repartitionByRange(slots, "__v").withColumn("__slot", F.spark_partition_id()))  # kept: ranges come from samples
     tie = F.col("__k").isNull()  # known values before asked ones of the same value
     up = Window.partitionBy("__slot").orderBy("__v", tie).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("__slot").orderBy(F.desc("__v"), tie).rowsBetween(Window.unboundedPreceding, 0)
-    near = left.unionByName(right).select("*", F.last("__k", True).over(up).alias("__below"), F.last("__k", True).over(down).alias("__above")).where("__k is null")
-    every = ends.select(F.explode(F.sequence(F.lit(-1), F.lit(slots))).alias("__slot"))
-    filled = every.join(right.groupBy("__slot").agg(F.min("__k").alias("lo"), F.max("__k").alias("hi")), "__slot", "left")  # a row for each slot
+    near = dealt.select("*", F.last("__k", True).over(up).alias("__below"), F.last("__k", True).over(down).alias("__above")).where("__k is null")
+    filled = dealt.groupBy("__slot").agg(F.min("__k").alias("lo"), F.max("__k").alias("hi"))  # a row for each slot
     before, after = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1)
     carried = filled.select("__slot", F.last("hi", True).over(before).alias("__from"), F.last("lo", True).over(after).alias("__to"))
     met = near.join(F.broadcast(carried), "__slot", "left")
     below, above = F.coalesce("__below", "__from"), F.coalesce("__above", "__to")
-    pick = F.when(below.isNull(), above).when(above.isNull(), below).when(F.col("__v") - below <= above - F.col("__v"), below).otherwise(above)
-    found = met.select("__v", pick.alias("nearest"))
-    return rows.join(found, rows[value].cast("double") == found["__v"], "left").drop("__v")
+    found = met.select("__v", F.when(F.col("__v") - below <= above - F.col("__v"), below).otherwise(above).alias("__near"))
+    joined = rows.join(found, own == found["__v"], "left").crossJoin(F.broadcast(ends))
+    pick = F.when(own <= F.col("__low"), F.col("__low")).when(own >= F.col("__high"), F.col("__high")).otherwise(F.col("__near"))
+    return joined.withColumn("nearest", pick).drop("__v", "__near", "__low", "__high")
 
 
 def evict(entries: DataFrame, most: int, cutoff: Column) -> DataFrame:
