@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 #: Frequencies of features are counted under so many hashes; words that a task remembers; texts and summaries at once.
-BUCKETS, MOST_WORDS, AT_ONCE, SUMMARIES = 1 << 16, 200_000, 256, 64
+BUCKETS, MOST_WORDS, AT_ONCE, SUMMARIES = 1 << 16, 50_000, 256, 64
 WORD = re.compile(r"\w+")
 
 
@@ -33,6 +33,10 @@ class Embedder(Protocol):
     def encode(self, texts: Sequence[str]) -> np.ndarray: ...
 
 
+def _md5(feature: str) -> bytes:
+    return hashlib.md5(feature.encode("utf-8", "replace"), usedforsecurity=False).digest()[:4]
+
+
 @dataclass
 class HashingEmbedder:
     """Signed feature hashing of lower-cased words and of the n-grams of `<word>`, scaled to unit length.
@@ -44,52 +48,51 @@ class HashingEmbedder:
     dimension: int = 384
     grams: int = 3
     weights: np.ndarray | None = None
-    _known: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False, compare=False)
+    _known: dict[str, bytes] = field(default_factory=dict, repr=False, compare=False)
+    _grams: dict[str, bytes] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_grams": {}}
 
-    def hashes(self, word: str) -> np.ndarray:
-        marked = f"<{word}>"
-        features = [f"={word}", *(marked[i : i + self.grams] for i in range(len(marked) - self.grams + 1))]
-        return np.array([int.from_bytes(hashlib.md5(f.encode("utf-8", "replace"), usedforsecurity=False).digest()[:4], "big") for f in features], np.int64)
-
-    def _word(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+    def _hashed(self, word: str) -> bytes:
+        """The word's features' hashes, four bytes each: little to keep for each word, and joined at once for many."""
         got = self._known.get(word)
         if got is None:
             if len(self._known) >= MOST_WORDS:
                 self._known.clear()
-            h = self.hashes(word)
-            sign = 1.0 - 2.0 * (h // self.dimension % 2)
-            got = self._known[word] = h % self.dimension, sign if self.weights is None else sign * self.weights[h % BUCKETS]
+            marked, known = f"<{word}>", self._grams
+            parts = [_md5(f"={word}")]
+            for i in range(len(marked) - self.grams + 1):
+                gram = marked[i : i + self.grams]
+                h = known.get(gram)
+                if h is None:  # new words have few n-grams that are new
+                    if len(known) >= MOST_WORDS:
+                        known.clear()
+                    h = known[gram] = _md5(gram)
+                parts.append(h)
+            got = self._known[word] = b"".join(parts)
         return got
 
+    def hashes(self, words: Sequence[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._hashed, words)), ">u4").astype(np.int64)
+
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts, strict=True):
-            parts = [self._word(w) for w in WORD.findall(text.lower())]
-            if parts:
-                at, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-                row += np.bincount(at, value, self.dimension)
+            h = self.hashes(WORD.findall(text.lower()))
+            sign = 1.0 - 2.0 * (h // self.dimension % 2)
+            row += np.bincount(h % self.dimension, sign if self.weights is None else sign * self.weights[h % BUCKETS], self.dimension)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def frequencies(self, texts: DataFrame) -> DataFrame:
         """(bucket, df) of (text): texts that have a feature under a hash; bucket -1 counts all texts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, df, known = 0, np.zeros(BUCKETS, np.int64), {}
+            n, df = 0, np.zeros(BUCKETS, np.int64)
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     n += 1
-                    found = []
-                    for w in set(WORD.findall((text or "").lower())):
-                        if w not in known:
-                            if len(known) >= MOST_WORDS:
-                                known.clear()
-                            known[w] = self.hashes(w) % BUCKETS
-                        found.append(known[w])
-                    if found:
-                        df[np.unique(np.concatenate(found))] += 1
+                    df[np.unique(self.hashes(list(set(WORD.findall((text or "").lower())))) % BUCKETS)] += 1
             at = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], names=["bucket", "df"])
 
