@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ AGAINST = ("not", "never", "wrong", "false", "incorrect", "disagree", "however",
 FOR = ("is", "are", "will", "should", "must", "always", "definitely")
 
 
-#: Clusters of a job that one task works on at most; more of them are joined in rounds first. Clusters of a block.
-LOCAL, BLOCK = 2_000, 1_000
+#: Clusters of a job that one task ends; more of them are joined in rounds first. Numbers (clusters by dimensions) of a block.
+LOCAL, BLOCK = 2_000, 1 << 20
+#: A job's rounds are one task's work while it has so many numbers, and a round so many comparisons, at most; rows compared at once.
+HELD, FEW, STRIP = 8 << 20, 200_000_000, 256
 
 
 def linkage_joins(total: np.ndarray, size: np.ndarray) -> list[tuple[float, int, int]]:
@@ -93,46 +97,132 @@ def topic_clusters(sentences: DataFrame, key: str, place: str, local: int | None
     if large.isEmpty():
         return rows.groupBy(key).applyInPandas(run, schema)
     small = rows.join(large, key, "left_anti").groupBy(key).applyInPandas(run, schema)
-    return small.unionByName(_clustered_in_rounds(rows.join(large, key), key, place, local, block or BLOCK).select(key, F.col(place).cast(kinds[place]).alias(place), "cluster"))
+    return small.unionByName(_clustered_in_rounds(rows.join(large, key), key, place, local, block).select(key, F.col(place).cast(kinds[place]).alias(place), "cluster"))
 
 
-def _nearest_pairs(state: DataFrame, key: str, block: int) -> DataFrame:
-    """(key, d, lo, hi): of each cluster of `state` (key, id, size, total), the nearest other one, as a pair; pairs of both are mutual.
+def nearest_of(ids: np.ndarray, means: np.ndarray, all_ids: np.ndarray, all_means: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d, lo, hi) of each of `ids`: the nearest other one of `all_ids` (ascending), as a pair; of equals the least pair, -1 if none.
 
-    A job's clusters are dealt out into blocks of about `block`; a task holds two blocks at a time.
+    Single precision finds those that may be the nearest, double precision decides. A pair's distance is the same to the
+    bit from both sides, so two that are nearest to each other agree.
     """
-    sized = state.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = state.join(sized, key).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("at")).alias("i"), F.greatest(j, F.col("at")).alias("j"))))
-    met = dealt.select(key, "id", "size", "total", "at", pair.alias("p")).select(key, "p.i", "p.j", "at", "id", "size", "total")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        first, second = (frame[frame["at"] == frame[c].iloc[0]].sort_values("id") for c in ("i", "j"))
-        if not len(first) or not len(second):
-            return pd.DataFrame({key: frame[key][:0], "id": [], "d": [], "lo": [], "hi": []})
-        x, y = (np.array(f["total"].tolist(), float) / f["size"].to_numpy()[:, None] for f in (first, second))
-        d, a, b = np.round(1.0 - x @ y.T, 12), first["id"].to_numpy(), second["id"].to_numpy()
-        if frame["i"].iloc[0] == frame["j"].iloc[0]:
-            np.fill_diagonal(d, np.inf)
-        parts = []
-        for e, own, others in ((d, a, b), (d.T, b, a)):
-            at = e.argmin(axis=1)  # ids ascend, so of equals this is the least pair
-            parts.append(pd.DataFrame({"id": own, "d": e[np.arange(len(e)), at], "lo": np.minimum(own, others[at]), "hi": np.maximum(own, others[at])}))
-        out = pd.concat(parts)
-        return out[np.isfinite(out["d"])].assign(**{key: frame[key].iloc[0]})[[key, "id", "d", "lo", "hi"]]
-
-    kind = dict(state.dtypes)[key]
-    near = met.groupBy(key, "i", "j").applyInPandas(run, f"{key} {kind}, id long, d double, lo long, hi long")
+    d, lo, hi = np.full(len(ids), np.nan), np.full(len(ids), -1), np.full(len(ids), -1)
+    if not len(ids) or not len(all_ids):
+        return d, lo, hi
+    y = all_means.astype(np.float32).T
+    doubt = 2.4e-7 * means.shape[1] * np.linalg.norm(means, axis=1) * np.linalg.norm(all_means, axis=1).max() + 4e-12
+    for k in range(0, len(ids), STRIP):
+        own = ids[k : k + STRIP]
+        s = means[k : k + STRIP].astype(np.float32) @ y
+        at = np.minimum(np.searchsorted(all_ids, own), len(all_ids) - 1)
+        self_ = np.flatnonzero(all_ids[at] == own)
+        s[self_, at[self_]] = -np.inf
+        first, every = s.argmax(axis=1), np.arange(len(own))
+        top = s[every, first]
+        s[every, first] = -np.inf
+        close = np.flatnonzero(s.max(axis=1) >= top - doubt[k : k + STRIP])  # few rows have a second one that may be nearer
+        more, others = np.nonzero(s[close] >= (top - doubt[k : k + STRIP])[close, None])
+        rows, columns = np.r_[every, close[more]], np.r_[first, others]
+        rows, columns = (x[all_ids[columns] != own[rows]] for x in (rows, columns))
+        for i in range(0, len(rows), 50_000):
+            r, c = rows[i : i + 50_000] + k, columns[i : i + 50_000]
+            x = np.round(1.0 - (means[r] * all_means[c]).sum(axis=1), 12)
+            low, high = np.minimum(ids[r], all_ids[c]), np.maximum(ids[r], all_ids[c])
+            order = np.lexsort((high, low, x, r))
+            best = order[np.unique(r[order], return_index=True)[1]]
+            r, x, low, high = r[best], x[best], low[best], high[best]
+            better = np.isnan(d[r]) | (x < d[r]) | ((x == d[r]) & ((low < lo[r]) | ((low == lo[r]) & (high < hi[r]))))
+            d[r[better]], lo[r[better]], hi[r[better]] = x[better], low[better], high[better]
+    return d, lo, hi
+
+
+def _clusters(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, sizes and totals of a table's clusters."""
+    ids, size = table["id"].to_numpy(), table["size"].to_numpy()
+    total, order = table["total"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1), np.argsort(ids)
+    return ids[order], size[order], total[order]
+
+
+def _nearest_in_blocks(state: DataFrame, key: str, block: int | None) -> DataFrame:
+    """(key, id, d, lo, hi): the nearest other one of each cluster of `state` (key, id, size, total, d, n, stale, width) without one.
+
+    A job's clusters are dealt out into blocks, those that ask likewise; a block is one row of bytes, and a task holds one of each.
+    """
+    most = F.lit(block) if block else F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("width")))
+    deal = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.least(most, F.greatest(F.lit(LOCAL), F.ceil(F.col("n") / 6))))).cast("int")
+    at, kind = lambda n: F.pmod(F.xxhash64("id"), deal(n)).cast("int"), dict(state.dtypes)[key]
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids, size, total = _clusters(table)
+        one = table.slice(0, 1).select([key, "at", "others"])
+        return one.append_column("ids", pa.array([ids.tobytes()], pa.binary())).append_column("means", pa.array([(total / size[:, None]).tobytes()], pa.binary()))
+
+    def packed(rows: DataFrame, own: str, others: str) -> DataFrame:
+        dealt = rows.select(key, at(own).alias("at"), deal(others).alias("others"), "id", "size", "total")
+        return dealt.groupBy(key, "at").applyInArrow(pack, f"{key} {kind}, at int, others int, ids binary, means binary")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    asking = packed(state.where("d is null"), "stale", "n").select(key, F.col("at").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "ids", "means")
+    met = asking.unionByName(packed(state, "n", "stale").select(key, every.alias("i"), F.col("at").alias("j"), F.lit(False).alias("asks"), "ids", "means"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = {r["asks"]: np.frombuffer(r["ids"], np.int64) for r in table.select(["asks", "ids"]).to_pylist()}
+        if len(side) < 2:  # hashing left a block of one side empty
+            return pa.table({key: table[key][:0], "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
+        means = {r["asks"]: np.frombuffer(r["means"]).reshape(len(side[r["asks"]]), -1) for r in table.select(["asks", "means"]).to_pylist()}
+        a = side[True]
+        d, lo, hi = nearest_of(a, means[True], side[False], means[False])
+        some = np.flatnonzero(lo >= 0)
+        out = pa.table({"id": a, "d": d, "lo": lo, "hi": hi}).take(some)
+        return out.add_column(0, key, table[key].combine_chunks().take(pa.array(np.zeros(len(some), np.int64))))
+
+    near = met.groupBy(key, "i", "j").applyInArrow(run, f"{key} {kind}, id long, d double, lo long, hi long")
     best = near.groupBy(key, "id").agg(F.min(F.struct("d", "lo", "hi")).alias("p"))
-    return best.select(key, "p.*")
-
-
-def _clustered_in_rounds(rows: DataFrame, key: str, place: str, local: int, block: int) -> DataFrame:
+    return best.select(key, "id", "p.*")
+
+
+def _rounds_in_a_task(state: DataFrame, key: str, local: int, step: int) -> DataFrame:
+    """Rounds of jobs of bounded size while they compare little: joins (key, d, lo, hi, step), and clusters, whose step is null."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, size, total = _clusters(table)
+        order = np.argsort(table["id"].to_numpy())
+        d, (lo, hi) = table["d"].to_numpy()[order], (table[c].fill_null(-1).to_numpy()[order] for c in ("lo", "hi"))
+        mean, made = total / size[:, None], []
+        while len(ids) > local and (not made or np.isnan(d).sum() * len(ids) <= FEW):
+            at = np.flatnonzero(np.isnan(d))
+            d[at], lo[at], hi[at] = nearest_of(ids[at], mean[at], ids, mean)
+            a = np.flatnonzero(lo == ids)
+            b = np.searchsorted(ids, hi[a])
+            both = (lo[b] == lo[a]) & (hi[b] == hi[a])
+            a, b = a[both], b[both]
+            if not len(a):
+                raise ValueError("no two clusters are nearest to each other: are all vectors numbers?")
+            made.append(pa.table({"id": ids[a], "d": d[a], "lo": lo[a], "hi": hi[a], "step": np.full(len(a), step + len(made))}))
+            total[a], size[a] = total[a] + total[b], size[a] + size[b]
+            mean[a] = total[a] / size[a][:, None]
+            touched, live = np.zeros(len(ids), bool), np.ones(len(ids), bool)
+            touched[a], touched[b], live[b] = True, True, False
+            d[touched | touched[np.searchsorted(ids, np.where(lo == ids, hi, lo))]] = np.nan
+            ids, size, total, mean, d, lo, hi = (x[live] for x in (ids, size, total, mean, d, lo, hi))
+        gone = np.isnan(d)
+        ends = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
+        left = pa.table({"id": ids, "size": size, "total": pa.ListArray.from_arrays(ends, total.ravel()), **{c: pa.array(x, mask=gone) for c, x in (("d", d), ("lo", lo), ("hi", hi))}})
+        out = pa.concat_tables([left, *made], promote_options="default")
+        out = out.add_column(0, key, table[key].combine_chunks().take(pa.array(np.zeros(len(out), np.int64))))
+        return out.select([key, "id", "size", "total", "d", "lo", "hi", "step"])
+
+    return state.groupBy(key).applyInArrow(run, f"{key} {dict(state.dtypes)[key]}, id long, size long, total array<double>, d double, lo long, hi long, step long")
+
+
+def _clustered_in_rounds(rows: DataFrame, key: str, place: str, local: int, block: int | None) -> DataFrame:
     """As topic_clusters, of jobs (key, place, embedding, n): each round joins all pairs of clusters that are nearest to each other.
 
-    A cluster is the sum of its unit vectors, its size, and its smallest place as its id. Jobs of which `local` clusters
-    are left are ended within a task. The joins of the least distances are the clusters' (heights never fall), and
-    sentences find their cluster by following joins, twice as far in each round.
+    A cluster is the sum of its unit vectors, its size, its smallest place as its id, and its nearest other one: that
+    stays so until one of the two is joined (a joined cluster is never nearer than the nearer of its parts), so only
+    then is it looked for again, by blocks. Rounds of few comparisons, of jobs of bounded size, follow one another
+    within a task, and jobs of which `local` clusters are left are ended there. The joins of the least distances are
+    the clusters' (heights never fall), and sentences find their cluster by following joins, twice as far in each round.
     """
     spark = rows.sparkSession
     folder, kept = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}", itertools.count()
@@ -145,23 +235,44 @@ def _clustered_in_rounds(rows: DataFrame, key: str, place: str, local: int, bloc
 
     unit = rows.select(key, F.col(place).cast("long").alias("id"), F.lit(1).cast("long").alias("size"), V.normalized(F.col("embedding")).alias("total"))
     ids = keep(rows.select(key, F.col(place).cast("long").alias("id"), "n"))
-    state, joins, step = keep(unit), None, 0
+    unknown = [F.lit(None).cast(t).alias(c) for c, t in (("d", "double"), ("lo", "long"), ("hi", "long"))]
+    state, joins, step = keep(unit.select("*", *unknown)), [], 0
+    here = f"n > {local} and n * width <= {HELD} and n * stale <= {FEW}"
     while True:
-        left = state.groupBy(key).agg(F.count("*").alias("left"))
-        going = keep(state.join(left.where(F.col("left") > local).select(key), key, "left_semi"))
-        ending = state.join(left.where(F.col("left") <= local).select(key), key, "left_semi")
-        ended = keep(_ended_locally(ending, key))
-        joins = ended if joins is None else joins.unionByName(ended)
-        if going.isEmpty():
+        sized = keep(state.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.isnull("d")).alias("stale"), F.max(F.size("total")).alias("width")))
+        of = {"end": f"n <= {local}", "here": here, "wide": f"n > {local} and not ({here})"}
+        some = sized.agg(*(F.count_if(F.expr(c)).alias(k) for k, c in of.items())).first()
+        part = {k: state.join(F.broadcast(sized.where(c)), key) for k, c in of.items()}
+        states = []
+        if some["end"]:
+            joins.append(keep(_ended_locally(part["end"].select(key, "id", "size", "total"), key)))
+        if some["here"]:
+            out = keep(_rounds_in_a_task(part["here"], key, local, step << 20))
+            joins.append(out.where("step is not null").select(key, "d", "step", "lo", "hi"))
+            states.append(out.where("step is null").drop("step"))
+        if some["wide"]:
+            near = keep(_nearest_in_blocks(part["wide"], key, block))
+            found = near.select(key, "id", *(F.col(c).alias(f"new_{c}") for c in ("d", "lo", "hi")))
+            told = part["wide"].join(found, [key, "id"], "left").select(key, "id", "size", "total", *(F.coalesce(c, f"new_{c}").alias(c) for c in ("d", "lo", "hi")))
+            mutual = told.groupBy(key, "lo", "hi").agg(F.count("*").alias("both"), F.min("d").alias("d")).where("both = 2 and lo is not null")
+            made = keep(mutual.select(key, "d", F.lit(step << 20).cast("long").alias("step"), "lo", "hi"))
+            if made.isEmpty():
+                raise ValueError("no two clusters are nearest to each other: are all vectors numbers?")
+            joins.append(made)
+            joined = made.select(key, F.explode(F.array("lo", "hi")).alias("id"), F.col("lo").alias("into"))
+            other = joined.select(key, F.col("id").alias("other"), F.lit(True).alias("moved"))
+            into = told.withColumn("other", F.col("lo") + F.col("hi") - F.col("id")).join(joined, [key, "id"], "left").join(other, [key, "other"], "left")
+            still = F.col("into").isNull() & F.col("moved").isNull()
+            named = into.select(key, F.coalesce("into", "id").alias("id"), "size", "total", *(F.when(still, F.col(c)).alias(c) for c in ("d", "lo", "hi")))
+            add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+            one = named.groupBy(key, "id").agg(F.sum("size").alias("size"), F.collect_list("total").alias("t"), *(F.min(c).alias(c) for c in ("d", "lo", "hi")))  # one or two
+            sums = F.when(F.size("t") == 2, add(F.get("t", F.lit(0)), F.get("t", F.lit(1)))).otherwise(F.get("t", F.lit(0)))
+            states.append(one.select(key, "id", "size", sums.alias("total"), "d", "lo", "hi"))
+        if not states:
             break
-        mutual = _nearest_pairs(going, key, block).groupBy(key, "lo", "hi", "d").agg(F.count("*").alias("both")).where("both = 2")
-        made = keep(mutual.select(key, "d", F.lit(step).cast("long").alias("step"), "lo", "hi"))
-        joins = joins.unionByName(made)
-        into = going.join(made.select(key, F.col("hi").alias("id"), "lo"), [key, "id"], "left").select(key, F.coalesce("lo", "id").alias("id"), "size", "total")
-        add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
-        one = into.groupBy(key, "id").agg(F.sum("size").alias("size"), F.collect_list("total").alias("t"))  # one or two
-        state = keep(one.select(key, "id", "size", F.when(F.size("t") == 2, add(F.get("t", F.lit(0)), F.get("t", F.lit(1)))).otherwise(F.get("t", F.lit(0))).alias("total")))
+        state = keep(functools.reduce(DataFrame.unionByName, states))
         step += 1
+    joins = functools.reduce(DataFrame.unionByName, joins)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("d", "step", "lo", "hi"))
     clusters = F.greatest(F.lit(3), F.least(F.floor(F.col("n") / 5), F.lit(20)))
     sizes = ids.select(key, "n").distinct()
@@ -186,7 +297,7 @@ def _ended_locally(state: DataFrame, key: str) -> DataFrame:
         frame = frame.sort_values("id")
         own, rows = frame["id"].to_numpy(), []
         for i, (d, a, b) in enumerate(linkage_joins(np.array(frame["total"].tolist(), float), frame["size"].to_numpy())):
-            rows.append((round(d, 12), (1 << 40) + i, own[min(a, b)], own[max(a, b)]))
+            rows.append((round(d, 12), (1 << 50) + i, own[min(a, b)], own[max(a, b)]))
         return pd.DataFrame(rows, columns=["d", "step", "lo", "hi"]).assign(**{key: frame[key].iloc[0]})[[key, "d", "step", "lo", "hi"]]
 
     return state.groupBy(key).applyInPandas(run, f"{key} {dict(state.dtypes)[key]}, d double, step long, lo long, hi long")
