@@ -21,6 +21,7 @@ of up to MOST_CHARS characters gets its pieces from the lattice: one that doesn'
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,7 +93,7 @@ class Vocabulary:
     unigram: bool = False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "raw"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("raw", "raw_array")}
 
     @cached_property
     def raw(self) -> dict[int, bytes]:
@@ -200,8 +201,14 @@ class Vocabulary:
 
     def word_ids(self, word: str, mask: int | None = None) -> bytes:
         """The word's ids as 32-bit integers, one after another."""
-        pieces = self.cut(word, self.mask(word) if mask is None else mask)
-        return np.array([i for p in pieces for i in self.piece_ids(p)], "<i4").tobytes()
+        known, out = self.ids, []
+        for p in self.cut(word, self.mask(word) if mask is None else mask):
+            i = known.get(p)
+            if i is None:
+                out += self.piece_ids(p)
+            else:
+                out.append(i)
+        return struct.pack(f"<{len(out)}i", *out)
 
     def one_unknown(self, ids: bytes) -> bytes:
         """Without bytes for unknown characters, a run of these has one id."""
@@ -220,6 +227,22 @@ class Vocabulary:
         text = out.decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
+    @cached_property
+    def raw_array(self) -> pa.Array:
+        """What each id stands for by its number, in UTF-8; nothing for control ids."""
+        return pa.array([self.raw.get(i, b"") for i in range(max(self.raw, default=-1) + 1)], pa.large_binary())
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """decode() of the ids between neighbouring offsets: what ids stand for is put together for all at once."""
+        if not len(ids):
+            return [""] * (len(offsets) - 1)
+        if int(ids.max()) >= len(self.raw_array) or int(ids.min()) < 0:
+            return [self.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
+        took = self.raw_array.take(pa.array(ids))
+        ends, data = np.frombuffer(took.buffers()[1], np.int64)[offsets], memoryview(took.buffers()[2])
+        texts = (str(data[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False))
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, rank, id, score) of the pieces, a row each: bounded by the model's size."""
         return spark.createDataFrame([(p, self.rank[p], i, float(self.score[p])) for p, i in self.ids.items()], "piece string, rank long, id int, score double")
@@ -383,12 +406,6 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
     once = asked.groupBy("word").agg(F.min("chunk").alias("first")).where("first >= 0").select("word")
     found = lattice(once, vocabulary)
 
-    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in batches:
-            ids = [v.word_ids(w, m) for w, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
-
     def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -398,18 +415,18 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
             at = 0
             for end in ends:
                 part = rows.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([pa.array([part["chunk"][0].as_py()]), pa.array([_dictionary(part, shared.value)], pa.binary())], names=["chunk", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([part["chunk"][0].as_py()]), pa.array([_compressed(part.select(["word", "ids"]))], pa.binary())], names=["chunk", "words"])
                 at = end
 
         for batch in batches:
-            held.append(batch)
+            held.append(_with_ids(batch, shared.value))
             if sum(b.num_rows for b in held) >= 250_000:
                 yield from out()
                 held.clear()
         if held:
             yield from out()
 
-    known = asked.join(found.mapInArrow(tidy(with_ids), "word string, ids binary"), "word", "left").select("chunk", "word", "ids")
+    known = asked.join(found, "word", "left").select("chunk", "word", "mask")  # both lie by word: masks need no exchange, as ids from Python would
     by_chunk = known.mapInArrow(tidy(dictionaries), "chunk long, words binary").groupBy("chunk").agg(F.collect_list("words").alias("words"))
     kind = "doc_id long, ids array<int>" + ", decoded string" * decode
 
@@ -428,7 +445,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                     offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
                     columns = [pa.array(doc_ids[i : i + 500], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
                     if decode:
-                        columns.append(pa.array([v.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
+                        columns.append(pa.array(v.decode_all(ids, offsets), pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return packed.join(by_chunk, "chunk", "left").select("blob", "words").mapInArrow(tidy(run), kind)
@@ -462,12 +479,13 @@ class _Units(dict):
         return found
 
 
-def _dictionary(rows: pa.Table, vocabulary: Vocabulary) -> bytes:
-    """Words and their ids, compressed. A word that the lattice has no edges for is one of single characters."""
-    ids = rows["ids"]
-    if ids.null_count:
-        ids = pa.array([vocabulary.word_ids(w, (2 << len(w)) - 1) if i is None else i for w, i in zip(rows["word"].to_pylist(), ids.to_pylist(), strict=True)], pa.binary())
-    return _compressed(pa.table([rows["word"], ids], names=["word", "ids"]))
+def _with_ids(rows: pa.RecordBatch, vocabulary: Vocabulary) -> pa.RecordBatch:
+    """(chunk, word, ids) of (chunk, word, mask), each word of a batch once. One that the lattice has no edges for is one of single characters."""
+    words = rows.column(1).dictionary_encode()
+    first = np.unique(words.indices.to_numpy(), return_index=True)[1]
+    masks = rows.column(2).take(pa.array(first)).to_pylist()
+    ids = [vocabulary.word_ids(w, (2 << len(w)) - 1 if m is None else m) for w, m in zip(words.dictionary.to_pylist(), masks, strict=True)]
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()).take(words.indices)], names=["chunk", "word", "ids"])
 
 
 def _words(blob: bytes) -> Iterator[tuple[str, bytes]]:
