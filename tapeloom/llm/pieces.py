@@ -15,20 +15,21 @@ Words meet their documents by chunks of documents: a chunk sends each of its dis
 dictionary of its words. Nothing needs the whole vocabulary of the corpus in one place. Words that are frequent in a
 bounded sample go through the same lattice first and reach all tasks as a dictionary of bounded size; chunks needn't ask
 for them. A word's pieces depend on the word alone, so the sample changes what is sent, not what comes out. Every word
-of up to MOST_CHARS characters gets its pieces from the lattice: one that doesn't come back is an error.
+of up to MOST_CHARS characters gets its pieces from the lattice: one that doesn't come back is an error. Tasks cut texts
+and put ids together by Arrow arrays, a chunk's distinct units at once.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,10 @@ LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 WORDS = re.compile(rf"{SPACE}*{OTHERS}*{LETTERS}+|{SPACE}*{OTHERS}+|{SPACE}+")
 #: Code points of a word in the lattice: its boundaries are the bits of a long. Longer words are merged one by one.
 MOST_CHARS = 61
-#: Characters of text in a chunk at most, chunks per core until they are that large, the level of their compression, and
-#: units whose ids a task keeps from chunk to chunk.
-CHUNK, CHUNKS_PER_CORE, LEVEL, MOST_UNITS = 8 << 20, 4, 6, 200_000
+#: Characters of text in a chunk at most, chunks per core until they are that large, and the level of their compression.
+CHUNK, CHUNKS_PER_CORE, LEVEL = 8 << 20, 4, 6
 #: Words of the dictionary that every task has, at most, and documents that it is drawn from, about.
 COMMON_WORDS, COMMON_DOCS = 100_000, 5_000
-MARKS = frozenset(".,;:!?")
 # The model file's fields that say its type, and the types; what a unigram model takes off for unknown characters.
 TRAINER, MODEL_TYPE, UNIGRAM, BPE, UNKNOWN_PENALTY = 2, 3, 1, 2, 10.0
 
@@ -93,7 +92,7 @@ class Vocabulary:
     unigram: bool = False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("raw", "raw_array")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("raw", "raw_array", "pieces")}
 
     @cached_property
     def raw(self) -> dict[int, bytes]:
@@ -124,27 +123,33 @@ class Vocabulary:
     def words(self, escaped: str) -> list[str]:
         return WORDS.findall(escaped)
 
-    def unit_words(self, unit: str) -> list[str]:
-        """words(SPACE + unit), sooner for letters alone and for letters with a mark behind them."""
-        if unit.isalpha():
-            return [SPACE + unit]
-        if unit[-1:] in MARKS and unit[:-1].isalpha():
-            return [SPACE + unit[:-1], unit[-1]]
-        return WORDS.findall(SPACE + unit)
+    def units(self, texts: pa.Array) -> pa.ListArray:
+        """Each text between its spaces: words of a unit are those of SPACE + unit. Without doubled spaces, words never span two.
 
-    def escaped(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
-
-    def units(self, text: str) -> list[str]:
-        """The text between spaces: words of a unit are those of SPACE + unit. Without doubled spaces, words never span two.
-
-        A text with spaces side by side or with a space mark of its own is one unit, less the first mark.
+        A text with spaces side by side or with a space mark of its own is one unit, less the first mark. Null and empty
+        texts have none.
         """
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or SPACE in text:
-            return [text.replace(" ", SPACE)]
-        return text.split(" ")
+        empty, rows = ~(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0), np.arange(len(texts))
+        texts = texts.take(pa.array(rows, pa.int64(), mask=empty))
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE))
+        if pc.any(odd).as_py():  # by take: pyarrow's if_else reads wrong bytes of a slice of strings
+            both = pa.concat_arrays([texts, pc.replace_substring(texts, " ", SPACE)])
+            texts = both.take(pa.array(rows + len(rows) * odd.fill_null(False).to_numpy(zero_copy_only=False)))
+        return pc.split_pattern(texts, " ")
+
+    def unit_words(self, units: pa.Array) -> pa.ListArray:
+        """words(SPACE + unit) of each unit: at once for those without a space mark, since each mark then begins a unit."""
+        odd = pc.or_(pc.equal(units, ""), pc.match_substring(units, SPACE)).to_numpy(zero_copy_only=False)
+        plain = units.filter(pa.array(~odd))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), SPACE)[0].as_py()
+        words = pa.array(WORDS.findall(SPACE + joined) if len(plain) else [], pa.string())
+        ends = np.append(np.flatnonzero(pc.starts_with(words, SPACE)), len(words))
+        if not odd.any():
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
+        others = [WORDS.findall(SPACE + u) for u in units.filter(pa.array(odd)).to_pylist()]
+        words = pa.concat_arrays([words, pa.array([w for ws in others for w in ws], pa.string())])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(ends[:-1], ends[-1] + np.cumsum([0, *map(len, others)])), pa.int32()), words)
+        return lists.take(pa.array(np.argsort(np.argsort(odd, kind="stable"), kind="stable")))
 
     @property
     def unknown_score(self) -> float:
@@ -210,12 +215,31 @@ class Vocabulary:
                 out.append(i)
         return struct.pack(f"<{len(out)}i", *out)
 
-    def one_unknown(self, ids: bytes) -> bytes:
-        """Without bytes for unknown characters, a run of these has one id."""
+    @cached_property
+    def pieces(self) -> tuple[pa.Array, pa.ListArray]:
+        """The pieces, and a list of the id of each."""
+        ids = pa.array(list(self.ids.values()), pa.int32())
+        return pa.array(list(self.ids), pa.string()), pa.ListArray.from_arrays(pa.array(range(len(ids) + 1), pa.int32()), ids)
+
+    def words_ids(self, words: pa.Array, masks: np.ndarray) -> pa.ListArray:
+        """word_ids() of words by their masks: all pieces, one behind another in the bytes of the words, are looked up at once."""
+        words = pa.concat_arrays([words, pa.array([""], words.type)])  # of its own, also if the words are a part of an array
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[: len(words)], words.buffers()[2]
+        at = np.flatnonzero(np.frombuffer(data, np.uint8)[: ends[-1]] & 0xC0 != 0x80) if ends[-1] else np.empty(0, np.int64)  # where characters begin
+        at = np.append(at, ends[-1])
+        bits = np.unpackbits(np.ascontiguousarray(masks, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, 1:]
+        word, k = np.nonzero(bits)
+        cuts = np.append(0, at[np.searchsorted(at, ends[:-1])[word] + k + 1]).astype(np.int32)
+        found = _looked_up(pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data), *self.pieces, self.piece_ids)
+        return _lists(found, np.append(0, np.cumsum(bits.sum(axis=1, dtype=np.int64))))
+
+    def one_unknown(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without bytes for unknown characters, a run of these between neighbouring offsets has one id."""
         if self.bytes_:
-            return ids
-        x = np.frombuffer(ids, "<i4")
-        return x[~((x == self.unknown) & np.r_[False, x[:-1] == self.unknown])[: len(x)]].tobytes()
+            return ids, offsets
+        again = (ids == self.unknown) & np.append(False, ids[:-1] == self.unknown)[: len(ids)]
+        again[offsets[offsets < len(ids)]] = False
+        return ids[~again], offsets - np.append(0, np.cumsum(again))[offsets]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; spaces for the space mark, less the first one. Control ids and unknown ones give nothing."""
@@ -324,9 +348,23 @@ def _compressed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(blob: bytes) -> tuple[list[int | None], list[str | None]]:
-    table = pa.ipc.open_stream(blob).read_all()
-    return table.column(0).to_pylist(), table.column(1).to_pylist()
+def _unpacked(blob: bytes) -> list[pa.Array]:
+    return [c.combine_chunks() for c in pa.ipc.open_stream(blob).read_all().columns]
+
+
+def _lists(lists: pa.ListArray, offsets: np.ndarray) -> pa.ListArray:
+    """The lists between neighbouring offsets, as one list."""
+    return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[offsets], pa.int32()), lists.values)
+
+
+def _looked_up(keys: pa.Array, known: pa.Array, lists: pa.ListArray, other: Callable[[str], Sequence[int]]) -> pa.ListArray:
+    """The list of each key: of those that are known theirs, and what `other` gives for the rest, each once."""
+    at = pc.index_in(keys, value_set=known)
+    if at.null_count:
+        rest = keys.filter(pc.is_null(at)).unique()
+        lists = pa.concat_arrays([lists, pa.array(map(other, rest.to_pylist()), lists.type)])
+        at = pc.coalesce(at, pc.add(pc.index_in(keys, value_set=rest), pa.scalar(len(known), pa.int32())))
+    return lists.take(at)
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -353,17 +391,21 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "chunk long, blob binary").repartition("chunk")
 
 
+def _in_lattice(words: pa.Array) -> pa.Array:
+    n = pc.utf8_length(words)
+    return pc.and_(pc.greater(n, 1), pc.less_equal(n, MOST_CHARS))
+
+
 def common_words(docs: DataFrame, vocabulary: Vocabulary, most: int = COMMON_WORDS, sample: int = COMMON_DOCS) -> dict[str, bytes]:
     """Ids of the words that occur most in about `sample` documents, by the lattice: `most` words at most."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            count: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                for unit in vocabulary.units(text):
-                    count.update(vocabulary.unit_words(unit))
-            kept = {w: n for w, n in count.items() if 1 < len(w) <= MOST_CHARS}
-            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+            units, n = vocabulary.units(batch.column(0)).flatten().value_counts().flatten()
+            words = vocabulary.unit_words(units)
+            rows = pa.table([words.flatten(), n.take(pc.list_parent_indices(words))], names=["word", "n"])
+            rows = rows.filter(_in_lattice(rows["word"])).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            yield from rows.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches()
 
     few = bounded_sample(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id", sample)
     words = few.select("text").mapInArrow(tidy(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
@@ -386,20 +428,15 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
     packed = chunks(docs, max(1 << 18, min(CHUNK, chars // (CHUNKS_PER_CORE * spark.sparkContext.defaultParallelism))))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, usual = shared.value, pa.array(list(common.value), pa.string())
         for batch in batches:
             for chunk, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                units: set[str] = set()
-                for text in _unpacked(blob)[1]:
-                    units.update(v.units(text or ""))
-                words: set[str] = set()
-                for unit in units:
-                    words.update(v.unit_words(unit))
-                words.difference_update(common.value)
-                kept = sorted(w for w in words if 1 < len(w) <= MOST_CHARS)  # neighbours share beginnings: the exchange compresses better
-                for i in range(0, len(kept), 50_000):
-                    part = kept[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk))], names=["word", "chunk"])
+                words = v.unit_words(v.units(_unpacked(blob)[1]).flatten().unique()).flatten().unique()
+                words = words.filter(pc.and_(_in_lattice(words), pc.invert(pc.is_in(words, value_set=usual))))
+                words = words.take(pc.sort_indices(words))  # neighbours share beginnings: the exchange compresses better
+                for i in range(0, len(words), 50_000):
+                    part = words[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), chunk))], names=["word", "chunk"])
 
     # this and the join below read one exchange: both use both columns, and what the optimizer infers of words stands here
     asked = packed.mapInArrow(tidy(distinct_words), "word string, chunk long").where("word is not null and length(word) >= 2").repartition("word")
@@ -410,7 +447,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
         held: list[pa.RecordBatch] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).sort_by("chunk").combine_chunks()
+            rows = _with_ids(pa.Table.from_batches(held), shared.value).sort_by("chunk").combine_chunks()
             ends = np.flatnonzero(np.diff(rows["chunk"].to_numpy(), append=-1)) + 1
             at = 0
             for end in ends:
@@ -419,7 +456,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                 at = end
 
         for batch in batches:
-            held.append(_with_ids(batch, shared.value))
+            held.append(batch)
             if sum(b.num_rows for b in held) >= 250_000:
                 yield from out()
                 held.clear()
@@ -435,62 +472,59 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
         for batch in batches:
             for k in range(batch.num_rows):
                 blob, parts = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or []
-                ids_of.renew()
-                for p in parts:
-                    ids_of.words.update(_words(p))
+                ids_of.renew(parts)
                 doc_ids, texts = _unpacked(blob)
+                units = v.units(texts)
+                coded = units.flatten().dictionary_encode()
+                found = ids_of.of(coded.dictionary).take(coded.indices)
+                ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(units), 0)))
+                ids, offsets = v.one_unknown(found.values.to_numpy(), found.offsets.to_numpy()[ends])
                 for i in range(0, len(doc_ids), 500):
-                    rows = [v.one_unknown(b"".join(map(ids_of.__getitem__, v.units(t or "")))) for t in texts[i : i + 500]]
-                    ids = np.frombuffer(b"".join(rows), "<i4")
-                    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
-                    columns = [pa.array(doc_ids[i : i + 500], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
+                    at = offsets[i : i + 501]
+                    some, at = ids[at[0] : at[-1]], at - at[0]
+                    columns = [doc_ids[i : i + 500], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(some))]
                     if decode:
-                        columns.append(pa.array(v.decode_all(ids, offsets), pa.string()))
+                        columns.append(pa.array(v.decode_all(some, at), pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return packed.join(by_chunk, "chunk", "left").select("blob", "words").mapInArrow(tidy(run), kind)
 
 
-class _Units(dict):
-    """A unit's ids, put together from those of its words; single characters and words of over MOST_CHARS are merged here."""
+class _Units:
+    """Units' ids, put together from those of their words; single characters and words of over MOST_CHARS are merged here."""
 
     def __init__(self, vocabulary: Vocabulary, common: dict[str, bytes]) -> None:
-        super().__init__()
-        self.vocabulary, self.common, self.words = vocabulary, common, {}
-
-    def renew(self) -> None:
-        """For another chunk: its words are other ones, what units met so far consist of stays true."""
-        self.words = {}
-        if len(self) > MOST_UNITS:
-            self.clear()
-
-    def __missing__(self, unit: str) -> bytes:
-        known, common, out = self.words, self.common, []
-        for w in self.vocabulary.unit_words(unit):
-            ids = known.get(w) or common.get(w)
-            if ids is None:
-                if 1 < len(w) <= MOST_CHARS:
-                    raise LookupError(f"a word that the lattice didn't return: {w!r}")
-                ids = known[w] = self.vocabulary.word_ids(w)
-            out.append(ids)
-        found = b"".join(out)
-        if len(unit) <= 64:
-            self[unit] = found
-        return found
+        ids, offsets = np.frombuffer(b"".join(common.values()), "<i4"), np.cumsum([0, *(len(x) // 4 for x in common.values())])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        self.vocabulary, self.common = vocabulary, pa.table([pa.array(list(common), pa.string()), lists], names=["word", "ids"])
+        self.renew([])
 
+    def renew(self, parts: list[bytes]) -> None:
+        """For another chunk: its words are other ones."""
+        table = pa.concat_tables([self.common, *(pa.ipc.open_stream(p).read_all() for p in parts)])
+        self.words, self.ids = (c.combine_chunks() for c in table.columns)
 
-def _with_ids(rows: pa.RecordBatch, vocabulary: Vocabulary) -> pa.RecordBatch:
-    """(chunk, word, ids) of (chunk, word, mask), each word of a batch once. One that the lattice has no edges for is one of single characters."""
-    words = rows.column(1).dictionary_encode()
-    first = np.unique(words.indices.to_numpy(), return_index=True)[1]
-    masks = rows.column(2).take(pa.array(first)).to_pylist()
-    ids = [vocabulary.word_ids(w, (2 << len(w)) - 1 if m is None else m) for w, m in zip(words.dictionary.to_pylist(), masks, strict=True)]
-    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()).take(words.indices)], names=["chunk", "word", "ids"])
+    def of(self, units: pa.Array) -> pa.ListArray:
+        """A list for each of the units."""
+        words = self.vocabulary.unit_words(units)
+        return _lists(_looked_up(words.values, self.words, self.ids, self._other), words.offsets.to_numpy())
 
+    def _other(self, word: str) -> np.ndarray:
+        if 1 < len(word) <= MOST_CHARS:
+            raise LookupError(f"a word that the lattice didn't return: {word!r}")
+        return np.frombuffer(self.vocabulary.word_ids(word), "<i4")
 
-def _words(blob: bytes) -> Iterator[tuple[str, bytes]]:
-    table = pa.ipc.open_stream(blob).read_all()
-    return zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)
+    def __getitem__(self, unit: str) -> bytes:
+        return self.of(pa.array([unit], pa.string())).values.to_numpy().tobytes()
+
+
+def _with_ids(rows: pa.Table, vocabulary: Vocabulary) -> pa.Table:
+    """(chunk, word, ids) of (chunk, word, mask), each word once. One that the lattice has no edges for is one of single characters."""
+    words = rows.column(1).combine_chunks().dictionary_encode()
+    first = np.unique(words.indices.to_numpy(), return_index=True)[1]
+    singly = pa.array(np.left_shift(2, pc.utf8_length(words.dictionary).to_numpy().astype(np.int64)) - 1)
+    masks = pc.coalesce(rows.column(2).combine_chunks().take(pa.array(first)), singly)
+    return pa.table([rows.column(0), rows.column(1), vocabulary.words_ids(words.dictionary, masks.to_numpy()).take(words.indices)], names=["chunk", "word", "ids"])
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
