@@ -476,15 +476,16 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> Da
                 doc_ids, texts = _unpacked(blob)
                 units = v.units(texts)
                 coded = units.flatten().dictionary_encode()
-                found = ids_of.of(coded.dictionary).take(coded.indices)
                 ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(units), 0)))
-                ids, offsets = v.one_unknown(found.values.to_numpy(), found.offsets.to_numpy()[ends])
+                del blob, parts, texts, units
+                found = ids_of.of(coded.dictionary)
                 for i in range(0, len(doc_ids), 500):
-                    at = offsets[i : i + 501]
-                    some, at = ids[at[0] : at[-1]], at - at[0]
-                    columns = [doc_ids[i : i + 500], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(some))]
+                    at = ends[i : i + 501]
+                    some = found.take(coded.indices[at[0] : at[-1]])
+                    ids, offsets = v.one_unknown(some.values.to_numpy(), some.offsets.to_numpy()[at - at[0]])
+                    columns = [doc_ids[i : i + 500], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
                     if decode:
-                        columns.append(pa.array(v.decode_all(some, at), pa.string()))
+                        columns.append(pa.array(v.decode_all(ids, offsets), pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return packed.join(by_chunk, "chunk", "left").select("blob", "words").mapInArrow(tidy(run), kind)
@@ -501,6 +502,8 @@ class _Units:
 
     def renew(self, parts: list[bytes]) -> None:
         """For another chunk: its words are other ones."""
+        self.words = self.ids = None
+        pa.default_memory_pool().release_unused()
         table = pa.concat_tables([self.common, *(pa.ipc.open_stream(p).read_all() for p in parts)])
         self.words, self.ids = (c.combine_chunks() for c in table.columns)
 
@@ -524,7 +527,8 @@ def _with_ids(rows: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     first = np.unique(words.indices.to_numpy(), return_index=True)[1]
     singly = pa.array(np.left_shift(2, pc.utf8_length(words.dictionary).to_numpy().astype(np.int64)) - 1)
     masks = pc.coalesce(rows.column(2).combine_chunks().take(pa.array(first)), singly)
-    return pa.table([rows.column(0), rows.column(1), vocabulary.words_ids(words.dictionary, masks.to_numpy()).take(words.indices)], names=["chunk", "word", "ids"])
+    ids = pa.chunked_array([vocabulary.words_ids(words.dictionary[i : i + 20_000], masks[i : i + 20_000].to_numpy()) for i in range(0, len(masks), 20_000)])
+    return pa.table([rows.column(0), rows.column(1), ids.combine_chunks().take(words.indices)], names=["chunk", "word", "ids"])
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
